@@ -16,12 +16,13 @@ import os
 import pickle
 import tempfile
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from quire.llm.workspace import materialise
 
@@ -73,9 +74,11 @@ def _branch(digest: bytes, level: int) -> int:
     return byte >> 4 if level % 2 == 0 else byte & 15
 
 
-def grace_groups(records: Iterable[tuple], limit: int = TABLE_BYTES, level: int = 0, folder: str | None = None) -> Iterator[tuple[bytes, bytes, list]]:
+def grace_groups(records: Iterable[tuple], limit: int = TABLE_BYTES, level: int = 0, folder: str | None = None, best: Callable | None = None) -> Iterator[tuple[bytes, bytes, list]]:
     """Groups (digest, content, members) of records (digest, content, member); memory is bounded by ``limit`` plus the members.
 
+    With ``best``, a key function, a group holds only its smallest member.
+
     Past the last digest bit records with equal digests stay in one table, which still compares contents.
     """
     table, members = OpenTable(), []
@@ -85,8 +88,10 @@ def grace_groups(records: Iterable[tuple], limit: int = TABLE_BYTES, level: int
         k, new = table.place(digest, content)
         if new:
             members.append([member])
-        else:
+        elif best is None:
             members[k].append(member)
+        elif best(member) < best(members[k][0]):
+            members[k][0] = member
         if table.held > limit and not deepest and len(table.contents) > 1:
             break
     else:
@@ -110,7 +115,7 @@ def grace_groups(records: Iterable[tuple], limit: int = TABLE_BYTES, level: int
                 f.close()
         table, members = OpenTable(), []
         for path in paths:
-            yield from grace_groups(_spilled(path), limit, level + 1, spill)
+            yield from grace_groups(_spilled(path), limit, level + 1, spill, best)
             os.unlink(path)
 
 
@@ -195,3 +200,49 @@ def grace_dedup(docs: DataFrame, limit: int = TABLE_BYTES) -> DataFrame:
     return members.join(groups, "head").select(
         "doc_id", "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), F.col("sha").alias("text_sha256")
     )
+
+
+def _best_rows(batches: Iterator[pa.RecordBatch], names: list[str], limit: int, dealt: bool) -> Iterator[pa.RecordBatch]:
+    """The row to keep of each group; rows that have been dealt out by digest carry digest and rid as their last columns."""
+    first, schema = TaskContext.get().partitionId() << 36, None
+    doc_at, text_at = names.index("doc_id"), names.index("text")
+
+    def records() -> Iterator[tuple]:
+        nonlocal schema
+        rid = first
+        for batch in batches:
+            schema = schema or batch.schema
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                text = row[text_at] or ""
+                content = text.encode("utf-8", "surrogatepass").translate(None, BLANKS)
+                digest = row[-2] if dealt else hashlib.blake2b(content, digest_size=16).digest()
+                yield digest, content, (_rank(len(text), row[doc_at], row[-1] if dealt else rid), row)
+                rid += 1
+
+    block, held = [], 0
+
+    def flushed() -> pa.RecordBatch:
+        columns = list(zip(*block, strict=True))
+        if dealt:
+            fields = list(schema)[:-2]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns[:-2], fields, strict=True)], schema=pa.schema(fields))
+        fields = [*schema, pa.field("grace digest", pa.binary()), pa.field("grace row", pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=pa.schema(fields))
+
+    for digest, _, members in grace_groups(records(), limit, best=lambda m: m[0]):
+        rank, row = members[0]
+        block.append(row if dealt else (*row, digest, rank[2]))
+        held += len(row[text_at] or "")
+        if len(block) >= BATCH_ROWS or held > BATCH_BYTES:
+            yield flushed()
+            block, held = [], 0
+    if block:
+        yield flushed()
+
+
+def distinct_rows(docs: DataFrame, limit: int = TABLE_BYTES) -> DataFrame:
+    """The rows of docs, with all their columns, that grace_dedup keeps; their order is lost."""
+    names = docs.columns
+    wide = StructType([*docs.schema.fields, StructField("grace digest", BinaryType()), StructField("grace row", LongType())])
+    heads = docs.mapInArrow(lambda b: _best_rows(b, names, limit, False), wide).repartition("grace digest")
+    return heads.mapInArrow(lambda b: _best_rows(b, names, limit, True), docs.schema)

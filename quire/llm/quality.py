@@ -64,8 +64,11 @@ def _without(text: Column, pattern: str) -> Column:
     return F.length(F.regexp_replace(text, pattern, ""))
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """doc_id with the raw counts of each whole text.
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper", "n_shouts")
+
+
+def measure(docs: DataFrame, carry: str = "doc_id") -> DataFrame:
+    """One column of docs with the raw counts of each whole text.
 
     The counts leave through ``inline``, which keeps later filters from being rewritten into the costly expressions.
     """
@@ -84,7 +87,7 @@ def measure(docs: DataFrame) -> DataFrame:
         return F.struct(F.size(kept).cast(long).alias("n_lines"), (F.size(kept) - F.size(F.array_distinct(kept))).cast(long).alias("n_dup_lines"))
 
     found = docs.select(
-        "doc_id",
+        F.col(carry).alias("carried"),
         F.inline(
             F.array(
                 F.struct(
@@ -98,7 +101,7 @@ def measure(docs: DataFrame) -> DataFrame:
             )
         ),
     )
-    return found.select("doc_id", "w.n_words", "w.word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.n_lines", "n_letters", "n_upper", "n_shouts")
+    return found.select(F.col("carried").alias(carry), "w.*", "l.*", "n_symbols", "n_letters", "n_upper", "n_shouts").select(carry, *MEASURES)
 
 
 @dataclass(frozen=True)
@@ -140,12 +143,12 @@ POLICIES: dict[str, int] = {
 CURRENT = "v2"
 
 
-def ledger(docs: DataFrame) -> DataFrame:
-    """One row per document: measurements and ``fail_bits``, bit k set where rule k fails."""
+def ledger(docs: DataFrame, carry: str = "doc_id") -> DataFrame:
+    """One row per document: the carried column, measurements and ``fail_bits``, bit k set where rule k fails."""
     bits = F.lit(0).cast("long")
     for k, rule in enumerate(RULES):
         bits = bits.bitwiseOR(F.when(F.coalesce(rule.fails(), F.lit(True)), F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
-    return measure(docs).withColumn("fail_bits", bits)
+    return measure(docs, carry).withColumn("fail_bits", bits)
 
 
 def apply_policy(book: DataFrame, policy: str = CURRENT) -> DataFrame:
@@ -155,6 +158,12 @@ def apply_policy(book: DataFrame, policy: str = CURRENT) -> DataFrame:
     return book.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("fail_bits").bitwiseAND(mask) == 0))
 
 
+def accepted(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
+    """The rows of docs, with all their columns, that the policy keeps."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"), "text")
+    return apply_policy(ledger(rows, "document"), policy).filter("kept").select("document.*")
+
+
 def ablation(book: DataFrame, policies: dict[str, int] | None = None) -> DataFrame:
     """Per policy and rule: documents the rule fails, and those that only this rule of the policy fails.
 

@@ -1,12 +1,19 @@
-"""One query per operator, over its whole table."""
+"""One query per operator, over its whole table, and SQL where it can say the same."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import dedup, quality, simhash
+from quire.llm import bpe, chat, dedup, edits, langid, licences, packing, quality, simhash, warc
+
+#: The public vocabularies; a deployment may keep them elsewhere.
+BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
+WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+#: The conversation that the formatting query adds.
+SPELLED = "</s>[INST] ok [/INST]"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,17 +25,131 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
+def op2_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.fixity_audit(_table(spark, sf_dir, "pages"))
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-1, 0, "user", SPELLED), (-1, 1, "assistant", SPELLED)], "conv_id long, turn long, role string, text string")
+    return chat.format_digests(turns.unionByName(more)).drop("error")
+
+
 def op4_simhash_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_bpe_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(_table(spark, sf_dir, "documents"), BYTE_VOCABULARY)
+
+
+def op6_pack_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), WORD_VOCABULARY)
+
+
+def op7_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
+def op8_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edits.edited_counts(_table(spark, sf_dir, "documents"), BYTE_VOCABULARY)
+
+
+def op9_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(_table(spark, sf_dir, "documents"))
+
+
 def op10_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.grace_dedup(_table(spark, sf_dir, "documents"))
 
 
+_QUERIES = (op1_quality_rules, op2_warc_fixity, op3_chat_format, op4_simhash_mih, op5_bpe_replay, op6_pack_lexical, op7_language_ppm, op8_edit_counts, op9_licence_digests, op10_grace_dedup)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op4_simhash_mih, op10_grace_dedup)}
+    return {f.__name__: f for f in _QUERIES}
+
+
+_OP1 = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+w AS (SELECT doc_id, x, list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda v: v <> '') AS ws,
+             list_filter(string_split(x, chr(10)), lambda v: regexp_matches(v, '[^\x20\x09-\x0D]')) AS ls FROM t),
+starts AS (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 4)) AS p FROM w WHERE len(ws) >= 5),
+counted AS (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, array_to_string(ws[p:p+4], ' ')) AS c FROM starts),
+gaps AS (SELECT doc_id, least(5, coalesce(lead(p) OVER (PARTITION BY doc_id ORDER BY p) - p, 5)) AS g FROM counted WHERE c > 1),
+rep AS (SELECT doc_id, sum(g)::BIGINT AS n_repeat_words FROM gaps GROUP BY doc_id),
+m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+             (length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+             (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+             len(ls) AS n_lines, length(regexp_replace(x, '[^\p{L}]+', '', 'g')) AS n_letters,
+             length(regexp_replace(x, '[^\p{Lu}]+', '', 'g')) AS n_upper,
+             length(x) - length(regexp_replace(x, '[!?]', '', 'g')) AS n_shouts
+      FROM w LEFT JOIN rep USING (doc_id)),
+f AS (SELECT *, (CASE WHEN n_words < 10 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END
+          + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END + CASE WHEN 2 * n_dup_lines > n_lines THEN 8 ELSE 0 END
+          + CASE WHEN word_chars < 2 * n_words OR word_chars > 12 * n_words THEN 16 ELSE 0 END
+          + CASE WHEN 10 * n_letters < 6 * word_chars THEN 32 ELSE 0 END + CASE WHEN 2 * n_upper > n_letters THEN 64 ELSE 0 END
+          + CASE WHEN 4 * n_shouts > n_words THEN 128 ELSE 0 END)::BIGINT AS fail_bits FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM f
+"""
+
+_OP2 = r"""
+WITH r AS (SELECT page_id, coalesce(url, '') AS u, coalesce(html, '') AS h, 'part-' || (page_id // 512) || '.0.warc' AS file,
+                  ('0x' || substr(md5(page_id::VARCHAR), 1, 6))::BIGINT % 1000 AS draw FROM pages),
+s AS (SELECT *, strlen('WARC/1.1') + 2 + strlen('WARC-Type: resource') + 2 + strlen('WARC-Target-URI: ') + strlen(u) + 2
+             + strlen('WARC-Record-ID: <urn:sha1:') + 40 + 1 + 2 + strlen('Content-Type: text/html') + 2
+             + strlen('Content-Length: ') + strlen(strlen(h)::VARCHAR) + 4 + strlen(h) + 4 AS n FROM r),
+o AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM s)
+SELECT file, off AS "offset", page_id, CASE WHEN draw < 20 THEN 'corrupt' ELSE 'missing' END AS status FROM o WHERE draw < 25
+"""
+
+_OP3 = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS x FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+p AS (SELECT *, lag(role) OVER w AS prev, lead(role) OVER w AS next,
+             CASE role WHEN 'system' THEN 11 WHEN 'user' THEN 13 WHEN 'assistant' THEN 11
+                       ELSE 20 + length(role) + len(regexp_extract_all(role, '\\|\[/?ROLE\]|\[/?INST\]|\[/?SYS\]|\[/?ANS\]|\[/TURN\]|</?s>')) END
+             + length(x) + len(regexp_extract_all(x, '\\|\[/?ROLE\]|\[/?INST\]|\[/?SYS\]|\[/?ANS\]|\[/TURN\]|</?s>')) AS n
+      FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, x)),
+g AS (SELECT conv_id, count(*)::BIGINT AS n_turns, string_agg(role || chr(10) || x || chr(10), '' ORDER BY turn, role, x) AS said,
+             coalesce(string_agg(x, '' ORDER BY turn, x) FILTER (WHERE role = 'assistant'), '') AS answers, (sum(n) + 7)::BIGINT AS formatted_chars,
+             bool_and(coalesce(CASE WHEN prev IS NULL THEN role IN ('system', 'user') WHEN prev IN ('system', 'assistant') THEN role = 'user'
+                                    WHEN prev = 'user' THEN role = 'assistant' ELSE false END, false) AND (next IS NOT NULL OR role = 'assistant')) AS valid
+      FROM p GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(answers)::BIGINT AS loss_chars, sha256(answers) AS loss_sha256, formatted_chars, valid FROM g
+"""
+
+_OP10 = r"""
+WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS x FROM documents),
+g AS (SELECT doc_id, sha256(x) AS text_sha256, first_value(doc_id) OVER (PARTITION BY x ORDER BY n DESC, doc_id) AS keep_id,
+             count(*) OVER (PARTITION BY x) AS group_size FROM t)
+SELECT doc_id, keep_id, group_size::BIGINT AS group_size, doc_id = keep_id AS kept, text_sha256 FROM g
+"""
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _licence_sql() -> str:
+    def canonical(x: str) -> str:
+        out = f"regexp_replace(lower(coalesce({x}, '')), {_quoted(licences.COPYRIGHT_LINE)}, ' ', 'g')"
+        for old, new in licences.SPELLINGS:
+            out = f"regexp_replace({out}, {_quoted(old)}, {_quoted(new)}, 'g')"
+        return f"trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+
+    def rows(texts: dict[str, tuple[str, ...]]) -> str:
+        return ", ".join(f"({_quoted(name)}, {_quoted(t)})" for name, own in sorted(texts.items()) for t in own)
+
+    return f"""
+WITH whole AS (SELECT DISTINCT licence, sha256({canonical("t")}) AS d FROM (VALUES {rows(licences.TEXTS)}) AS v(licence, t)),
+notice AS (SELECT DISTINCT licence AS own, {canonical("t")} AS c FROM (VALUES {rows(licences.NOTICES)}) AS v(licence, t)),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+found AS (SELECT doc_id, list(DISTINCT own ORDER BY own) AS notices FROM (SELECT doc_id, {canonical("line")} AS c FROM lines) JOIN notice USING (c) GROUP BY doc_id),
+texts AS (SELECT doc_id, sha256({canonical("text")}) AS text_digest FROM documents)
+SELECT doc_id, text_digest, licence, coalesce(notices, []) AS notices FROM texts LEFT JOIN whole ON text_digest = d LEFT JOIN found USING (doc_id)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_quality_rules": _OP1, "op2_warc_fixity": _OP2, "op3_chat_format": _OP3, "op9_licence_digests": _licence_sql(), "op10_grace_dedup": _OP10}

@@ -196,3 +196,12 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, width: int = SHIN
     named = known.join(names, "root").select("fp", "linked_id")
     classes = prints.join(named, "fp", "left").select("fp", F.coalesce("linked_id", "first_id").alias("component_id"))
     return rows.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, distance: int = DISTANCE, width: int = SHINGLE) -> DataFrame:
+    """The rows of docs, with all their columns, without all but one of each class of near duplicates."""
+    row = "near row"
+    rows = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "near-rows")
+    classes = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), distance, width)
+    firsts = classes.filter("doc_id = component_id").select(F.col("doc_id").alias(row))
+    return rows.join(firsts, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

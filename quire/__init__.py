@@ -1 +1 @@
-"""Part of the literature-graph engine."""
+"""A literature library as DataFrames: chunks, vectors, a typed graph, and retrieval over them."""

@@ -14,84 +14,85 @@ an empty table gives an empty result; other input columns are ignored.
 from __future__ import annotations
 
 import re
-import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quire.llm.bpe import blocks, vocabulary_file
-from quire.llm.workspace import materialise
+from quire.llm.workspace import materialise, slices
 
 WINDOW, END_ID = 2048, 1
 #: Tokens of a shard; terms of a seed that are looked up, those with the highest weights; neighbours ranked for a window.
-SHARD_TOKENS, QUERY_TERMS, NEIGHBOURS = 1_500_000, 32, 64
+SHARD_TOKENS, QUERY_TERMS, NEIGHBOURS = 1_000_000, 32, 64
 K1, B = 1.2, 0.75
-CACHE_WORDS = 400_000
-#: Text outside these characters is left to the tokenizer as a whole.
-_RARE = regex.compile(r"[^\x00-ſ‐-‧€]")
+CACHE_WORDS = 300_000
+#: Text outside these characters is left to the tokenizer as a whole; they compose to nothing and lower-case one by one.
+_RARE = re.compile(r"[^\x00-įı-ſ‐-‧€]")
+_LETTERS, _NUMBERS = "a-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼½¾"
 _ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
-_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\t-\r \x85\xa0{_LETTERS}{_NUMBERS}]+")
 
 
 @lru_cache(maxsize=2)
 def _tokenizer(data: bytes) -> Tokenizer:
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     own = Tokenizer.from_str(data.decode())
     own.encode_special_tokens = True  # the strings of special tokens are ordinary text
     return own
 
 
-class WordIds:
-    """Ids of whole texts as little-endian unsigned 16-bit integers, each word encoded once per task."""
+def _byte_letters() -> dict[int, str]:
+    """The printable character by which byte-level vocabularies write each byte."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    out = {b: chr(b) for b in plain}
+    for k, b in enumerate(b for b in range(256) if b not in out):
+        out[b] = chr(256 + k)
+    return out
+
+
+_BYTES = _byte_letters()
+
+
+class WordIds(dict):
+    """Ids of words as little-endian unsigned 16-bit integers; a missing word is encoded by the vocabulary's merges."""
 
     def __init__(self, tokenizer: Tokenizer) -> None:
         if tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids are kept in 16 bits")
-        self.tokenizer = tokenizer
-        self.known: dict[str, bytes] = {}
-
-    def _plain(self, text: str) -> list[str] | None:
+        super().__init__()
+        self.tokenizer, self._merge = tokenizer, tokenizer.model.tokenize
+
+    def __missing__(self, word: str) -> bytes:
+        if not word.isascii():
+            spelled = word.encode().decode("latin-1").translate(_BYTES)
+        else:
+            spelled = word if word.isalnum() else word.translate(_BYTES)
+        ids = self[word] = array("H", [t.id for t in self._merge(spelled)]).tobytes()
+        return ids
+
+    def encode(self, text: str) -> bytes:
         if text.isascii():
-            return _ASCII_WORDS.findall(text.lower())
-        if _RARE.search(text) or "İ" in text:
-            return None
-        return _WORDS.findall(unicodedata.normalize("NFC", text).lower())
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        run = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        ids, owner = np.array(run.ids, dtype="<u2"), np.array(run.word_ids, dtype=np.int64)
-        if len(owner) and owner[-1] == len(words) - 1:
-            cuts = np.searchsorted(owner, np.arange(len(words) + 1))
-            return [ids[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-        return [np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype="<u2").tobytes() for w in words]
-
-    def learn(self, words: set[str]) -> None:
-        fresh = [w for w in words if w not in self.known]
-        if len(self.known) + len(fresh) > CACHE_WORDS:
-            self.known.clear()
-            fresh = list(words)
-        for k in range(0, len(fresh), 4096):
-            run = fresh[k : k + 4096]
-            self.known.update(zip(run, self._encode(run), strict=True))
-
-    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
-        split = [self._plain(t) for t in texts]
-        self.learn({w for words in split if words is not None for w in words})
-        for text, words in zip(texts, split, strict=True):
-            if words is None:
-                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
-            else:
-                yield b"".join(map(self.known.__getitem__, words))
+            words = _ASCII_WORDS.findall(text.lower())
+        elif _RARE.search(text):
+            return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        else:
+            words = _WORDS.findall(text.lower())
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        return b"".join(map(self.__getitem__, words))
+
+
+@lru_cache(maxsize=2)
+def _word_ids(data: bytes) -> WordIds:
+    """One for all tasks of a Python worker."""
+    return WordIds(_tokenizer(data))
 
 
 def crc_of(ids: np.ndarray) -> int:
@@ -106,29 +107,30 @@ def _mixed(values: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(32))) >> np.uint64(1)
 
 
+_MIXED_IDS = _mixed(np.arange(1 << 16))
+_END = END_ID.to_bytes(2, "little")
 TOKENS = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("crcs", pa.list_(pa.int64())), ("tail", pa.binary()), ("tail_tokens", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
 TOKENS_DDL = "rid long, doc_id long, n_tokens long, crcs array<long>, tail binary, tail_tokens long, k1 long, k2 long, terms array<int>, counts array<long>"
 
 
 def _tokens(batches: Iterator[pa.RecordBatch], file: Broadcast, window: int) -> Iterator[pa.RecordBatch]:
     """A row per document with its rest and the checksums of its whole windows, and one row of the partition's term counts."""
-    words = WordIds(_tokenizer(file.value))
+    words = _word_ids(file.value)
     rid = TaskContext.get().partitionId() << 36
     frequency = np.zeros(words.tokenizer.get_vocab_size() + 1, dtype=np.int64)
-    for batch in batches:
+    for batch in slices(batches):
         texts, ids_of = [t or "" for t in batch.column(1).to_pylist()], batch.column(0).to_pylist()
         for lo, hi in blocks(texts):
             rows = []
-            for doc_id, raw in zip(ids_of[lo:hi], words.encode_all(texts[lo:hi]), strict=True):
-                ids = np.append(np.frombuffer(raw, dtype="<u2"), np.uint16(END_ID))
+            for doc_id, text in zip(ids_of[lo:hi], texts[lo:hi], strict=True):
+                ids = np.frombuffer(words.encode(text) + _END, dtype="<u2")
                 whole = len(ids) // window
                 tail = ids[whole * window :]
-                terms = np.unique(tail)
-                frequency[terms] += 1
-                k1 = int(_mixed(terms).min()) if len(terms) else 0
+                frequency[tail] += 1  # once for each distinct token
+                k1 = int(_MIXED_IDS[tail].min()) if len(tail) else 0
                 k2 = int(_mixed(tail[:-1].astype(np.int64) << 16 | tail[1:]).min()) if len(tail) > 1 else 0
                 crcs = [crc_of(ids[k * window : (k + 1) * window]) for k in range(whole)]
-                rows.append((rid, doc_id, len(ids), crcs, tail.astype("<u2").tobytes(), len(tail), k1, k2, None, None))
+                rows.append((rid, doc_id, len(ids), crcs, tail.tobytes(), len(tail), k1, k2, None, None))
                 rid += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), TOKENS, strict=True)], schema=TOKENS)
     seen = np.flatnonzero(frequency)

@@ -13,6 +13,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from array import array
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -26,20 +28,29 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.workspace import slices
+
 #: Words kept between blocks, characters of text in a block, pre-tokens of a long text handled at once.
 CACHE_WORDS, BLOCK_CHARS, BLOCK_WORDS = 400_000, 1 << 20, 200_000
 _ASCII_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
+#: The same for text of Latin letters up to U+017F and general punctuation, where \p{L}, \p{N} and \s are these.
+_LATIN, _DIGIT, _BLANK = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
+_LATIN_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LATIN}]+| ?[{_DIGIT}]+| ?[^{_BLANK}{_LATIN}{_DIGIT}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
+_BEYOND = re.compile(r"[^\x00-ſ‐-‧€]")
 _SPLIT = regex.compile(public_tokenizers.PATTERN)
 
 
+def _pattern(text: str):
+    return _ASCII_SPLIT if text.isascii() else _SPLIT if _BEYOND.search(text) else _LATIN_SPLIT
+
+
 def pretokens(text: str) -> Iterator[str]:
-    """Matches of the public pattern; the plain-ASCII form of it is only a faster equal."""
-    pattern = _ASCII_SPLIT if text.isascii() else _SPLIT
-    return (m[0] for m in pattern.finditer(text))
+    """Matches of the public pattern; its forms for fewer characters are only faster equals."""
+    return (m[0] for m in _pattern(text).finditer(text))
 
 
 def pretoken_list(text: str) -> list[str]:
-    return _ASCII_SPLIT.findall(text) if text.isascii() else _SPLIT.findall(text)
+    return _pattern(text).findall(text)
 
 
 class Vocabulary:
@@ -48,23 +59,20 @@ class Vocabulary:
         self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
-        self.single = [ranks[bytes([b])] for b in range(256)]
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
+        self.byte_pairs = np.array([[ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)], dtype=np.int64)
         self._pairs: dict[int, int] = {}
 
-    def merged(self, left: int, right: int) -> int:
-        """Rank of the token that two neighbours make, -1 if none."""
-        key = left << 20 | right
-        found = self._pairs.get(key)
-        if found is None:
-            if len(self._pairs) > 1_000_000:
-                self._pairs.clear()
-            found = self._pairs[key] = self.ranks.get(self.tokens[left] + self.tokens[right], -1)
+    def _merged(self, key: int) -> int:
+        """Rank of the token that two neighbours (left << 20 | right) make, -1 if none."""
+        if len(self._pairs) > 1_000_000:
+            self._pairs.clear()
+        found = self._pairs[key] = self.ranks.get(self.tokens[key >> 20] + self.tokens[key & 0xFFFFF], -1)
         return found
 
     def replay(self, words: list[bytes]) -> list[list[int]]:
         """Token ids of every word."""
         out: list[list[int]] = [[]] * len(words)
-        starts, symbols, ends = [], [], []
         todo = []
         for k, word in enumerate(words):
             whole = self.ranks.get(word)
@@ -72,21 +80,21 @@ class Vocabulary:
                 out[k] = [whole]
             elif word:
                 todo.append(k)
-                starts.append(len(symbols))
-                symbols.extend(map(self.single.__getitem__, word))
-                ends.append(len(symbols))
-        n = len(symbols)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        for s, e in zip(starts, ends, strict=True):
-            after[e - 1], before[s] = -1, -1
-        word_end = np.repeat(np.array(ends, dtype=np.int64), np.diff([*starts, n]) if starts else 0).tolist()
-        index: dict[int, list[int]] = {}
-        merged = self.merged
-        for p in range(n):
-            q = after[p]
-            if q >= 0 and (r := merged(symbols[p], symbols[q])) >= 0:
-                index.setdefault(r, []).append(p)
-        queue = list(index)
+        if not todo:
+            return out
+        data = np.frombuffer(b"".join(words[k] for k in todo), dtype=np.uint8)
+        n, stop = len(data), np.cumsum([len(words[k]) for k in todo])
+        symbols, ends = self.single[data].tolist(), stop.tolist()
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[stop - 1] = -1
+        before[np.r_[0, stop[:-1]]] = -1
+        first = np.append(self.byte_pairs[data[:-1], data[1:]], -1)
+        first[stop - 1] = -1
+        order = np.argsort(first, kind="stable")
+        kinds, at = np.unique(first[order], return_index=True)
+        index = {r: own.tolist() for r, own in zip(kinds.tolist(), np.split(order, at[1:]), strict=True) if r >= 0}
+        after, before, standing = after.tolist(), before.tolist(), first.tolist()
+        queue, known = list(index), self._pairs.get
         heapify(queue)
         while queue:
             rank = heappop(queue)
@@ -94,39 +102,59 @@ class Vocabulary:
             if positions is None:
                 continue
             positions.sort()
-            later, skip_to = [], -1
+            later, skip_to, lower = [], -1, False
             for p in positions:
+                if standing[p] != rank:
+                    continue
                 if p < skip_to:
                     later.append(p)
                     continue
-                left = symbols[p]
                 q = after[p]
-                if left < 0 or q < 0 or merged(left, symbols[q]) != rank:
-                    continue
-                symbols[p], symbols[q] = rank, -1
+                symbols[p], symbols[q], standing[q] = rank, -1, -1
                 z = after[p] = after[q]
-                a = before[p]
                 if z >= 0:
                     before[z] = p
-                    if (r := merged(rank, symbols[z])) >= 0:
-                        if r not in index:
-                            index[r] = []
+                    key = rank << 20 | symbols[z]
+                    r = known(key)
+                    if r is None:
+                        r = self._merged(key)
+                    standing[p] = r
+                    if r >= 0:
+                        own = index.get(r)
+                        if own is None:
+                            index[r] = [p]
                             heappush(queue, r)
-                        index[r].append(p)
-                        if r < rank:
-                            skip_to = word_end[p]
-                if a >= 0 and (r := merged(symbols[a], rank)) >= 0:
-                    if r not in index:
-                        index[r] = []
-                        heappush(queue, r)
-                    index[r].append(a)
-                    if r < rank:
-                        skip_to = word_end[p]
-            if later:  # an earlier merge became possible in their word
-                index.setdefault(rank, []).extend(later)
-                heappush(queue, rank)
-        for k, s, e in zip(todo, starts, ends, strict=True):
-            out[k] = [x for x in symbols[s:e] if x >= 0]
+                        else:
+                            own.append(p)
+                        lower = r < rank
+                else:
+                    standing[p] = -1
+                a = before[p]
+                if a >= 0:
+                    key = symbols[a] << 20 | rank
+                    r = known(key)
+                    if r is None:
+                        r = self._merged(key)
+                    standing[a] = r
+                    if r >= 0:
+                        own = index.get(r)
+                        if own is None:
+                            index[r] = [a]
+                            heappush(queue, r)
+                        else:
+                            own.append(a)
+                        lower = lower or r < rank
+                if lower:  # an earlier merge became possible: it goes first in this word
+                    skip_to, lower = ends[bisect_right(ends, p)], False
+            if later:
+                own = index.setdefault(rank, [])
+                if not own:
+                    heappush(queue, rank)
+                own.extend(later)
+        start = 0
+        for k, end in zip(todo, ends, strict=True):
+            out[k] = [x for x in symbols[start:end] if x >= 0]
+            start = end
         return out
 
 
@@ -152,7 +180,7 @@ class Encoder:
             self.known.clear()
             fresh = list(set(words))
         for word, ids in zip(fresh, self.vocabulary.replay([w.encode() for w in fresh]), strict=True):
-            self.known[word] = np.array(ids, dtype="<u4").tobytes()
+            self.known[word] = array("I", ids).tobytes()
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         split = [pretoken_list(t) for t in texts]
@@ -169,6 +197,12 @@ class Encoder:
         return b"".join(map(self.vocabulary.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
+@lru_cache(maxsize=2)
+def encoder_of(data: bytes) -> Encoder:
+    """One for all tasks of a Python worker."""
+    return Encoder(_vocabulary(data))
+
+
 def blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about BLOCK_CHARS each; a longer text has a range of its own."""
     first, held = 0, 0
@@ -195,8 +229,8 @@ def _digests(encoder: Encoder, text_block: list[str]) -> Iterator[tuple[int, str
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], file: Broadcast) -> Iterator[pa.RecordBatch]:
-    encoder = Encoder(_vocabulary(file.value))
-    for batch in batches:
+    encoder = encoder_of(file.value)
+    for batch in slices(batches, 2048):
         texts = [t or "" for t in batch.column(1).to_pylist()]
         rows = [x for lo, hi in blocks(texts) for x in _digests(encoder, texts[lo:hi])]
         n, ids, out = zip(*rows, strict=True) if rows else ((), (), ())

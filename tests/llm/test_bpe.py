@@ -36,6 +36,12 @@ def test_replay_matches_the_library(library):
         assert encoder.decode(ids) == text.encode()
 
 
+def test_faster_patterns_split_alike():
+    rng = random.Random(6)
+    for text in random_texts(300, 9) + ["".join(chr(rng.randrange(1, 0x180)) for _ in range(50)) for _ in range(400)]:
+        assert bpe.pretoken_list(text) == bpe._SPLIT.findall(text) == list(bpe.pretokens(text))
+
+
 def test_a_lower_rank_that_appears_later_goes_first():
     """'aab' + 'b' only exists after a higher-ranked merge; the leftmost lowest pair must still win."""
     ranks = {bytes([b]): b for b in range(256)} | {b"ab": 300, b"abc": 260, b"ca": 299, b"cab": 258}

@@ -195,7 +195,8 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, width: int = SHIN
     names = known.groupBy("root").agg(F.min("first_id").alias("linked_id"))
     named = known.join(names, "root").select("fp", "linked_id")
     classes = prints.join(named, "fp", "left").select("fp", F.coalesce("linked_id", "first_id").alias("component_id"))
-    return rows.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # Written, so that both sides of the last join are bare scans, whose crowded fingerprints Spark can split.
+    return rows.join(materialise(classes, "classes"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def representatives(docs: DataFrame, distance: int = DISTANCE, width: int = SHINGLE) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quire.llm import bpe, chat, dedup, edits, langid, licences, packing, quality, simhash, warc
 
@@ -56,7 +57,8 @@ def op8_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licences.scan(_table(spark, sf_dir, "documents"))
+    found = licences.scan(_table(spark, sf_dir, "documents"))
+    return found.withColumn("notices", F.array_join("notices", ","))
 
 
 def op10_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,9 +147,9 @@ def _licence_sql() -> str:
 WITH whole AS (SELECT DISTINCT licence, sha256({canonical("t")}) AS d FROM (VALUES {rows(licences.TEXTS)}) AS v(licence, t)),
 notice AS (SELECT DISTINCT licence AS own, {canonical("t")} AS c FROM (VALUES {rows(licences.NOTICES)}) AS v(licence, t)),
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
-found AS (SELECT doc_id, list(DISTINCT own ORDER BY own) AS notices FROM (SELECT doc_id, {canonical("line")} AS c FROM lines) JOIN notice USING (c) GROUP BY doc_id),
+found AS (SELECT doc_id, string_agg(DISTINCT own, ',' ORDER BY own) AS notices FROM (SELECT doc_id, {canonical("line")} AS c FROM lines) JOIN notice USING (c) GROUP BY doc_id),
 texts AS (SELECT doc_id, sha256({canonical("text")}) AS text_digest FROM documents)
-SELECT doc_id, text_digest, licence, coalesce(notices, []) AS notices FROM texts LEFT JOIN whole ON text_digest = d LEFT JOIN found USING (doc_id)
+SELECT doc_id, text_digest, licence, coalesce(notices, '') AS notices FROM texts LEFT JOIN whole ON text_digest = d LEFT JOIN found USING (doc_id)
 """
 
 

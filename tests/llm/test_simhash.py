@@ -78,6 +78,8 @@ def test_forest_spans_without_all_pairs():
     base = np.uint64(123456789)
     values = np.unique(base ^ (np.uint64(1) << rng.integers(0, 6, 400).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 6, 400).astype(np.uint64)))
     left, _ = simhash.forest(values, np.empty(0, np.uint64))
+    wide = np.stack([values, values], axis=1)
+    assert len(simhash.forest(wide, wide[:3], 6)[0]) == len(values) + 2
     assert len(left) == len(values) - 1
 
 
@@ -85,3 +87,46 @@ def test_components_of_a_chain_and_a_hub(spark):
     links = [(k, k + 1) for k in range(300)] + [(1000, k) for k in range(1001, 1300)] + [(5000, 5000)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "u long, v long").repartition(6)).collect()}
     assert got == {k: 0 for k in range(1, 301)} | {k: 1000 for k in range(1001, 1300)}
+
+
+def wide_rows(values):
+    return [(k, *np.array(v, dtype=np.uint64).view(np.int64).tolist()) for k, v in enumerate(values)]
+
+
+@pytest.mark.parametrize("split", [simhash.WIDE_SPLIT, 20])
+def test_wide_links_connect_classes(spark, split):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, (25, 4), dtype=np.uint64)
+    values, owner = [], []
+    for k, b in enumerate(base):
+        for _ in range(12):
+            v = b.copy()
+            for bit in rng.choice(256, rng.integers(0, 20), replace=False):
+                v[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+            values.append(v)
+            owner.append(k)
+    links = simhash.wide_links(spark.createDataFrame(wide_rows(values), "id long, f0 long, f1 long, f2 long, f3 long").repartition(3), split=split)
+    pairs = [tuple(r) for r in links.collect()]
+    assert all((np.bitwise_count(values[u] ^ values[v]).sum() <= simhash.WIDE_DISTANCE) and owner[u] == owner[v] for u, v in pairs)
+    roots = {r.node: r.root for r in components(spark.createDataFrame(pairs, "u long, v long")).collect()}
+    named = [roots.get(k, k) for k in range(len(values))]
+    assert len(set(named)) <= (25 if split > 100 else 40) and len({(a, b) for a, b in zip(named, owner)}) == len(set(named))
+
+
+def test_representatives_follow_jaccard(spark):
+    texts = near_texts(300, 7) + ["", None, "  ", "solo words", "solo words", "x" * 3000]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(texts)], SCHEMA)
+    kept = {r.doc_id for r in simhash.representatives(docs).collect()}
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+    sets = [shingles(t) for t in texts]
+    similar = [(a, b, len(sets[a] & sets[b]) / len(sets[a] | sets[b])) for a in range(len(texts)) for b in range(a) if sets[a] & sets[b]]
+    caught = [a not in kept or b not in kept for a, b, j in similar if j >= 0.8]
+    assert len(caught) > 100 and sum(caught) >= 0.97 * len(caught)
+    lonely = set(range(len(texts))) - {k for a, b, j in similar if j >= 0.8 for k in (a, b)}
+    assert lonely <= kept
+    assert simhash.representatives(empty_docs(spark)).collect() == []
+    assert simhash.representatives(edge_docs(spark)).columns == edge_docs(spark).columns

@@ -18,7 +18,7 @@ from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import public_tokenizers
@@ -175,16 +175,17 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def learn(self, words: Iterable[str]) -> None:
-        fresh = [w for w in set(words) if w not in self.known]
+        distinct = set(words)
+        fresh = [w for w in distinct if w not in self.known]
         if len(self.known) + len(fresh) > CACHE_WORDS:
             self.known.clear()
-            fresh = list(set(words))
+            fresh = list(distinct)
         for word, ids in zip(fresh, self.vocabulary.replay([w.encode() for w in fresh]), strict=True):
             self.known[word] = array("I", ids).tobytes()
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         split = [pretoken_list(t) for t in texts]
-        self.learn([w for words in split for w in words])
+        self.learn(chain.from_iterable(split))
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
     def encode_long(self, text: str) -> Iterator[bytes]:

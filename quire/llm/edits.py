@@ -11,23 +11,27 @@ counted one by one; an empty table gives an empty result; other input columns ar
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
-import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.bpe import BLOCK_CHARS, Encoder, _vocabulary, pretoken_list, vocabulary_file
+from quire.llm.bpe import BLOCK_CHARS, CACHE_WORDS, Encoder, encoder_of, pretoken_list, vocabulary_file
 from quire.llm.bpe import blocks as text_blocks
+from quire.llm.workspace import slices
 
-LEAF = 64
+LEAF = 16
 #: A match of the pre-token pattern depends on at most so many characters after its end.
 LOOKAHEAD = 2
 
-#: The edits of the query, in this order of precedence: addresses are masked, runs of a mark or letter are cut to one.
-MASKS: tuple[tuple[str, str], ...] = ((r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+", "[EMAIL]"), (r"\d[\d -]{6,}\d", "[NUMBER]"), (r"([!?*#$%&])\1+", r"\1"))
+#: The edits of the query, in this order of precedence: addresses and numbers are masked, runs of a mark are cut to one.
+#: A pattern, its replacement, and a text that any match holds.
+MASKS: tuple[tuple[str, str, str], ...] = ((r"(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)+", "[EMAIL]", "@"), (r"\d[\d -]{6,}\d", "[NUMBER]", ""), (r"([!?*#$%&])\1+", r"\1", ""))
 
 
 class CountTree:
@@ -57,13 +61,19 @@ class CountTree:
     def n_chars(self) -> int:
         return self.chars[1]
 
-    def _set(self, leaf: int, pieces: list[str]) -> None:
-        self.leaves[leaf] = pieces
+    def _add(self, leaf: int, chars: int, tokens: int) -> None:
         at = self.width + leaf
-        self.chars[at], self.tokens[at] = sum(map(len, pieces)), sum(map(self.count, pieces))
-        while at := at // 2:
-            self.chars[at] = self.chars[2 * at] + self.chars[2 * at + 1]
-            self.tokens[at] = self.tokens[2 * at] + self.tokens[2 * at + 1]
+        while at:
+            self.chars[at] += chars
+            self.tokens[at] += tokens
+            at //= 2
+
+    def _replace(self, leaf: int, lo: int, hi: int, pieces: list[str]) -> None:
+        """Put pieces in place of a leaf's pieces lo to hi, and the difference into the sums above."""
+        own = self.leaves[leaf]
+        old = own[lo:hi]
+        own[lo:hi] = pieces
+        self._add(leaf, sum(map(len, pieces)) - sum(map(len, old)), sum(map(self.count, pieces)) - sum(map(self.count, old)))
 
     def _find(self, position: int) -> tuple[int, int, int]:
         """Leaf, piece and offset of the piece that holds a character; the end of the text is the end of the last leaf."""
@@ -88,10 +98,12 @@ class CountTree:
         if not 0 <= start <= end <= self.n_chars:
             raise ValueError(f"edit {start}:{end} of {self.n_chars} characters")
         leaf, k, origin = self._find(max(0, start - LOOKAHEAD))
+        if self._edit_in_leaf(leaf, k, origin, start, end, text):
+            return
         # What stands from origin on, read piece by piece: (text, leaf, index after it).
         taken, old_ends, upto = [], [], origin
         at = (leaf, k)
-        wanted = 4
+        wanted = 2
         while True:
             grown = 0
             while at is not None and (upto < end or grown < wanted):
@@ -102,23 +114,24 @@ class CountTree:
                 taken.append(piece)
                 upto += len(piece)
                 if upto >= end:
-                    old_ends.append((upto, at, len(taken)))
+                    old_ends.append((upto, at))
                     grown += 1
             old = "".join(taken)
             new = old[: start - origin] + text + old[end - origin :]
             complete = at is None or upto == self.n_chars
             shift = len(text) - (end - start)
-            ends = {p + shift - origin: (place, used) for p, place, used in old_ends if p >= end}
+            ends = {p + shift - origin: place for p, place in old_ends}
             pieces, place, offset = [], None, 0
             if not new:
                 place = at
+            safe = len(new) if complete else len(new) - LOOKAHEAD
             for piece in pretoken_list(new):
                 offset += len(piece)
                 pieces.append(piece)
-                if not complete and offset + LOOKAHEAD > len(new):
+                if offset > safe:
                     break
-                if offset >= start - origin + len(text) and offset in ends:
-                    place = ends[offset][0]
+                if offset in ends:
+                    place = ends[offset]
                     break
             if place is not None or complete:
                 break
@@ -126,6 +139,32 @@ class CountTree:
         self.reencoded += sum(map(len, pieces))
         self._splice((leaf, k), place, pieces)
 
+    def _edit_in_leaf(self, leaf: int, k: int, origin: int, start: int, end: int, text: str) -> bool:
+        """Do the edit if it and the next boundary lie within one leaf and the two pieces after it."""
+        own, upto, j = self.leaves[leaf], origin, k
+        while upto < end and j < len(own):
+            upto += len(own[j])
+            j += 1
+        if upto < end or j + 2 > len(own):
+            return False
+        old = "".join(own[k : j + 2])
+        new = old[: start - origin] + text + old[end - origin :]
+        shared = upto - origin + len(text) - (end - start)
+        after, safe = shared + len(own[j]), len(new) - LOOKAHEAD
+        offset = 0
+        pieces = pretoken_list(new)
+        for n, piece in enumerate(pieces, 1):
+            offset += len(piece)
+            if offset > safe:
+                return False
+            if offset == shared or offset == after:
+                self.reencoded += offset
+                self._replace(leaf, k, j if offset == shared else j + 1, pieces[:n])
+                if len(own) > 8 * LEAF:
+                    self._build([p for x in self.leaves for p in x])
+                return True
+        return False
+
     def _next(self, at: tuple[int, int]) -> tuple[str | None, tuple[int, int]]:
         leaf, k = at
         while leaf < len(self.leaves):
@@ -137,28 +176,28 @@ class CountTree:
     def _splice(self, first: tuple[int, int], after: tuple[int, int] | None, pieces: list[str]) -> None:
         leaf, k = first
         last, rest = (len(self.leaves) - 1, len(self.leaves[-1])) if after is None else after
-        run = self.leaves[leaf][:k] + pieces + self.leaves[last][rest:]
-        if len(run) > 8 * LEAF:
-            self._build([p for own in self.leaves[:leaf] for p in own] + run + [p for own in self.leaves[last + 1 :] for p in own])
-            return
-        for other in range(leaf + 1, last + 1):
-            if self.leaves[other]:
-                self._set(other, [])
-        self._set(leaf, run)
+        if last == leaf:
+            self._replace(leaf, k, rest, pieces)
+        else:
+            self._replace(leaf, k, len(self.leaves[leaf]), pieces)
+            for other in range(leaf + 1, last):
+                self._replace(other, 0, len(self.leaves[other]), [])
+            self._replace(last, 0, rest, [])
+        if len(self.leaves[leaf]) > 8 * LEAF:
+            self._build([p for own in self.leaves for p in own])
 
     def text(self) -> str:
         return "".join(p for leaf in self.leaves for p in leaf)
 
 
-def mask_edits(text: str, masks: Iterable[tuple[str, str]] = MASKS) -> list[tuple[int, int, str]]:
+def mask_edits(text: str, masks: Iterable[tuple[str, str, str]] = MASKS) -> list[tuple[int, int, str]]:
     """Edits from the right to the left, so that each holds for the text that the ones before have left."""
-    masks = list(masks)
     found = []
-    if not masks:
-        return found
-    for rank, (pattern, new) in enumerate(masks):
-        for m in regex.finditer(pattern, text):
-            found.append((m.start(), rank, m.end(), m.expand(new)))
+    for rank, (pattern, new, needs) in enumerate(masks):
+        if needs not in text:
+            continue
+        for m in re.finditer(pattern, text):
+            found.append((m.start(), rank, m.end(), m.expand(new) if "\\" in new else new))
     edits, at = [], 0
     for start, _, end, new in sorted(found):
         if start >= at and end > start:
@@ -167,25 +206,41 @@ def mask_edits(text: str, masks: Iterable[tuple[str, str]] = MASKS) -> list[tupl
     return edits[::-1]
 
 
-def _counted(batches: Iterator[pa.RecordBatch], file: Broadcast, masks: tuple) -> Iterator[pa.RecordBatch]:
-    encoder = Encoder(_vocabulary(file.value))
-    known = encoder.known
+class Counts(dict):
+    """Tokens of pre-tokens, filled as they are asked for."""
 
-    def count(piece: str) -> int:
-        ids = known.get(piece)
+    def __init__(self, encoder: Encoder) -> None:
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, piece: str) -> int:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        ids = self.encoder.known.get(piece)
         if ids is None:
-            encoder.learn([piece])
-            ids = known[piece]
-        return len(ids) // 4
+            self.encoder.learn([piece])
+            ids = self.encoder.known[piece]
+        n = self[piece] = len(ids) // 4
+        return n
+
+
+@lru_cache(maxsize=2)
+def _counts_of(data: bytes) -> Counts:
+    """One for all tasks of a Python worker."""
+    return Counts(encoder_of(data))
 
+
+def _counted(batches: Iterator[pa.RecordBatch], file: Broadcast, masks: tuple) -> Iterator[pa.RecordBatch]:
+    counts = _counts_of(file.value)
+    encoder, count = counts.encoder, counts.__getitem__
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens_before", pa.int64()), ("n_edits", pa.int64()), ("n_tokens", pa.int64()), ("n_chars", pa.int64()), ("reencoded_chars", pa.int64()), ("text_sha256", pa.string())])
-    for batch in batches:
+    for batch in slices(batches, 2048):
         texts = [t or "" for t in batch.column(1).to_pylist()]
         rows = []
         for lo, hi in text_blocks(texts):
             split = [pretoken_list(t) for t in texts[lo:hi]]
             if hi - lo > 1 or len(texts[lo]) <= BLOCK_CHARS:
-                encoder.learn([p for own in split for p in own])
+                encoder.learn(chain.from_iterable(split))
             for text, pieces in zip(texts[lo:hi], split, strict=True):
                 tree = CountTree(pieces, count)
                 before, edits = tree.n_tokens, mask_edits(text, masks)
@@ -196,7 +251,7 @@ def _counted(batches: Iterator[pa.RecordBatch], file: Broadcast, masks: tuple) -
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:], strict=True))], schema=schema)
 
 
-def edited_counts(docs: DataFrame, path: str, masks: Iterable[tuple[str, str]] = MASKS) -> DataFrame:
+def edited_counts(docs: DataFrame, path: str, masks: Iterable[tuple[str, str, str]] = MASKS) -> DataFrame:
     """Token counts of every document before and after its edits, with the characters that were encoded again."""
     file, masks = docs.sparkSession.sparkContext.broadcast(vocabulary_file(path)), tuple(masks)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -113,7 +113,7 @@ def run(spark: SparkSession, arguments: list[str]) -> list[str]:
         papers = library.extractions.read("extractions", flows.EXTRACTIONS)
         if papers.isEmpty():
             return ["no extractions: run extract first"]
-        short = sources.read_abbreviations(spark, options.abbreviations) if options.abbreviations else flows.empty_abbreviations(spark)
+        short = sources.read_abbreviations(spark, options.abbreviations) if options.abbreviations else flows.abbreviation_table(spark, library.settings)
         version = flows.update_graph(papers, library.chunks(), short, library.graph, options.reset)
         whole = graphs.Graph(**{n: library.graph.read(n, s) for n, s in flows.GRAPH_SCHEMAS.items()})
         counts = [*graphs.node_counts(graphs.node_keys(whole)).collect(), *graphs.edge_counts(whole.edges).collect()]

@@ -12,7 +12,7 @@ from quire.functions.chunking import chunk_files
 from quire.functions.text import strip
 from quire.operators import graph as graphs
 from quire.operators import search, select, traverse
-from quire.schemas import ABBREVIATIONS, CHUNKS, ENTITY_TYPES, EXTRACTION, EXTRACTIONS, MANIFEST, RELATION_ENDS, VECTORS
+from quire.schemas import CHUNKS, ENTITY_TYPES, EXTRACTION, EXTRACTIONS, MANIFEST, RELATION_ENDS, VECTORS
 from quire.settings import Settings
 from quire.sources import files as sources
 from quire.sources.snapshots import SnapshotStore, assert_unique
@@ -170,5 +170,7 @@ def flat_answers(questions: DataFrame, vectors: DataFrame, chunks: DataFrame, em
     return rows.select("query_id", models.generate(asked, generator, failure).alias("answer"))
 
 
-def empty_abbreviations(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], ABBREVIATIONS)
+def abbreviation_table(spark: SparkSession, settings: Settings | None = None) -> DataFrame:
+    """The short names of the settings."""
+    rows = [(k, *x) for k, x in enumerate((settings or Settings()).get("abbreviations", {}).items())]
+    return sources.abbreviations(spark.createDataFrame(rows, "place int, short string, full_name string"))

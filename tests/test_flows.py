@@ -69,9 +69,9 @@ def test_extraction_graph_retrieval_and_answer(spark, library, tmp_path):
     assert extractions.count() == 4
     chunks = index.read("chunks", flows.CHUNKS)
     for _ in range(2):
-        flows.update_graph(extractions, chunks, flows.empty_abbreviations(spark), graph)
+        flows.update_graph(extractions, chunks, flows.abbreviation_table(spark), graph)
     entities = graph.read("entities", flows.GRAPH_SCHEMAS["entities"])
-    assert {(r.type, r.name) for r in entities.collect()} == {("Method", "cnn"), ("Method", "LSTM"), ("Method", "Q"), ("Dataset", "RML"), ("Task", "AMR"), ("Metric", "Accuracy")}
+    assert {(r.type, r.name) for r in entities.collect()} == {("Method", "Convolutional Neural Network"), ("Method", "Long Short-Term Memory"), ("Method", "Q"), ("Dataset", "RML"), ("Task", "Automatic Modulation Recognition"), ("Metric", "Accuracy")}
     edges = graph.read("edges", flows.GRAPH_SCHEMAS["edges"])
     questions = spark.createDataFrame([("q1", "LSTM Three"), ("q2", "CNN One")], "query_id string, question string")
     queries = questions.select("query_id", models.embed(questions["question"], models.HashEmbedder, True).alias("embedding"))

@@ -2,7 +2,6 @@ import numpy as np
 import pytest
 
 from quire.functions import models
-from quire.functions.vectors import nearest
 from quire.operators import search
 from quire.plans import flows
 from quire.sources.files import scan_markdown
@@ -140,4 +139,3 @@ def test_stream_indexes_what_arrives(spark, library, tmp_path):
         query.awaitTermination(60)
         assert query.exception() is None
     assert store.versions() == [1, 2] and store.read("manifest", flows.MANIFEST).count() == 4
-    assert nearest is not None

@@ -108,8 +108,11 @@ def forest(stored: np.ndarray, asking: np.ndarray, distance: int = DISTANCE) ->
 SMALL = 256
 
 
-def _bucket_links(keys: np.ndarray, asks: np.ndarray, fps: np.ndarray, distance: int, most: int = SMALL) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the verified links of whole buckets; rows are ordered by key, then stored before asking."""
+def _bucket_links(keys: np.ndarray, asks: np.ndarray, fps: np.ndarray, distance: int, most: int = SMALL, within: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the verified links of whole buckets; rows are ordered by key, then stored before asking.
+
+    Without ``within``, links among stored rows are known already and left out.
+    """
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     ends = np.r_[starts[1:], len(keys)]
     stored = np.add.reduceat((~asks).astype(np.int64), starts)
@@ -123,7 +126,7 @@ def _bucket_links(keys: np.ndarray, asks: np.ndarray, fps: np.ndarray, distance:
         base = np.repeat(np.arange(len(s)), pairs)
         at = np.arange(pairs.sum()) - np.repeat(np.cumsum(pairs) - pairs, pairs)
         i, j = at // n[base], at % n[base]
-        later = j > i
+        later = j > i if within else j >= m[base]
         base, i, j = base[later], i[later], j[later]
         a, b = s[base] + i, s[base] + j
         near = apart(fps[a], fps[b]) <= distance
@@ -131,6 +134,8 @@ def _bucket_links(keys: np.ndarray, asks: np.ndarray, fps: np.ndarray, distance:
         right.append(b[near])
     for lo, hi, m in zip(starts[~small].tolist(), ends[~small].tolist(), stored[~small].tolist(), strict=True):
         a, b = forest(fps[lo : lo + m], fps[lo + m : hi], distance)
+        if not within:
+            a, b = a[b >= m], b[b >= m]
         left.append(lo + a)
         right.append(lo + b)
     if not left:
@@ -285,16 +290,21 @@ def _wide_links(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa
     """Links of the buckets of a partition ordered by (key, block): each enumerates its balls on the other half."""
 
     def out(key, rest, ids, fps) -> pa.RecordBatch:
-        base = np.unique(key, return_inverse=True)[1].astype(np.int64) << _HALF
+        own = (np.unique(key, return_inverse=True)[1].astype(np.int64) << _HALF) + rest
+        order = np.argsort(own, kind="stable")
+        own = own[order]
+        pairs, askers = _within(own, fps, order, distance)
         flips = 1 << np.arange(_HALF)
-        asks_row, asks_bit = np.nonzero((rest[:, None] & flips[None, :]) == 0)
-        place = np.concatenate([np.arange(len(key)), asks_row])
-        value = np.concatenate([base + rest, base[asks_row] + (rest[asks_row] | flips[asks_bit])])
-        asks = np.r_[np.zeros(len(key), dtype=bool), np.ones(len(asks_row), dtype=bool)]
-        order = np.lexsort((asks, value))
-        place, value, asks = place[order], value[order], asks[order]
-        a, b = _bucket_links(value, asks, _Rows(fps, place), distance, WIDE_SMALL)
-        return pa.RecordBatch.from_arrays([pa.array(ids[place[a]]), pa.array(ids[place[b]])], names=["u", "v"])
+        who, bit = np.nonzero((own[askers][:, None] & flips[None, :]) == 0)
+        who = askers[who]
+        place = np.concatenate([order, order[who]])
+        value = np.concatenate([own, own[who] | flips[bit]])
+        asks = np.r_[np.zeros(len(own), dtype=bool), np.ones(len(who), dtype=bool)]
+        again = np.lexsort((asks, value))
+        place, value, asks = place[again], value[again], asks[again]
+        a, b = _bucket_links(value, asks, _Rows(fps, place), distance, WIDE_SMALL, within=False)
+        u, v = np.concatenate([ids[pairs[0]], ids[place[a]]]), np.concatenate([ids[pairs[1]], ids[place[b]]])
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     held: list[tuple] = []
     for batch in batches:
@@ -317,6 +327,30 @@ def _wide_links(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa
             yield out(*whole)
 
 
+def _within(own: np.ndarray, fps: np.ndarray, order: np.ndarray, distance: int) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """Near pairs among rows of equal value (own is sorted; order gives their places), and the rows that ask other values.
+
+    Small groups give all near pairs and all their rows ask. Larger ones give a spanning forest, and one row of each tree asks.
+    """
+    starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+    ends = np.r_[starts[1:], len(own)]
+    large = (ends - starts) ** 2 > WIDE_SMALL
+    left, right, asking = [], [], np.ones(len(own), dtype=bool)
+    for lo, hi in zip(starts[large].tolist(), ends[large].tolist(), strict=True):
+        a, b = forest(fps[order[lo:hi]], fps[:0], distance)
+        left.append(order[lo + b])
+        right.append(order[lo + a])
+        asking[lo + a] = False  # every row that a walk has reached; the rows that began one remain
+    for gap in range(1, int(WIDE_SMALL**0.5)):
+        at = np.flatnonzero(own[gap:] == own[:-gap])
+        at = at[~np.repeat(large, ends - starts)[at]]
+        near = apart(fps[order[at]], fps[order[at + gap]]) <= distance
+        left.append(order[at[near]])
+        right.append(order[at[near] + gap])
+    none = np.empty(0, np.int64)
+    return (np.concatenate([none, *left]), np.concatenate([none, *right])), np.flatnonzero(asking)
+
+
 class _Rows:
     """Fingerprints seen through places, without a copy for every ask."""
 
@@ -402,6 +436,7 @@ def representatives(docs: DataFrame, distance: int = WIDE_DISTANCE) -> DataFrame
     firsts = materialise(found.groupBy(*words).agg(F.min("row").alias("id")), "near-prints")
     # Greatest and least, so that a pair found both ways is one row.
     pairs = wide_links(firsts, distance).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    roots = components(similar_pairs(materialise(pairs, "near-pairs"), texts))
+    # Written before the links are contracted, so that a task has one Python process at a time.
+    roots = components(materialise(similar_pairs(materialise(pairs, "near-pairs"), texts), "near-links"))
     kept = firsts.select(F.col("id").alias(row)).join(roots.select(F.col("node").alias(row)), row, "left_anti")
     return rows.join(kept, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

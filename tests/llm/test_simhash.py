@@ -130,3 +130,19 @@ def test_representatives_follow_jaccard(spark):
     assert lonely <= kept
     assert simhash.representatives(empty_docs(spark)).collect() == []
     assert simhash.representatives(edge_docs(spark)).columns == edge_docs(spark).columns
+
+
+def test_a_dense_class_gives_few_candidates_and_stays_one_class(spark):
+    """A thousand variants of one fingerprint: candidates grow with the rows, not with their square."""
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 63, 4, dtype=np.uint64)
+    values = []
+    for _ in range(1000):
+        v = base.copy()
+        for bit in rng.choice(256, rng.integers(0, 12), replace=False):
+            v[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+        values.append(v)
+    links = [tuple(r) for r in simhash.wide_links(spark.createDataFrame(wide_rows(values), "id long, f0 long, f1 long, f2 long, f3 long").distinct()).collect()]
+    roots = {r.node: r.root for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
+    assert len(links) < 100 * len(values)
+    assert set(roots.values()) == {0} and len(roots) == len(values) - 1

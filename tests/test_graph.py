@@ -115,6 +115,20 @@ def test_expansion_matches_path_enumeration(spark):
     assert expand(spark, edges, names, seeds, 2) == [(n, h, -m) for h, m, n in want]
 
 
+def greedy(rows: list[tuple], quota: int, cap: int) -> list[tuple]:
+    """rows (rank, chunk_id, ...) in order: a chunk once, at most quota for each rank, at most cap in all."""
+    taken, used, out = set(), {}, []
+    for row in rows:
+        if len(out) >= cap:
+            break
+        if row[1] in taken or used.get(row[0], 0) >= quota:
+            continue
+        taken.add(row[1])
+        used[row[0]] = used.get(row[0], 0) + 1
+        out.append(row)
+    return out
+
+
 def test_quota_selection(spark):
     given = [(0, "a::1"), (0, "a::2"), (0, "a::3"), (1, "a::2"), (1, "a::3"), (1, "b::0"), (2, "a::1"), (2, "c::0"), (2, "c::1")]
     df = spark.createDataFrame([("q", *r) for r in given], "query_id string, rank int, chunk_id string")
@@ -130,7 +144,7 @@ def test_quota_selection_matches_the_unpruned_walk(spark):
         got = defaultdict(list)
         for r in select.quota_select(df, quota, cap).orderBy("query_id", "position").collect():
             got[r.query_id].append((r["rank"], r.chunk_id))
-        assert dict(got) == {q: w for q, rows in cases.items() if (w := select.greedy(rows, quota, cap))}
+        assert dict(got) == {q: w for q, rows in cases.items() if (w := greedy(rows, quota, cap))}
 
 
 def test_merge_rank_and_filter(spark):

@@ -78,6 +78,19 @@ def forest(stored: np.ndarray, asking: np.ndarray, distance: int = DISTANCE) ->
     The walk takes each stored value once and compares it with those not yet reached, so a dense bucket costs about
     its size, and returns fewer links than it has values for each asking one's components.
     """
+    one, two, label = _walk(stored, distance)
+    left, right = [one], [two]
+    for j, x in enumerate(asking, len(stored)):
+        at = np.flatnonzero(apart(stored, x) <= distance)
+        if len(at):
+            _, one = np.unique(label[at], return_index=True)
+            left.append(at[one])
+            right.append(np.full(len(one), j))
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _walk(stored: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of links that connect whatever lies within ``distance`` among stored, and the number of each row's tree."""
     rest, left, right, label, step = np.arange(len(stored)), [], [], np.empty(len(stored), dtype=np.int64), 0
     while len(rest):
         todo, rest = [rest[0]], rest[1:]
@@ -93,25 +106,43 @@ def forest(stored: np.ndarray, asking: np.ndarray, distance: int = DISTANCE) ->
                 left.append(found)
                 right.append(np.full(len(found), k))
         step += 1
-    for j, x in enumerate(asking, len(stored)):
-        at = np.flatnonzero(apart(stored, x) <= distance)
-        if len(at):
-            _, one = np.unique(label[at], return_index=True)
-            left.append(at[one])
-            right.append(np.full(len(one), j))
-    if not left:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+    none = np.empty(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right]), label
+
+
+def _meet(stored: np.ndarray, trees: np.ndarray, asking: np.ndarray, asking_trees: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of links between stored and asking, one for any two trees of theirs that have a pair within ``distance``.
+
+    Every pair of rows is compared until its trees have met: first one asking row with all stored, then growing blocks.
+    """
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    order = np.argsort(asking_trees, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(asking_trees[order])) + 1):
+        apart_yet, k, size = np.arange(len(stored)), 0, 1
+        while k < len(rows) and len(apart_yet):
+            own = rows[k : k + size]
+            near = np.bitwise_count(asking[own][:, None] ^ stored[apart_yet][None]).sum(axis=-1, dtype=np.int64) <= distance
+            i, j = near.nonzero()
+            if len(i):
+                met, one = np.unique(trees[apart_yet[j]], return_index=True)
+                left.append(apart_yet[j[one]])
+                right.append(own[i[one]])
+                apart_yet = apart_yet[~np.isin(trees[apart_yet], met)]
+            k += size
+            size = min(2 * size, max(1, MEET // max(1, len(apart_yet))))
     return np.concatenate(left), np.concatenate(right)
 
 
 #: Buckets up to this many comparisons are verified together, larger ones by a walk each.
 SMALL = 256
+#: Comparisons of two trees that are made at a time.
+MEET = 1 << 16
 
 
-def _bucket_links(keys: np.ndarray, asks: np.ndarray, fps: np.ndarray, distance: int, most: int = SMALL, within: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def _bucket_links(keys: np.ndarray, asks: np.ndarray, fps: np.ndarray, distance: int, most: int = SMALL, trees: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Places of the verified links of whole buckets; rows are ordered by key, then stored before asking.
 
-    Without ``within``, links among stored rows are known already and left out.
+    With ``trees``, links among stored rows are known already and left out, and rows of one tree are known to be linked.
     """
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     ends = np.r_[starts[1:], len(keys)]
@@ -126,16 +157,18 @@ def _bucket_links(keys: np.ndarray, asks: np.ndarray, fps: np.ndarray, distance:
         base = np.repeat(np.arange(len(s)), pairs)
         at = np.arange(pairs.sum()) - np.repeat(np.cumsum(pairs) - pairs, pairs)
         i, j = at // n[base], at % n[base]
-        later = j > i if within else j >= m[base]
+        later = j > i if trees is None else j >= m[base]
         base, i, j = base[later], i[later], j[later]
         a, b = s[base] + i, s[base] + j
         near = apart(fps[a], fps[b]) <= distance
         left.append(a[near])
         right.append(b[near])
     for lo, hi, m in zip(starts[~small].tolist(), ends[~small].tolist(), stored[~small].tolist(), strict=True):
-        a, b = forest(fps[lo : lo + m], fps[lo + m : hi], distance)
-        if not within:
-            a, b = a[b >= m], b[b >= m]
+        if trees is None:
+            a, b = forest(fps[lo : lo + m], fps[lo + m : hi], distance)
+        else:
+            a, b = _meet(fps[lo : lo + m], trees[lo : lo + m], fps[lo + m : hi], trees[lo + m : hi], distance)
+            b += m
         left.append(lo + a)
         right.append(lo + b)
     if not left:
@@ -222,9 +255,10 @@ SIMILARITY = 0.8
 SEGMENT, ORDERS = 20, 2
 #: Rows of a bucket from which it is dealt out in blocks.
 WIDE_SPLIT = 1_000_000
-#: Comparisons of a bucket up to which every near pair is a candidate; larger ones give a spanning forest, of which their many
-#: buckets give many.
+#: Comparisons of a bucket up to which every near pair is a link; larger ones give links that connect all near pairs.
 WIDE_SMALL = 12
+#: Bytes of the texts of a group that one task compares.
+GROUP_BYTES = 16_000_000
 _GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -293,16 +327,16 @@ def _wide_links(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa
         own = (np.unique(key, return_inverse=True)[1].astype(np.int64) << _HALF) + rest
         order = np.argsort(own, kind="stable")
         own = own[order]
-        pairs, askers = _within(own, fps, order, distance)
+        pairs, trees = _within(own, fps, order, distance)
         flips = 1 << np.arange(_HALF)
-        who, bit = np.nonzero((own[askers][:, None] & flips[None, :]) == 0)
-        who = askers[who]
+        who, bit = np.nonzero((own[:, None] & flips[None, :]) == 0)
+        tree = np.concatenate([trees, trees[who]])
         place = np.concatenate([order, order[who]])
         value = np.concatenate([own, own[who] | flips[bit]])
         asks = np.r_[np.zeros(len(own), dtype=bool), np.ones(len(who), dtype=bool)]
         again = np.lexsort((asks, value))
-        place, value, asks = place[again], value[again], asks[again]
-        a, b = _bucket_links(value, asks, _Rows(fps, place), distance, WIDE_SMALL, within=False)
+        place, value, asks, tree = place[again], value[again], asks[again], tree[again]
+        a, b = _bucket_links(value, asks, _Rows(fps, place), distance, WIDE_SMALL, tree)
         u, v = np.concatenate([ids[pairs[0]], ids[place[a]]]), np.concatenate([ids[pairs[1]], ids[place[b]]])
         return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
@@ -328,19 +362,19 @@ def _wide_links(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa
 
 
 def _within(own: np.ndarray, fps: np.ndarray, order: np.ndarray, distance: int) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
-    """Near pairs among rows of equal value (own is sorted; order gives their places), and the rows that ask other values.
+    """Near pairs among rows of equal value (own is sorted; order gives their places), and the number of each row's tree.
 
-    Small groups give all near pairs and all their rows ask. Larger ones give a spanning forest, and one row of each tree asks.
+    Small groups give all near pairs, and each of their rows is a tree. Larger ones give a spanning forest.
     """
     starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
     ends = np.r_[starts[1:], len(own)]
     large = (ends - starts) ** 2 > WIDE_SMALL
-    left, right, asking = [], [], np.ones(len(own), dtype=bool)
+    left, right, trees = [], [], np.arange(len(own))
     for lo, hi in zip(starts[large].tolist(), ends[large].tolist(), strict=True):
-        a, b = forest(fps[order[lo:hi]], fps[:0], distance)
+        a, b, label = _walk(fps[order[lo:hi]], distance)
         left.append(order[lo + b])
         right.append(order[lo + a])
-        asking[lo + a] = False  # every row that a walk has reached; the rows that began one remain
+        trees[lo:hi] = lo + label
     for gap in range(1, int(WIDE_SMALL**0.5)):
         at = np.flatnonzero(own[gap:] == own[:-gap])
         at = at[~np.repeat(large, ends - starts)[at]]
@@ -348,7 +382,7 @@ def _within(own: np.ndarray, fps: np.ndarray, order: np.ndarray, distance: int)
         left.append(order[at[near]])
         right.append(order[at[near] + gap])
     none = np.empty(0, np.int64)
-    return (np.concatenate([none, *left]), np.concatenate([none, *right])), np.flatnonzero(asking)
+    return (np.concatenate([none, *left]), np.concatenate([none, *right])), trees
 
 
 class _Rows:
@@ -394,49 +428,109 @@ def shingle_set(text: bytes | None, width: int = WIDE_SHINGLE) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(x), SEED) for x in shingles], dtype=np.uint64))
 
 
+def similar_links(sets: list[np.ndarray], least: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """Places of links that connect all pairs of sets (sorted, distinct, not empty) with a Jaccard similarity of ``least`` or more.
+
+    A walk as in forest(), by the exact similarity. Two such sets share one at least of their rarest members, as many as may
+    miss in the other and one more; only sets that share one of those are compared, which loses no pair.
+    """
+    sizes = np.array([len(x) for x in sets])
+    if len(sets) == 2:
+        both = len(np.intersect1d(*sets, assume_unique=True))
+        return (np.array([1]), np.array([0])) if both >= least * (sizes.sum() - both) else (np.empty(0, np.int64), np.empty(0, np.int64))
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, member, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(counts), dtype=np.int64)
+    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+    member = rank[member]
+    member = member[np.lexsort((member, owner))]
+    starts = np.cumsum(sizes) - sizes
+    rare = sizes - np.ceil(least * sizes - 1e-9).astype(np.int64) + 1
+    first = np.arange(len(member)) - np.repeat(starts, sizes) < np.repeat(rare, sizes)
+    posted, who = member[first], owner[first]
+    by = np.argsort(posted, kind="stable")
+    posted, who = posted[by], who[by]
+    rest, live, marked = np.ones(len(sets), dtype=bool), len(sets), np.zeros(len(counts), dtype=bool)
+    listed, left, right = live, [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for begin in range(len(sets)):
+        if not rest[begin]:
+            continue
+        rest[begin], todo, live = False, [begin], live - 1
+        while todo and live:
+            k = todo.pop()
+            if 2 * live < listed:
+                posted, who, listed = posted[rest[who]], who[rest[who]], live
+            own = member[starts[k] : starts[k] + sizes[k]]
+            lo, hi = np.searchsorted(posted, own[: rare[k]]), np.searchsorted(posted, own[: rare[k]], "right")
+            near = np.unique(np.concatenate([who[x:y] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]))
+            near = near[rest[near]]
+            if not len(near):
+                continue
+            marked[own] = True
+            n = sizes[near]
+            begins = np.cumsum(n) - n
+            both = np.add.reduceat(marked[member[np.arange(n.sum()) + np.repeat(starts[near] - begins, n)]].astype(np.int64), begins)
+            marked[own] = False
+            found = near[both >= least * (sizes[k] + n - both)]
+            rest[found], live = False, live - len(found)
+            todo.extend(found.tolist())
+            left.append(found)
+            right.append(np.full(len(found), k))
+    return np.concatenate(left), np.concatenate(right)
+
+
 def _similar(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """The pairs (u, v, text of u, text of v) whose shingle sets are similar enough."""
-    kept: dict[int, np.ndarray] = {}
+    """Links (u, v) of the groups of a partition of (group, block, row, text) ordered by (group, block)."""
+    held, rows, sets = None, [], []
 
-    def of(row: int, text: bytes | None) -> np.ndarray:
-        found = kept.get(row)
-        if found is None:
-            if len(kept) > 256:
-                kept.clear()
-            found = kept[row] = shingle_set(text)
-        return found
+    def out() -> Iterator[pa.RecordBatch]:
+        if len(rows) > 1:
+            ids = np.array(rows, dtype=np.int64)
+            a, b = similar_links(sets, least)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["u", "v"])
 
     for batch in slices(batches):
-        out = []
-        for u, v, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            one, two = of(u, a), of(v, b)
-            both = len(np.intersect1d(one, two, assume_unique=True))
-            if both >= least * (len(one) + len(two) - both):
-                out.append((u, v))
-        columns = zip(*out, strict=True) if out else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["u", "v"])
+        for group, block, row, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (group, block) != held:
+                yield from out()
+                held, rows, sets = (group, block), [], []
+            rows.append(row)
+            sets.append(shingle_set(text))
+    yield from out()
+
 
+def exact_links(groups: DataFrame, texts: DataFrame, least: float = SIMILARITY, most: int = GROUP_BYTES) -> DataFrame:
+    """Links (u, v) that connect all pairs of similar texts (row, text) within each group (node, root).
 
-def similar_pairs(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """Of candidate pairs (u, v) those whose texts (row, text) are similar; only candidates' texts move."""
-    sides = [texts.select(F.col("row").alias(c), F.col("text").alias(f"t{c}")) for c in "uv"]
-    return pairs.join(sides[0], "u").join(sides[1], "v").select("u", "v", "tu", "tv").mapInArrow(lambda b: _similar(b, least), "u long, v long")
+    Each member's text moves once. A group of more than ``most`` bytes is dealt out in blocks, and every pair of blocks is a task.
+    """
+    rows = materialise(texts.join(groups.select(F.col("node").alias("row"), F.col("root").alias("group")), "row"), "near-texts")
+    large = rows.groupBy("group").agg(F.sum(F.octet_length("text")).alias("bytes")).filter(F.col("bytes") > most)
+    # At most one row for each ``most`` bytes of text.
+    large = large.select("group", F.ceil(2 * F.col("bytes") / most).cast("int").alias("blocks"))
+    rows = rows.join(F.broadcast(large), "group", "left")
+    own, other = F.pmod(F.xxhash64("row"), F.col("blocks")), F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))
+    rows = rows.select("group", "row", "text", own.alias("own"), other.alias("other"))
+    # Of two blocks, the greater one's number and the smaller one's make the number of the pair.
+    high, low = F.greatest("own", "other"), F.least("own", "other")
+    rows = rows.select("group", F.coalesce(F.when(F.col("own").isNotNull(), high * (high + 1) / 2 + low), F.lit(0)).cast("long").alias("block"), "row", "text")
+    return rows.repartition("group", "block").sortWithinPartitions("group", "block").mapInArrow(lambda b: _similar(b, least), "u long, v long")
 
 
 def representatives(docs: DataFrame, distance: int = WIDE_DISTANCE) -> DataFrame:
     """The rows of docs, with all their columns, without all but one of each class of near duplicates.
 
-    Near are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Fingerprints of 256 bits give the
-    candidates, and the texts of each candidate pair decide. Texts with equal fingerprints are one class.
+    Near are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Fingerprints of 256 bits give groups
+    of candidates, within which the texts of every pair decide. Texts with equal fingerprints are one class.
     """
     row, words = "near row", ["f0", "f1", "f2", "f3"]
     rows = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "near-rows")
     texts = rows.select(F.col(f"`{row}`").alias("row"), F.col("text").cast("binary").alias("text"))
     found = texts.mapInArrow(_wide, "row long, f0 long, f1 long, f2 long, f3 long")
     firsts = materialise(found.groupBy(*words).agg(F.min("row").alias("id")), "near-prints")
-    # Greatest and least, so that a pair found both ways is one row.
-    pairs = wide_links(firsts, distance).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     # Written before the links are contracted, so that a task has one Python process at a time.
-    roots = components(materialise(similar_pairs(materialise(pairs, "near-pairs"), texts), "near-links"))
+    loose = components(materialise(wide_links(firsts, distance), "near-pairs"))
+    groups = loose.unionByName(loose.select(F.col("root").alias("node"), "root").distinct())
+    roots = components(materialise(exact_links(groups, texts), "near-links"))
     kept = firsts.select(F.col("id").alias(row)).join(roots.select(F.col("node").alias(row)), row, "left_anti")
     return rows.join(kept, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -146,3 +146,102 @@ def test_a_dense_class_gives_few_candidates_and_stays_one_class(spark):
     roots = {r.node: r.root for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert len(links) < 100 * len(values)
     assert set(roots.values()) == {0} and len(roots) == len(values) - 1
+
+
+def sets_of(texts):
+    words = [t.split() for t in texts]
+    return [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in words]
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def classes(n, linked):
+    """Smallest place reachable over the pairs."""
+    parent = list(range(n))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in linked:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    return [root(k) for k in range(n)]
+
+
+def hub_texts(variants, hub_at, edits=8, length=400, seed=4):
+    """A text and variants of it, each with its own words at places far from each other."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(10**9)}" for _ in range(length)]
+    texts = []
+    for v in range(variants):
+        words, shift = list(base), rng.randrange(length)
+        for k in rng.sample(range(length // 10), edits):
+            words[(10 * k + shift) % length] = f"v{v}x{k}"
+        texts.append(" ".join(words))
+    texts.insert(hub_at, " ".join(base))
+    return texts
+
+
+def test_a_hub_joins_variants_that_are_not_similar_to_each_other(spark):
+    texts, hub = hub_texts(1000, 700), 700
+    sets = sets_of(texts)
+    assert all(0.8 <= jaccard(sets[hub], s) <= 0.87 for s in sets[:hub] + sets[hub + 1 :])
+    assert all(jaccard(sets[k], sets[k + 1]) < 0.8 for k in range(0, hub - 1, 7))
+    similar = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(texts)], SCHEMA)
+    assert simhash.representatives(docs).count() == len(set(classes(len(texts), similar))) == 1
+
+
+def test_variants_without_their_hub_stay(spark):
+    texts = hub_texts(300, 0)[1:]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(texts)], SCHEMA)
+    assert simhash.representatives(docs).count() == len(texts)
+
+
+@pytest.mark.parametrize("most", [simhash.GROUP_BYTES, 20_000])
+def test_exact_links_equal_brute_force(spark, most):
+    texts = near_texts(200, 11) + hub_texts(40, 20, seed=5)
+    sets = sets_of(texts)
+    want = classes(len(texts), [(a, b) for a in range(len(sets)) for b in range(a) if jaccard(sets[a], sets[b]) >= 0.8])
+    rows = spark.createDataFrame([(k, t.encode()) for k, t in enumerate(texts)], "row long, text binary")
+    groups = spark.createDataFrame([(k, k // 200) for k in range(len(texts))], "node long, root long")
+    links = [tuple(r) for r in simhash.exact_links(groups, rows, most=most).collect()]
+    assert all(jaccard(sets[a], sets[b]) >= 0.8 for a, b in links)
+    split = [k // 200 for k in range(len(texts))]
+    assert classes(len(texts), links) == want and all(split[a] == split[b] for a, b in links)
+
+
+def loose_classes(values):
+    """Over all pairs within the distance that have a segment equal up to one bit."""
+    cut = simhash.segments(np.stack(values))
+    linked = []
+    for a in range(len(values)):
+        near = np.bitwise_count(np.stack(values[:a] or [values[0]]) ^ values[a]).sum(axis=1) <= simhash.WIDE_DISTANCE
+        for b in np.flatnonzero(near[:a]).tolist():
+            if (np.bitwise_count(cut[a] ^ cut[b]) <= 1).any():
+                linked.append((a, b))
+    return classes(len(values), linked)
+
+
+def spread_values():
+    """Families around a few fingerprints, some of whose members lie just within the distance of few others."""
+    rng = np.random.default_rng(8)
+    values = []
+    for base in rng.integers(0, 1 << 63, (8, 4), dtype=np.uint64):
+        for k in range(40):
+            v = base.copy()
+            for bit in rng.choice(256, 2 * k, replace=False):
+                v[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+            values.append(v)
+    return values
+
+
+def test_every_row_asks(spark):
+    values = spread_values()
+    frame = spark.createDataFrame(wide_rows(values), "id long, f0 long, f1 long, f2 long, f3 long").repartition(3)
+    links = [tuple(r) for r in simhash.wide_links(frame).collect()]
+    assert classes(len(values), links) == loose_classes(values)

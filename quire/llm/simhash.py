@@ -253,7 +253,7 @@ SIMILARITY = 0.8
 #: Bits of a segment, and orders of the bits that are cut into segments: 12 segments each, of which one at least differs in one
 #: bit or none with probability 0.99 at that similarity.
 SEGMENT, ORDERS = 20, 2
-#: Rows of a bucket from which it is dealt out in blocks.
+#: Rows of a bucket from which it is dealt out in pairs of blocks.
 WIDE_SPLIT = 1_000_000
 #: Comparisons of a bucket up to which every near pair is a link; larger ones give links that connect all near pairs.
 WIDE_SMALL = 12
@@ -398,8 +398,8 @@ class _Rows:
 def wide_links(prints: DataFrame, distance: int = WIDE_DISTANCE, split: int = WIDE_SPLIT) -> DataFrame:
     """Links (u, v) between the ids of distinct fingerprints (id, f0..f3) within ``distance``.
 
-    A bucket of more than ``split`` rows is dealt out in blocks by the hash of the id, with a tenth of a block's rows, the anchors,
-    in every block, through which the blocks of a dense class meet.
+    A bucket of more than ``split`` rows is dealt out in blocks of half as many by the hash of the id, and every pair of blocks is
+    a bucket, so that any two of its rows meet.
     """
     ddl = "key int, rest int, id long, f0 long, f1 long, f2 long, f3 long"
     rows = prints.select("id", "f0", "f1", "f2", "f3").mapInArrow(_dealt, ddl)
@@ -407,10 +407,11 @@ def wide_links(prints: DataFrame, distance: int = WIDE_DISTANCE, split: int = WI
     counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > split).collect()
     if counts:
         n = F.element_at(F.create_map(*[x for r in counts for x in (F.lit(r["key"]), F.lit(r["n"]))]), F.col("key"))
-        draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
-        blocks = F.ceil(n / split).cast("int")
-        own = F.when(n.isNull(), F.array(F.lit(0))).when(draw < 0.1 * split / n, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.floor(draw * blocks).cast("int")))
-        rows = rows.withColumn("block", F.explode(own)).withColumn("key", F.col("block") * (1 << 20) + F.col("key")).drop("block")
+        blocks = F.coalesce(F.ceil(2 * n / split), F.lit(1)).cast("long")
+        rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+        high, low = F.greatest("own", "other"), F.least("own", "other")
+        pair = F.shiftright(high * (high + 1), 1) + low
+        rows = rows.withColumn("key", pair * (1 << 20) + F.col("key")).drop("own", "other")
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: _wide_links(b, distance), "u long, v long")
 
 

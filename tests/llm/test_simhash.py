@@ -245,3 +245,19 @@ def test_every_row_asks(spark):
     frame = spark.createDataFrame(wide_rows(values), "id long, f0 long, f1 long, f2 long, f3 long").repartition(3)
     links = [tuple(r) for r in simhash.wide_links(frame).collect()]
     assert classes(len(values), links) == loose_classes(values)
+
+
+@pytest.mark.parametrize("split", [200, 20, 6])
+def test_crowded_buckets_are_split_without_loss(spark, split):
+    """Equal classes at every split, also of a star, whose rows meet through the hub alone."""
+    rng = np.random.default_rng(6)
+    values, star = spread_values()[:160], rng.integers(0, 1 << 63, 4, dtype=np.uint64)
+    for _ in range(120):
+        v = star.copy()
+        for bit in rng.choice(256, 40, replace=False):
+            v[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+        values.append(v)
+    values.append(star)
+    frame = spark.createDataFrame(wide_rows(values), "id long, f0 long, f1 long, f2 long, f3 long").repartition(3)
+    links = [tuple(r) for r in simhash.wide_links(frame, split=split).collect()]
+    assert classes(len(values), links) == loose_classes(values)

@@ -563,12 +563,16 @@ def citations(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def answer_flow(spark: SparkSession, sf: str) -> DataFrame:
-    """Embedding, search, reranking, compression and answers with the offline models; the questions are the benchmark texts."""
-    chunks = _listing(spark, sf).select(t.chunk_id(F.col("filename"), F.lit(0)).alias("chunk_id"), "filename", "text")
+    """Embedding, search, reranking, compression and answers with the offline models; the questions are the benchmark texts.
+
+    Documents are read in chunks. One of short words may have more than the reranker's 512, so that it reads as far as the embedder.
+    """
+    # Dealt out, so that a task does not split and embed at a time, with a Python process for each.
+    chunks = chunk_files(_listing(spark, sf).withColumn("title", F.col("filename"))).select("chunk_id", "filename", "text").repartition("chunk_id")
     vectors = chunks.select("chunk_id", models.embed(F.col("text"), models.HashEmbedder).alias("embedding"))
     questions = _t(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("question"))
     queries = questions.select("query_id", models.embed(F.col("question"), models.HashEmbedder, True).alias("embedding"))
     hits = search.vector_topk(queries, vectors, K)
     found = hits.select("query_id", "chunk_id", (F.col("rank") - 1).alias("merged_pos"))
-    points = flows.answer_points(questions, found, chunks, models.LexicalReranker, lambda: models.ExtractiveGenerator(NOTHING), "{question} [{number}] {source}", NOTHING, FAILED)
+    points = flows.answer_points(questions, found, chunks, lambda: models.LexicalReranker(2048), lambda: models.ExtractiveGenerator(NOTHING), "{question} [{number}] {source}", NOTHING, FAILED)
     return flows.answers(questions, points, lambda: models.ExtractiveGenerator(NOTHING), "{question}", "no source", FAILED)

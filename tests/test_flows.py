@@ -139,3 +139,26 @@ def test_stream_indexes_what_arrives(spark, library, tmp_path):
         query.awaitTermination(60)
         assert query.exception() is None
     assert store.versions() == [1, 2] and store.read("manifest", flows.MANIFEST).count() == 4
+
+
+def test_answer_flow_reads_the_end_of_long_documents(spark, tmp_path):
+    """A passage after word 2,048 is found, and is the point that the answer cites."""
+    from quire.plans.queries import answer_flow
+
+    filler = "\n".join(" ".join(f"f{k}w{j}" for j in range(12)) for k in range(300))
+    passage = "zebra quartz violin harbour lantern meadow copper thistle orchard falcon"
+    docs = [(1, filler + "\n## Late\n" + passage + "\n## Later\n" + filler.replace("f", "g"), "en", "s", 1)] + [(k, f"other text number {k} of the small ones", "en", "s", 1) for k in range(2, 12)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    [row] = answer_flow(spark, str(tmp_path)).collect()
+    assert row.query_id == "7" and row.answer == "[1] source: d_1.md"
+
+
+def test_answer_flow_reads_chunks_of_many_short_words(spark, tmp_path):
+    from quire.plans.queries import answer_flow
+
+    passage = "zebra quartz violin harbour"
+    docs = [(1, "a b " * 300 + passage, "en", "s", 1), (2, "zebra quartz", "en", "s", 1)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [r.answer for r in answer_flow(spark, str(tmp_path)).collect()] == ["[1] source: d_1.md"]

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from quire.llm.workspace import materialise, slices
+from quire.llm.workspace import materialise, numbered, slices
 
 BLANKS = b" \t\n\x0b\x0c\r"
 #: Bytes of distinct content that one table may hold before its bucket is split, files per split, slots at the start.
@@ -202,10 +202,9 @@ def grace_dedup(docs: DataFrame, limit: int = TABLE_BYTES) -> DataFrame:
     )
 
 
-def _best_rows(batches: Iterator[pa.RecordBatch], names: list[str], limit: int, dealt: bool) -> Iterator[pa.RecordBatch]:
+def _best_rows(batches: Iterator[pa.RecordBatch], doc_at: int, text_at: int, limit: int, dealt: bool) -> Iterator[pa.RecordBatch]:
     """The row to keep of each group; rows that have been dealt out by digest carry digest and rid as their last columns."""
     first, schema = TaskContext.get().partitionId() << 36, None
-    doc_at, text_at = names.index("doc_id"), names.index("text")
 
     def records() -> Iterator[tuple]:
         nonlocal schema
@@ -226,7 +225,7 @@ def _best_rows(batches: Iterator[pa.RecordBatch], names: list[str], limit: int,
         if dealt:
             fields = list(schema)[:-2]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns[:-2], fields, strict=True)], schema=pa.schema(fields))
-        fields = [*schema, pa.field("grace digest", pa.binary()), pa.field("grace row", pa.int64())]
+        fields = [*schema, pa.field("digest", pa.binary()), pa.field("rid", pa.int64())]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=pa.schema(fields))
 
     for digest, _, members in grace_groups(records(), limit, best=lambda m: m[0]):
@@ -241,8 +240,12 @@ def _best_rows(batches: Iterator[pa.RecordBatch], names: list[str], limit: int,
 
 
 def distinct_rows(docs: DataFrame, limit: int = TABLE_BYTES) -> DataFrame:
-    """The rows of docs, with all their columns, that grace_dedup keeps; their order is lost."""
-    names = docs.columns
-    wide = StructType([*docs.schema.fields, StructField("grace digest", BinaryType()), StructField("grace row", LongType())])
-    heads = docs.mapInArrow(lambda b: _best_rows(b, names, limit, False), wide).repartition("grace digest")
-    return heads.mapInArrow(lambda b: _best_rows(b, names, limit, True), docs.schema)
+    """The rows of docs, with all their columns, that grace_dedup keeps; their order is lost.
+
+    Nulls, empty texts, ties, repeats and empty tables as in grace_dedup; other columns, whatever their names, are kept as they are.
+    """
+    at = docs.columns.index("doc_id"), docs.columns.index("text")
+    rows = numbered(docs)
+    wide = StructType([*rows.schema.fields, StructField("digest", BinaryType()), StructField("rid", LongType())])
+    heads = rows.mapInArrow(lambda b: _best_rows(b, *at, limit, False), wide).repartition("digest")
+    return heads.mapInArrow(lambda b: _best_rows(b, *at, limit, True), rows.schema).toDF(*docs.columns)

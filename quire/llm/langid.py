@@ -29,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.workspace import slices
+from quire.llm.workspace import numbered, slices
 
 DEPTH, SAMPLE_ROWS, BLOCK = 3, 300, 1 << 19
 UNKNOWN = "und"
@@ -187,12 +187,16 @@ def identify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
 
 
 def accepted(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, most_bits: float = MOST_BITS) -> DataFrame:
-    """The rows of docs, whole and with their own columns, whose text has a language and is not longer coded than most_bits per byte."""
+    """The rows of docs, whole and with their own columns, whose text has a language and is not longer coded than most_bits per byte.
+
+    Null text and text without a letter go, and so does every row if nothing could be learned; repeated rows are decided one by one.
+    """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, sample_rows))
+    rows, at = numbered(docs), docs.columns.index("text")
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [predict(model.value, t) for t in batch.column("text").to_pylist()]
+            found = [predict(model.value, t) for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array([lang != UNKNOWN and bits <= most_bits for lang, _, bits in found], pa.bool_()))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return rows.mapInArrow(kept, rows.schema).toDF(*docs.columns)

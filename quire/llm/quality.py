@@ -159,7 +159,10 @@ def apply_policy(book: DataFrame, policy: str = CURRENT) -> DataFrame:
 
 
 def accepted(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
-    """The rows of docs, with all their columns, that the policy keeps."""
+    """The rows of docs, with all their columns, that the policy keeps.
+
+    Null, empty and blank texts have too few words and go; repeated rows are decided one by one; an empty table gives an empty result.
+    """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"), "text")
     return apply_policy(ledger(rows, "document"), policy).filter("kept").select("document.*")
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.components import components
-from quire.llm.workspace import materialise, slices
+from quire.llm.workspace import materialise, slices, unused
 
 SHINGLE, DISTANCE, SEED = 3, 3, 42
 SPLIT = 20_000
@@ -269,18 +269,20 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def wide_fingerprint(text: bytes | None, width: int = WIDE_SHINGLE, words: int = WIDE_WORDS) -> np.ndarray:
-    """SimHash of the set of a text's word shingles, as words of 64 bits; zero without words."""
+def shingle_set(text: bytes | None, width: int = WIDE_SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles; a text of fewer words, or none, is one shingle."""
     tokens = (text or b"").lower().split()
-    if not tokens:
-        return np.zeros(words, dtype=np.uint64)
     n = max(1, len(tokens) - width + 1)
     digest, found = xxhash.xxh64_intdigest, []
     for k in range(0, n, BLOCK):
         run = tokens[k : min(k + BLOCK, n) + width - 1]
         shingles = zip(*(run[j:] for j in range(width))) if len(tokens) > width else [tokens]
         found.append(np.unique(np.array([digest(b" ".join(x), SEED) for x in shingles], dtype=np.uint64)))
-    hashes = np.unique(np.concatenate(found)) if len(found) > 1 else found[0]
+    return np.unique(np.concatenate(found)) if len(found) > 1 else found[0]
+
+
+def wide_fingerprint(hashes: np.ndarray, words: int = WIDE_WORDS) -> np.ndarray:
+    """SimHash of a set of shingles, as words of 64 bits."""
     out = np.empty(words, dtype=np.uint64)
     for w in range(words):
         sums = np.zeros(64, dtype=np.int64)
@@ -403,30 +405,29 @@ def wide_links(prints: DataFrame, distance: int = WIDE_DISTANCE, split: int = WI
     """
     ddl = "key int, rest int, id long, f0 long, f1 long, f2 long, f3 long"
     rows = prints.select("id", "f0", "f1", "f2", "f3").mapInArrow(_dealt, ddl)
-    # At most one row for each value of each half segment, whatever the number of documents.
-    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > split).collect()
-    if counts:
-        n = F.element_at(F.create_map(*[x for r in counts for x in (F.lit(r["key"]), F.lit(r["n"]))]), F.col("key"))
-        blocks = F.coalesce(F.ceil(2 * n / split), F.lit(1)).cast("long")
-        rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > split)
+    crowded = materialise(counts.select("key", F.ceil(2 * F.col("n") / split).cast("long").alias("blocks")), "near-crowded")
+    if not crowded.isEmpty():
+        # At most one row for each value of each half segment (49,152 of them), whatever the number of documents.
+        rows = rows.join(F.broadcast(crowded), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+        rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         high, low = F.greatest("own", "other"), F.least("own", "other")
         pair = F.shiftright(high * (high + 1), 1) + low
-        rows = rows.withColumn("key", pair * (1 << 20) + F.col("key")).drop("own", "other")
+        rows = rows.withColumn("key", pair * (1 << 20) + F.col("key")).select("key", "rest", "id", "f0", "f1", "f2", "f3")
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: _wide_links(b, distance), "u long, v long")
 
 
-def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        found = [wide_fingerprint(t) for t in batch.column(1).to_pylist()]
-        prints = np.stack(found).view(np.int64) if found else np.empty((0, WIDE_WORDS), np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(prints[:, k]) for k in range(WIDE_WORDS))], names=["row", "f0", "f1", "f2", "f3"])
+_SETS = ["d0", "d1"]
+_WORDS = ["f0", "f1", "f2", "f3"]
 
 
-def shingle_set(text: bytes | None, width: int = WIDE_SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of a text's shingles."""
-    tokens = (text or b"").lower().split()
-    shingles = zip(*(tokens[j:] for j in range(width))) if len(tokens) > width else [tokens]
-    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(x), SEED) for x in shingles], dtype=np.uint64))
+def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digest (128 bits) and fingerprint of every text's set of shingles."""
+    for batch in slices(batches):
+        sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
+        digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in sets), dtype=np.int64).reshape(-1, 2)
+        prints = np.stack([wide_fingerprint(x) for x in sets]).view(np.int64) if sets else np.empty((0, WIDE_WORDS), np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(x[:, k])) for x in (digests, prints) for k in range(x.shape[1]))], names=["row", *_SETS, *_WORDS])
 
 
 def similar_links(sets: list[np.ndarray], least: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
@@ -518,20 +519,33 @@ def exact_links(groups: DataFrame, texts: DataFrame, least: float = SIMILARITY,
     return rows.repartition("group", "block").sortWithinPartitions("group", "block").mapInArrow(lambda b: _similar(b, least), "u long, v long")
 
 
+def loose_groups(sets: DataFrame, distance: int = WIDE_DISTANCE) -> DataFrame:
+    """Groups (node, root) of the ids of sets (id, f0..f3) whose fingerprints are equal or linked by wide_links()."""
+    prints = materialise(sets.groupBy(*_WORDS).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "near-prints")
+    # Unequal sets with equal fingerprints are hardly ever more than a few; written, so that Spark sees how many.
+    twins = materialise(prints.filter("n > 1").select(*_WORDS, F.col("id").alias("v")), "near-twins")
+    same = sets.join(twins, _WORDS).filter("id <> v").select(F.col("id").alias("u"), "v")
+    # Written before the links are contracted, so that a task has one Python process at a time.
+    loose = components(materialise(wide_links(prints, distance).unionByName(same), "near-pairs"))
+    return loose.unionByName(loose.select(F.col("root").alias("node"), "root").distinct())
+
+
 def representatives(docs: DataFrame, distance: int = WIDE_DISTANCE) -> DataFrame:
     """The rows of docs, with all their columns, without all but one of each class of near duplicates.
 
-    Near are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Fingerprints of 256 bits give groups
-    of candidates, within which the texts of every pair decide. Texts with equal fingerprints are one class.
+    Near are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more; a class is what such pairs connect.
+    Equal sets are one row of the search. Fingerprints of 256 bits give groups of candidates, within which the sets of all pairs
+    decide, also of those with equal fingerprints.
+
+    Defined cases: null, empty and blank texts are one class; a text of fewer than five words is one shingle, so that it is near its
+    equals alone; of rows repeated with one doc_id one stays; which row of a class stays is not defined; null ids and other columns,
+    whatever their names, are kept as they are; an empty table gives an empty result.
     """
-    row, words = "near row", ["f0", "f1", "f2", "f3"]
+    row = unused(docs.columns, "near row")
     rows = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "near-rows")
     texts = rows.select(F.col(f"`{row}`").alias("row"), F.col("text").cast("binary").alias("text"))
-    found = texts.mapInArrow(_wide, "row long, f0 long, f1 long, f2 long, f3 long")
-    firsts = materialise(found.groupBy(*words).agg(F.min("row").alias("id")), "near-prints")
-    # Written before the links are contracted, so that a task has one Python process at a time.
-    loose = components(materialise(wide_links(firsts, distance), "near-pairs"))
-    groups = loose.unionByName(loose.select(F.col("root").alias("node"), "root").distinct())
-    roots = components(materialise(exact_links(groups, texts), "near-links"))
-    kept = firsts.select(F.col("id").alias(row)).join(roots.select(F.col("node").alias(row)), row, "left_anti")
+    found = texts.mapInArrow(_wide, "row long, " + ", ".join(f"{c} long" for c in _SETS + _WORDS))
+    sets = materialise(found.groupBy(*_SETS).agg(F.min("row").alias("id"), *[F.min(c).alias(c) for c in _WORDS]).drop(*_SETS), "near-sets")
+    roots = components(materialise(exact_links(loose_groups(sets, distance), texts), "near-links"))
+    kept = sets.select(F.col("id").alias(row)).join(roots.select(F.col("node").alias(row)), row, "left_anti")
     return rows.join(kept, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -42,6 +42,19 @@ def clear(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unused(columns: Iterable[str], name: str) -> str:
+    """The name, with marks added until no column has it in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df with columns c0, c1, ..., as functions over batches neither take every name nor should clash with it."""
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The batches in parts, so that few texts at a time are Python objects beside their Arrow form."""
     for batch in batches:

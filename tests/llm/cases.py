@@ -32,7 +32,7 @@ def edge_docs(spark, clashing=True):
     if clashing:
         from pyspark.sql import functions as F
 
-        for name in ("rid", "head", "fp", "key", "u", "v", "n", "n_words", "kept", "ids", "score", "count", "value", "component_id", "digest", "_text", "length"):
+        for name in ("rid", "head", "fp", "key", "u", "v", "n", "n_words", "kept", "ids", "score", "count", "value", "component_id", "digest", "_text", "length", "near row", "grace digest", "row", "c0", "document", "d0", "f0", "a.b", "file", "terms"):
             df = df.withColumn(name, F.lit("clash"))
     return df
 

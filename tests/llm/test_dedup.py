@@ -50,3 +50,12 @@ def test_equal_digests_still_compare_contents(tmp_path):
     got = list(dedup.grace_groups(records, limit=300, folder=str(tmp_path)))
     assert sorted(len(m) for _, _, m in got) == [10] * 7
     assert not list(tmp_path.iterdir())
+
+
+def test_columns_of_any_name_are_kept(spark):
+    docs = edge_docs(spark)
+    for name in ("grace digest", "grace row", "GRACE ROW_", "a.b"):
+        docs = docs.withColumn(name, docs["doc_id"])
+    kept = dedup.distinct_rows(docs)
+    assert kept.columns == docs.columns and kept.count() == dedup.distinct_rows(edge_docs(spark)).count()
+    assert all(r["grace digest"] == r["grace row"] == r["a.b"] == r["doc_id"] for r in kept.collect())

@@ -2,12 +2,13 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from cases import SCHEMA, edge_docs, edge_rows, empty_docs, near_texts
 
 from quire.llm import simhash
-from quire.llm.components import components
+from quire.llm.components import _contract, components
 
 
 def brute_print(text):
@@ -89,6 +90,24 @@ def test_components_of_a_chain_and_a_hub(spark):
     assert got == {k: 0 for k in range(1, 301)} | {k: 1000 for k in range(1001, 1300)}
 
 
+@pytest.mark.parametrize("heavy", [1 << 20, 20, 3])
+def test_components_with_heavy_nodes_dealt_out(spark, heavy):
+    rng = random.Random(2)
+    links = [(1000, k) for k in range(1001, 1200)] + [(k, 0) for k in range(1100, 1110)] + [(rng.randrange(5000, 6000), rng.randrange(5000, 6000)) for _ in range(800)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(links, "u long, v long").repartition(6), heavy=heavy).collect()}
+    nodes = sorted({x for link in links for x in link})
+    place = {x: k for k, x in enumerate(nodes)}
+    roots = classes(len(nodes), [(place[a], place[b]) for a, b in links])
+    assert got == {x: nodes[r] for x, r in zip(nodes, roots) if nodes[r] != x}
+
+
+def test_contraction_gives_out_its_stars_when_full():
+    links = [(k, k + 1) for k in range(0, 4000, 2)] + [(k, k + 2) for k in range(0, 3998, 2)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([a for a, _ in links[k : k + 100]]), pa.array([b for _, b in links[k : k + 100]])], names=["u", "v"]) for k in range(0, len(links), 100)]
+    stars = [(a, b) for made in _contract(iter(batches), 500) for a, b in zip(*(c.to_pylist() for c in made.columns))]
+    assert len(set(classes(4001, stars))) == 2  # the last node has no link
+
+
 def wide_rows(values):
     return [(k, *np.array(v, dtype=np.uint64).view(np.int64).tolist()) for k, v in enumerate(values)]
 
@@ -110,7 +129,7 @@ def test_wide_links_connect_classes(spark, split):
     assert all((np.bitwise_count(values[u] ^ values[v]).sum() <= simhash.WIDE_DISTANCE) and owner[u] == owner[v] for u, v in pairs)
     roots = {r.node: r.root for r in components(spark.createDataFrame(pairs, "u long, v long")).collect()}
     named = [roots.get(k, k) for k in range(len(values))]
-    assert len(set(named)) <= (25 if split > 100 else 40) and len({(a, b) for a, b in zip(named, owner)}) == len(set(named))
+    assert len(set(named)) == 25 and len({(a, b) for a, b in zip(named, owner)}) == len(set(named))
 
 
 def test_representatives_follow_jaccard(spark):
@@ -261,3 +280,43 @@ def test_crowded_buckets_are_split_without_loss(spark, split):
     frame = spark.createDataFrame(wide_rows(values), "id long, f0 long, f1 long, f2 long, f3 long").repartition(3)
     links = [tuple(r) for r in simhash.wide_links(frame, split=split).collect()]
     assert classes(len(values), links) == loose_classes(values)
+
+
+def templated_texts(families, own, length=400, seed=3):
+    """Texts of one template, each with a run of its own words in one place, and after each a copy with one word changed."""
+    rng, texts = random.Random(seed), []
+    base = [f"w{rng.randrange(10**9)}" for _ in range(length)]
+    for v in range(families):
+        words, at = list(base), 100
+        words[at : at + own] = [f"u{v}x{k}" for k in range(own)]
+        copy = list(words)
+        copy[rng.randrange(length)] = f"c{v}"
+        texts += [" ".join(words), " ".join(copy)]
+    return texts
+
+
+@pytest.mark.parametrize(("own", "mutual"), [(46, 0.776), (52, 0.752), (90, 0.616)])
+def test_copies_within_one_template_are_found(spark, own, mutual):
+    """3,000 texts that share a template, and a copy of each: the copies go, and texts that are not similar enough stay."""
+    texts = templated_texts(3000, own)
+    sets = sets_of(texts[:100])
+    assert abs(jaccard(sets[0], sets[40]) - mutual) < 0.001
+    assert min(jaccard(sets[k], sets[k + 1]) for k in range(0, 100, 2)) >= 0.95
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(texts)], SCHEMA).repartition(4)
+    kept = {r.doc_id for r in simhash.representatives(docs).collect()}
+    assert {k // 2 for k in kept} == set(range(3000)) and len(kept) <= 3030
+
+
+def test_unequal_sets_with_equal_fingerprints_meet_in_a_group(spark):
+    value = np.arange(4, dtype=np.uint64)
+    frame = spark.createDataFrame(wide_rows([value, value, value + np.uint64(1 << 60)]), "id long, f0 long, f1 long, f2 long, f3 long")
+    assert {r.node: r.root for r in simhash.loose_groups(frame).collect()} == {0: 0, 1: 0, 2: 0}
+
+
+def test_columns_of_any_name_are_kept(spark):
+    docs = edge_docs(spark)
+    for name in ("near row", "NEAR ROW_", "row", "id", "d0", "f0", "group", "node", "root", "grace digest", "a.b"):
+        docs = docs.withColumn(name, docs["doc_id"])
+    kept = simhash.representatives(docs)
+    assert kept.columns == docs.columns
+    assert all(r["near row"] == r["NEAR ROW_"] == r["doc_id"] == r["a.b"] for r in kept.collect())

@@ -1,6 +1,9 @@
 """A training corpus from documents: language, quality, exact copies, near copies, packing.
 
 Every stage takes and returns whole rows of documents, except the last, which returns the pieces of packed windows.
+
+Defined cases, for every stage: columns other than doc_id and text, whatever their names, are carried unread (language also learns from
+lang); null ids and ids that repeat are rows like others; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -13,27 +16,27 @@ from quire.llm.workspace import materialise
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or that fit no learned language, go."""
+    """Documents without a letter, or that fit no learned language, go; so do null texts, and all texts if no row has a lang."""
     return langid.accepted(docs)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the current policy rejects go."""
+    """Documents that the current policy rejects go, null and empty texts among them; very long texts are measured whole."""
     return quality.accepted(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the longest original with the smallest id stays."""
+    """Of texts equal but for white space the longest original with the smallest id stays; null is equal to empty."""
     return dedup.distinct_rows(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays."""
+    """One document of each class of near duplicates stays; null, empty and blank texts are one class."""
     return simhash.representatives(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of windows that hold every token of every remaining document."""
+    """Pieces of windows that hold every token of every remaining document; null and empty texts are their end token."""
     return packing.pack(docs, WORD_VOCABULARY)
 
 

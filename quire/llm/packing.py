@@ -1,11 +1,17 @@
 """Lexical retrieval packing: windows of related documents from a sharded BM25 inverted index.
 
 Whole windows of a document stand alone. What remains of each document (fewer tokens than a window) is packed: a seed
-asks its shard's index for unused neighbours by BM25 score, those that fit are placed whole, and one more is cut to fill
-the window exactly; its rest seeds the next window. Terms are token ids and document frequencies cover all documents, a
-table bounded by the vocabulary. Shards are ranges of (minhash of tokens, minhash of token pairs, row), so lexical
-neighbours meet; their number follows the tokens to pack, and a hot key is cut by the row. The last tokens of a shard
-become sequences of powers of two, which need no padding.
+asks its shard's index for unused neighbours by BM25 score over all of its terms, and they fill the window in that order;
+the one that doesn't fit is cut to fill it exactly, and its rest seeds the next window. Documents are indexed whole: terms
+are token ids, and term counts, lengths and document frequencies are those of whole texts. The table of document
+frequencies is bounded by the vocabulary.
+
+Documents are ordered by (minhash of tokens, minhash of token pairs, row), so lexical neighbours meet; a task takes a range of
+that order and cuts it into shards by running sums of what a shard holds, so that neither the memory of a task nor the
+number of tasks follows from the other. A hot key is cut by the row. The last tokens of a shard become sequences of powers
+of two, which need no padding.
+
+``query_terms`` limits a seed to its heaviest terms; the default, none, is exact.
 
 Defined cases: null counts as empty, which is its end token alone; rows repeated with one doc_id are packed separately;
 an empty table gives an empty result; other input columns are ignored.
@@ -30,9 +36,12 @@ from quire.llm.bpe import blocks, vocabulary_file
 from quire.llm.workspace import materialise, slices
 
 WINDOW, END_ID = 2048, 1
-#: Tokens of a shard; terms of a seed that are looked up, those with the highest weights; neighbours ranked for a window.
-SHARD_TOKENS, QUERY_TERMS, NEIGHBOURS = 1_000_000, 32, 64
+#: Tokens and terms that a shard holds, and shards of a task where the table is large; neighbours ranked at a time.
+SHARD_TOKENS, TASK_SHARDS, NEIGHBOURS = 1_000_000, 128, 64
 K1, B = 1.2, 0.75
+#: Documents and cells (documents times terms) of a shard up to which all scores may be one matrix product, of which a step costs
+#: about so many times less than one over postings.
+DENSE_ROWS, DENSE_CELLS, DENSE_GAIN = 2048, 1 << 23, 32.0
 CACHE_WORDS = 300_000
 #: Text outside these characters is left to the tokenizer as a whole; they compose to nothing and lower-case one by one.
 _RARE = re.compile(r"[^\x00-įı-ſ‐-‧€]")
@@ -109,12 +118,15 @@ def _mixed(values: np.ndarray) -> np.ndarray:
 
 _MIXED_IDS = _mixed(np.arange(1 << 16))
 _END = END_ID.to_bytes(2, "little")
-TOKENS = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("crcs", pa.list_(pa.int64())), ("tail", pa.binary()), ("tail_tokens", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
-TOKENS_DDL = "rid long, doc_id long, n_tokens long, crcs array<long>, tail binary, tail_tokens long, k1 long, k2 long, terms array<int>, counts array<long>"
+TOKENS = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("crcs", pa.list_(pa.int64())), ("tail", pa.binary()), ("words", pa.binary()), ("times", pa.binary()), ("size", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
+TOKENS_DDL = "rid long, doc_id long, n_tokens long, crcs array<long>, tail binary, words binary, times binary, size long, k1 long, k2 long, terms array<int>, counts array<long>"
 
 
 def _tokens(batches: Iterator[pa.RecordBatch], file: Broadcast, window: int) -> Iterator[pa.RecordBatch]:
-    """A row per document with its rest and the checksums of its whole windows, and one row of the partition's term counts."""
+    """A row per document with its rest, the checksums of its whole windows and what it adds to a shard, and one row of the partition's term counts.
+
+    Documents of a window or more also have their distinct terms (words) and how often they occur (times); others are all rest.
+    """
     words = _word_ids(file.value)
     rid = TaskContext.get().partitionId() << 36
     frequency = np.zeros(words.tokenizer.get_vocab_size() + 1, dtype=np.int64)
@@ -126,60 +138,102 @@ def _tokens(batches: Iterator[pa.RecordBatch], file: Broadcast, window: int) ->
                 ids = np.frombuffer(words.encode(text) + _END, dtype="<u2")
                 whole = len(ids) // window
                 tail = ids[whole * window :]
-                frequency[tail] += 1  # once for each distinct token
-                k1 = int(_MIXED_IDS[tail].min()) if len(tail) else 0
-                k2 = int(_mixed(tail[:-1].astype(np.int64) << 16 | tail[1:]).min()) if len(tail) > 1 else 0
+                frequency[ids] += 1  # once for each distinct token
+                k1 = int(_MIXED_IDS[ids].min())
+                k2 = int(_mixed(ids[:-1].astype(np.int64) << 16 | ids[1:]).min()) if len(ids) > 1 else 0
                 crcs = [crc_of(ids[k * window : (k + 1) * window]) for k in range(whole)]
-                rows.append((rid, doc_id, len(ids), crcs, tail.tobytes(), len(tail), k1, k2, None, None))
+                terms, times = np.unique(ids, return_counts=True) if whole else (None, None)
+                size = len(tail) + (len(terms) + whole if whole else 0)
+                rows.append((rid, doc_id, len(ids), crcs, tail.tobytes(), None if terms is None else terms.tobytes(), None if times is None else times.astype("<u4").tobytes(), size, k1, k2, None, None))
                 rid += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), TOKENS, strict=True)], schema=TOKENS)
     seen = np.flatnonzero(frequency)
-    row = (None, None, None, None, None, None, None, None, seen.tolist(), frequency[seen].tolist())
+    row = (*[None] * 10, seen.tolist(), frequency[seen].tolist())
     yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, TOKENS, strict=True)], schema=TOKENS)
 
 
+#: Distinct terms of a document and how often each occurs in it.
+Bag = tuple[np.ndarray, np.ndarray]
+
+
 class Index:
-    """BM25 postings of one shard."""
-
-    def __init__(self, tails: list[np.ndarray], idf: np.ndarray, mean_tokens: float) -> None:
-        self.n = len(tails)
-        lengths = np.array([len(t) for t in tails], dtype=np.int64)
-        width = len(idf)
-        cells, tf = np.unique(np.repeat(np.arange(self.n), lengths) * width + (np.concatenate(tails) if self.n else np.empty(0, np.int64)), return_counts=True)
-        self.doc, self.term = cells // width, cells % width
+    """BM25 postings of one shard. A document whose bag is not given has the terms of its rest."""
+
+    def __init__(self, tails: list[np.ndarray], idf: np.ndarray, mean_tokens: float, bags: list[Bag | None] | None = None, query_terms: int | None = None) -> None:
+        self.n, self.width, self.query_terms = len(tails), len(idf), query_terms
+        bags = bags or [None] * self.n
+        short = [k for k, bag in enumerate(bags) if bag is None]
+        rests = [tails[k] for k in short]
+        cells, tf = np.unique(np.repeat(np.array(short, dtype=np.int64), [len(t) for t in rests]) * self.width + np.concatenate([np.empty(0, np.int64), *rests]), return_counts=True)
+        long = [k for k, bag in enumerate(bags) if bag is not None]
+        if long:
+            cells = np.concatenate([cells, *(k * self.width + bags[k][0] for k in long)])
+            tf = np.concatenate([tf, *(bags[k][1] for k in long)])
+            order = np.argsort(cells, kind="stable")
+            cells, tf = cells[order], tf[order]
+        self.doc, self.term = cells // self.width, cells % self.width
+        lengths = np.bincount(self.doc, weights=tf, minlength=self.n)
         weight = idf[self.term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.doc] / max(mean_tokens, 1)))
         self.weight = weight.astype(np.float32)
         self.doc_at = np.searchsorted(self.doc, np.arange(self.n + 1))
+        self.unused, self.live = np.ones(self.n, dtype=bool), self.n
         order = np.argsort(self.term, kind="stable")
-        self.post_doc, self.post_weight = self.doc[order], self.weight[order]
-        self.term_at = np.searchsorted(self.term[order], np.arange(width + 1))
-        self.unused = np.ones(self.n, dtype=bool)
+        self._post(self.doc[order], self.term[order], self.weight[order])
+        self.scores = self._all_scores()
+
+    def _all_scores(self) -> np.ndarray | None:
+        """Scores of all documents for every seed, where postings are so long that a product of matrices costs less than walking them."""
+        counts = np.bincount(self.term, minlength=self.width)
+        terms = np.flatnonzero(counts)
+        cells = self.n * len(terms)
+        if self.query_terms is not None or self.n > DENSE_ROWS or cells > DENSE_CELLS or self.n * cells > DENSE_GAIN * (counts.astype(np.float64) ** 2).sum():
+            return None
+        weights = np.zeros((self.n, len(terms)), dtype=np.float32)
+        weights[self.doc, np.searchsorted(terms, self.term)] = self.weight
+        return (weights > 0).astype(np.float32) @ weights.T
+
+    def _post(self, doc: np.ndarray, term: np.ndarray, weight: np.ndarray) -> None:
+        self.post_doc, self.post_term, self.post_weight, self.posted = doc, term, weight, self.live
+        self.term_at = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=self.width))])
+
+    def use(self, k: int) -> None:
+        self.unused[k] = False
+        self.live -= 1
+        if 2 * self.live < self.posted:
+            kept = self.unused[self.post_doc]
+            self._post(self.post_doc[kept], self.post_term[kept], self.post_weight[kept])
 
     def neighbours(self, seed: int, most: int = NEIGHBOURS) -> list[int]:
-        """Unused documents with a positive score, best first, ties by place."""
+        """The unused documents with the highest scores, if positive, best first, ties by place."""
+        scores = self._walked(seed) if self.scores is None else self.scores[seed] * self.unused
+        found = np.flatnonzero(scores > 0)
+        if len(found) > most:
+            # All that tie with the last are kept for the sort, so that ties go by place.
+            least = np.partition(scores[found], len(found) - most)[len(found) - most]
+            found = found[scores[found] >= least]
+        return found[np.lexsort((found, -scores[found]))][:most].tolist()
+
+    def _walked(self, seed: int) -> np.ndarray:
+        """Scores by the postings of the seed's terms."""
         lo, hi = self.doc_at[seed], self.doc_at[seed + 1]
         terms = self.term[lo:hi]
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argpartition(-self.weight[lo:hi], QUERY_TERMS)[:QUERY_TERMS]]
-        spans = [(self.term_at[t], self.term_at[t + 1]) for t in terms.tolist()]
+        if self.query_terms is not None and len(terms) > self.query_terms:
+            terms = terms[np.argpartition(-self.weight[lo:hi], self.query_terms)[: self.query_terms]]
+        spans = list(zip(self.term_at[terms].tolist(), self.term_at[terms + 1].tolist(), strict=True))
         if not spans:
-            return []
+            return np.zeros(self.n)
         docs = np.concatenate([self.post_doc[a:b] for a, b in spans])
         scores = np.bincount(docs, weights=np.concatenate([self.post_weight[a:b] for a, b in spans]), minlength=self.n)
-        scores[~self.unused] = 0
-        found = np.flatnonzero(scores > 0)
-        if len(found) > most:
-            found = found[np.argpartition(-scores[found], most)[:most]]
-        return found[np.lexsort((found, -scores[found]))].tolist()
+        return scores * self.unused
 
 
-def pack_tails(tails: list[np.ndarray], idf: np.ndarray, mean_tokens: float, window: int = WINDOW) -> Iterator[list[tuple[int, int, int]]]:
+def pack_tails(tails: list[np.ndarray], idf: np.ndarray, mean_tokens: float, window: int = WINDOW, bags: list[Bag | None] | None = None, query_terms: int | None = None) -> Iterator[list[tuple[int, int, int]]]:
     """Sequences of (document, start, length); all but those at the end are exactly one window long."""
-    index, order = Index(tails, idf, mean_tokens), 0
+    index, order = Index(tails, idf, mean_tokens, bags, query_terms), 0
     lengths = [len(t) for t in tails]
     for k, n in enumerate(lengths):
         if not n:
-            index.unused[k] = False
+            index.use(k)
     rest: tuple[int, int, int] | None = None
     while True:
         if rest is None:
@@ -187,7 +241,7 @@ def pack_tails(tails: list[np.ndarray], idf: np.ndarray, mean_tokens: float, win
                 order += 1
             if order == index.n:
                 return
-            index.unused[order] = False
+            index.use(order)
             rest = (order, 0, lengths[order])
         pieces, room, seed = [rest], window - rest[2], rest[0]
         rest = None
@@ -199,21 +253,14 @@ def pack_tails(tails: list[np.ndarray], idf: np.ndarray, mean_tokens: float, win
                 if order == index.n:
                     break
                 ranked = [order]
-            over = None
             for k in ranked:
-                if lengths[k] <= room:
-                    index.unused[k] = False
-                    pieces.append((k, 0, lengths[k]))
-                    room -= lengths[k]
-                    if not room:
-                        break
-                elif over is None:
-                    over = k
-            if room and over is not None:
-                index.unused[over] = False
-                pieces.append((over, 0, room))
-                rest = (over, room, lengths[over] - room)
-                room = 0
+                index.use(k)
+                pieces.append((k, 0, min(room, lengths[k])))
+                if lengths[k] >= room:
+                    rest = (k, room, lengths[k] - room) if lengths[k] > room else None
+                    room = 0
+                    break
+                room -= lengths[k]
         if not room:
             yield pieces
             continue
@@ -243,10 +290,9 @@ PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa
 PIECES_DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def _packed(batches: Iterator[pa.RecordBatch], stats: Broadcast, window: int) -> Iterator[pa.RecordBatch]:
+def _packed(batches: Iterator[pa.RecordBatch], stats: Broadcast, window: int, shard_tokens: int, query_terms: int | None) -> Iterator[pa.RecordBatch]:
+    """Pieces of the rows of a range, a shard at a time."""
     idf, mean_tokens = stats.value
-    rows = [r for batch in batches for r in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)]
-    tails = [np.frombuffer(r[3], dtype="<u2").astype(np.int64) for r in rows]
     sequence = TaskContext.get().partitionId() << 36
     out: list[tuple] = []
 
@@ -255,39 +301,54 @@ def _packed(batches: Iterator[pa.RecordBatch], stats: Broadcast, window: int) ->
         out.clear()
         return made
 
-    for doc_id, n, crcs, _ in rows:
-        for k, crc in enumerate(crcs):
-            out.append((doc_id, k * window, window, crc, n, sequence, 0))
+    def shard(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        nonlocal sequence
+        tails = [np.frombuffer(r[3], dtype="<u2").astype(np.int64) for r in rows]
+        bags = [None if r[4] is None else (np.frombuffer(r[4], dtype="<u2").astype(np.int64), np.frombuffer(r[5], dtype="<u4").astype(np.int64)) for r in rows]
+        for doc_id, n, crcs, *_ in rows:
+            for k, crc in enumerate(crcs):
+                out.append((doc_id, k * window, window, crc, n, sequence, 0))
+                sequence += 1
+            if len(out) > 50_000:
+                yield flushed()
+        for pieces in pack_tails(tails, idf, mean_tokens, window, bags, query_terms):
+            offset = 0
+            for k, start, length in pieces:
+                doc_id, n, crcs, *_ = rows[k]
+                out.append((doc_id, len(crcs) * window + start, length, crc_of(tails[k][start : start + length]), n, sequence, offset))
+                offset += length
             sequence += 1
-        if len(out) > 50_000:
-            yield flushed()
-    for pieces in pack_tails(tails, idf, mean_tokens, window):
-        offset = 0
-        for k, start, length in pieces:
-            doc_id, n, crcs, _ = rows[k]
-            out.append((doc_id, len(crcs) * window + start, length, crc_of(tails[k][start : start + length]), n, sequence, offset))
-            offset += length
-        sequence += 1
-        if len(out) > 50_000:
-            yield flushed()
+            if len(out) > 50_000:
+                yield flushed()
+
+    rows, held = [], 0
+    for batch in slices(batches):
+        for *row, size in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+            rows.append(row)
+            held += size
+            if held >= shard_tokens:
+                yield from shard(rows)
+                rows, held = [], 0
+    yield from shard(rows)
     if out:
         yield flushed()
 
 
-def pack(docs: DataFrame, path: str, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def pack(docs: DataFrame, path: str, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS, query_terms: int | None = None) -> DataFrame:
     """One row per piece; every token of every document lies in exactly one."""
     context = docs.sparkSession.sparkContext
     file = context.broadcast(vocabulary_file(path))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     tokens = materialise(rows.mapInArrow(lambda b: _tokens(b, file, window), TOKENS_DDL), "tokens")
-    total = tokens.agg(F.count("rid").alias("n"), F.coalesce(F.sum("tail_tokens"), F.lit(0)).alias("t")).first()
+    total = tokens.agg(F.count("rid").alias("n"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("t"), F.coalesce(F.sum("size"), F.lit(0)).alias("s")).first()
     found = tokens.filter(F.col("rid").isNull()).select(F.explode(F.arrays_zip("terms", "counts")).alias("x"))
     counted = found.groupBy(F.col("x.terms").alias("term")).agg(F.sum("x.counts").alias("df")).toArrow()  # at most one row per token of the vocabulary
     df = np.zeros(1 << 16, dtype=np.float64)
     df[counted.column("term").to_numpy()] = counted.column("df").to_numpy()
     idf = np.log1p((total["n"] - df + 0.5) / (df + 0.5))
     stats = context.broadcast((idf, total["t"] / max(1, total["n"])))
-    shards = max(1, -(-total["t"] // shard_tokens))
+    shards = max(1, -(-total["s"] // shard_tokens))
+    ranges = max(-(-shards // TASK_SHARDS), min(shards, 4 * context.defaultParallelism))
     texts = tokens.filter(F.col("rid").isNotNull())
-    dealt = texts.repartitionByRange(shards, "k1", "k2", "rid").sortWithinPartitions("k1", "k2", "rid")
-    return dealt.select("doc_id", "n_tokens", "crcs", "tail").mapInArrow(lambda b: _packed(b, stats, window), PIECES_DDL)
+    dealt = texts.repartitionByRange(ranges, "k1", "k2", "rid").sortWithinPartitions("k1", "k2", "rid")
+    return dealt.select("doc_id", "n_tokens", "crcs", "tail", "words", "times", "size").mapInArrow(lambda b: _packed(b, stats, window, shard_tokens, query_terms), PIECES_DDL)

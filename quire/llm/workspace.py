@@ -28,17 +28,31 @@ def shared_root(spark: SparkSession) -> str:
     return "file://" + _own["root"]
 
 
+#: Rows that Spark hands to a Python function at a time while a table is written: few, as they may be whole texts.
+BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1024
+
+
+def run_folder(spark: SparkSession) -> str:
+    """The folder of this application's tables; other applications that share the root have their own."""
+    return f"{shared_root(spark)}/quire/{spark.sparkContext.applicationId}"
+
+
 def materialise(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back: a lost executor then costs a re-read, not a re-run."""
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/quire/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    path = f"{run_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    before = spark.conf.get(BATCH_SETTING)
+    spark.conf.set(BATCH_SETTING, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def clear(spark: SparkSession) -> None:
-    """Delete every table that materialise() has written under the shared folder; frames that read them end with it."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/quire")
+    """Delete every table that this application has written with materialise(); frames that read them end with it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

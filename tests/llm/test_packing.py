@@ -61,27 +61,31 @@ def test_words_match_the_library(library):
         assert np.frombuffer(words.encode(text), dtype="<u2").tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
-@pytest.mark.parametrize("shard", [packing.SHARD_TOKENS, 5000])
-def test_every_token_once_without_padding(spark, sf_dir, library, shard):
+@pytest.mark.parametrize(("shard", "terms"), [(packing.SHARD_TOKENS, None), (5000, None), (5000, 32)])
+def test_every_token_once_without_padding(spark, sf_dir, library, shard, terms):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select((-1 - packing.F.col("doc_id")).alias("doc_id"), "text").unionByName(edge_docs(spark).select("doc_id", "text"))
     want = defaultdict(list)
     for r in docs.collect():
         want[r.doc_id].append(ids_of(library, r.text))
-    check_pieces(packing.pack(docs, PATH, shard_tokens=shard).collect(), dict(want))
+    check_pieces(packing.pack(docs, PATH, shard_tokens=shard, query_terms=terms).collect(), dict(want))
 
 
 def test_empty(spark):
     assert packing.pack(empty_docs(spark), PATH).collect() == []
 
 
-def test_neighbours_follow_brute_force_scores():
+@pytest.mark.parametrize(("whole", "dense"), [(False, False), (True, False), (False, True), (True, True)])
+def test_neighbours_follow_brute_force_scores(whole, dense, monkeypatch):
+    """By all terms of whole texts, of which the rests may be a part."""
+    monkeypatch.setattr(packing, "DENSE_GAIN", 1e9 if dense else 0)
     rng = np.random.default_rng(2)
     tails = [rng.zipf(1.4, rng.integers(1, 60)).clip(max=299).astype(np.int64) for _ in range(80)]
     idf = rng.random(300)
     mean = float(np.mean([len(t) for t in tails]))
-    index = packing.Index(tails, idf, mean)
+    index = packing.Index([t[:2] if whole and k % 3 else t for k, t in enumerate(tails)], idf, mean, [np.unique(t, return_counts=True) if whole and k % 3 else None for k, t in enumerate(tails)])
+    assert (index.scores is not None) == dense
     for seed in range(80):
-        index.unused[seed] = False
+        index.use(seed)
         want = {}
         for k, t in enumerate(tails):
             terms, tf = np.unique(t, return_counts=True)
@@ -89,6 +93,7 @@ def test_neighbours_follow_brute_force_scores():
             score = sum(x for term, x in zip(terms, w) if term in tails[seed])
             if index.unused[k] and score > 0:
                 want[k] = score
+        assert index.neighbours(seed, 5) == index.neighbours(seed, 80)[:5]
         got = index.neighbours(seed, 80)
         assert set(got) == set(want)
         assert all(want[a] >= want[b] - 1e-5 for a, b in zip(got, got[1:]))

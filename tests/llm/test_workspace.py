@@ -7,9 +7,18 @@ from quire.llm import workspace
 def test_tables_live_in_the_shared_folder_until_cleared(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(workspace, "shared_root", lambda _: f"file://{tmp_path}")
     df = workspace.materialise(spark.range(5).toDF("k"), "t")
-    assert df.count() == 5 and len(list((tmp_path / "quire").iterdir())) == 1
+    own = tmp_path / "quire" / spark.sparkContext.applicationId
+    (tmp_path / "quire" / "other").mkdir()
+    assert df.count() == 5 and len(list(own.iterdir())) == 1
     workspace.clear(spark)
-    assert not (tmp_path / "quire").exists()
+    assert not own.exists() and (tmp_path / "quire" / "other").exists()
+
+
+def test_batches_are_small_while_a_table_is_written(spark):
+    before = spark.conf.get(workspace.BATCH_SETTING)
+    rows = spark.range(0, 5000, 1, 1).mapInArrow(lambda b: (pa.RecordBatch.from_pydict({"n": [x.num_rows]}) for x in b), "n long")
+    assert max(r.n for r in workspace.materialise(rows, "t").collect()) == workspace.BATCH_ROWS
+    assert spark.conf.get(workspace.BATCH_SETTING) == before
 
 
 def test_slices_keep_every_row():

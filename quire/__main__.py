@@ -1,15 +1,17 @@
 """Command line: index, extract, graph, retrieve, answer, ask and dump over one store.
 
-Models default to the offline ones. ``--embedder``, ``--extractor``, ``--reranker`` and ``--generator`` take
-``package.module:factory``, a callable without arguments that the workers can import.
+``--embedder``, ``--extractor``, ``--reranker`` and ``--generator`` take ``package.module:factory``, a callable without arguments
+that the workers can import. Without them the settings decide (``embedding.model`` and ``rerank.model`` name folders of local
+transformers, ``chat.base_url`` a service for the other two), and without those the offline models answer.
 """
 
 from __future__ import annotations
 
 import argparse
 import importlib
+import json
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import partial
 from pathlib import Path
 from typing import Any
@@ -18,11 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import models, prompts
+from quire.functions.remote import chat_of
 from quire.functions.text import snippet
+from quire.functions.transformer import embedder_of, reranker_of
 from quire.operators import graph as graphs
-from quire.operators.select import source_counts
+from quire.operators.select import merge_dedup, source_counts
 from quire.plans import flows
-from quire.settings import Settings
+from quire.settings import DEFAULTS, Settings, merged
 from quire.sources import files as sources
 from quire.sources.snapshots import SnapshotStore
 
@@ -34,11 +38,15 @@ DEFAULT_MODELS: dict[str, Callable[[], Any]] = {
 }
 
 
-def factory(kind: str, name: str | None) -> Callable[[], Any]:
-    if name is None:
-        return DEFAULT_MODELS[kind]
-    module, _, attribute = name.partition(":")
-    return getattr(importlib.import_module(module), attribute)
+def factory(kind: str, name: str | None, settings: Settings | None = None, stage: str = "") -> Callable[[], Any]:
+    """The model of a kind: the one named, else that of the settings for the stage, else the offline one."""
+    if name is not None:
+        module, _, attribute = name.partition(":")
+        return getattr(importlib.import_module(module), attribute)
+    made = None
+    if settings is not None:
+        made = embedder_of(settings) if kind == "embedder" else reranker_of(settings) if kind == "reranker" else chat_of(settings, stage)
+    return made or DEFAULT_MODELS[kind]
 
 
 def parser() -> argparse.ArgumentParser:
@@ -52,7 +60,8 @@ def parser() -> argparse.ArgumentParser:
     extract = commands.add_parser("extract", help="extract entities, relations and results from new and changed files")
     for one in (index, extract):
         one.add_argument("--data", required=True, help="folder of Markdown files")
-        one.add_argument("--limit", type=int, help="first files by name")
+    # An index follows its whole folder: files that a limit left out would count as removed.
+    extract.add_argument("--limit", type=int, help="first files by name")
     graph = commands.add_parser("graph", help="build the graph over the old one")
     graph.add_argument("--abbreviations", help="JSON object of short and full names")
     graph.add_argument("--reset", action="store_true", help="in place of the old one")
@@ -63,7 +72,8 @@ def parser() -> argparse.ArgumentParser:
         one.add_argument("--hops", type=int)
         one.add_argument("--top-n", type=int)
         one.add_argument("--points", action="store_true", help="show the compressed points as well")
-    commands.add_parser("dump", help="list the chunks of the index")
+    dump = commands.add_parser("dump", help="list the chunks of the index")
+    dump.add_argument("--to", help="write them to this folder as JSON lines instead")
     return top
 
 
@@ -72,13 +82,12 @@ class Library:
         self.spark, self.options = spark, options
         root = options.store.rstrip("/")
         self.index, self.extractions, self.graph = (SnapshotStore(spark, f"{root}/{n}") for n in ("index", "extractions", "graph"))
-        base = Settings.of_json(Path(options.settings).read_text(encoding="utf-8")) if options.settings else Settings()
+        given = json.loads(Path(options.settings).read_text(encoding="utf-8")) if options.settings else {}
         chosen = {n: getattr(options, n, None) for n in ("k", "hops")}
-        retrieval = base.get("retrieval", {}) | {n: x for n, x in chosen.items() if x is not None}
-        self.settings = Settings(base.values | {"retrieval": retrieval})
+        self.settings = Settings(merged(merged(DEFAULTS, given), {"retrieval": {n: x for n, x in chosen.items() if x is not None}}))
 
-    def model(self, kind: str) -> Callable[[], Any]:
-        return factory(kind, getattr(self.options, kind))
+    def model(self, kind: str, stage: str = "") -> Callable[[], Any]:
+        return factory(kind, getattr(self.options, kind), self.settings, stage)
 
     def chunks(self) -> DataFrame:
         return self.index.read("chunks", flows.CHUNKS)
@@ -86,60 +95,98 @@ class Library:
     def questions(self) -> DataFrame:
         return self.spark.createDataFrame([("q", self.options.question)], "query_id string, question string")
 
-    def found(self) -> DataFrame:
+    def found(self) -> tuple[DataFrame, DataFrame]:
+        """Chunks by vector and by graph, before they are merged."""
         queries = self.questions().select("query_id", models.embed(F.col("question"), self.model("embedder"), is_query=True).alias("embedding"))
         edges = self.graph.read("edges", flows.GRAPH_SCHEMAS["edges"])
         entities = self.graph.read("entities", flows.GRAPH_SCHEMAS["entities"]).select(graphs.entity_key(F.col("name"), F.col("type")).alias("entity"), "name", "type")
         plain = edges.select(F.col("src_key").alias("src"), "rel_type", F.col("dst_key").alias("dst"))
-        return flows.retrieve(queries, self.index.read("vectors", flows.VECTORS), plain, entities, flows.mentions_of(edges), self.settings)
+        return flows.retrieve_parts(queries, self.index.read("vectors", flows.VECTORS), plain, entities, flows.mentions_of(edges), self.settings)
 
     def points(self) -> DataFrame:
         top_n = self.options.top_n or self.settings.get("rerank.top_n", 10)
-        return flows.answer_points(self.questions(), self.found(), self.chunks(), self.model("reranker"), self.model("generator"), prompts.COMPRESSION, prompts.IRRELEVANT, prompts.FAILED, top_n)
+        compressor = self.model("generator", "compression")
+        return flows.answer_points(self.questions(), merge_dedup(*self.found()), self.chunks(), self.model("reranker"), compressor, prompts.COMPRESSION, prompts.IRRELEVANT, prompts.FAILED, top_n, self.settings)
 
 
-def run(spark: SparkSession, arguments: list[str]) -> list[str]:
-    """The lines that the command prints."""
+def run(spark: SparkSession, arguments: list[str]) -> Iterator[str]:
+    """The lines that the command prints, as they come."""
     options = parser().parse_args(arguments)
-    library = Library(spark, options)
-    if options.command in ("index", "extract"):
-        files = sources.scan_markdown(spark, options.data, options.limit)
-        if options.command == "index":
-            version = flows.update_index(files, library.index, library.model("embedder"), library.settings)
-        else:
-            version = flows.update_extractions(files, library.extractions, library.model("extractor"), library.settings)
-        return ["nothing changed" if version is None else f"version {version}"]
-    if options.command == "graph":
-        papers = library.extractions.read("extractions", flows.EXTRACTIONS)
-        if papers.isEmpty():
-            return ["no extractions: run extract first"]
-        short = sources.read_abbreviations(spark, options.abbreviations) if options.abbreviations else flows.abbreviation_table(spark, library.settings)
-        version = flows.update_graph(papers, library.chunks(), short, library.graph, options.reset)
-        whole = graphs.Graph(**{n: library.graph.read(n, s) for n, s in flows.GRAPH_SCHEMAS.items()})
-        counts = [*graphs.node_counts(graphs.node_keys(whole)).collect(), *graphs.edge_counts(whole.edges).collect()]
-        return [f"version {version}", *(f"{r[0]}: {r[1]}" for r in counts)]
-    if options.command == "dump":
-        rows = sources.index_dump(library.chunks().withColumn("source", F.col("filename"))).orderBy("chunk_id")
-        return [f"{r.chunk_id} ({r.source}, {r.n_chars} characters)\n{r.text}" for r in rows.toLocalIterator()]
-    if options.command == "retrieve":
-        found = library.found()
-        counts = source_counts(*(found.filter(F.col("source") == s) for s in ("vector", "graph"))).first()
-        rows = found.join(library.chunks().select("chunk_id", snippet(F.col("text")).alias("snippet")), "chunk_id").orderBy("merged_pos").collect()
-        head = f"{counts.vector_count if counts else 0} by vector, {counts.graph_count if counts else 0} by graph"
-        return [head, *(f"{r.chunk_id} [{r.source}] {r.snippet}" for r in rows)]
-    if options.command == "ask":
-        made = flows.flat_answers(library.questions(), library.index.read("vectors", flows.VECTORS), library.chunks(), library.model("embedder"), library.model("generator"), prompts.DEMO, prompts.FAILED, options.k or library.settings.get("retrieval.k", 5))
-        return [r.answer for r in made.collect()]
+    yield from COMMANDS[options.command](Library(spark, options))
+
+
+def _index(library: Library) -> Iterator[str]:
+    files = sources.scan_markdown(library.spark, library.options.data)
+    version = flows.update_index(files, library.index, library.model("embedder"), library.settings)
+    yield "nothing changed" if version is None else f"version {version}"
+
+
+def _extract(library: Library) -> Iterator[str]:
+    files = sources.scan_markdown(library.spark, library.options.data, library.options.limit)
+    progress: list[str] = []
+    version = flows.update_extractions(files, library.extractions, library.model("extractor", "extraction"), library.settings, lambda done, of: progress.append(f"{done} of {of} papers"))
+    yield from progress
+    yield "nothing changed" if version is None else f"version {version}"
+
+
+def _graph(library: Library) -> Iterator[str]:
+    spark, options = library.spark, library.options
+    papers = library.extractions.read("extractions", flows.EXTRACTIONS)
+    if papers.isEmpty():
+        yield "no extractions: run extract first"
+        return
+    short = sources.read_abbreviations(spark, options.abbreviations) if options.abbreviations else flows.abbreviation_table(spark, library.settings)
+    chunks = library.chunks()
+    version = flows.update_graph(papers, chunks, short, library.graph, options.reset)
+    whole = graphs.Graph(**{n: library.graph.read(n, s) for n, s in flows.GRAPH_SCHEMAS.items()})
+    yield f"version {version}"
+    yield "taken in: " + ", ".join(f"{n} {name}" for name, n in graphs.build_totals(papers, chunks, whole).first().asDict().items())
+    for r in (*graphs.node_counts(graphs.node_keys(whole)).collect(), *graphs.edge_counts(whole.edges).collect()):
+        yield f"{r[0]}: {r[1]}"
+
+
+def _dump(library: Library) -> Iterator[str]:
+    rows = sources.index_dump(library.chunks().withColumn("source", F.col("filename"))).orderBy("chunk_id")
+    if library.options.to:
+        rows.write.json(library.options.to)
+        yield f"written to {library.options.to}"
+        return
+    for r in rows.toLocalIterator():
+        yield f"{r.chunk_id} ({r.source}, {r.n_chars} characters)\n{r.text}"
+
+
+def _retrieve(library: Library) -> Iterator[str]:
+    vector, graph = library.found()
+    counts = source_counts(vector, graph).first()
+    rows = merge_dedup(vector, graph).join(library.chunks().select("chunk_id", snippet(F.col("text")).alias("snippet")), "chunk_id").orderBy("merged_pos").collect()
+    yield f"{counts.vector_count if counts else 0} by vector, {counts.graph_count if counts else 0} by graph, {len(rows)} merged"
+    for r in rows:
+        yield f"{r.chunk_id} [{r.source}] {r.snippet}"
+
+
+def _ask(library: Library) -> Iterator[str]:
+    k = library.options.k or library.settings.get("retrieval.k", 5)
+    made = flows.flat_answers(library.questions(), library.index.read("vectors", flows.VECTORS), library.chunks(), library.model("embedder"), library.model("generator", "demo"), prompts.DEMO, prompts.FAILED, k)
+    for r in made.collect():
+        yield r.answer
+
+
+def _answer(library: Library) -> Iterator[str]:
     points = library.points().orderBy("number").collect()  # at most top_n rows
-    kept = spark.createDataFrame(points, "query_id string, number int, chunk_id string, filename string, text string")
-    answer = flows.answers(library.questions(), kept, library.model("generator"), prompts.ANSWER, prompts.NO_SOURCE, prompts.FAILED).first().answer
-    return [answer, *(f"[{p.number}] {p.filename}" + (f": {p.text}" if options.points else "") for p in points)]
+    kept = library.spark.createDataFrame(points, "query_id string, number int, chunk_id string, filename string, text string")
+    yield flows.answers(library.questions(), kept, library.model("generator", "generation"), prompts.ANSWER, prompts.NO_SOURCE, prompts.FAILED).first().answer
+    for p in points:
+        yield f"[{p.number}] {p.filename}" + (f": {p.text}" if library.options.points else "")
+
+
+COMMANDS: dict[str, Callable[[Library], Iterator[str]]] = {"index": _index, "extract": _extract, "graph": _graph, "retrieve": _retrieve, "answer": _answer, "ask": _ask, "dump": _dump}
 
 
 def main() -> None:
     spark = SparkSession.builder.appName("quire").getOrCreate()
     try:
-        print("\n".join(run(spark, sys.argv[1:])))
+        for line in run(spark, sys.argv[1:]):
+            print(line, flush=True)
     finally:
         spark.stop()
 

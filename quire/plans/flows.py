@@ -29,7 +29,8 @@ GRAPH_SCHEMAS = {
 def update_index(files: DataFrame, store: SnapshotStore, embedder: Callable[[], models.Embedder], settings: Settings | None = None) -> int | None:
     """Bring chunks, vectors and manifest up to the listing in one commit; None if nothing changed.
 
-    Only new and modified files are split and embedded; those of removed and modified ones go.
+    Only new and modified files are split and embedded, once, and appended; the chunks of removed and modified ones are deleted by
+    the ids that the old manifest counts. What is unchanged stays where it is.
     """
     settings = settings or Settings()
     manifest = store.read("manifest", MANIFEST)
@@ -37,14 +38,18 @@ def update_index(files: DataFrame, store: SnapshotStore, embedder: Callable[[],
     changed = diff.filter("status <> 'unchanged'").select("filename")
     if changed.isEmpty():
         return None
-    fresh = chunk_files(files.join(sources.to_add(diff).select("filename"), "filename", "left_semi"), settings)
-    vectors = fresh.select("chunk_id", models.embed(F.col("text"), embedder, batch=settings.get("embedding.batch_size", 16)).alias("embedding"))
-    kept = store.read("chunks", CHUNKS).join(changed, "filename", "left_anti")
-    old_vectors = store.read("vectors", VECTORS).join(kept.select("chunk_id"), "chunk_id", "left_semi")
+    change = store.begin()
+    gone = sources.deleted_chunk_ids(diff).select("chunk_id")
+    change.delete("chunks", gone)
+    change.delete("vectors", gone)
+    fresh = change.append("chunks", chunk_files(files.join(sources.to_add(diff).select("filename"), "filename", "left_semi"), settings))
+    change.append("vectors", fresh.select("chunk_id", models.embed(F.col("text"), embedder, batch=settings.get("embedding.batch_size", 16)).alias("embedding")))
     counts = fresh.groupBy("filename").agg(F.count(F.lit(1)).cast("int").alias("chunk_count"))
     added = sources.to_add(diff).select("filename", "md5").join(counts, "filename", "left").select("filename", "md5", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"))
-    tables = {"chunks": kept.unionByName(fresh), "vectors": old_vectors.unionByName(vectors), "manifest": manifest.join(changed, "filename", "left_anti").unionByName(added)}
-    return store.commit(tables)
+    change.replace("manifest", manifest.join(changed, "filename", "left_anti").unionByName(added))
+    change.compact("chunks", CHUNKS)
+    change.compact("vectors", VECTORS)
+    return change.commit()
 
 
 def parse_extractions(raw: DataFrame) -> DataFrame:
@@ -61,58 +66,91 @@ def parse_extractions(raw: DataFrame) -> DataFrame:
     return result.withColumn("error", error).withColumn("result", F.when(F.col("error").isNull() & valid, F.col("result")))
 
 
+PERFORMANCE_FIELDS = ("method", "metric", "value", "condition", "dataset")
+
+
 def papers_of(parsed: DataFrame, files: DataFrame, schema_version: int) -> DataFrame:
-    """One row per file: distinct entities, relations, mentions and results of its chunks, each list in a total order."""
-    rows = parsed.filter(F.col("result").isNotNull()).select("filename", F.col("index").alias("chunk_index"), "result")
-    entities = rows.select("filename", "chunk_index", F.explode("result.entities").alias("e")).select("filename", "chunk_index", F.col("e.type").alias("type"), strip(F.col("e.name")).alias("name"))
-    relations = rows.select("filename", F.explode("result.relations").alias("r")).select("filename", strip(F.col("r.head")).alias("head"), F.col("r.relation").alias("relation"), strip(F.col("r.tail")).alias("tail"))
-    clean = [strip(F.coalesce(F.col(f"p.{n}"), F.lit(""))).alias(n) for n in ("method", "metric", "value", "condition", "dataset")]
-    performances = rows.select("filename", "chunk_index", F.explode(F.coalesce("result.performances", F.array())).alias("p")).select("filename", "chunk_index", *clean)
-    out = files.select("filename", F.col("text_md5").alias("content_hash"), "title", F.lit(schema_version).alias("schema_version"))
-    for name, own, columns in (
-        ("entities", entities, ["type", "name"]),
-        ("relations", relations, ["head", "relation", "tail"]),
-        ("performances", performances, ["chunk_index", "method", "metric", "value", "condition", "dataset"]),
-        ("mentions", entities, ["chunk_index", "type", "name"]),
-    ):
-        out = out.join(serialise(own, columns, name), "filename", "left").withColumn(name, F.coalesce(name, F.array()))
-    return out
-
-
-def serialise(rows: DataFrame, columns: list[str], name: str) -> DataFrame:
-    """filename and the sorted list of its distinct rows; a paper's lists are as long as the paper."""
-    return rows.select("filename", *columns).distinct().groupBy("filename").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
-
-
-def update_extractions(files: DataFrame, store: SnapshotStore, extractor: Callable[[], models.Extractor], settings: Settings | None = None) -> int | None:
-    """Extract what the kept extractions lack and commit; failed chunks are kept by their error and tried again next time."""
+    """One row per file: distinct entities, relations, mentions and results of its chunks, each list in a total order.
+
+    The lists of a chunk meet in one aggregation per file, and a paper's lists are as long as the paper. n_mentions and n_performances
+    count what the chunks said, before repeats were dropped.
+    """
+    index = F.col("index").alias("chunk_index")
+    rows = parsed.filter(F.col("result").isNotNull()).select(
+        "filename",
+        F.transform("result.entities", lambda e: F.struct(e["type"].alias("type"), strip(e["name"]).alias("name"))).alias("entities"),
+        F.transform("result.relations", lambda r: F.struct(strip(r["head"]).alias("head"), r["relation"].alias("relation"), strip(r["tail"]).alias("tail"))).alias("relations"),
+        F.transform(F.coalesce("result.performances", F.array()), lambda p: F.struct(index, *[strip(F.coalesce(p[n], F.lit(""))).alias(n) for n in PERFORMANCE_FIELDS])).alias("performances"),
+        F.transform("result.entities", lambda e: F.struct(index, e["type"].alias("type"), strip(e["name"]).alias("name"))).alias("mentions"),
+    )
+    names = ("entities", "relations", "performances", "mentions")
+    lists = rows.groupBy("filename").agg(*[F.flatten(F.collect_list(n)).alias(n) for n in names])
+    whole = files.select("filename", F.col("text_md5").alias("content_hash"), "title", F.lit(schema_version).alias("schema_version")).join(lists, "filename", "left")
+    every = {n: F.coalesce(F.col(n), F.array()) for n in names}
+    return whole.select(
+        "filename", "content_hash", "title", "schema_version", *[F.sort_array(F.array_distinct(x)).alias(n) for n, x in every.items()], *[F.size(every[n]).alias(f"n_{n}") for n in ("mentions", "performances")]
+    )
+
+
+FAILURES = "chunk_id string, filename string, error string"
+#: Commits of one run at most, however many papers it has.
+COMMITS = 64
+
+
+def update_extractions(files: DataFrame, store: SnapshotStore, extractor: Callable[[], models.Extractor], settings: Settings | None = None, report: Callable[[int, int], None] | None = None) -> int | None:
+    """Extract what the kept extractions lack, and commit about every ``extraction.commit_papers`` papers.
+
+    A run that stops keeps the papers of its commits, and the next one goes on with the rest. Failed chunks are kept by their error
+    and tried again next time. ``report`` is told how many papers of how many are done after each commit.
+    """
     settings = settings or Settings()
-    version = settings.get("extraction.schema_version", 1)
-    old, failed = store.read("extractions", EXTRACTIONS), store.read("failures", "chunk_id string, filename string, error string")
-    sound = old.join(failed.select("filename").distinct(), "filename", "left_anti")
+    version, size = settings.get("extraction.schema_version", 1), settings.get("extraction.commit_papers", 1000)
+    failed = store.read("failures", FAILURES)
+    sound = store.read("extractions", EXTRACTIONS).join(failed.select("filename").distinct(), "filename", "left_anti")
     todo = sources.cache_miss(files, sound, version)
-    if todo.isEmpty():
+    count = todo.count()
+    if not count:
         return None
-    chunks = chunk_files(todo, settings).withColumn("text", strip(F.col("text"))).filter("text <> ''")
-    # The replies are written before they are parsed: a lost task must not ask a model twice for the same table.
-    store.commit({"replies": models.extract(chunks, extractor)})
-    replies = store.read("replies", "chunk_id string, filename string, index int, title string, text string, raw string, error string")
-    parsed = parse_extractions(replies)
-    papers = papers_of(parsed, todo, version)
-    new = old.join(todo.select("filename"), "filename", "left_anti").unionByName(papers)
-    errors = failed.join(todo.select("filename"), "filename", "left_anti").unionByName(parsed.filter(F.col("error").isNotNull()).select("chunk_id", "filename", "error"))
-    return store.commit({"extractions": new, "failures": errors})
+    rounds = max(1, min(COMMITS, -(-count // size)))
+    if rounds > 1:
+        # Written once by round, so that no round reads the files of others.
+        change = store.begin()
+        todo = todo.select("filename", "title", "text", "text_md5", F.pmod(F.xxhash64("filename"), F.lit(rounds)).cast("int").alias("turn"))
+        change.replace("todo", todo, ["turn"])
+        change.commit()
+        todo = store.read("todo", "filename string, title string, text string, text_md5 string, turn int")
+    done = last = 0
+    for turn in [0] if rounds == 1 else [r["turn"] for r in todo.select("turn").distinct().orderBy("turn").collect()]:
+        own = todo if rounds == 1 else todo.filter(F.col("turn") == turn)
+        chunks = chunk_files(own, settings).withColumn("text", strip(F.col("text"))).filter("text <> ''")
+        change = store.begin()
+        # The replies are written before they are parsed: a lost task must not ask a model twice for the same table.
+        change.replace("replies", models.extract(chunks, extractor, settings.get("extraction.max_workers", 8)))
+        parsed = parse_extractions(change.read("replies", models.REPLIES))
+        for name in ("extractions", "failures"):
+            change.delete(name, own.select("filename"))
+        papers = change.append("extractions", papers_of(parsed, own, version))
+        change.append("failures", parsed.filter(F.col("error").isNotNull()).select("chunk_id", "filename", "error"))
+        done += papers.count()
+        change.compact("extractions", EXTRACTIONS)
+        change.compact("failures", FAILURES)
+        last = change.commit()
+        if report:
+            report(done, count)
+    return last
 
 
 def update_graph(extractions: DataFrame, chunks: DataFrame, abbreviations: DataFrame, store: SnapshotStore, reset: bool = False) -> int:
-    """Build the graph and commit it over the old one, or in its place."""
+    """Build the graph and commit it over the old one, or in its place; keys are checked before the version can be seen."""
     new = graphs.build(extractions, chunks, abbreviations)
     old = graphs.Graph(**{name: store.read(name, schema) for name, schema in GRAPH_SCHEMAS.items()})
     whole = new if reset or not store.versions() else graphs.upsert_graph(old, new)
-    version = store.commit(whole.tables(), {"edges": ["rel_type"]})
+    change = store.begin()
+    for name, df in whole.tables().items():
+        change.replace(name, df, ["rel_type"] if name == "edges" else ())
     for name, key in graphs.NODE_KEYS.items():
-        assert_unique(store.read(name, GRAPH_SCHEMAS[name]), key)
-    return version
+        assert_unique(change.read(name, GRAPH_SCHEMAS[name]), key)
+    return change.commit()
 
 
 def mentions_of(edges: DataFrame) -> DataFrame:
@@ -124,29 +162,34 @@ def retrieve(queries: DataFrame, vectors: DataFrame, edges: DataFrame, entities:
 
     queries: query_id, embedding; edges: src, rel_type, dst; entities: entity, name, type; mentions: entity, chunk_id.
     """
+    return select.merge_dedup(*retrieve_parts(queries, vectors, edges, entities, mentions, settings))
+
+
+def retrieve_parts(queries: DataFrame, vectors: DataFrame, edges: DataFrame, entities: DataFrame, mentions: DataFrame, settings: Settings | None = None) -> tuple[DataFrame, DataFrame]:
+    """What retrieve() merges: the rows of the vector search and those of the graph, which may share chunks."""
     get = (settings or Settings()).get
     hits = search.vector_topk(queries, vectors, get("retrieval.k", 5))
     seeds = traverse.seed_entities(hits, mentions)
     expanded = traverse.expand_entities(seeds, edges, entities, get("retrieval.hops", 2), get("retrieval.relation_types", []), get("retrieval.max_entities", 40))
     chosen = select.quota_select(traverse.entity_chunks(expanded, mentions), get("retrieval.max_per_entity", 3), get("retrieval.max_chunks", 20))
     graph = chosen.join(expanded.select("query_id", "rank", "hop", "n_seeds", F.col("name").alias("entity")), ["query_id", "rank"]).drop("rank")
-    vector = hits.select("query_id", "chunk_id", F.col("rank").alias("position"), "score")
-    return select.merge_dedup(vector, graph)
+    return hits.select("query_id", "chunk_id", F.col("rank").alias("position"), "score"), graph
 
 
-def answer_points(questions: DataFrame, found: DataFrame, chunks: DataFrame, reranker: Callable[[], models.Reranker], compressor: Callable[[], models.Generator], prompt: str, marker: str, failure: str, top_n: int = 10) -> DataFrame:
+def answer_points(questions: DataFrame, found: DataFrame, chunks: DataFrame, reranker: Callable[[], models.Reranker], compressor: Callable[[], models.Generator], prompt: str, marker: str, failure: str, top_n: int = 10, settings: Settings | None = None) -> DataFrame:
     """query_id, number, chunk_id, filename, text: the compressed, relevant points of each question, cited 1..n.
 
     questions: query_id, question; found: the output of retrieve; chunks: chunk_id, filename, text.
     ``prompt`` names {question}, {number}, {source} and ends with the text after a line of dashes.
     """
+    get = (settings or Settings()).get
     rows = found.join(chunks.select("chunk_id", "filename", "text"), "chunk_id").join(questions, "query_id")
-    scored = rows.withColumn("rerank_score", models.rerank_score(F.col("question"), F.col("text"), reranker))
+    scored = rows.withColumn("rerank_score", models.rerank_score(F.col("question"), F.col("text"), reranker, get("rerank.batch_size", 32)))
     top = select.rank_by_score(scored, top_n)
     asked = F.lit(prompt)
     for name, value in (("question", F.col("question")), ("number", F.col("rank").cast("string")), ("source", F.col("filename"))):
         asked = F.replace(asked, F.lit("{" + name + "}"), value)
-    pointed = top.withColumn("text", models.generate(F.concat(asked, F.lit("\n---\n"), F.col("text")), compressor, failure))
+    pointed = top.withColumn("text", models.generate(F.concat(asked, F.lit("\n---\n"), F.col("text")), compressor, failure, get("compression.max_workers", 4)))
     kept = select.renumber(pointed.filter(select.is_relevant(F.col("text"), marker, failure)))
     return kept.select("query_id", "number", "chunk_id", "filename", "text")
 

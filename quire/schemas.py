@@ -28,6 +28,7 @@ EXTRACTIONS = (
     "filename string, content_hash string, title string, schema_version int, "
     f"entities array<struct<type:string,name:string>>, relations array<{RELATION}>, "
     "performances array<struct<chunk_index:int,method:string,metric:string,value:string,condition:string,dataset:string>>, "
-    "mentions array<struct<chunk_index:int,type:string,name:string>>"
+    "mentions array<struct<chunk_index:int,type:string,name:string>>, "
+    "n_mentions int, n_performances int"
 )
 EDGES = "src_label string, src_key string, rel_type string, dst_label string, dst_key string"

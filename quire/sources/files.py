@@ -61,16 +61,12 @@ def abbreviations(rows: DataFrame) -> DataFrame:
 
 
 def read_extraction_json(spark: SparkSession, path: str) -> DataFrame:
-    """Papers of an extraction cache kept as one JSON object by filename; missing lists are empty."""
-    fields = EXTRACTIONS.removeprefix("filename string, ")
-    lists = {"entities", "relations", "performances", "mentions"}
-    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", _map_of(fields))).alias("filename", "e"))
-    names = [f.name for f in rows.schema["e"].dataType.fields]
-    return rows.select("filename", *[F.coalesce(F.col(f"e.{n}"), F.array()).alias(n) if n in lists else F.col(f"e.{n}").alias(n) for n in names])
-
-
-def _map_of(fields: str) -> MapType:
-    return MapType(StringType(), StructType.fromDDL(fields))
+    """Papers of an extraction cache kept as one JSON object by filename; missing lists are empty, counts are those of the lists."""
+    lists = ("entities", "relations", "performances", "mentions")
+    fields = StructType([f for f in StructType.fromDDL(EXTRACTIONS) if f.name != "filename" and not f.name.startswith("n_")])
+    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", MapType(StringType(), fields))).alias("filename", "e"))
+    papers = rows.select("filename", *[F.coalesce(F.col(f"e.{f.name}"), F.array()).alias(f.name) if f.name in lists else F.col(f"e.{f.name}").alias(f.name) for f in fields])
+    return papers.select("*", F.size("mentions").alias("n_mentions"), F.size("performances").alias("n_performances"))
 
 
 def index_dump(chunks: DataFrame) -> DataFrame:

@@ -1,57 +1,143 @@
-"""Versioned Parquet tables that commit together.
+"""Versioned tables that commit together, with appends and deletions that leave what is there in place.
 
-A version is a folder with one Parquet table per name; an empty marker file, created last, makes it visible. Readers take
-the newest marked version, so an interrupted writer leaves the old one. One writer at a time is assumed.
+A table is a list of parts, each a Parquet folder that one version wrote, and of deletions, each a folder of keys that hide rows of
+older parts. A version is a JSON marker that names the parts of every table; it is created last and makes the version visible, so
+an interrupted writer leaves the old one. Tables that a commit doesn't touch are carried forward by name. A table of more than
+``PARTS`` parts is written anew as one. One writer at a time is assumed.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 MARKER = "_COMMITTED"
+PARTS = 16
+_AT, _DELETED = "__version", "__deleted_at"
 
 
 class SnapshotStore:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
         self._jvm = spark.sparkContext._jvm
-        self._path = self._jvm.org.apache.hadoop.fs.Path(self.root)
-        self._fs = self._path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _path(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
 
     def versions(self) -> list[int]:
-        if not self._fs.exists(self._path):
+        if not self._fs.exists(self._path("")):
             return []
-        found = []
-        for status in self._fs.listStatus(self._path):
-            name = status.getPath().getName()
-            if name.startswith("v") and name[1:].isdigit() and self._fs.exists(self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/{MARKER}")):
-                found.append(int(name[1:]))
-        return sorted(found)
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(""))]
+        return sorted(int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit() and self._fs.exists(self._path(f"{n}/{MARKER}")))
+
+    def content(self, version: int | None = None) -> dict[str, list[dict]]:
+        """Parts and deletions of every table of a version, the newest by default: {"at", "rows"} or {"at", "gone", "key"}."""
+        if version is None:
+            version = (self.versions() or [0])[-1]
+        return json.loads(self._text(f"{_folder(version)}/{MARKER}")) if version else {}
 
-    def _folder(self, version: int) -> str:
-        return f"{self.root}/v{version:08d}"
+    def _text(self, name: str) -> str:
+        stream = self._fs.open(self._path(name))
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
 
     def read(self, table: str, schema: str) -> DataFrame:
         """The newest version's table, or an empty one."""
-        versions = self.versions()
-        if versions:
-            path = f"{self._folder(versions[-1])}/{table}"
-            if self._fs.exists(self._jvm.org.apache.hadoop.fs.Path(path)):
-                return self.spark.read.schema(schema).parquet(path)
-        return self.spark.createDataFrame([], schema)
+        return self._rows(self.content().get(table, []), schema)
+
+    def _rows(self, entries: list[dict], schema: str) -> DataFrame:
+        parts = [self.spark.read.schema(schema).parquet(f"{self.root}/{e['rows']}").withColumn(_AT, F.lit(e["at"])) for e in entries if "rows" in e]
+        if not parts:
+            return self.spark.createDataFrame([], schema)
+        rows = reduce(DataFrame.unionByName, parts)
+        gone: dict[str, list[DataFrame]] = {}
+        for e in entries:
+            if "gone" in e:
+                gone.setdefault(e["key"], []).append(self.spark.read.parquet(f"{self.root}/{e['gone']}").withColumn(_DELETED, F.lit(e["at"])))
+        for key, own in gone.items():
+            last = reduce(DataFrame.unionByName, own).groupBy(F.col(key).alias("__key")).agg(F.max(_DELETED).alias(_DELETED))
+            rows = rows.join(last, (rows[key] == last["__key"]) & (rows[_AT] < last[_DELETED]), "left_anti")
+        return rows.drop(_AT)
+
+    def begin(self) -> Transaction:
+        return Transaction(self)
 
     def commit(self, tables: dict[str, DataFrame], partitions: dict[str, list[str]] | None = None) -> int:
-        """Write all tables as the next version; they may read the current one."""
-        version = (self.versions() or [0])[-1] + 1
-        folder = self._folder(version)
-        self._fs.delete(self._jvm.org.apache.hadoop.fs.Path(folder), True)
+        """Put tables in place of those of their names, as the next version; they may read the current one."""
+        change = self.begin()
         for name, df in tables.items():
-            writer = df.write
-            if partitions and name in partitions:
-                writer = writer.partitionBy(*partitions[name])
-            writer.parquet(f"{folder}/{name}")
-        self._fs.create(self._jvm.org.apache.hadoop.fs.Path(f"{folder}/{MARKER}")).close()
-        return version
+            change.replace(name, df, (partitions or {}).get(name, ()))
+        return change.commit()
+
+    def expire(self, keep: int = 2) -> None:
+        """Delete the markers of all but the newest versions, and every folder that no kept version names."""
+        known = self.versions()
+        kept = known[-keep:]
+        named = {e.get("rows", e.get("gone")) for v in kept for entries in self.content(v).values() for e in entries}
+        for version in known[:-keep]:
+            self._fs.delete(self._path(f"{_folder(version)}/{MARKER}"), False)
+            for status in self._fs.listStatus(self._path(_folder(version))):
+                name = f"{_folder(version)}/{status.getPath().getName()}"
+                if name not in named:
+                    self._fs.delete(self._path(name), True)
+
+
+def _folder(version: int) -> str:
+    return f"v{version:08d}"
+
+
+class Transaction:
+    """The next version while it is written. Nothing of it is visible before commit()."""
+
+    def __init__(self, store: SnapshotStore) -> None:
+        self.store = store
+        self.version = (store.versions() or [0])[-1] + 1
+        self.tables = store.content()
+        store._fs.delete(store._path(_folder(self.version)), True)
+
+    def _write(self, name: str, df: DataFrame, partitions: Sequence[str] = ()) -> str:
+        place = f"{_folder(self.version)}/{name}"
+        writer = df.write.partitionBy(*partitions) if partitions else df.write
+        writer.parquet(f"{self.store.root}/{place}")
+        return place
+
+    def replace(self, name: str, df: DataFrame, partitions: Sequence[str] = ()) -> None:
+        self.tables[name] = [{"at": self.version, "rows": self._write(name, df, partitions)}]
+
+    def append(self, name: str, df: DataFrame) -> DataFrame:
+        """Add rows to a table; gives them back as written, so that what is derived from them reads them and not their plan."""
+        place = self._write(name, df)
+        self.tables[name] = [*self.tables.get(name, []), {"at": self.version, "rows": place}]
+        return self.store.spark.read.schema(df.schema).parquet(f"{self.store.root}/{place}")
+
+    def delete(self, name: str, keys: DataFrame) -> None:
+        """Hide the rows of older versions whose key is among keys (one column, named as the key)."""
+        [key] = keys.columns
+        if any("rows" in e and e["at"] < self.version for e in self.tables.get(name, [])):
+            self.tables[name] = [*self.tables[name], {"at": self.version, "gone": self._write(f"{name}.gone", keys.distinct()), "key": key}]
+
+    def read(self, name: str, schema: str) -> DataFrame:
+        """The table as it will be."""
+        return self.store._rows(self.tables.get(name, []), schema)
+
+    def compact(self, name: str, schema: str, parts: int = PARTS) -> None:
+        """Write the table anew if it has more than so many parts and deletions."""
+        if len(self.tables.get(name, [])) > parts:
+            whole = self._write(f"{name}.whole", self.read(name, schema))
+            self.tables[name] = [{"at": self.version, "rows": whole}]
+
+    def commit(self) -> int:
+        stream = self.store._fs.create(self.store._path(f"{_folder(self.version)}/{MARKER}"))
+        stream.write(json.dumps(self.tables).encode())
+        stream.close()
+        return self.version
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:

@@ -4,6 +4,7 @@ import pytest
 from quire.functions import models
 from quire.operators import search
 from quire.plans import flows
+from quire.settings import DEFAULTS, Settings, merged
 from quire.sources.files import scan_markdown
 from quire.sources.snapshots import SnapshotStore
 from quire.streaming.watch import index_arrivals
@@ -162,3 +163,138 @@ def test_answer_flow_reads_chunks_of_many_short_words(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(7, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert [r.answer for r in answer_flow(spark, str(tmp_path)).collect()] == ["[1] source: d_1.md"]
+
+
+def test_a_run_that_stops_keeps_its_commits(spark, library, tmp_path, monkeypatch):
+    """A failure after some commits, or between two writes of one, leaves the papers of the commits and hides none."""
+    store, settings = SnapshotStore(spark, f"file://{tmp_path}/e"), Settings(merged(DEFAULTS, {"extraction": {"commit_papers": 1}}))
+    files = scan_markdown(spark, str(library))
+    flows.update_extractions(files.filter("filename = 'one.md'"), store, models.RuleExtractor, settings)
+
+    def stop(done, of):
+        raise KeyboardInterrupt
+
+    write(library, four="# F\nMethod: X\n", five="# G\nMethod: Y\n")
+    files = scan_markdown(spark, str(library))
+    with pytest.raises(KeyboardInterrupt):
+        flows.update_extractions(files, store, models.RuleExtractor, settings, stop)
+    kept = {r.filename for r in store.read("extractions", flows.EXTRACTIONS).collect()}
+    assert "one.md" in kept and 1 < len(kept) < 5
+    with monkeypatch.context() as m:
+        m.setattr(flows, "parse_extractions", lambda _: 1 / 0)  # after the replies are written
+        with pytest.raises(ZeroDivisionError):
+            flows.update_extractions(files, store, models.RuleExtractor, settings)
+    assert {r.filename for r in store.read("extractions", flows.EXTRACTIONS).collect()} == kept
+    told = []
+    flows.update_extractions(files, store, models.RuleExtractor, settings, lambda *x: told.append(x))
+    assert told[-1] == (5 - len(kept), 5 - len(kept))
+    assert {r.filename for r in store.read("extractions", flows.EXTRACTIONS).collect()} == {f"{n}.md" for n in ("one", "two", "three", "four", "five")}
+
+
+def test_only_new_chunks_are_written(spark, library, tmp_path):
+    store = SnapshotStore(spark, f"file://{tmp_path}/index")
+
+    def update():
+        return flows.update_index(scan_markdown(spark, str(library)), store, models.HashEmbedder)
+
+    update()
+    first = store.content()["chunks"]
+    write(library, four="new")
+    (library / "two.md").unlink()
+    update()
+    entries = store.content()["chunks"]
+    assert entries[0] == first[0] and [sorted(e) for e in entries] == [["at", "rows"], ["at", "gone", "key"], ["at", "rows"]]
+    assert spark.read.parquet(f"{store.root}/{entries[2]['rows']}").count() == 1
+    for k in range(8):
+        write(library, four=f"again {k}")
+        update()
+    assert len(store.content()["chunks"]) <= 17
+    store.expire(1)
+    assert len(store.versions()) == 1
+    assert sorted(r.chunk_id for r in store.read("chunks", flows.CHUNKS).collect()) == ["four.md::0", "one.md::0", "three.md::0"]
+    assert sorted(r.chunk_id for r in store.read("vectors", flows.VECTORS).collect()) == ["four.md::0", "one.md::0", "three.md::0"]
+
+
+def test_keys_are_checked_before_a_version_is_seen(spark, tmp_path, monkeypatch):
+    store = SnapshotStore(spark, f"file://{tmp_path}/g")
+    twice = spark.createDataFrame([("a", "t"), ("a", "t")], flows.GRAPH_SCHEMAS["papers"])
+    none = {n: spark.createDataFrame([], s) for n, s in flows.GRAPH_SCHEMAS.items()}
+    monkeypatch.setattr(flows.graphs, "build", lambda *_: flows.graphs.Graph(**(none | {"papers": twice})))
+    with pytest.raises(ValueError, match="not unique"):
+        flows.update_graph(twice, twice, twice, store)
+    assert store.versions() == []
+
+
+def test_repeats_are_counted_before_they_are_dropped(spark):
+    raw = '{"entities": [{"name": "A", "type": "Task"}, {"name": " A", "type": "Task"}], "relations": [], "performances": [%s]}' % ", ".join(['{"method": "m", "metric": "x", "value": "1"}'] * 3)
+    rows = spark.createDataFrame([("f::0", "f", 0, raw, None)], "chunk_id string, filename string, index int, raw string, error string")
+    files = spark.createDataFrame([("f", "h", "t"), ("g", "h", "t")], "filename string, text_md5 string, title string")
+    papers = {r.filename: r for r in flows.papers_of(flows.parse_extractions(rows), files, 2).collect()}
+    assert (len(papers["f"].mentions), papers["f"].n_mentions, len(papers["f"].performances), papers["f"].n_performances) == (1, 2, 1, 3)
+    assert papers["g"].mentions == [] and papers["g"].n_mentions == 0
+
+
+def test_models_are_built_once_and_called_side_by_side(spark, tmp_path):
+    class Slow(models.RuleExtractor):
+        def __init__(self):
+            (tmp_path / f"built-{np.random.default_rng().integers(1 << 40)}").touch()
+
+        def extract(self, text, title):
+            import threading
+            import time
+
+            (tmp_path / f"thread-{threading.get_ident()}").touch()
+            time.sleep(0.05)
+            return super().extract(text, title)
+
+    rows = spark.createDataFrame([(f"f::{k}", "f", k, "t", "Method: A") for k in range(12)], "chunk_id string, filename string, index int, title string, text string").repartition(1)
+    for _ in range(12):
+        made = models.extract(rows, Slow, 4).collect()
+        assert len(made) == 12 and all(r.chunk_id == f"f::{r['index']}" and "A" in r.raw for r in made)
+    assert len(list(tmp_path.glob("built-*"))) < 12
+    assert len(list(tmp_path.glob("thread-*"))) > 1
+
+
+def onnx_gather(table):
+    """A model in ONNX form, spelled out: the rows of a table by input_ids."""
+
+    def number(n):
+        out = bytearray()
+        while True:
+            out.append(n & 127 | (128 if n > 127 else 0))
+            n >>= 7
+            if not n:
+                return bytes(out)
+
+    def field(k, x):
+        return number(k << 3) + number(x) if isinstance(x, int) else number(k << 3 | 2) + number(len(x)) + x
+
+    def value(name, kind, dims):
+        shape = b"".join(field(1, field(2, d)) for d in dims)
+        return field(1, name) + field(2, field(1, field(1, kind) + field(2, shape)))
+
+    node = field(1, b"table") + field(1, b"input_ids") + field(2, b"states") + field(4, b"Gather")
+    weights = b"".join(field(1, d) for d in table.shape) + field(2, 1) + field(8, b"table") + field(9, table.astype("<f4").tobytes())
+    graph = field(1, node) + field(2, b"g") + field(5, weights) + field(11, value(b"input_ids", 7, [b"n", b"t"])) + field(12, value(b"states", 1, [b"n", b"t", b"d"]))
+    return field(1, 8) + field(7, graph) + field(8, field(2, 13))
+
+
+def test_transformers_in_onnx_form(tmp_path):
+    pytest.importorskip("onnxruntime")
+    from tokenizers import Tokenizer, models as parts, pre_tokenizers
+
+    from quire.functions.transformer import embedder_of, reranker_of
+
+    words = {w: k for k, w in enumerate(["[PAD]", "[UNK]", "ask", "a", "b", "c"])}
+    own = Tokenizer(parts.WordLevel(words, unk_token="[UNK]"))
+    own.pre_tokenizer = pre_tokenizers.Whitespace()
+    own.save(str(tmp_path / "tokenizer.json"))
+    table = np.arange(18.0).reshape(6, 3)
+    (tmp_path / "model.onnx").write_bytes(onnx_gather(table))
+    settings = Settings({"embedding": {"model": str(tmp_path), "instruction": "ask "}, "rerank": {"model": str(tmp_path), "max_length": 2}})
+    embedder = embedder_of(settings)()
+    assert embedder.embed(["a b c", "a"], False).tolist() == [table[5].tolist(), table[3].tolist()]  # the last token of each, padded or not
+    assert embedder.embed(["ask"], False).tolist() == [table[2].tolist()]
+    reranker = reranker_of(settings)()
+    assert reranker.score([("a", "b"), ("b", "c")]) == [table[3][0], table[4][0]]
+    assert embedder_of(Settings()) is None and reranker_of(Settings()) is None

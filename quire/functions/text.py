@@ -1,4 +1,4 @@
-"""Scalar text functions. All but norm_key are JVM expressions; norm_key needs NFKC and case folding, which Spark lacks."""
+"""Scalar text functions. All are JVM expressions, but for names outside ASCII in norm_key, whose NFKC and case folding Spark lacks."""
 
 from __future__ import annotations
 
@@ -47,11 +47,19 @@ def norm_text(name: str) -> str:
 
 
 @F.pandas_udf(StringType())
-def norm_key(names: pd.Series) -> pd.Series:
-    """Arrow-batched norm_text; callers pass distinct names where they can."""
+def _folded(names: pd.Series) -> pd.Series:
     return names.map(norm_text, na_action="ignore")
 
 
+def norm_key(name: Column | str) -> Column:
+    """norm_text; only names outside ASCII go to Python. Callers pass distinct names where they can."""
+    name = F.col(name) if isinstance(name, str) else name
+    plain = name.rlike("\\A[\\x00-\\x7f]*\\z")
+    # Blanks of ASCII as Python has them.
+    spaced = F.regexp_replace(F.translate(name, "_-", "  "), "[\\t-\\r\\x1c-\\x20]+", " ")
+    return F.when(plain, F.lower(F.trim(spaced))).otherwise(_folded(F.when(~plain, name)))
+
+
 def has_both_cases(name: Column) -> Column:
     return (name.rlike("\\p{IsUppercase}") & name.rlike("\\p{IsLowercase}")).cast("int")
 

@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import has_both_cases, norm_key
 
-#: Rows of the abbreviation table up to which it is sent to every executor.
-BROADCAST_ROWS = 100_000
+#: Rows and bytes of the abbreviation table up to which it is sent to every executor.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 16 << 20
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows; else Spark joins it by a shuffle."""
-    return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).take(rows + 1)) <= rows else df
+def small(df: DataFrame) -> DataFrame:
+    """df (of strings) with a broadcast hint if it is measured to be small; else Spark joins it by a shuffle."""
+    size = df.agg(F.count(F.lit(1)).alias("n"), F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in df.columns), F.lit(0)).cast("long")).alias("bytes")).first()
+    return F.broadcast(df) if size["n"] <= BROADCAST_ROWS and (size["bytes"] or 0) <= BROADCAST_BYTES else df
 
 
 def expand_abbreviations(names: DataFrame, table: DataFrame) -> DataFrame:

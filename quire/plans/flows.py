@@ -142,10 +142,15 @@ def update_extractions(files: DataFrame, store: SnapshotStore, extractor: Callab
 
 def update_graph(extractions: DataFrame, chunks: DataFrame, abbreviations: DataFrame, store: SnapshotStore, reset: bool = False) -> int:
     """Build the graph and commit it over the old one, or in its place; keys are checked before the version can be seen."""
-    new = graphs.build(extractions, chunks, abbreviations)
+    change = store.begin()
+
+    def keep(name: str, df: DataFrame) -> DataFrame:
+        change.replace(name, df)
+        return change.read(name, df.schema)
+
+    new = graphs.build(extractions, chunks, abbreviations, keep)
     old = graphs.Graph(**{name: store.read(name, schema) for name, schema in GRAPH_SCHEMAS.items()})
     whole = new if reset or not store.versions() else graphs.upsert_graph(old, new)
-    change = store.begin()
     for name, df in whole.tables().items():
         change.replace(name, df, ["rel_type"] if name == "edges" else ())
     for name, key in graphs.NODE_KEYS.items():

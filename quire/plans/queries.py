@@ -20,6 +20,7 @@ from quire.operators import graph, resolve, search, select, traverse
 from quire.plans import flows
 from quire.settings import Settings
 from quire.sources import files
+from quire.sources.scratch import materialise
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -345,9 +346,9 @@ def _star(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame
     entities = _t(spark, sf, "part").select(_key("P", "p_partkey").alias("entity"), F.col("p_name").alias("name"), F.lit("Method").alias("type"))
     entities = entities.unionByName(suppliers.select(_key("S", "s_suppkey").alias("entity"), F.col("s_name").alias("name"), F.lit("Dataset").alias("type")))
     entities = entities.unionByName(_t(spark, sf, "nation").select(_key("N", "n_nationkey").alias("entity"), F.col("n_name").alias("name"), F.lit("Task").alias("type")))
-    many = items.filter("l_quantity > 40").select("l_partkey", "l_suppkey", _key("o", "l_orderkey").alias("chunk_id"))
-    mentions = many.select(_key("P", "l_partkey").alias("entity"), "chunk_id").unionByName(many.select(_key("S", "l_suppkey").alias("entity"), "chunk_id"))
-    return edges, entities, mentions.distinct()
+    named = F.explode(F.array(_key("P", "l_partkey"), _key("S", "l_suppkey")))
+    mentions = items.select(named.alias("entity"), _key("o", "l_orderkey").alias("chunk_id")).distinct()
+    return edges, entities, mentions
 
 
 def _seeds(spark: SparkSession, sf: str) -> DataFrame:
@@ -360,12 +361,15 @@ e AS (SELECT DISTINCT 'P' || l_partkey AS src, CASE WHEN l_quantity > 48 THEN 'E
       UNION ALL SELECT 'S' || s_suppkey, 'INVOLVES', 'N' || s_nationkey FROM supplier),
 x AS (SELECT 'P' || p_partkey AS entity, p_name AS name, 'Method' AS type FROM part UNION ALL SELECT 'S' || s_suppkey, s_name, 'Dataset' FROM supplier
       UNION ALL SELECT 'N' || n_nationkey, n_name, 'Task' FROM nation),
-m AS (SELECT DISTINCT unnest(['P' || l_partkey, 'S' || l_suppkey]) AS entity, 'o' || l_orderkey AS chunk_id FROM lineitem WHERE l_quantity > 40),
+m AS (SELECT DISTINCT unnest(['P' || l_partkey, 'S' || l_suppkey]) AS entity, 'o' || l_orderkey AS chunk_id FROM lineitem),
 seed AS (SELECT DISTINCT o_orderkey AS query_id, entity FROM orders JOIN m ON chunk_id = 'o' || o_orderkey WHERE o_orderkey % 20 = 0),
 near AS (SELECT src, dst FROM e WHERE rel_type IN ('EVALUATED_ON', 'INVOLVES') UNION SELECT dst, src FROM e WHERE rel_type IN ('EVALUATED_ON', 'INVOLVES')),
+"""
+_REACHED = """
 one AS (SELECT DISTINCT query_id, entity AS seed, dst AS node, 1 AS hop FROM seed JOIN near ON entity = src),
 two AS (SELECT DISTINCT query_id, seed, dst AS node, 2 AS hop FROM one JOIN near ON node = src WHERE dst <> seed)
 """
+_STAR += _REACHED
 _EXPANDED = """, g AS (SELECT query_id, node AS entity, min(hop)::INTEGER AS hop, count(DISTINCT seed) AS n_seeds FROM {reached} r
  WHERE NOT EXISTS (FROM seed s WHERE s.query_id = r.query_id AND s.entity = r.node) GROUP BY ALL),
 ranked AS (SELECT query_id, entity, name, type, hop, n_seeds, row_number() OVER (PARTITION BY query_id ORDER BY hop, n_seeds DESC, name, type, entity)::INTEGER AS rank FROM g JOIN x USING (entity)),
@@ -393,7 +397,8 @@ def expand_2hop(spark: SparkSession, sf: str) -> DataFrame:
     return _expanded(spark, sf, 2)
 
 
-_CANDIDATES = "WITH RECURSIVE " + _STAR + _EXPANDED.format(reached="one") + ", c AS (SELECT query_id, entity, rank, chunk_id FROM top JOIN m USING (entity))"
+_MENTIONED = ", c AS (SELECT DISTINCT query_id, entity, rank, chunk_id FROM top JOIN m USING (entity))"
+_CANDIDATES = "WITH RECURSIVE " + _STAR + _EXPANDED.format(reached="one") + _MENTIONED
 
 
 @query(_CANDIDATES + " SELECT * FROM c")
@@ -405,9 +410,7 @@ def _chosen(spark: SparkSession, sf: str) -> DataFrame:
     return select.quota_select(traverse.entity_chunks(_expanded(spark, sf, 1), _star(spark, sf)[2]), 3, 20)
 
 
-_QUOTA = (
-    _CANDIDATES
-    + """,
+_WALK = """,
 kept AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY query_id, rank ORDER BY chunk_id) <= 22),
 p AS (SELECT query_id, rank, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rank, chunk_id) AS step FROM kept),
 walk AS (SELECT query_id, 0::BIGINT AS step, []::VARCHAR[] AS taken, []::INTEGER[] AS ranks FROM (SELECT DISTINCT query_id FROM p)
@@ -417,10 +420,9 @@ walk AS (SELECT query_id, 0::BIGINT AS step, []::VARCHAR[] AS taken, []::INTEGER
           FROM walk w JOIN p ON p.query_id = w.query_id AND p.step = w.step + 1 WHERE len(taken) < 20) w),
 done AS (SELECT query_id, arg_max(taken, step) AS taken, arg_max(ranks, step) AS ranks FROM walk GROUP BY query_id)
 """
-)
 
 
-@query(_QUOTA + "SELECT query_id, unnest(ranks) AS rank, unnest(taken) AS chunk_id, unnest(range(len(taken)))::INTEGER AS position FROM done")
+@query(_CANDIDATES + _WALK + "SELECT query_id, unnest(ranks) AS rank, unnest(taken) AS chunk_id, unnest(range(len(taken)))::INTEGER AS position FROM done")
 def quota_select(spark: SparkSession, sf: str) -> DataFrame:
     return _chosen(spark, sf)
 
@@ -453,12 +455,12 @@ def node_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return _upserted(spark, sf)
 
 
-def _paper_graph(spark: SparkSession, sf: str) -> graph.Graph:
+def _paper_graph(spark: SparkSession, sf: str, no_order: int = 1, no_part: int = 2) -> graph.Graph:
     """Orders as papers, parts as entities; some parts and orders are left out, so that edges to them dangle."""
     orders, parts, items = (_t(spark, sf, n) for n in ("orders", "part", "lineitem"))
-    papers = orders.filter("o_orderkey % 10 <> 1").select(_key("o", "o_orderkey").alias("filename"), F.col("o_orderpriority").alias("title"))
+    papers = orders.filter(F.col("o_orderkey") % 10 != no_order).select(_key("o", "o_orderkey").alias("filename"), F.col("o_orderpriority").alias("title"))
     chunks = papers.select(F.concat("filename", F.lit("::0")).alias("chunk_id"), "filename", F.lit(0).alias("index"), F.col("title").alias("text"))
-    entities = parts.filter("p_partkey % 10 <> 2").select(_key("P", "p_partkey").alias("name"), F.lit("Method").alias("type"))
+    entities = parts.filter(F.col("p_partkey") % 10 != no_part).select(_key("P", "p_partkey").alias("name"), F.lit("Method").alias("type"))
     results = spark.createDataFrame([], flows.GRAPH_SCHEMAS["results"])
     uses = items.select(F.lit("Paper").alias("src_label"), _key("o", "l_orderkey").alias("src_key"), F.lit("USES").alias("rel_type"), F.lit("Entity").alias("dst_label"), graph.entity_key(_key("P", "l_partkey"), F.lit("Method")).alias("dst_key"))
     named = chunks.select(F.lit("Chunk").alias("src_label"), F.col("chunk_id").alias("src_key"), F.lit("PART_OF").alias("rel_type"), F.lit("Paper").alias("dst_label"), F.col("filename").alias("dst_key"))
@@ -467,19 +469,22 @@ def _paper_graph(spark: SparkSession, sf: str) -> graph.Graph:
     return made
 
 
-_PAPERS = """
-p AS (SELECT 'o' || o_orderkey AS filename FROM orders WHERE o_orderkey % 10 <> 1),
-n AS (SELECT 'P' || p_partkey AS name FROM part WHERE p_partkey % 10 <> 2),
-e AS (SELECT DISTINCT 'Paper' AS src_label, 'o' || l_orderkey AS src_key, 'USES' AS rel_type, 'Entity' AS dst_label, 'Method' || chr(31) || 'P' || l_partkey AS dst_key
-      FROM lineitem WHERE 'o' || l_orderkey IN (FROM p) AND 'P' || l_partkey IN (FROM n)
-      UNION ALL SELECT 'Chunk', filename || '::0', 'PART_OF', 'Paper', filename FROM p)
+def _papers_sql(no_order: int = 1, no_part: int = 2, tag: str = "") -> str:
+    return f"""
+p{tag} AS (SELECT 'o' || o_orderkey AS filename FROM orders WHERE o_orderkey % 10 <> {no_order}),
+n{tag} AS (SELECT 'P' || p_partkey AS name FROM part WHERE p_partkey % 10 <> {no_part}),
+e{tag} AS (SELECT DISTINCT 'Paper' AS src_label, 'o' || l_orderkey AS src_key, 'USES' AS rel_type, 'Entity' AS dst_label, 'Method' || chr(31) || 'P' || l_partkey AS dst_key
+      FROM lineitem WHERE 'o' || l_orderkey IN (FROM p{tag}) AND 'P' || l_partkey IN (FROM n{tag})
+      UNION ALL SELECT 'Chunk', filename || '::0', 'PART_OF', 'Paper', filename FROM p{tag})
 """
 
 
-@query("WITH " + _PAPERS + "SELECT * FROM e")
+_PAPERS = _papers_sql()
+
+
+@query("WITH " + _papers_sql(1, 2, "1") + "," + _papers_sql(4, 5, "2") + "SELECT * FROM e1 UNION SELECT * FROM e2")
 def edge_upsert(spark: SparkSession, sf: str) -> DataFrame:
-    made = _paper_graph(spark, sf)
-    return graph.upsert_graph(made, made).edges
+    return graph.upsert_graph(_paper_graph(spark, sf), _paper_graph(spark, sf, 4, 5)).edges
 
 
 @query("WITH " + _PAPERS + "SELECT 'Paper' AS label, count(*) AS n FROM p UNION ALL SELECT 'Chunk', count(*) FROM p UNION ALL SELECT 'Entity', count(*) FROM n")
@@ -503,10 +508,148 @@ def build_summary(spark: SparkSession, sf: str) -> DataFrame:
     return graph.build_summary(flows.papers_of(flows.parse_extractions(replies), listing, 2))
 
 
+# The whole build
+
+
+_TITLE = "CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderpriority END"
+
+
+def _extracted(spark: SparkSession, sf: str) -> DataFrame:
+    """Extractions of the orders as papers: line items name parts in three spellings, suppliers in two, and results that may be blank."""
+    n, q = F.col("l_linenumber").cast("int"), F.col("l_quantity")
+    part = F.concat(F.lit("part-"), (F.col("l_partkey") % 400).cast("string"))
+    method = F.when(n % 3 == 0, F.upper(part)).when(n % 3 == 1, part).otherwise(F.initcap(part))
+    supplier = F.concat(F.when(n % 2 == 0, "Supp_").otherwise("SUPP "), (F.col("l_suppkey") % 30).cast("string"))
+    scenario, task = F.concat(F.lit("scene "), (F.col("l_suppkey") % 7).cast("string")), F.concat(F.lit("Task "), (F.col("l_partkey") % 20).cast("string"))
+    metric = F.when(F.col("l_returnflag") == "A", "acc").when(F.col("l_returnflag") == "N", " Accuracy").otherwise("F1")
+    relation = F.element_at(F.array(*map(F.lit, ("USES", "EVALUATED_ON", "TARGETS", "APPLIES_TO", "ADDRESSES", "INVOLVES", "LIKES"))), n)
+    head = F.when(n.isin(2, 4), method).when(n == 6, scenario).otherwise("this paper")
+    tail = F.when(n == 1, method).when(n == 2, supplier).when(n.isin(4, 5), scenario).otherwise(task)
+    value = F.when(q < 4, " ").otherwise(F.concat(q.cast("long").cast("string"), F.lit("%")))
+    result = F.struct(n.alias("chunk_index"), F.when((n == 5) & (F.col("l_returnflag") == "R"), "").otherwise(method).alias("method"), metric.alias("metric"), value.alias("value"), F.lit("").alias("condition"), F.when(F.col("l_linestatus") == "O", supplier).otherwise(" ").alias("dataset"))
+
+    def listed(x: Column, when: Column | None = None) -> Column:
+        return F.sort_array(F.collect_list(F.struct(n.alias("n"), (x if when is None else F.when(when, x)).alias("x"))))
+
+    lists = _t(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        listed(F.struct(F.lit("Method").alias("type"), method.alias("name")), n <= 4).alias("e"),
+        listed(F.struct(head.alias("head"), relation.alias("relation"), tail.alias("tail"))).alias("r"),
+        listed(result).alias("p"),
+        listed(F.struct(n.alias("chunk_index"), F.lit("Method").alias("type"), method.alias("name"))).alias("m"),
+    )
+
+    def bare(name: str) -> Column:
+        return F.filter(F.transform(F.coalesce(F.col(name), F.array()), lambda x: x["x"]), lambda x: x.isNotNull())
+
+    papers = _t(spark, sf, "orders").select("o_orderkey", _key("o", "o_orderkey").alias("filename"), F.expr(_TITLE).alias("title")).join(lists, "o_orderkey", "left")
+    return papers.select(
+        "filename", F.lit("h").alias("content_hash"), "title", F.lit(2).alias("schema_version"), F.array_distinct(bare("e")).alias("entities"), bare("r").alias("relations"), bare("p").alias("performances"),
+        bare("m").alias("mentions"), F.size(bare("m")).alias("n_mentions"), F.size(bare("p")).alias("n_performances"),
+    )
+
+
+def _built(spark: SparkSession, sf: str) -> graph.Graph:
+    """Chunks 0 to 3 of most orders; mentions in later ones, and in those of the others, dangle."""
+    papers = _t(spark, sf, "orders").filter("o_orderkey % 10 <> 1").select(_key("o", "o_orderkey").alias("filename"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("index"))
+    chunks = papers.select(t.chunk_id(F.col("filename"), F.col("index")).alias("chunk_id"), "filename", "index", F.concat(F.lit("text "), F.col("index").cast("string")).alias("text"))
+    short = files.abbreviations(spark.createDataFrame([(0, "acc", "Accuracy")], "place int, short string, full_name string"))
+    return graph.build(_extracted(spark, sf), chunks, short, lambda name, df: materialise(df, name))
+
+
+_BUILT = f"""
+l0 AS (SELECT 'o' || l_orderkey AS f, l_linenumber::INTEGER AS n, 'part-' || (l_partkey % 400) AS part, (l_suppkey % 30)::VARCHAR AS s, 'scene ' || (l_suppkey % 7) AS scenario, 'Task ' || (l_partkey % 20) AS task,
+       CASE l_returnflag WHEN 'A' THEN 'Accuracy' WHEN 'N' THEN 'Accuracy' ELSE 'F1' END AS metric, l_returnflag, l_linestatus, l_quantity FROM lineitem),
+l AS (SELECT *, CASE n % 3 WHEN 0 THEN upper(part) WHEN 1 THEN part ELSE 'P' || substr(part, 2) END AS method, CASE WHEN n % 2 = 0 THEN 'Supp_' ELSE 'SUPP ' END || s AS supplier FROM l0),
+perf AS (SELECT f, n, CASE WHEN n = 5 AND l_returnflag = 'R' THEN '' ELSE method END AS method, metric, (l_quantity::BIGINT) || '%' AS value, CASE WHEN l_linestatus = 'O' THEN supplier ELSE '' END AS dataset FROM l WHERE l_quantity >= 4),
+rel AS (SELECT f, n, CASE n WHEN 1 THEN 'USES' WHEN 2 THEN 'EVALUATED_ON' WHEN 3 THEN 'TARGETS' WHEN 4 THEN 'APPLIES_TO' WHEN 5 THEN 'ADDRESSES' ELSE 'INVOLVES' END AS relation,
+        CASE WHEN n IN (2, 4) THEN method WHEN n = 6 THEN scenario END AS head, CASE WHEN n IN (2, 4) THEN 'Method' WHEN n = 6 THEN 'ProblemScenario' END AS head_type,
+        CASE WHEN n = 1 THEN method WHEN n = 2 THEN supplier WHEN n IN (4, 5) THEN scenario ELSE task END AS tail,
+        CASE n WHEN 1 THEN 'Method' WHEN 2 THEN 'Dataset' WHEN 4 THEN 'ProblemScenario' WHEN 5 THEN 'ProblemScenario' ELSE 'Task' END AS tail_type FROM l WHERE n <= 6),
+listed AS (SELECT method AS name, 'Method' AS type, count(DISTINCT f) AS c FROM l WHERE n <= 4 GROUP BY ALL),
+canon AS (SELECT {_key_sql("name")} AS k, type, arg_max(name, row(c, (regexp_matches(name, '[A-Z]') AND regexp_matches(name, '[a-z]'))::INTEGER, name)) AS canonical FROM listed GROUP BY ALL),
+met AS (SELECT method AS name, 'Method' AS type, f, 0 AS phase, n, 0 AS slot FROM l
+        UNION ALL SELECT method, 'Method', f, 1, n, 0 FROM perf UNION ALL SELECT metric, 'Metric', f, 1, n, 1 FROM perf UNION ALL SELECT dataset, 'Dataset', f, 1, n, 2 FROM perf WHERE dataset <> ''
+        UNION ALL SELECT head, head_type, f, 2, n, 0 FROM rel WHERE head IS NOT NULL UNION ALL SELECT tail, tail_type, f, 2, n, 1 FROM rel),
+back AS (SELECT {_key_sql("name")} AS k, type, arg_min(name, row(f, phase, n, slot)) AS canonical FROM met GROUP BY ALL),
+entry AS (SELECT * FROM canon UNION ALL SELECT * FROM back WHERE NOT EXISTS (FROM canon c WHERE c.k = back.k AND c.type = back.type)),
+named AS (SELECT name, x.type, canonical FROM (SELECT DISTINCT name, type, {_key_sql("name")} AS k FROM met) x JOIN entry USING (k) WHERE x.type = entry.type),
+paper AS (SELECT 'o' || o_orderkey AS filename, coalesce(nullif({_TITLE}, ''), 'o' || o_orderkey) AS title FROM orders),
+chunk AS (SELECT 'o' || o_orderkey || '::' || i AS chunk_id, 'o' || o_orderkey AS filename, i AS index FROM orders, range(4) r(i) WHERE o_orderkey % 10 <> 1),
+result AS (SELECT f, a.canonical AS method, b.canonical AS metric, value, dataset, md5(f || '|' || a.canonical || '|' || b.canonical || '|' || value || '||' || dataset) AS result_id
+           FROM perf JOIN named a ON a.name = perf.method AND a.type = 'Method' JOIN named b ON b.name = perf.metric AND b.type = 'Metric'),
+"""
+
+
+@query(
+    "WITH "
+    + _BUILT
+    + """
+edges AS (
+    SELECT 'Chunk' AS src_label, chunk_id AS src_key, 'PART_OF' AS rel_type, 'Paper' AS dst_label, filename AS dst_key FROM chunk
+    UNION SELECT 'Entity', 'Method' || chr(31) || canonical, 'MENTIONED_IN', 'Chunk', f || '::' || n FROM l JOIN named ON name = method AND type = 'Method' WHERE f || '::' || n IN (SELECT chunk_id FROM chunk)
+    UNION SELECT 'Entity', 'Method' || chr(31) || method, 'REPORTED', 'PerformanceResult', result_id FROM result
+    UNION SELECT 'PerformanceResult', result_id, 'OF_METRIC', 'Entity', 'Metric' || chr(31) || metric FROM result
+    UNION SELECT 'PerformanceResult', result_id, 'ON_DATASET', 'Entity', 'Dataset' || chr(31) || canonical FROM result JOIN named ON name = dataset AND type = 'Dataset'
+    UNION SELECT 'Paper', f, 'HAS_RESULT', 'PerformanceResult', result_id FROM result
+    UNION SELECT 'Paper', f, relation, 'Entity', tail_type || chr(31) || canonical FROM rel JOIN named ON name = tail AND type = tail_type WHERE head IS NULL
+    UNION SELECT 'Entity', head_type || chr(31) || a.canonical, relation, 'Entity', tail_type || chr(31) || b.canonical FROM rel JOIN named a ON a.name = head AND a.type = head_type JOIN named b ON b.name = tail AND b.type = tail_type)
+SELECT * FROM edges"""
+)
+def graph_build(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges of all eight kinds."""
+    return _built(spark, sf).edges
+
+
+@query(
+    "WITH "
+    + _BUILT
+    + """
+nodes AS (
+    SELECT 'Paper' AS label, filename AS key, title AS detail FROM paper
+    UNION ALL SELECT DISTINCT 'Entity', type || chr(31) || canonical, canonical FROM named
+    UNION ALL SELECT 'Chunk', chunk_id, 'text ' || index FROM chunk
+    UNION ALL SELECT DISTINCT 'PerformanceResult', result_id, metric || '|' || value || '|' || regexp_extract(value, '[0-9]+') || '.0|' || dataset FROM result)
+SELECT * FROM nodes"""
+)
+def graph_build_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """Nodes of all four labels with what they carry."""
+    made = _built(spark, sf)
+    result = F.concat_ws("|", "metric", "value", F.col("value_num").cast("string"), "dataset")
+    rows = made.papers.select(F.lit("Paper").alias("label"), F.col("filename").alias("key"), F.col("title").alias("detail"))
+    rows = rows.unionByName(made.entities.select(F.lit("Entity").alias("label"), graph.entity_key(F.col("name"), F.col("type")).alias("key"), F.col("name").alias("detail")))
+    rows = rows.unionByName(made.chunks.select(F.lit("Chunk").alias("label"), F.col("chunk_id").alias("key"), F.col("text").alias("detail")))
+    return rows.unionByName(made.results.select(F.lit("PerformanceResult").alias("label"), F.col("result_id").alias("key"), result.alias("detail")))
+
+
 # Retrieval and answers
 
 
-@query()
+_FOUND = (
+    "WITH RECURSIVE j AS (SELECT e.* FROM embeddings e SEMI JOIN documents ON vec_id = doc_id), "
+    + _DISTANCES.format(x="j")
+    + """,
+hits AS (SELECT lpad(query_id::VARCHAR, 12, '0') AS query_id, lpad(vec_id::VARCHAR, 12, '0') AS chunk_id, rank, round(s, 6) AS score FROM k WHERE rank <= 5),
+docs AS (SELECT lpad(doc_id::VARCHAR, 12, '0') AS chunk_id, source, lang, label FROM documents JOIN embeddings ON vec_id = doc_id),
+linked AS (SELECT chunk_id, 'Method' AS type, source AS name FROM docs UNION ALL SELECT chunk_id, 'Task', lang FROM docs UNION ALL SELECT chunk_id, 'ProblemScenario', label::VARCHAR FROM docs),
+m AS (SELECT type || chr(31) || name AS entity, chunk_id FROM linked),
+x AS (SELECT DISTINCT type || chr(31) || name AS entity, name, type FROM linked),
+seed AS (SELECT DISTINCT query_id, entity FROM hits JOIN m USING (chunk_id)),
+near AS (SELECT chunk_id AS src, entity AS dst FROM m UNION SELECT entity, chunk_id FROM m),
+"""
+    + _REACHED
+    + _EXPANDED.format(reached="(FROM one UNION ALL FROM two)")
+    + _MENTIONED
+    + _WALK
+    + """,
+chosen AS (SELECT query_id, unnest(ranks) AS rank, unnest(taken) AS chunk_id, unnest(range(len(taken)))::INTEGER AS position FROM done),
+both_ways AS (SELECT query_id, chunk_id, rank AS position, score, NULL::INTEGER AS hop, NULL::BIGINT AS n_seeds, NULL::VARCHAR AS entity, 'vector' AS source, 0 AS turn FROM hits
+    UNION ALL SELECT query_id, chunk_id, position, NULL, hop, n_seeds, name, 'graph', 1 FROM chosen JOIN top USING (query_id, rank)),
+once AS (SELECT * FROM both_ways QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY turn, position) = 1)
+SELECT query_id, chunk_id, source, (row_number() OVER (PARTITION BY query_id ORDER BY turn, position) - 1)::INTEGER AS merged_pos, score, hop, n_seeds, entity FROM once"""
+)
+
+
+@query(_FOUND)
 def retrieve_end_to_end(spark: SparkSession, sf: str) -> DataFrame:
     queries, vectors = _vectors(spark, sf)
     docs = _t(spark, sf, "documents").join(_t(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "label"), "doc_id")

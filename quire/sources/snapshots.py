@@ -14,6 +14,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 MARKER = "_COMMITTED"
 PARTS = 16
@@ -48,11 +49,11 @@ class SnapshotStore:
         finally:
             stream.close()
 
-    def read(self, table: str, schema: str) -> DataFrame:
+    def read(self, table: str, schema: str | StructType) -> DataFrame:
         """The newest version's table, or an empty one."""
         return self._rows(self.content().get(table, []), schema)
 
-    def _rows(self, entries: list[dict], schema: str) -> DataFrame:
+    def _rows(self, entries: list[dict], schema: str | StructType) -> DataFrame:
         parts = [self.spark.read.schema(schema).parquet(f"{self.root}/{e['rows']}").withColumn(_AT, F.lit(e["at"])) for e in entries if "rows" in e]
         if not parts:
             return self.spark.createDataFrame([], schema)
@@ -123,7 +124,7 @@ class Transaction:
         if any("rows" in e and e["at"] < self.version for e in self.tables.get(name, [])):
             self.tables[name] = [*self.tables[name], {"at": self.version, "gone": self._write(f"{name}.gone", keys.distinct()), "key": key}]
 
-    def read(self, name: str, schema: str) -> DataFrame:
+    def read(self, name: str, schema: str | StructType) -> DataFrame:
         """The table as it will be."""
         return self.store._rows(self.tables.get(name, []), schema)
 

@@ -11,7 +11,7 @@ from quire.sources.files import abbreviations
 def papers(spark, rows):
     """rows: filename to (entities, relations, performances, mentions)."""
     return spark.createDataFrame(
-        [(f, "h", t, 2, [{"type": a, "name": b} for a, b in e], [dict(zip(("head", "relation", "tail"), r)) for r in rel], [dict(zip(("chunk_index", "method", "metric", "value", "condition", "dataset"), p)) for p in perf], [{"chunk_index": k, "type": a, "name": b} for k, a, b in men]) for f, t, e, rel, perf, men in rows],
+        [(f, "h", t, 2, [{"type": a, "name": b} for a, b in e], [dict(zip(("head", "relation", "tail"), r)) for r in rel], [dict(zip(("chunk_index", "method", "metric", "value", "condition", "dataset"), p)) for p in perf], [{"chunk_index": k, "type": a, "name": b} for k, a, b in men], len(men), len(perf)) for f, t, e, rel, perf, men in rows],
         EXTRACTIONS,
     )
 

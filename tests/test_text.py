@@ -14,6 +14,11 @@ def test_norm_key(spark):
     assert run(spark, t.norm_key, given) == ["bert base x", "strasse", "long short term", "fine tune", "", None]
 
 
+def test_norm_key_of_ascii_names_is_that_of_python(spark):
+    given = ["".join(map(chr, range(k, k + 16))) for k in range(0, 128, 16)] + ["a\x1cb\x1f", "\x00 A", "A\n", "A\x85", "A\u2028", "x\r\n", " -_ "]
+    assert run(spark, t.norm_key, given) == [t.norm_text(x) for x in given]
+
+
 def test_parse_value(spark):
     given = ["90.18", "93.8%", "12.3 dB", "85-90", "1,234", "1e-3", ".5", "SNR=-2", "n/a", "", None]
     assert run(spark, t.parse_value, given) == [90.18, 93.8, 12.3, 85, 1, 1, 5, -2, None, None, None]

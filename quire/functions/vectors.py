@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,14 +34,19 @@ def matrix(column: pa.ListArray | pa.ChunkedArray, width: int) -> np.ndarray:
     return values.reshape(-1, width)
 
 
+#: Distances that a task holds at a time, whatever the numbers of queries and rows.
+DISTANCES = 1 << 22
+
+
 def nearest(batches: Iterator[pa.RecordBatch], ids: list[str], queries: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
     """The k rows (key, embedding) of a partition nearest to each query.
 
     A matrix product finds candidates; those that may be among the k are measured again by plain differences,
-    so that equal vectors have equal distances. Ties go by key. Memory: one batch, and k hits for each query.
+    so that equal vectors have equal distances. Ties go by key. Memory: one batch, DISTANCES distances, and k hits for each query.
     """
     width, own = queries.shape[1], (queries**2).sum(axis=1)
     best: list[list[tuple[float, str]]] = [[] for _ in ids]
+    worst = np.full(len(ids), np.inf)  # distance of the k-th hit so far
     for batch in batches:
         held = batch.filter(batch.column(1).is_valid())
         if not held.num_rows:
@@ -47,18 +54,68 @@ def nearest(batches: Iterator[pa.RecordBatch], ids: list[str], queries: np.ndarr
         keys, rows = held.column(0).to_pylist(), matrix(held.column(1), width)
         sizes = (rows**2).sum(axis=1)
         for lo in range(0, len(rows), 4096):
-            part = rows[lo : lo + 4096]
-            near = own[:, None] - 2 * queries @ part.T + sizes[None, lo : lo + 4096]
-            slack = 1e-9 * (own + sizes[lo : lo + 4096].max())
-            for q in range(len(ids)):
-                bound = np.partition(near[q], k - 1)[k - 1] if len(part) > k else np.inf
-                if len(best[q]) == k:
-                    bound = min(bound, best[q][-1][0])
-                at = np.flatnonzero(near[q] <= bound + slack[q])
-                if len(at):
-                    exact = ((part[at] - queries[q]) ** 2).sum(axis=1)
-                    best[q] = sorted(best[q] + [(float(d), keys[lo + j]) for d, j in zip(exact, at, strict=True)])[:k]
-    hits = [(i, key, d) for i, own_hits in zip(ids, best, strict=True) for d, key in own_hits]
-    if hits:
-        q, key, d = zip(*hits, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(key), pa.array(d)], names=["query_id", "key", "distance"])
+            part, size = rows[lo : lo + 4096], sizes[lo : lo + 4096]
+            step = max(1, DISTANCES // len(part))
+            for first in range(0, len(ids), step):
+                block = slice(first, first + step)
+                near = own[block, None] - 2 * queries[block] @ part.T + size[None]
+                slack = 1e-9 * (own[block] + size.max())
+                bound = np.partition(near, k - 1, axis=1)[:, k - 1] if len(part) > k else np.full(len(near), np.inf)
+                rows_at, at = np.nonzero(near <= (np.minimum(bound, worst[block]) + slack)[:, None])
+                if not len(at):
+                    continue
+                exact = ((part[at] - queries[block][rows_at]) ** 2).sum(axis=1)
+                for q, hits in itertools.groupby(zip(rows_at.tolist(), exact.tolist(), at.tolist(), strict=True), key=lambda x: x[0]):
+                    q += first
+                    best[q] = sorted(best[q] + [(d, keys[lo + j]) for _, d, j in hits])[:k]
+                    if len(best[q]) == k:
+                        worst[q] = best[q][-1][0]
+    for first in range(0, len(ids), 4096):
+        hits = [(i, key, d) for i, own_hits in zip(ids[first : first + 4096], best[first : first + 4096], strict=True) for d, key in own_hits]
+        if hits:
+            q, key, d = zip(*hits, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(key), pa.array(d)], names=["query_id", "key", "distance"])
+
+
+def most_shared(batches: Iterator[pa.RecordBatch], ids: list, wanted: list[list[str]], k: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The k rows (key, words) of a partition with the highest share of each query's distinct words, if any; ties go by key.
+
+    The queries' words are the index: a row looks up its own words, and no pair without a common word is made.
+    """
+    postings: dict[str, list[int]] = {}
+    for q, words in enumerate(wanted):
+        for word in words:
+            postings.setdefault(word, []).append(q)
+    index = {word: np.array(own) for word, own in postings.items()}
+    number = np.array([max(1, len(words)) for words in wanted], dtype=np.float64)
+    best: list[list[tuple[float, object]]] = [[] for _ in ids]
+    floor = np.zeros(len(ids))  # share below which a row can't be among the k
+    for batch in batches:
+        for key, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            own = [index[w] for w in words or () if w in index]
+            if not own:
+                continue
+            share = np.bincount(np.concatenate(own), minlength=len(ids)) / number
+            for q in np.flatnonzero((share > 0) & (share >= floor)).tolist():
+                heapq.heappush(best[q], (float(share[q]), _Last(key)))
+                if len(best[q]) > k:
+                    heapq.heappop(best[q])
+                    floor[q] = best[q][0][0]
+    rows = [(i, hit.key, share) for i, hits in zip(ids, best, strict=True) for share, hit in hits]
+    for first in range(0, len(rows), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[first : first + (1 << 16)], strict=True), schema, strict=True)], schema=schema)
+
+
+class _Last:
+    """A key in reverse order, so that of equal shares the greatest key is dropped first."""
+
+    __slots__ = ("key",)
+
+    def __init__(self, key: object) -> None:
+        self.key = key
+
+    def __lt__(self, other: _Last) -> bool:
+        return other.key < self.key
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, _Last) and self.key == other.key

@@ -5,10 +5,11 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.vectors import HITS, l2_normalize, nearest
+from quire.functions.vectors import HITS, l2_normalize, most_shared, nearest
 
 #: Bytes of query vectors sent to the executors at once; more queries run in further blocks.
 QUERY_BYTES = 32 << 20
@@ -43,6 +44,34 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 5, normalize: b
     return ranked.filter(F.col("rank") <= k).select("query_id", F.col("key").alias("chunk_id"), "rank", F.col("distance").alias("score"))
 
 
+def lexical_topk(queries: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
+    """query_id, key, score, rank: the k docs (key long, words) with the highest share of each query's words (query_id long, words); ties go by key.
+
+    As in vector_topk, queries go out in blocks of at most QUERY_BYTES, and a partition gives k rows for each query.
+    """
+    found, ids, block, held = [], [], [], 0
+    schema = pa.schema([("query_id", pa.int64()), ("key", pa.int64()), ("score", pa.float64())])
+
+    def hits() -> DataFrame:
+        sent = docs.sparkSession.sparkContext.broadcast((list(ids), list(block)))
+        return docs.mapInArrow(lambda b: most_shared(b, *sent.value, k, schema), "query_id long, key long, score double")
+
+    docs = docs.select(F.col("key").cast("long").alias("key"), "words")
+    for r in queries.select(F.col("query_id").cast("long").alias("q"), "words").toLocalIterator():
+        ids.append(r["q"])
+        block.append(r["words"] or [])
+        held += 64 + sum(len(w) + 64 for w in block[-1])
+        if held >= QUERY_BYTES:
+            found.append(hits())
+            ids, block, held = [], [], 0
+    if ids:
+        found.append(hits())
+    if not found:
+        return docs.sparkSession.createDataFrame([], "query_id long, key long, score double, rank int")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "key")
+    return reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
 def concat_context(ranked: DataFrame, order: str = "rank", separator: str = "\n\n") -> DataFrame:
     """query_id, n, context: the texts of each query joined in rank order; a query has at most its k rows."""
     rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce("text", F.lit("")).alias("t"))))

@@ -114,6 +114,44 @@ def test_nearest_matches_brute_force(spark):
     assert search.vector_topk(queries.limit(0), vectors, 5).collect() == []
 
 
+def test_distances_are_held_in_blocks(monkeypatch):
+    """Equal hits whatever number of distances a task may hold."""
+    import pyarrow as pa
+
+    from quire.functions import vectors
+
+    rng = np.random.default_rng(6)
+    rows, queries = rng.integers(0, 3, (500, 4)).astype(float), rng.integers(0, 3, (70, 4)).astype(float)
+    batch = pa.RecordBatch.from_arrays([pa.array([f"k{j:03d}" for j in range(500)]), pa.array(rows.tolist(), pa.list_(pa.float64()))], names=["key", "embedding"])
+    want = {}
+    for q in range(70):
+        d = ((rows - queries[q]) ** 2).sum(axis=1)
+        want[f"q{q}"] = [(f"k{j:03d}", d[j]) for j in sorted(range(500), key=lambda j: (d[j], j))[:5]]
+    for held in (1 << 22, 1500, 1):
+        monkeypatch.setattr(vectors, "DISTANCES", held)
+        got = {}
+        for made in vectors.nearest(iter([batch.slice(0, 200), batch.slice(200)]), [f"q{q}" for q in range(70)], queries, 5):
+            for q, key, d in zip(*(c.to_pylist() for c in made.columns)):
+                got.setdefault(q, []).append((key, d))
+        assert got == want
+
+
+def test_shared_words_match_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    words = [f"w{k}" for k in range(40)]
+    docs = [(k, sorted(set(rng.choice(words, rng.integers(0, 12))))) for k in range(200)] + [(900, None)]
+    queries = [(k, sorted(set(rng.choice(words, rng.integers(0, 6))))) for k in range(20)]
+    frames = [spark.createDataFrame([(k, None if w is None else [str(x) for x in w]) for k, w in rows], f"{name} long, words array<string>") for rows, name in ((queries, "query_id"), (docs, "key"))]
+    for held in (1 << 25, 500):
+        monkeypatch.setattr(search, "QUERY_BYTES", held)
+        got = {}
+        for r in search.lexical_topk(frames[0], frames[1].repartition(3), 7).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.key, r.score))
+        for q, wanted in queries:
+            scores = [(k, len(set(w or ()) & set(wanted)) / max(1, len(wanted))) for k, w in docs]
+            assert got.get(q, []) == sorted([x for x in scores if x[1] > 0], key=lambda x: (-x[1], x[0]))[:7]
+
+
 def test_queries_run_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(search, "QUERY_BYTES", 100)
     vectors = spark.createDataFrame([(f"v{k}", [float(k), 0.0]) for k in range(30)], "chunk_id string, embedding array<float>")

@@ -8,6 +8,11 @@ corrupt ranges alone.
 A range of RANGE bytes and a node of FANOUT children bound what any group gathers, however large a file is; rows whose
 offsets clash inside a range still sort by length and digest.
 
+Records are hashed where their pages are scanned, and only lengths and digests are shuffled. Equal records of one page id are one row
+with a number of copies until their offsets are known, so neither a repeated page nor an id that many share fills a task. A file
+has the pages of PAGES_PER_FILE ids; past CROWDED distinct records it is dealt out over several by their digests. Names and offsets
+follow from the table alone.
+
 Defined cases: null url or html counts as empty; pages with a null or repeated id are records of their own; two empty replicas
 agree; a file or range that one replica lacks differs; other input columns are ignored.
 """
@@ -20,7 +25,7 @@ from pyspark.sql import functions as F
 from quire.llm.workspace import materialise
 
 RANGE, FANOUT = 1 << 18, 16
-#: Pages of a WARC file by their id, and rows after which a crowded file is dealt out over several.
+#: Pages of a WARC file by their id, and distinct records after which a crowded file is dealt out over several.
 PAGES_PER_FILE, CROWDED = 512, 4096
 NODE = ["file", "place"]
 
@@ -41,26 +46,50 @@ def record_bytes(url: Column, html: Column) -> Column:
     return F.concat(head, body, F.lit("\r\n\r\n"))
 
 
+#: Copies of one record that are written out as rows at a time.
+COPIES = 4096
+
+
+def layout(rows: DataFrame) -> DataFrame:
+    """file and offset of rows (page_id, length, digest, and what depends on them), in order of page id and digest within each file."""
+    key = ["page_id", "length", "digest"]
+    more = [c for c in rows.columns if c not in key]
+    runs = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in more])
+    runs = materialise(runs.withColumn("base", F.coalesce(F.floor(F.col("page_id") / PAGES_PER_FILE), F.lit(-1)).cast("long")), "warc-runs")
+    sizes = runs.groupBy("base").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWDED)
+    # One row at most for each CROWDED records; written, so that Spark sees how many.
+    crowded = materialise(sizes.select("base", F.ceil(F.col("n") / CROWDED).cast("long").alias("parts")), "crowded-files")
+    part = F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") % F.coalesce("parts", F.lit(1))
+    named = runs.join(crowded, "base", "left").withColumn("file", F.concat(F.lit("part-"), F.col("base").cast("string"), F.lit("."), part.cast("string"), F.lit(".warc")))
+    before = Window.partitionBy("file").orderBy("page_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.col("length") * F.col("copies")).over(before), F.lit(0))
+    placed = named.withColumn("start", start).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(COPIES).cast("long"))))
+    copy = F.explode(F.sequence(F.col("block"), F.least(F.col("block") + COPIES, F.col("copies")) - 1))
+    return placed.withColumn("copy", copy).select("file", (F.col("start") + F.col("copy") * F.col("length")).alias("offset"), *key, *more)
+
+
+def _hashed(record: Column) -> Column:
+    return F.sha2(record.cast("binary"), 256)
+
+
+def _records(pages: DataFrame) -> DataFrame:
+    """page_id, record."""
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), record_bytes(F.col("url").cast("string"), F.col("html").cast("string")).alias("record"))
+
+
+def _length(record: Column) -> Column:
+    return F.octet_length(record).cast("long")
+
+
 def write_records(pages: DataFrame) -> DataFrame:
-    """(file, offset, length, page_id, record): pages as records of WARC files of bounded size, in order of their id."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), record_bytes(F.col("url").cast("string"), F.col("html").cast("string")).alias("record"))
-    rows = rows.withColumn("base", F.coalesce(F.floor(F.col("page_id") / PAGES_PER_FILE), F.lit(-1)).cast("long"))
-    sizes = rows.groupBy("base").agg(F.count(F.lit(1)).alias("n"))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / CROWDED)).cast("long")
-    crowded = materialise(sizes.filter(F.col("n") > CROWDED).select("base", parts.alias("parts")), "crowded-files")
-    if crowded.isEmpty():
-        named = rows.withColumn("part", F.lit(0).cast("long"))
-    else:
-        # Rows of one id, or of none, fill a file of their own number; their hash deals them out.
-        named = rows.join(crowded, "base", "left").withColumn("part", F.pmod(F.xxhash64("record", F.monotonically_increasing_id()), F.coalesce("parts", F.lit(1))))
-    files = named.select(F.concat(F.lit("part-"), F.col("base").cast("string"), F.lit("."), F.col("part").cast("string"), F.lit(".warc")).alias("file"), "page_id", "record", F.octet_length("record").cast("long").alias("length"))
-    before = Window.partitionBy("file").orderBy("page_id", "record").rowsBetween(Window.unboundedPreceding, -1)
-    return files.select("file", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"), "length", "page_id", "record")
+    """(file, offset, length, page_id, record): pages as records of WARC files, in order of their id."""
+    rows = _records(pages).select("page_id", _length(F.col("record")).alias("length"), _hashed(F.col("record")).alias("digest"), "record")
+    return layout(rows).select("file", "offset", "length", "page_id", "record")
 
 
 def fixity(records: DataFrame) -> DataFrame:
     """A replica's table of digests; only this scan reads record contents."""
-    return records.select("file", "offset", "length", "page_id", F.sha2(F.col("record").cast("binary"), 256).alias("digest"))
+    return records.select("file", "offset", "length", "page_id", _hashed(F.col("record")).alias("digest"))
 
 
 def _hash_of(children: Column) -> Column:
@@ -125,16 +154,28 @@ def audit(first: DataFrame, second: DataFrame, size: int = RANGE, fanout: int =
     return both.filter(~F.col("one").eqNullSafe(F.col("two"))).select("file", "offset", F.coalesce("one_id", "two_id").alias("page_id"), status.alias("status"))
 
 
+def _draw() -> Column:
+    return F.conv(F.substring(F.md5(F.col("page_id").cast("string").cast("binary")), 1, 6), 16, 10).cast("long") % 1000
+
+
+def _spoilt() -> Column:
+    """The record, or with its last mark changed where the draw says so."""
+    return F.when(_draw() < 20, F.concat(F.expr("left(record, length(record) - 5)"), F.lit("#"), F.lit("\r\n\r\n"))).otherwise(F.col("record"))
+
+
+def _lost() -> Column:
+    return F.coalesce(_draw().between(20, 24), F.lit(False))
+
+
 def damaged(records: DataFrame) -> DataFrame:
     """A replica with faults planted by the hash of the page: about one record in 50 has its last mark changed, one in 200 is lost."""
-    draw = F.conv(F.substring(F.md5(F.col("page_id").cast("string").cast("binary")), 1, 6), 16, 10).cast("long") % 1000
-    spoilt = F.when(draw < 20, F.concat(F.expr("left(record, length(record) - 5)"), F.lit("#"), F.lit("\r\n\r\n"))).otherwise(F.col("record"))
-    return records.filter(~F.coalesce(draw.between(20, 24), F.lit(False))).withColumn("record", spoilt)
+    return records.filter(~_lost()).withColumn("record", _spoilt())
 
 
 def fixity_audit(pages: DataFrame) -> DataFrame:
-    """Audit of the pages' WARC files against a replica with planted faults."""
-    records = materialise(write_records(pages), "warc")
-    first = materialise(fixity(records), "replica-first")
-    second = materialise(fixity(damaged(records)), "replica-second")
+    """Audit of the pages' WARC files against a replica with planted faults, as damaged() plants them."""
+    rows = _records(pages).select("page_id", _length(F.col("record")).alias("length"), _hashed(F.col("record")).alias("digest"), F.when(_draw() < 20, _hashed(_spoilt())).alias("spoilt"))
+    placed = materialise(layout(rows), "warc")
+    first = placed.select("file", "offset", "length", "page_id", "digest")
+    second = placed.filter(~_lost()).select("file", "offset", "length", "page_id", F.coalesce("spoilt", "digest").alias("digest"))
     return audit(first, second)

@@ -67,8 +67,22 @@ def test_offsets_are_gapless(spark):
             at += r.length
 
 
-def test_crowded_files_are_dealt_out(spark, monkeypatch):
+def test_query_form_equals_written_records(spark, monkeypatch):
+    for crowded in (warc.CROWDED, 50):
+        monkeypatch.setattr(warc, "CROWDED", crowded)
+        records = materialise(warc.write_records(pages(spark)), "t")
+        want = warc.audit(materialise(warc.fixity(records), "t1"), materialise(warc.fixity(warc.damaged(records)), "t2"))
+        assert sorted(map(tuple, warc.fixity_audit(pages(spark)).collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def test_crowded_files_are_dealt_out_and_keep_their_names(spark, monkeypatch):
     monkeypatch.setattr(warc, "CROWDED", 20)
-    df = spark.createDataFrame([(5, "u", str(k)) for k in range(200)], PAGES)
-    rows = warc.write_records(df).groupBy("file").count().collect()
-    assert sum(r["count"] for r in rows) == 200 and max(r["count"] for r in rows) < 60
+    monkeypatch.setattr(warc, "COPIES", 7)
+    df = spark.createDataFrame([(5, "u", str(k)) for k in range(200)] + [(5, "u", "copy")] * 100 + [(None, "n", None)] * 30, PAGES)
+    rows = sorted(map(tuple, warc.write_records(df).collect()), key=str)
+    assert len(rows) == 330 and len({r[:2] for r in rows}) == 330
+    assert rows == sorted(map(tuple, warc.write_records(df.repartition(5)).collect()), key=str)
+    sizes = {}
+    for file, *_, record in rows:
+        sizes.setdefault(file, set()).add(record)
+    assert len(sizes) > 5 and max(map(len, sizes.values())) < 60

@@ -1,38 +1,12 @@
 import pyarrow as pa
-import pytest
 
 from quire.llm import workspace
 
 
-def test_tables_live_in_the_shared_folder_until_cleared(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(workspace, "shared_root", lambda _: f"file://{tmp_path}")
-    df = workspace.materialise(spark.range(5).toDF("k"), "t")
-    own = tmp_path / "quire" / spark.sparkContext.applicationId
-    (tmp_path / "quire" / "other").mkdir()
-    assert df.count() == 5 and len(list(own.iterdir())) == 1
-    workspace.clear(spark)
-    assert not own.exists() and (tmp_path / "quire" / "other").exists()
-
-
-def test_batches_are_small_while_a_table_is_written(spark):
-    before = spark.conf.get(workspace.BATCH_SETTING)
-    rows = spark.range(0, 5000, 1, 1).mapInArrow(lambda b: (pa.RecordBatch.from_pydict({"n": [x.num_rows]}) for x in b), "n long")
-    assert max(r.n for r in workspace.materialise(rows, "t").collect()) == workspace.BATCH_ROWS
-    assert spark.conf.get(workspace.BATCH_SETTING) == before
-
-
 def test_slices_keep_every_row():
     batch = pa.RecordBatch.from_pydict({"k": list(range(10))})
     assert [b.num_rows for b in workspace.slices([batch, batch.slice(0, 0)], 4)] == [4, 4, 2]
 
 
-def test_a_cluster_without_a_shared_folder_is_refused():
-    class Session:
-        class conf:
-            get = staticmethod(lambda *_: None)
-
-        class sparkContext:
-            master = "spark://somewhere"
-
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        workspace.shared_root(Session())
+def test_unused_names_differ_in_any_case():
+    assert workspace.unused(["a", "Row", "ROW_"], "row") == "row__" and workspace.unused([], "row") == "row"

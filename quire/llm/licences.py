@@ -1,7 +1,12 @@
 """Licence scans by canonical digest: texts are normalised, hashed and hash-joined to the digests of known licences.
 
 Normalising drops copyright lines, lower-cases, unifies equivalent spellings and keeps letters and digits only, with one blank
-between words. A document is looked up as an entire text, and each of its lines as an entire notice.
+between words. A document is looked up as an entire text, and so is each of its blocks: its lines, and its paragraphs between lines
+without letters or digits. A block is hashed only if a known block is as long, which loses none. All lookups are one hash join with
+the registry, a constant of this module or of the caller.
+
+The registry knows entire licences by text (TEXTS, whose paragraphs of MIN_WORDS words and more are blocks too, unless licences
+share them), further ones by the digest of their published text alone (DIGESTS), and notices that stand for a licence (NOTICES).
 
 Defined cases: null, empty and markless texts have the digest of the empty text and no licence; repeated rows are scanned one by
 one; an empty table gives an empty result; other input columns are ignored.
@@ -29,13 +34,45 @@ Permission is granted to anyone to use this software for any purpose, including
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution."""
 
+_BSD_2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+_BSD_3 = """
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+"""
+_BSD_WARRANTY = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+
 #: Entire licence texts, by SPDX identifier.
 TEXTS: dict[str, tuple[str, ...]] = {
+    "BSD-2-Clause": (_BSD_2 + _BSD_WARRANTY, "BSD 2-Clause License\n\n" + _BSD_2 + _BSD_WARRANTY),
+    "BSD-3-Clause": (_BSD_2 + _BSD_3 + _BSD_WARRANTY, "BSD 3-Clause License\n\n" + _BSD_2 + _BSD_3 + _BSD_WARRANTY),
     "MIT": ("MIT License\n\n" + _MIT_GRANT, "The MIT License (MIT)\n\n" + _MIT_GRANT, _MIT_GRANT),
     "ISC": ("ISC License\n\n" + _ISC_GRANT + "\n\n" + _ISC_WARRANTY, _ISC_GRANT + "\n\n" + _ISC_WARRANTY),
     "0BSD": ("BSD Zero Clause License\n\n" + _ZERO_GRANT + "\n\n" + _ISC_WARRANTY, _ZERO_GRANT + "\n\n" + _ISC_WARRANTY),
     "Zlib": ("zlib License\n\n" + _ZLIB, _ZLIB),
 }
+#: Digests of the canonical form of published licences, entire and up to the end of their terms, by SPDX identifier.
+DIGESTS: dict[str, tuple[str, ...]] = {
+    "Apache-2.0": ("6ab5deeb4b2c14f4681b97d03ec0d6cf046968b552bd6e2efe1721910b2e5e9e", "cf7c26411074d941b42afe8baac32788531f003acea32d25ead49048c329c78d", "b7bb6b2416cb5fc4e3acd34d1283c66e6228adab995f1c959405a3978193462c",),
+    "Artistic-1.0-Perl": ("93aa47d57763801ed6e6a6591d4d4049a2c46794df90838023ceade56b569da0",),
+    "CC0-1.0": ("c9fc766f3657f72225d157a552169fb6bc0ba652f321dd55458ae0b62f996a32",),
+    "GFDL-1.2": ("19d29a7c800a0d85704b63b4c09d5cd01dd9a287c61e238f4717d8a9e75d214f",),
+    "GFDL-1.3": ("e70f40f3a50995855f972521fe4eaa4af360a4597e5914977b6093cce5243480",),
+    "GPL-1.0": ("9e12a40a9b22c45d116f19e1746b08ea0b853519de3e03ceb780f2a36d5f388c", "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc", "89f75ffda938e788be38679f9f83e317c2a03398fccf03ee60505d44d1bf9f70",),
+    "GPL-2.0": ("b866f5427b78991db8012466b32f51c907f5e974fde5129a47372d0d0552e3a1", "e4d14510e41435c3eb12c255b72546a3cb9943f06f209c72bc30a19095b08999", "a1e7ba14d8d85807f384435b77f91e925decc43da128311c991c4f2337e44017",),
+    "GPL-3.0": ("59a779feaae4de539260be3c8adb19c287a771586d211e12d93932777da37349", "f7bb29d9a31c3a1a68ccff0d8d9053350dc0b10b52b62d46d0f2e36a41e32975", "f37d587507fc579524cb06d1130d5899891a978ee008cfc033b3b4d95da28bee",),
+    "LGPL-2.0": ("b4114daa3dfa52e27e78b2c4e17acd58bf4381e812762f4ded0bcb8eabd1092c", "ff773d8d898dfc51ae2dbf3baa20700673e8ceb153b13d26c525af34a59adf0c", "e0de5033b5ad2a24c0a1a8b04f09e33038ffa62d2bef7178de2a3c6f5d56f499",),
+    "LGPL-2.1": ("294fb9ec58649c7eb0cf90fc2900ac1b28b82fb6da9d40d7599d6b7d399d4d2e", "963f79d48038eed98d8341c84d8d3b765e99508a738d00654c0112f70a7c370c", "9bf9c99aeafbdbccd7456a00d574699e3deb41868375496cacbf170be719bebd",),
+    "LGPL-3.0": ("aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",),
+    "MPL-1.1": ("fcb579371133afd771fed87cd5d8c6dc5648746c9945d4adf08ec5c79aba5c61",),
+    "MPL-2.0": ("95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9",),
+}
+#: Words from which a paragraph of a known text is a block of its own.
+MIN_WORDS = 20
 #: Notices that stand for a licence on a line of their own, by SPDX identifier.
 NOTICES: dict[str, tuple[str, ...]] = {
     "MIT": ("Released under the MIT License.", "Licensed under the MIT License."),
@@ -57,44 +94,75 @@ SPELLINGS: tuple[tuple[str, str], ...] = (
     ("https:", "http:"),
     ("&", " and "),
 )
+#: A registry, and its digests at most, as it is sent to every executor.
+KNOWN, MOST_KNOWN = "kind string, digest string, licence string, length int", 50_000
 COPYRIGHT_LINE = "(?m)^[^\\p{L}\\n(©]*(?:copyright|\\(c\\)|©|all rights reserved)[^\\n]*$"
 
 
-def canonical(text: Column) -> Column:
+def canonical_lines(text: Column) -> Column:
+    """The normalised text with its line ends; what the others derive from."""
     out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, " ")
     for old, new in SPELLINGS:
         out = F.regexp_replace(out, old, new)
-    return F.trim(F.regexp_replace(out, "[^\\p{L}\\p{N}]+", " "))
+    return F.regexp_replace(out, "[^\\p{L}\\p{N}\n]+", " ")
+
+
+def _flat(lines: Column) -> Column:
+    return F.trim(F.regexp_replace(lines, "[ \n]+", " "))
+
+
+def canonical(text: Column) -> Column:
+    return _flat(canonical_lines(text))
 
 
 def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def known_digests(spark: SparkSession, texts: dict[str, tuple[str, ...]]) -> DataFrame:
-    """(digest, licence), one row per distinct digest; as many rows at most as there are texts given."""
-    rows = [(name, t) for name, own in sorted(texts.items()) for t in own]
-    df = spark.createDataFrame(rows or [("", "")], "licence string, text string")
-    return df.filter("licence <> ''").groupBy(digest(F.col("text")).alias("digest")).agg(F.min("licence").alias("licence"))
+def blocks(lines: Column) -> Column:
+    """Canonical forms of the lines and paragraphs of a text in canonical lines."""
+    return F.array_distinct(F.concat(F.transform(F.split(lines, "\n"), lambda x: F.trim(x)), F.transform(F.split(lines, "\n(?: *\n)+"), _flat)))
 
 
-def scan(docs: DataFrame, texts: dict[str, tuple[str, ...]] | None = None, notices: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
-    """doc_id, text_digest, licence (of the entire text, or null), notices (sorted licences of its lines).
+def registry(spark: SparkSession, texts: dict[str, tuple[str, ...]] | None = None, notices: dict[str, tuple[str, ...]] | None = None, digests: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """(kind, digest, licence, length): entire texts and blocks of known licences, one row per kind and digest.
 
-    The known side is a constant of this module or of the caller, so broadcasting it has a proven bound; documents
-    are scanned once and not shuffled.
+    Of texts that differ in what normalising drops, the first identifier stays. Blocks that several licences have are left out.
+    """
+    texts, notices, digests = (own if given is None else given for own, given in ((TEXTS, texts), (NOTICES, notices), (DIGESTS, digests)))
+    given = [(kind, name, t) for kind, table in (("text", texts), ("notice", notices)) for name, own in sorted(table.items()) for t in own]
+    rows = spark.createDataFrame(given, "kind string, licence string, text string").withColumn("lines", canonical_lines(F.col("text")))
+    whole = rows.select("kind", "licence", _flat(F.col("lines")).alias("form"))
+    parts = rows.filter("kind = 'text'").select(F.lit("block").alias("kind"), "licence", F.explode(blocks(F.col("lines"))).alias("form")).filter(F.size(F.split("form", " ")) >= MIN_WORDS)
+    known = whole.unionByName(parts).groupBy("kind", "form").agg(F.min("licence").alias("licence"), F.countDistinct("licence").alias("n"))
+    known = known.filter("form <> '' and (kind <> 'block' or n = 1)")
+    known = known.select(F.when(F.col("kind") == "text", "text").otherwise("block").alias("kind"), F.sha2("form", 256).alias("digest"), "licence", F.length("form").alias("length")).distinct()
+    more = [("text", d, name, None) for name, own in sorted(digests.items()) for d in own]
+    return known.unionByName(spark.createDataFrame(more, KNOWN))
+
+
+def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """doc_id, text_digest, licence, whole, notices: one row per document.
+
+    ``licence`` is that of the entire text (whole is true), else that which the blocks name if they name one alone; ``notices`` are the
+    sorted licences of all blocks. ``known`` is a registry; its size is that of a constant or of the caller's table, and is checked.
     """
-    spark = docs.sparkSession
-    texts, notices = TEXTS if texts is None else texts, NOTICES if notices is None else notices
-    whole = known_digests(spark, texts)
-    lines = {r["digest"]: r["licence"] for r in known_digests(spark, notices).collect()}
-    longest = 2 * max((len(t) for own in notices.values() for t in own), default=0) + 80
-    text = F.coalesce(F.col("text"), F.lit(""))
-    short = F.filter(F.split(text, "\n"), lambda x: (F.length(F.trim(x)) > 0) & (F.length(F.regexp_replace(x, "[^\\p{L}\\p{N}]+", " ")) <= longest))
-    found = F.array_intersect(F.transform(short, digest), F.array(*map(F.lit, sorted(lines))) if lines else F.array().cast("array<string>"))
-    if lines:
-        table = F.create_map(*[x for k, v in sorted(lines.items()) for x in (F.lit(k), F.lit(v))])
-        found = F.sort_array(F.array_distinct(F.transform(found, lambda d: F.element_at(table, d))))
-    rows = docs.select(F.col("doc_id").alias("doc_id"), digest(text).alias("text_digest"), found.alias("notices"))
-    known = whole.select(F.col("digest").alias("text_digest"), "licence")
-    return rows.join(F.broadcast(known), "text_digest", "left").select("doc_id", "text_digest", "licence", "notices")
+    known = registry(docs.sparkSession) if known is None else known
+    rows = known.select("kind", "digest", "licence", "length").limit(MOST_KNOWN + 1).collect()
+    if len(rows) > MOST_KNOWN:
+        raise ValueError(f"a registry has at most {MOST_KNOWN} digests")
+    sent = F.broadcast(docs.sparkSession.createDataFrame(rows, KNOWN).select("kind", "digest", F.col("licence").alias("found")))
+    lengths = sorted({r["length"] for r in rows if r["kind"] == "block"})
+    lines = docs.select(F.col("doc_id").alias("doc_id"), F.monotonically_increasing_id().alias("row"), canonical_lines(F.col("text")).alias("lines"))
+    likely = F.filter(blocks(F.col("lines")), lambda x: F.length(x).isin(lengths)) if lengths else F.array().cast("array<string>")
+    units = F.concat(F.array(F.struct(F.lit("text").alias("kind"), F.sha2(_flat(F.col("lines")), 256).alias("digest"))), F.transform(likely, lambda x: F.struct(F.lit("block").alias("kind"), F.sha2(x, 256).alias("digest"))))
+    looked = lines.select("doc_id", "row", F.explode(units).alias("u")).select("doc_id", "row", "u.kind", "u.digest").join(sent, ["kind", "digest"], "left")
+    own = F.col("kind") == "text"
+    met = looked.groupBy("row").agg(
+        F.first("doc_id").alias("doc_id"),
+        F.max(F.when(own, F.col("digest"))).alias("text_digest"),
+        F.max(F.when(own, F.col("found"))).alias("entire"),
+        F.sort_array(F.collect_set(F.when(~own, F.col("found")))).alias("notices"),
+    )
+    licence = F.coalesce("entire", F.when(F.size("notices") == 1, F.col("notices")[0]))
+    return met.select("doc_id", "text_digest", licence.alias("licence"), F.col("entire").isNotNull().alias("whole"), "notices")

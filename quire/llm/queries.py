@@ -134,22 +134,32 @@ def _quoted(text: str) -> str:
 
 
 def _licence_sql() -> str:
-    def canonical(x: str) -> str:
+    def lines(x: str) -> str:
         out = f"regexp_replace(lower(coalesce({x}, '')), {_quoted(licences.COPYRIGHT_LINE)}, ' ', 'g')"
         for old, new in licences.SPELLINGS:
             out = f"regexp_replace({out}, {_quoted(old)}, {_quoted(new)}, 'g')"
-        return f"trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+        return f"regexp_replace({out}, '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
 
-    def rows(texts: dict[str, tuple[str, ...]]) -> str:
-        return ", ".join(f"({_quoted(name)}, {_quoted(t)})" for name, own in sorted(texts.items()) for t in own)
+    def flat(x: str) -> str:
+        return f"trim(regexp_replace({x}, '[ \\n]+', ' ', 'g'))"
 
+    def blocks(x: str) -> str:
+        return f"list_distinct(list_concat(list_transform(string_split({x}, chr(10)), lambda v: trim(v)), list_transform(regexp_split_to_array({x}, '\\n(?: *\\n)+'), lambda v: {flat('v')})))"
+
+    given = ", ".join(f"('{kind}', {_quoted(name)}, {_quoted(t)})" for kind, table in (("text", licences.TEXTS), ("notice", licences.NOTICES)) for name, own in sorted(table.items()) for t in own)
+    digests = ", ".join(f"('text', '{d}', {_quoted(name)})" for name, own in sorted(licences.DIGESTS.items()) for d in own)
     return f"""
-WITH whole AS (SELECT DISTINCT licence, sha256({canonical("t")}) AS d FROM (VALUES {rows(licences.TEXTS)}) AS v(licence, t)),
-notice AS (SELECT DISTINCT licence AS own, {canonical("t")} AS c FROM (VALUES {rows(licences.NOTICES)}) AS v(licence, t)),
-lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
-found AS (SELECT doc_id, string_agg(DISTINCT own, ',' ORDER BY own) AS notices FROM (SELECT doc_id, {canonical("line")} AS c FROM lines) JOIN notice USING (c) GROUP BY doc_id),
-texts AS (SELECT doc_id, sha256({canonical("text")}) AS text_digest FROM documents)
-SELECT doc_id, text_digest, licence, coalesce(notices, '') AS notices FROM texts LEFT JOIN whole ON text_digest = d LEFT JOIN found USING (doc_id)
+WITH given AS (SELECT kind, licence, {lines("t")} AS x FROM (VALUES {given}) AS v(kind, licence, t)),
+forms AS (SELECT kind, licence, {flat("x")} AS form FROM given
+          UNION ALL SELECT * FROM (SELECT 'block', licence, unnest({blocks("x")}) AS form FROM given WHERE kind = 'text') WHERE len(string_split(form, ' ')) >= {licences.MIN_WORDS}),
+known AS (SELECT DISTINCT CASE kind WHEN 'text' THEN 'text' ELSE 'block' END AS kind, sha256(form) AS d, min(licence) AS licence FROM forms WHERE form <> '' GROUP BY forms.kind, form HAVING forms.kind <> 'block' OR count(DISTINCT licence) = 1
+          UNION ALL SELECT * FROM (VALUES {digests})),
+docs AS (SELECT doc_id, {lines("text")} AS x FROM documents),
+units AS (SELECT doc_id, unnest({blocks("x")}) AS form FROM docs),
+met AS (SELECT doc_id, string_agg(DISTINCT licence, ',' ORDER BY licence) AS notices, min(licence) AS one, count(DISTINCT licence) AS n FROM units JOIN known ON kind = 'block' AND d = sha256(form) GROUP BY doc_id),
+texts AS (SELECT doc_id, sha256({flat("x")}) AS text_digest FROM docs)
+SELECT doc_id, text_digest, coalesce(known.licence, CASE WHEN n = 1 THEN one END) AS licence, known.licence IS NOT NULL AS whole, coalesce(notices, '') AS notices
+FROM texts LEFT JOIN known ON kind = 'text' AND text_digest = d LEFT JOIN met USING (doc_id)
 """
 
 

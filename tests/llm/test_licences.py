@@ -1,11 +1,20 @@
+from pathlib import Path
+
+import pytest
 from cases import edge_docs, edge_rows, empty_docs
 
 from quire.llm import licences
 
+#: Published texts that many systems carry.
+SHARED = Path("/usr/share/common-licenses")
+
 
 def scan(spark, texts):
+    """(licence of the entire text, licences of blocks)"""
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    return [(r.licence, list(r.notices)) for r in sorted(licences.scan(df).collect(), key=lambda r: r.doc_id)]
+    rows = sorted(licences.scan(df).collect(), key=lambda r: r.doc_id)
+    assert all(r.licence == (r.licence if r.whole else r.notices[0] if len(r.notices) == 1 else None) for r in rows)
+    return [(r.licence if r.whole else None, list(r.notices)) for r in rows]
 
 
 def test_spellings_case_marks_and_copyright_lines(spark):
@@ -30,16 +39,39 @@ def test_notices_are_entire_lines(spark):
     assert [x[1] for x in got] == [["CC-BY-NC-4.0", "MIT"], [], [], []]
 
 
+def test_a_licence_among_other_text_is_found_by_its_paragraphs(spark):
+    mit, isc = licences.TEXTS["MIT"][2], licences.TEXTS["ISC"][1]
+    got = scan(spark, ["My readme\n=====\nSome words.\n\n" + mit.upper() + "\n\nMore words.\n", "intro\n\n" + isc + "\n\n" + mit, mit.replace("\n\n", "\n"), "x" + mit])
+    assert [x[0] for x in got] == [None, None, "MIT", None]
+    assert [x[1] for x in got] == [["MIT"], ["ISC", "MIT"], ["MIT"], ["MIT"]]
+
+
+@pytest.mark.skipif(not (SHARED / "GPL-3").exists(), reason="no published texts here")
+def test_published_texts_are_known(spark):
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    texts = [(SHARED / n).read_text(encoding="utf-8") for n in names]
+    got = scan(spark, texts + [t.upper().replace(",", "  ") for t in texts] + [t[: len(t) // 2] for t in texts])
+    assert [x[0] for x in got] == [*names.values()] * 2 + [None] * len(names)
+    terms = texts[2][: texts[2].index("END OF TERMS AND CONDITIONS")]
+    assert scan(spark, [terms])[0][0] == "GPL-3.0"
+
+
 def test_known_wordings_do_not_clash(spark):
-    for texts in (licences.TEXTS, licences.NOTICES):
-        assert licences.known_digests(spark, texts).count() == sum(map(len, texts.values()))
+    known = licences.registry(spark).collect()
+    assert len({(r.kind, r.digest) for r in known}) == len(known)
+    assert sum(r.kind == "text" for r in known) == sum(map(len, licences.TEXTS.values())) + sum(map(len, licences.DIGESTS.values()))
+    assert sum(r.kind == "block" for r in known) >= sum(map(len, licences.NOTICES.values()))
 
 
-def test_edge_rows_empty_and_plan(spark):
+def test_edge_rows_empty_and_plan(spark, monkeypatch):
     out = licences.scan(edge_docs(spark).withColumn("licence", licences.F.lit("clash")))
     assert out.count() == len(edge_rows())
     assert licences.scan(empty_docs(spark)).collect() == []
-    assert licences.scan(edge_docs(spark), {}, {}).filter("licence is not null or size(notices) > 0").count() == 0
+    none = licences.registry(spark, {}, {}, {})
+    assert licences.scan(edge_docs(spark), none).filter("licence is not null or size(notices) > 0").count() == 0
+    monkeypatch.setattr(licences, "MOST_KNOWN", 3)
+    with pytest.raises(ValueError, match="at most 3"):
+        licences.scan(edge_docs(spark))
 
 
 def test_every_notice_of_the_table_is_found(spark):

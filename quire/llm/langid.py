@@ -6,10 +6,12 @@ language whose tree gives a whole text the shortest code is predicted.
 
 The trees of all languages are flattened into one table with a row for every context that any language has seen, so that
 scoring a text is two array look-ups per byte. Symbols are bytes after lower-casing A-Z, with white space, digits and
-other ASCII marks as one symbol each and bytes above 127 that training has not seen as one symbol.
+other ASCII marks as one symbol each and bytes above 127 that training has not seen as one symbol. Which of a symbol's bytes stands
+in the text costs the logarithm of their number in every language, so that the lengths are those of a code of the bytes.
 
 Trees are fitted on a bounded sample: about ``SAMPLE_ROWS`` whole texts of each language (all, where it has fewer), by the
-hash of their id.
+hash of their id; more than ``MOST_LANGUAGES`` languages are refused. The table that is sent out has at most ``MODEL_BYTES``: where
+many languages and scripts would need more, contexts are shorter by as many symbols as it takes.
 
 Defined cases: null text and texts without a letter are ``und`` with score 0, as is every text if nothing could be
 learned; rows with a null id or lang are never learned from and not held out; repeated rows are predicted one by one; an
@@ -32,9 +34,10 @@ from pyspark.sql import functions as F
 from quire.llm.workspace import numbered, slices
 
 DEPTH, SAMPLE_ROWS, BLOCK = 3, 300, 1 << 19
+MOST_LANGUAGES, MODEL_BYTES = 500, 256 << 20
 UNKNOWN = "und"
-#: Bits per byte above which a text fits no learned language, for `accepted`.
-MOST_BITS = 7.0
+#: Bits per byte above which a text fits no learned language, for `accepted`: those of plain bytes.
+MOST_BITS = 8.0
 #: Bytes whose evidence counts as one observation in the score, so that long texts don't all end at 1.
 EVIDENCE = 64
 SPACE, DIGIT, MARK, OTHER = 0, 1, 2, 3
@@ -64,29 +67,40 @@ def _grams(symbols: np.ndarray, base: int) -> np.ndarray:
 @dataclass
 class Model:
     languages: list[str]
-    #: Symbol of each byte, number of symbols.
+    #: Symbol of each byte, bits that tell it from the others of its symbol, number of symbols, symbols of a context.
     symbols: np.ndarray
+    apart: np.ndarray
     width: int
-    #: Row of each context of DEPTH symbols, and bits[row * width + symbol, language].
+    depth: int
+    #: Row of each context, and bits[row * width + symbol, language].
     rows: np.ndarray
     bits: np.ndarray
 
     def lengths(self, text: bytes) -> np.ndarray:
         """Code length in bits under each language."""
         total, data = np.zeros(len(self.languages)), np.frombuffer(text, dtype=np.uint8)
-        before = np.zeros(DEPTH, dtype=np.int64)
+        before = np.zeros(self.depth, dtype=np.int64)
         for k in range(0, len(data), BLOCK):
             part = np.concatenate([before, self.symbols[data[k : k + BLOCK]]])
-            n = len(part) - DEPTH
-            context = part[:n]
-            for d in range(1, DEPTH):
+            n = len(part) - self.depth
+            context = part[:n] if self.depth else np.zeros(n, dtype=np.int64)
+            for d in range(1, self.depth):
                 context = context * self.width + part[d : n + d]
-            total += self.bits[self.rows[context] * self.width + part[DEPTH:]].sum(axis=0, dtype=np.float64)
-            before = part[-DEPTH:]
-        return total
+            total += self.bits[self.rows[context] * self.width + part[self.depth :]].sum(axis=0, dtype=np.float64)
+            before = part[n:]
+        return total + np.bincount(data, minlength=256) @ self.apart
 
 
-def fit(counts: list[tuple[str, int, int]]) -> Model | None:
+def _symbols(grams: np.ndarray) -> tuple[np.ndarray, int]:
+    """Numbers of the symbols that training has seen, by their byte, and how many there are."""
+    seen = sorted(set(np.unique(grams).tolist()) - {SPACE, DIGIT, MARK, OTHER})
+    compact = np.full(256, OTHER, dtype=np.int64)
+    compact[[SPACE, DIGIT, MARK]] = [SPACE, DIGIT, MARK]
+    compact[seen] = 4 + np.arange(len(seen))
+    return compact, 4 + len(seen)
+
+
+def fit(counts: list[tuple[str, int, int]], most_bytes: int = MODEL_BYTES) -> Model | None:
     """counts: (language, gram code in base 256, occurrences)."""
     languages = sorted({x[0] for x in counts})
     if not languages:
@@ -95,35 +109,40 @@ def fit(counts: list[tuple[str, int, int]]) -> Model | None:
     lang = np.array([where[x[0]] for x in counts], dtype=np.int64)
     code, n = np.array([x[1] for x in counts], dtype=np.int64), np.array([x[2] for x in counts], dtype=np.float64)
     grams = np.stack([(code >> (8 * (DEPTH - k))) & 255 for k in range(DEPTH + 1)], axis=1)
-    seen = sorted(set(np.unique(grams).tolist()) - {SPACE, DIGIT, MARK, OTHER})
-    compact = np.full(256, OTHER, dtype=np.int64)
-    compact[[SPACE, DIGIT, MARK]] = [SPACE, DIGIT, MARK]
-    for k, s in enumerate(seen):
-        compact[s] = 4 + k
-    width, grams = 4 + len(seen), compact[grams]
-    # Price of every symbol after no context, then after each longer context; `table` has the rows of the last depth.
-    table = np.full((1, width, len(languages)), 1.0 / width)
-    place = np.zeros(1, dtype=np.int64)  # row of each context of the depth
+    compact, width = _symbols(grams)
+    grams = compact[grams]
+    levels = []
     for depth in range(DEPTH + 1):
         contexts = np.zeros(len(code), dtype=np.int64)
         for k in range(DEPTH - depth, DEPTH):
             contexts = contexts * width + grams[:, k]
-        used, own = np.unique(contexts, return_inverse=True)
-        exact = np.zeros((len(used), width, len(languages)))
-        np.add.at(exact, (own, grams[:, DEPTH], lang), n)
-        total, kinds = exact.sum(axis=1, keepdims=True), (exact > 0).sum(axis=1, keepdims=True)
-        shorter = table[place[used % (width ** max(depth - 1, 0))]] if depth else np.repeat(table, len(used), axis=0)
-        scale = np.maximum(total + kinds, 1)
-        made = np.where(exact > 0, exact / scale, np.where(total > 0, kinds / scale * shorter, shorter))
-        if depth:
-            # A context that no language has seen shares the row of its suffix.
-            known = np.tile(place, width) if depth > 1 else np.zeros(width, dtype=np.int64)
-            known[used] = len(table) + np.arange(len(used))
-            table, place = np.concatenate([table, made]), known
-        else:
-            table, place = made, np.zeros(1, dtype=np.int64)
-    bits = -np.log2(table).astype(np.float32).reshape(-1, len(languages))
-    return Model(languages, compact[RAW], width, place.astype(np.int32), bits)
+        levels.append(np.unique(contexts, return_inverse=True))
+    sizes = np.cumsum([len(used) for used, _ in levels]) * width * len(languages) * 4 + np.array([4 * width**d for d in range(DEPTH + 1)])
+    fitting = np.flatnonzero(sizes <= most_bytes)
+    if not len(fitting):
+        raise ValueError(f"{len(languages)} languages of {width} symbols don't fit a table of {most_bytes} bytes")
+    deepest = int(fitting[-1])
+    # Price of every symbol after no context, then after each longer one; `place` has the row of each context of a depth.
+    table = np.empty((sum(len(used) for used, _ in levels[: deepest + 1]), width, len(languages)), dtype=np.float32)
+    place, filled = np.zeros(1, dtype=np.int64), 0
+    for depth, (used, own) in enumerate(levels[: deepest + 1]):
+        shorter = place[used % (width ** max(depth - 1, 0))]
+        for k in range(len(languages)):
+            mine = lang == k
+            exact = np.bincount(own[mine] * width + grams[mine, DEPTH], weights=n[mine], minlength=len(used) * width).reshape(len(used), width)
+            total, kinds = exact.sum(axis=1, keepdims=True), (exact > 0).sum(axis=1, keepdims=True)
+            below = table[shorter, :, k] if depth else np.full((1, width), 1.0 / width)
+            scale = np.maximum(total + kinds, 1)
+            table[filled : filled + len(used), :, k] = np.where(exact > 0, exact / scale, np.where(total > 0, kinds / scale * below, below))
+        # A context that no language has seen shares the row of its suffix.
+        known = np.tile(place, width) if depth > 1 else np.zeros(width**depth, dtype=np.int64)
+        known[used] = filled + np.arange(len(used))
+        place, filled = known, filled + len(used)
+    np.log2(table, out=table)
+    np.negative(table, out=table)
+    symbols = compact[RAW]
+    apart = np.log2(np.bincount(symbols, minlength=width)[symbols])
+    return Model(languages, symbols, apart, width, deepest, place.astype(np.int32), table.reshape(-1, len(languages)))
 
 
 def learnable(docs: DataFrame) -> Column:
@@ -145,9 +164,11 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     """Fit on about sample_rows whole texts of each language; only the grams of that sample come to the driver."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("binary").alias("text")).filter(learnable(docs))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
     if not sizes:
         return None
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     share = F.element_at(F.create_map(*itertools.chain.from_iterable((F.lit(k), F.lit(min(1.0, sample_rows / n))) for k, n in sorted(sizes.items()))), F.col("lang"))
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     chosen = rows.filter(place < share).select("lang", "text")

@@ -1,13 +1,14 @@
 import zlib
 
 import numpy as np
+import pytest
 from cases import edge_docs, edge_rows, empty_docs
 
 from quire.llm import langid
 
 
-def slow_bits(training, text):
-    """Code length of text under a context tree of the training texts, symbol by symbol."""
+def slow_bits(training, text, depth=3):
+    """Code length of text under a context tree of the training texts, byte by byte."""
     raw = langid.RAW
     seen = {int(raw[b]) for t in training for x in t.values() for b in x.encode()} | {0, 1, 2, 3}
     symbol = lambda b: int(raw[b]) if int(raw[b]) in seen else langid.OTHER
@@ -24,7 +25,7 @@ def slow_bits(training, text):
         total = 0.0
         for k in range(3, len(s)):
             p = 1.0
-            for d in (3, 2, 1, 0, None):
+            for d in (*range(depth, -1, -1), None):
                 own = counts.get(tuple(s[k - d : k])) if d is not None else None
                 if d is None:
                     p *= 1 / len(seen)
@@ -34,22 +35,37 @@ def slow_bits(training, text):
                         p *= own[s[k]] / (n + kinds)
                         break
                     p *= kinds / (n + kinds)
-            total -= np.log2(p)
+            total -= np.log2(p / sum(symbol(b) == s[k] for b in range(256)))
         out[lang] = total
     return out
 
 
-def test_code_lengths_match_a_walk_of_the_tree(spark):
+def test_code_lengths_match_a_walk_of_the_tree():
     training = [{"en": "The cat sat on the mat, then it ran!", "fr": "Le chat était là; où est-il allé ?"}, {"en": "There are 12 hats", "fr": "Ça va très bien"}]
     counts = {}
     for t in training:
         for lang, text in t.items():
             for g in langid._grams(langid.RAW[np.frombuffer(text.encode(), dtype=np.uint8)], 256).tolist():
                 counts[lang, g] = counts.get((lang, g), 0) + 1
-    model = langid.fit([(a, g, n) for (a, g), n in counts.items()])
-    for text in ("the hat", "où est le chat", "漢字 zq 77 \x00", "t"):
-        got, want = model.lengths(text.encode()), slow_bits(training, text)
-        assert np.allclose(got, [want[x] for x in model.languages], rtol=1e-5)
+    depths = set()
+    for most in (1 << 28, 60_000, 20_000, 2_000):
+        model = langid.fit([(a, g, n) for (a, g), n in counts.items()], most)
+        assert model.bits.nbytes + model.rows.nbytes <= most
+        depths.add(model.depth)
+        for text in ("the hat", "où est le chat", "漢字 zq 77 \x00", "t"):
+            got, want = model.lengths(text.encode()), slow_bits(training, text, model.depth)
+            assert np.allclose(got, [want[x] for x in model.languages], rtol=1e-5)
+        # No text begins more cheaply than a code of bytes allows.
+        assert all(sum(2.0 ** -model.lengths(bytes([b]))[k] for b in range(256)) <= 1 + 1e-6 for k in range(2))
+    assert len(depths) > 2
+    with pytest.raises(ValueError, match="don't fit"):
+        langid.fit([(a, g, n) for (a, g), n in counts.items()], 10)
+
+
+def test_too_many_languages_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 1)
+    with pytest.raises(ValueError, match="more than 1"):
+        langid.train(edge_docs(spark))
 
 
 def test_held_out_accuracy(spark):

@@ -1,8 +1,9 @@
 """Grace hash deduplication of whole texts.
 
-Records are split by digest bits into spill files until each bucket fits an open-addressing table that compares
-complete content. The table runs twice: inside every input partition, so that a group of copies of any size leaves
-one record per partition, and then over those records after one shuffle on the digest.
+Records are split by digest bits into spill files, in the folders that Spark gives a task, until each bucket fits an
+open-addressing table that compares complete content. The table runs twice: inside every input partition, so that a group of
+copies of any size leaves one record for each MEMBERS rows of a partition, and then over those records after one shuffle on the
+digest.
 
 Defined cases: null text counts as empty; empty texts form one group; a null doc_id ranks after every other; rows
 repeated with the same doc_id are separate members of which one is kept; an empty table gives an empty result;
@@ -12,6 +13,7 @@ input columns other than doc_id and text are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 import pickle
 import tempfile
@@ -30,6 +32,8 @@ BLANKS = b" \t\n\x0b\x0c\r"
 #: Bytes of distinct content that one table may hold before its bucket is split, files per split, slots at the start.
 TABLE_BYTES, FANOUT, SLOTS = 96 << 20, 16, 1 << 10
 NO_ID = 1 << 63
+#: Rows of a partition that go through one table at a time, as a table keeps the ids of all members.
+MEMBERS = 1 << 19
 BATCH_ROWS, BATCH_BYTES = 4096, 16 << 20
 
 
@@ -69,6 +73,13 @@ class OpenTable:
             self.slots[at] = k
 
 
+def spill_folder() -> str | None:
+    """One of the folders that Spark gives the task for its own spills; the system's where it names none."""
+    folders = [x for x in os.environ.get("SPARK_LOCAL_DIRS", "").split(",") if x]
+    context = TaskContext.get()
+    return folders[(context.partitionId() if context else 0) % len(folders)] if folders else None
+
+
 def _branch(digest: bytes, level: int) -> int:
     byte = digest[level // 2]
     return byte >> 4 if level % 2 == 0 else byte & 15
@@ -104,7 +115,7 @@ def grace_groups(records: Iterable[tuple], limit: int = TABLE_BYTES, level: int
                 yield digest, content, member
         yield from records
 
-    with tempfile.TemporaryDirectory(prefix="grace-", dir=folder) as spill:
+    with tempfile.TemporaryDirectory(prefix="grace-", dir=folder or spill_folder()) as spill:
         paths = [os.path.join(spill, str(k)) for k in range(FANOUT)]
         files = [open(p, "wb") for p in paths]
         try:
@@ -151,7 +162,7 @@ def _rank(n_chars: int, doc_id: int | None, rid: int) -> tuple:
 
 
 def _local(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """Members of every local group; only the group's head carries its content."""
+    """Members of every local group; only the group's head carries its content. A group may have a head for each MEMBERS rows."""
     first = TaskContext.get().partitionId() << 36
 
     def records() -> Iterator[tuple]:
@@ -162,8 +173,13 @@ def _local(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordB
                 yield hashlib.blake2b(content, digest_size=16).digest(), content, (n or 0, doc_id, rid)
                 rid += 1
 
+    def groups() -> Iterator[tuple]:
+        source = records()
+        for record in source:
+            yield from grace_groups(itertools.chain([record], itertools.islice(source, MEMBERS - 1)), limit)
+
     def rows() -> Iterator[tuple]:
-        for digest, content, members in grace_groups(records(), limit):
+        for digest, content, members in groups():
             sha = hashlib.sha256(content).hexdigest()
             head = min(members, key=lambda m: _rank(*m))
             for m in members:

@@ -34,6 +34,27 @@ def test_edge_rows_match_brute_force(spark, limit):
     assert sorted(got, key=key) == sorted(brute(edge_rows()), key=key)
 
 
+def test_partitions_go_through_the_table_in_parts(spark, monkeypatch):
+    from quire.llm.workspace import pa
+
+    rows = edge_rows()
+    monkeypatch.setattr(dedup, "MEMBERS", 7)
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([None if r[1] is None else r[1].encode() for r in rows], pa.binary()), pa.array([len(r[1] or "") for r in rows])], names=["doc_id", "text", "n"])
+    monkeypatch.setattr(dedup.TaskContext, "get", lambda: type("Context", (), {"partitionId": lambda self: 0})())
+    made = [r for b in dedup._local(iter([batch]), dedup.TABLE_BYTES) for r in b.to_pylist()]
+    assert len(made) == len(rows) and sum(r["copies"] or 0 for r in made) == len(rows)
+    heads = [r["rid"] for r in made if r["copies"]]
+    assert all(r["head"] in heads for r in made) and len(heads) > len(brute(rows)) / 7
+
+
+def test_spills_go_where_spark_says(tmp_path, monkeypatch):
+    monkeypatch.setenv("SPARK_LOCAL_DIRS", f"{tmp_path}")
+    list(dedup.grace_groups([(bytes([k]) * 16, bytes([k]) * 100, k) for k in range(50)], limit=1000))
+    assert dedup.spill_folder() == str(tmp_path) and list(tmp_path.iterdir()) == []
+    monkeypatch.setenv("SPARK_LOCAL_DIRS", "")
+    assert dedup.spill_folder() is None
+
+
 def test_empty_table(spark):
     assert dedup.grace_dedup(empty_docs(spark)).collect() == []
 

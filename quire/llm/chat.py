@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -115,9 +116,11 @@ class Conversation:
         for r, t in self.formatter.read(part):
             self.turns.update(f"{r}\n{t}\n".encode("utf-8", "surrogatepass"))
             self.n_turns += 1
-        for s, loss in segments:
+        # The mask is spans of the output, and what lies under it is read back from there.
+        ends = list(accumulate(len(s) for s, _ in segments))
+        for (s, loss), end in zip(segments, ends, strict=True):
             if loss:
-                own = self.formatter.unescape(s)
+                own = self.formatter.unescape(part[end - len(s) : end])
                 self.loss.update(own.encode("utf-8", "surrogatepass"))
                 self.loss_chars += len(own)
         self.formatted_chars += len(part)

@@ -548,12 +548,16 @@ def _extracted(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _built(spark: SparkSession, sf: str) -> graph.Graph:
-    """Chunks 0 to 3 of most orders; mentions in later ones, and in those of the others, dangle."""
+def _build_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Extractions, chunks and abbreviations. Chunks 0 to 3 of most orders; mentions in later ones, and in those of the others, dangle."""
     papers = _t(spark, sf, "orders").filter("o_orderkey % 10 <> 1").select(_key("o", "o_orderkey").alias("filename"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("index"))
     chunks = papers.select(t.chunk_id(F.col("filename"), F.col("index")).alias("chunk_id"), "filename", "index", F.concat(F.lit("text "), F.col("index").cast("string")).alias("text"))
     short = files.abbreviations(spark.createDataFrame([(0, "acc", "Accuracy")], "place int, short string, full_name string"))
-    return graph.build(_extracted(spark, sf), chunks, short, lambda name, df: materialise(df, name))
+    return _extracted(spark, sf), chunks, short
+
+
+def _built(spark: SparkSession, sf: str) -> graph.Graph:
+    return graph.build(*_build_inputs(spark, sf), lambda name, df: materialise(df, name))
 
 
 _BUILT = f"""
@@ -621,6 +625,18 @@ def graph_build_nodes(spark: SparkSession, sf: str) -> DataFrame:
     return rows.unionByName(made.results.select(F.lit("PerformanceResult").alias("label"), F.col("result_id").alias("key"), result.alias("detail")))
 
 
+@query(
+    "WITH "
+    + _BUILT
+    + """x AS (SELECT 1)
+SELECT (SELECT count(*) FROM paper) AS papers, (SELECT count(*) FROM (SELECT DISTINCT type, canonical FROM named)) AS entities, (SELECT count(*) FROM chunk) AS chunks,
+       (SELECT count(*) FROM l) AS mentions, (SELECT count(*) FROM rel) AS relations, (SELECT count(*) FROM perf) AS results"""
+)
+def build_totals(spark: SparkSession, sf: str) -> DataFrame:
+    extractions, chunks, short = _build_inputs(spark, sf)
+    return graph.build_totals(extractions, chunks, graph.build(extractions, chunks, short, lambda name, df: materialise(df, name)))
+
+
 # Retrieval and answers
 
 

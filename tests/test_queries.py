@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from quire.plans.queries import QUERIES, SQL
+from quire.plans.flow_queries import QUERIES, SQL
 
 
 @pytest.fixture(scope="module")

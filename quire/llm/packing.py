@@ -6,7 +6,7 @@ the one that doesn't fit is cut to fill it exactly, and its rest seeds the next
 are token ids, and term counts, lengths and document frequencies are those of whole texts. The table of document
 frequencies is bounded by the vocabulary.
 
-Documents are ordered by (minhash of tokens, minhash of token pairs, row), so lexical neighbours meet; a task takes a range of
+Documents are ordered by weighted minhashes of their tokens, then by row, so lexical neighbours meet; a task takes a range of
 that order and cuts it into shards by running sums of what a shard holds, so that neither the memory of a task nor the
 number of tasks follows from the other. A hot key is cut by the row. The last tokens of a shard become sequences of powers
 of two, which need no padding.
@@ -109,14 +109,34 @@ def crc_of(ids: np.ndarray) -> int:
 
 
 def _mixed(values: np.ndarray) -> np.ndarray:
-    """A fixed mixing of integers, for minhashes."""
+    """A fixed mixing of integers into 63 bits."""
     x = values.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(29)
     x *= np.uint64(0xBF58476D1CE4E5B9)
     return (x ^ (x >> np.uint64(32))) >> np.uint64(1)
 
 
-_MIXED_IDS = _mixed(np.arange(1 << 16))
+
+
+def _race() -> np.ndarray:
+    """Places of all token ids in a race that later ids, the rarer merges, are likelier to win: a weighted minhash takes the first."""
+    ids = np.arange(1 << 16)
+    luck = (_mixed(ids).astype(np.float64) + 1) / 2.0**63
+    places = np.empty(1 << 16, dtype=np.int64)
+    places[np.argsort(-np.log(luck) / np.log(ids + 2.0), kind="stable")] = ids
+    return places
+
+
+_PLACES = _race()
+
+
+def order_key(ids: np.ndarray) -> tuple[int, int]:
+    """Numbers under which lexical neighbours meet: the winner of the race among a text's tokens, and the next two."""
+    places, found = _PLACES[ids], []
+    for _ in range(3):
+        found.append(int(places.min()) if len(places) else 1 << 16)
+        places = places[places != found[-1]]
+    return found[0], found[1] << 20 | found[2]
 _END = END_ID.to_bytes(2, "little")
 TOKENS = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("crcs", pa.list_(pa.int64())), ("tail", pa.binary()), ("words", pa.binary()), ("times", pa.binary()), ("size", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
 TOKENS_DDL = "rid long, doc_id long, n_tokens long, crcs array<long>, tail binary, words binary, times binary, size long, k1 long, k2 long, terms array<int>, counts array<long>"
@@ -139,8 +159,7 @@ def _tokens(batches: Iterator[pa.RecordBatch], file: Broadcast, window: int) ->
                 whole = len(ids) // window
                 tail = ids[whole * window :]
                 frequency[ids] += 1  # once for each distinct token
-                k1 = int(_MIXED_IDS[ids].min())
-                k2 = int(_mixed(ids[:-1].astype(np.int64) << 16 | ids[1:]).min()) if len(ids) > 1 else 0
+                k1, k2 = order_key(ids)
                 crcs = [crc_of(ids[k * window : (k + 1) * window]) for k in range(whole)]
                 terms, times = np.unique(ids, return_counts=True) if whole else (None, None)
                 size = len(tail) + (len(terms) + whole if whole else 0)

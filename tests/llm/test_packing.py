@@ -107,3 +107,12 @@ def test_windows_join_related_texts():
     windows = list(packing.pack_tails(tails, idf, 60.0, 512))
     mixed = sum(len({k % 2 for k, _, _ in w}) > 1 for w in windows if sum(p[2] for p in w) == 512)
     assert mixed <= 2
+
+
+def test_near_copies_are_neighbours_in_the_order():
+    rng = np.random.default_rng(5)
+    families = [np.unique(rng.integers(2, 49_000, 300)) for _ in range(60)]
+    texts = [np.r_[f[rng.random(len(f)) < 0.97], rng.integers(2, 49_000, 5)] for f in families for _ in range(4)]
+    order = sorted(range(len(texts)), key=lambda k: packing.order_key(texts[k]))
+    assert sum(a // 4 == b // 4 for a, b in zip(order, order[1:])) > 0.7 * 180
+    assert packing.order_key(np.array([7, 7])) != packing.order_key(np.array([8])) and packing.order_key(np.empty(0, np.int64))[0] == 1 << 16

@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from quire.llm.workspace import slices
 
-#: Words kept between blocks, characters of text in a block, pre-tokens of a long text handled at once.
-CACHE_WORDS, BLOCK_CHARS, BLOCK_WORDS = 400_000, 1 << 20, 200_000
+#: Words kept between blocks and their characters, characters of text in a block, pre-tokens of a long text handled at once.
+CACHE_WORDS, CACHE_CHARS, BLOCK_CHARS, BLOCK_WORDS = 400_000, 1 << 23, 1 << 20, 200_000
 _ASCII_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 #: The same for text of Latin letters up to U+017F and general punctuation, where \p{L}, \p{N} and \s are these.
 _LATIN, _DIGIT, _BLANK = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
@@ -173,13 +173,17 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.vocabulary = vocabulary
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def learn(self, words: Iterable[str]) -> None:
         distinct = set(words)
         fresh = [w for w in distinct if w not in self.known]
-        if len(self.known) + len(fresh) > CACHE_WORDS:
+        more = sum(map(len, fresh))
+        if len(self.known) + len(fresh) > CACHE_WORDS or self.held + more > CACHE_CHARS:
             self.known.clear()
             fresh = list(distinct)
+            self.held, more = 0, sum(map(len, fresh))
+        self.held += more
         for word, ids in zip(fresh, self.vocabulary.replay([w.encode() for w in fresh]), strict=True):
             self.known[word] = array("I", ids).tobytes()
 

@@ -42,7 +42,8 @@ K1, B = 1.2, 0.75
 #: Documents and cells (documents times terms) of a shard up to which all scores may be one matrix product, of which a step costs
 #: about so many times less than one over postings.
 DENSE_ROWS, DENSE_CELLS, DENSE_GAIN = 2048, 1 << 23, 32.0
-CACHE_WORDS = 300_000
+#: Words kept between texts, and characters of a word that is kept.
+CACHE_WORDS, WORD_CHARS = 300_000, 64
 #: Text outside these characters is left to the tokenizer as a whole; they compose to nothing and lower-case one by one.
 _RARE = re.compile(r"[^\x00-įı-ſ‐-‧€]")
 _LETTERS, _NUMBERS = "a-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼½¾"
@@ -83,7 +84,9 @@ class WordIds(dict):
             spelled = word.encode().decode("latin-1").translate(_BYTES)
         else:
             spelled = word if word.isalnum() else word.translate(_BYTES)
-        ids = self[word] = array("H", [t.id for t in self._merge(spelled)]).tobytes()
+        ids = array("H", [t.id for t in self._merge(spelled)]).tobytes()
+        if len(word) <= WORD_CHARS:
+            self[word] = ids
         return ids
 
     def encode(self, text: str) -> bytes:

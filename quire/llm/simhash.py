@@ -434,46 +434,53 @@ def similar_links(sets: list[np.ndarray], least: float = SIMILARITY) -> tuple[np
     """Places of links that connect all pairs of sets (sorted, distinct, not empty) with a Jaccard similarity of ``least`` or more.
 
     A walk as in forest(), by the exact similarity. Two such sets share one at least of their rarest members, as many as may
-    miss in the other and one more; only sets that share one of those are compared, which loses no pair.
+    miss in the other and one more; a set is compared with those that share one of its own, which loses no pair. Members that more
+    than one in 64 sets have are kept as bits and counted as words, the rest by lists of their sets; both take no more memory
+    than the sets.
     """
+    none, n = np.empty(0, np.int64), len(sets)
     sizes = np.array([len(x) for x in sets])
-    if len(sets) == 2:
+    if n == 2:
         both = len(np.intersect1d(*sets, assume_unique=True))
-        return (np.array([1]), np.array([0])) if both >= least * (sizes.sum() - both) else (np.empty(0, np.int64), np.empty(0, np.int64))
-    owner = np.repeat(np.arange(len(sets)), sizes)
+        return (np.array([1]), np.array([0])) if both >= least * (sizes.sum() - both) else (none, none)
+    owner = np.repeat(np.arange(n), sizes)
     _, member, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.argsort(counts, kind="stable")
     rank = np.empty(len(counts), dtype=np.int64)
-    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
-    member = rank[member]
-    member = member[np.lexsort((member, owner))]
-    starts = np.cumsum(sizes) - sizes
+    rank[order] = np.arange(len(counts))
+    member, counts = rank[member], counts[order]
+    shared, common = np.searchsorted(counts, [2, max(2, n // 64 + 1)])
+    # The rarest members of a set that may miss, and one more: whether a common one is among them.
     rare = sizes - np.ceil(least * sizes - 1e-9).astype(np.int64) + 1
-    first = np.arange(len(member)) - np.repeat(starts, sizes) < np.repeat(rare, sizes)
-    posted, who = member[first], owner[first]
+    wide = np.bincount(owner[member < common], minlength=n) < rare
+    bits = _member_bits(owner, member - common, n, len(counts) - common)
+    listed = (member >= shared) & (member < common)
+    who, posted = owner[listed], member[listed]
+    begins = np.searchsorted(who, np.arange(n + 1))
     by = np.argsort(posted, kind="stable")
-    posted, who = posted[by], who[by]
-    rest, live, marked = np.ones(len(sets), dtype=bool), len(sets), np.zeros(len(counts), dtype=bool)
-    listed, left, right = live, [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for begin in range(len(sets)):
+    lists, at = who[by], np.searchsorted(posted[by], np.arange(shared, common + 1))
+    rest, live, alive = np.ones(n, dtype=bool), n, np.arange(n)
+    left, right = [none], [none]
+    for begin in range(n):
         if not rest[begin]:
             continue
         rest[begin], todo, live = False, [begin], live - 1
         while todo and live:
             k = todo.pop()
-            if 2 * live < listed:
-                posted, who, listed = posted[rest[who]], who[rest[who]], live
-            own = member[starts[k] : starts[k] + sizes[k]]
-            lo, hi = np.searchsorted(posted, own[: rare[k]]), np.searchsorted(posted, own[: rare[k]], "right")
-            near = np.unique(np.concatenate([who[x:y] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]))
-            near = near[rest[near]]
+            own = posted[begins[k] : begins[k + 1]] - shared
+            met = np.concatenate([none, *(lists[at[m] : at[m + 1]] for m in own.tolist())])
+            if wide[k]:
+                if 2 * live < len(alive):
+                    alive = np.flatnonzero(rest)
+                near, both = alive, np.bincount(met, minlength=n)[alive]
+            else:
+                near, both = np.unique(met, return_counts=True)
+            fit = rest[near] & (sizes[near] >= least * sizes[k]) & (least * sizes[near] <= sizes[k])
+            near, both = near[fit], both[fit]
             if not len(near):
                 continue
-            marked[own] = True
-            n = sizes[near]
-            begins = np.cumsum(n) - n
-            both = np.add.reduceat(marked[member[np.arange(n.sum()) + np.repeat(starts[near] - begins, n)]].astype(np.int64), begins)
-            marked[own] = False
-            found = near[both >= least * (sizes[k] + n - both)]
+            both = both + np.bitwise_count(bits[near] & bits[k]).sum(axis=1, dtype=np.int64)
+            found = near[both >= least * (sizes[k] + sizes[near] - both)]
             rest[found], live = False, live - len(found)
             todo.extend(found.tolist())
             left.append(found)
@@ -481,6 +488,20 @@ def similar_links(sets: list[np.ndarray], least: float = SIMILARITY) -> tuple[np
     return np.concatenate(left), np.concatenate(right)
 
 
+def _member_bits(owner: np.ndarray, member: np.ndarray, n: int, width: int) -> np.ndarray:
+    """Rows of words with a bit for each member from 0 up; owner is sorted."""
+    words = -(-width // 64)
+    out = np.zeros((n, words), dtype=np.uint64)
+    owner, member = owner[member >= 0], member[member >= 0]
+    step = max(1, BLOCK * 64 // max(1, words * 64))
+    for lo in range(0, n, step):
+        a, b = np.searchsorted(owner, [lo, lo + step])
+        rows = np.zeros((min(step, n - lo), words * 64), dtype=bool)
+        rows[owner[a:b] - lo, member[a:b]] = True
+        out[lo : lo + step] = np.packbits(rows, axis=1, bitorder="little").view(np.uint64)
+    return out
+
+
 def _similar(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     """Links (u, v) of the groups of a partition of (group, block, row, text) ordered by (group, block)."""
     held, rows, sets = None, [], []

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, chat, dedup, edits, langid, licences, packing, quality, simhash, warc
+from quire.llm import bpe, chat, dedup, divergence, edits, fingerprints, langid, licences, packing, quality, resampling, simhash, warc
 
 #: The public vocabularies; a deployment may keep them elsewhere.
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -65,7 +65,22 @@ def op10_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.grace_dedup(_table(spark, sf_dir, "documents"))
 
 
-_QUERIES = (op1_quality_rules, op2_warc_fixity, op3_chat_format, op4_simhash_mih, op5_bpe_replay, op6_pack_lexical, op7_language_ppm, op8_edit_counts, op9_licence_digests, op10_grace_dedup)
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op12_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_winnow_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_audit(_table(spark, sf_dir, "documents"))
+
+
+_QUERIES = (
+    op1_quality_rules, op2_warc_fixity, op3_chat_format, op4_simhash_mih, op5_bpe_replay, op6_pack_lexical, op7_language_ppm, op8_edit_counts, op9_licence_digests, op10_grace_dedup,
+    op11_source_divergence, op12_importance_resample, op13_winnow_fingerprints,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -163,5 +178,64 @@ FROM texts LEFT JOIN known ON kind = 'text' AND text_digest = d LEFT JOIN met US
 """
 
 
+_OP11 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS x FROM documents),
+t AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL),
+f AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+p AS (SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER o + 5 * count(*) OVER o)::HUGEINT AS p FROM f WINDOW o AS (PARTITION BY lang, source)),
+w AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL),
+q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER o + 5 * count(*) OVER o)::HUGEINT AS q FROM w WINDOW o AS (PARTITION BY lang)),
+s AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS v FROM p a JOIN p b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(v, 0)::BIGINT AS value FROM g a JOIN g b USING (lang) LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source WHERE a.source <> b.source
+      UNION ALL SELECT lang, source, 'term', term, (p.p - q.q)::BIGINT FROM p JOIN q USING (lang, term) WHERE p.n > 0 AND p.p > q.q)
+SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INTEGER AS rank FROM r QUALIFY part = 'pair' OR rank <= 50
+"""
+
+#: CRC-32 is folded over a list in which a byte is given as itself + 256 and followed by its eight shifts.
+_OP12 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS x FROM documents),
+a AS (SELECT 0 AS side, r, x FROM d UNION ALL SELECT 1, row_number() OVER (), coalesce(text, '') FROM benchmark),
+w AS (SELECT side, r, regexp_extract_all(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM a),
+f AS (SELECT side, r, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS feature FROM w),
+c AS (SELECT side, r, feature, count(*) AS n FROM f GROUP BY ALL),
+h AS (SELECT feature, hex(encode(feature)) AS x FROM (SELECT DISTINCT feature FROM c)),
+k AS (SELECT feature, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(0, length(x) // 2), lambda i: [256 + ('0x' || substr(x, 2 * i + 1, 2))::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0]))),
+             lambda acc, y: CASE WHEN y >= 256 THEN xor(acc, y - 256) ELSE xor(acc >> 1, 3988292384 * (acc & 1)) END), 4294967295) % 10000 AS bucket FROM h),
+b AS (SELECT bucket, sum(n) FILTER (side = 0) AS s, sum(n) FILTER (side = 1) AS t FROM c JOIN k USING (feature) GROUP BY bucket),
+z AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * (coalesce(sum(t) OVER (), 0) + 10000)::DOUBLE)))::BIGINT AS gain FROM b),
+m AS (SELECT r, sum(n)::BIGINT AS n_features, floor(sum(n * gain)::DOUBLE / sum(n))::BIGINT AS mean FROM c JOIN k USING (feature) JOIN z USING (bucket) WHERE side = 0 GROUP BY r),
+e AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(mean, 0) AS weight, len(ws) AS n_words,
+             coalesce(mean, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+      FROM d JOIN w ON w.side = 0 AND w.r = d.r LEFT JOIN m ON m.r = d.r),
+o AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) AS place, count(*) FILTER (n_words >= 20) OVER () AS n FROM e)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 25 * n // 100 THEN place END AS rank FROM o
+"""
+
+_OP13 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS x, length(coalesce(text, '')) AS n FROM documents),
+l AS (SELECT *, coalesce(lead(x) OVER o, first_value(x) OVER o) AS y FROM d WINDOW o AS (ORDER BY doc_id NULLS FIRST, x ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+e AS (SELECT row_number() OVER () AS r, doc_id, n, x, y, substr(x, 1, n - n // 2) || substr(y, 1, n // 2) AS z FROM l),
+u AS (SELECT r, 'x' AS side, x AS v FROM e UNION ALL SELECT r, 'y', y FROM e UNION ALL SELECT r, 'z', z FROM e),
+c AS (SELECT r, side, list_transform(regexp_extract_all(v, '[^\x20\x09-\x0D]{1,16}'), lambda t: ('0x' || substr(md5(t), 1, 10))::BIGINT) AS c FROM u),
+p AS (SELECT r, side, CASE WHEN len(c) BETWEEN 1 AND 3 THEN list_concat(c, list_transform(range(0, 4 - len(c)), lambda i: 0::BIGINT)) ELSE c END AS c FROM c),
+g AS (SELECT r, side, list_transform(range(1, len(c) - 2), lambda i: ((c[i] * 2048383 + c[i + 1] * 16129 + c[i + 2] * 127 + c[i + 3]) % 1099511627689) * 8388608 + (8388607 - (i - 1) % 8388608)) AS g FROM p),
+m AS (SELECT r, side, CASE WHEN len(g) = 0 THEN [] WHEN len(g) < 12 THEN [list_min(g)] ELSE list_transform(range(1, len(g) - 10), lambda i: list_min(g[i:i + 11])) END AS m FROM g),
+k AS (SELECT r, side, m, list_filter(range(1, len(m) + 1), lambda i: i = 1 OR m[i] <> m[i - 1]) AS i FROM m),
+s AS (SELECT r, side, list_transform(i, lambda j: m[j] // 8388608) AS h, list_transform(i, lambda j: 8388607 - m[j] % 8388608) AS pos FROM k),
+f AS (SELECT r, side, h, array_to_string(list_transform(h, lambda v: printf('%010x', v)), ' ') AS text, array_to_string(pos, ' ') AS pos FROM s)
+SELECT e.doc_id, e.n::BIGINT AS n_chars, sha256(e.z) AS edited_sha256, a.text AS fingerprint, b.text AS edited_fingerprint,
+       CASE WHEN len(list_concat(a.h, b.h)) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(a.h, b.h))::DOUBLE / len(list_distinct(list_concat(a.h, b.h))) END AS near_edited,
+       CASE WHEN len(list_concat(a.h, q.h)) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(a.h, q.h))::DOUBLE / len(list_distinct(list_concat(a.h, q.h))) END AS near_next,
+       a.pos AS positions, b.pos AS edited_positions
+FROM e JOIN f a ON a.r = e.r AND a.side = 'x' JOIN f b ON b.r = e.r AND b.side = 'z' JOIN f q ON q.r = e.r AND q.side = 'y'
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": _OP1, "op2_warc_fixity": _OP2, "op3_chat_format": _OP3, "op9_licence_digests": _licence_sql(), "op10_grace_dedup": _OP10}
+    return {
+        "op1_quality_rules": _OP1, "op2_warc_fixity": _OP2, "op3_chat_format": _OP3, "op9_licence_digests": _licence_sql(), "op10_grace_dedup": _OP10,
+        "op11_source_divergence": _OP11, "op12_importance_resample": _OP12, "op13_winnow_fingerprints": _OP13,
+    }

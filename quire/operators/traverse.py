@@ -1,15 +1,23 @@
 """Bounded expansion over the graph, for many queries at once.
 
-One hop is a join with both directions of the allowed edges. Reached nodes are made distinct per (query, seed, hop) before
-the next join and before counting, so parallel paths through a hub are not multiplied.
+The seeds of a query are numbered, and a reached node carries marks: bit k of word w is set if seed 64 w + k reaches it. One hop is a
+join with both directions of the allowed edges and a bitwise OR over (query, word, node), so that a node has one row whatever the
+number of seeds and paths; the number of seeds that reach it is a count of bits. Hubs are joined in parts (see heavy).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators.heavy import heavy_join, written
+
 MAX_HOPS = 2
+#: Seeds whose marks share one long. Spark's own bitmap aggregates have 32,768 bits, 4 KB for each node.
+WORD = 64
+Keep = Callable[[str, DataFrame], DataFrame]
 
 
 def clamp_hops(hops: int) -> int:
@@ -27,28 +35,48 @@ def both_ways(edges: DataFrame, relations: list[str] | None) -> DataFrame:
     return allowed.unionByName(allowed.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
-def reach(seeds: DataFrame, edges: DataFrame, hops: int, relations: list[str] | None) -> DataFrame:
-    """Distinct (query_id, seed, node, hop) of paths that use no edge twice, up to the clamped number of hops.
+def seed_marks(seeds: DataFrame) -> DataFrame:
+    """query_id, word, node, mark, hop 0: each seed with its own bit."""
+    number = F.dense_rank().over(Window.partitionBy("query_id").orderBy("entity")) - 1
+    return seeds.select("query_id", F.col("entity").alias("node"), number.alias("number")).select(
+        "query_id", F.floor(F.col("number") / WORD).cast("int").alias("word"), "node", F.expr(f"shiftleft(1L, number % {WORD})").alias("mark"), F.lit(0).alias("hop")
+    )
+
+
+def one_hop(marks: DataFrame, near: DataFrame, hop: int, keep: Keep = written) -> DataFrame:
+    """The marks of the neighbours of marked nodes, a row for each neighbour and edge."""
+    found = heavy_join(marks.select("query_id", "word", "node", "mark"), near.select(F.col("src").alias("node"), "dst"), "node", keep=keep)
+    return found.select("query_id", "word", F.col("dst").alias("node"), "mark", F.lit(hop).alias("hop"))
+
+
+def merged(marks: DataFrame) -> DataFrame:
+    """One row for each query, word and node: all marks, and the first hop that reached it."""
+    return marks.groupBy("query_id", "word", "node").agg(F.bit_or("mark").alias("mark"), F.min("hop").alias("hop"))
 
-    Within two hops only the way back to the seed would use an edge twice, and seeds are no result.
-    """
-    near = both_ways(edges, relations)
-    start = seeds.select("query_id", F.col("entity").alias("seed"))
-    first = start.join(near, start["seed"] == near["src"]).select("query_id", "seed", F.col("dst").alias("node"), F.lit(1).alias("hop")).distinct()
-    if clamp_hops(hops) == 1:
-        return first
-    second = first.select("query_id", "seed", F.col("node").alias("src")).join(near, "src").filter("dst <> seed").select("query_id", "seed", F.col("dst").alias("node"), F.lit(2).alias("hop")).distinct()
-    return first.unionByName(second)
 
+def reach(seeds: DataFrame, edges: DataFrame, hops: int, relations: list[str] | None, keep: Keep = written) -> DataFrame:
+    """query_id, node, hop, n_seeds of the nodes within the clamped number of hops by paths that use no edge twice, seeds left out.
 
-def expand_entities(seeds: DataFrame, edges: DataFrame, entities: DataFrame, hops: int = 2, relations: list[str] | None = None, most: int | None = None) -> DataFrame:
+    Within two hops only the way back to the seed would use an edge twice. That puts a mark on a seed, and seeds are no result.
+    """
+    near = keep("near", both_ways(edges, relations))
+    start = keep("seed-marks", seed_marks(seeds))
+    first = one_hop(start, near, 1, keep)
+    if clamp_hops(hops) == 2:
+        first = keep("first-hop", merged(first))
+        first = first.unionByName(one_hop(first, near, 2, keep))
+    marks = start.unionByName(first)
+    found = merged(marks).groupBy("query_id", "node").agg(F.min("hop").alias("hop"), F.sum(F.bit_count("mark")).alias("n_seeds"))
+    return found.filter("hop > 0")
+
+
+def expand_entities(seeds: DataFrame, edges: DataFrame, entities: DataFrame, hops: int = 2, relations: list[str] | None = None, most: int | None = None, keep: Keep = written) -> DataFrame:
     """query_id, entity, hop, n_seeds, rank of the entities around the seeds, without the seeds.
 
     ``entities`` (entity, name, type) are the nodes that may be results; others are only passed through. Ranked by hop, then
     seeds reached from (most first), then name and type; ``most`` keeps the first of each query.
     """
-    found = reach(seeds, edges, hops, relations).join(seeds.select("query_id", F.col("entity").alias("node")), ["query_id", "node"], "left_anti")
-    counted = found.groupBy("query_id", F.col("node").alias("entity")).agg(F.min("hop").alias("hop"), F.countDistinct("seed").alias("n_seeds"))
+    counted = reach(seeds, edges, hops, relations, keep).withColumnRenamed("node", "entity")
     order = Window.partitionBy("query_id").orderBy("hop", F.desc("n_seeds"), "name", "type", "entity")
     ranked = counted.join(entities.select("entity", "name", "type"), "entity").withColumn("rank", F.row_number().over(order))
     if most is not None:
@@ -59,3 +87,20 @@ def expand_entities(seeds: DataFrame, edges: DataFrame, entities: DataFrame, hop
 def entity_chunks(expanded: DataFrame, mentions: DataFrame) -> DataFrame:
     """Every chunk of every expanded entity, without text."""
     return expanded.join(mentions.select("entity", "chunk_id"), "entity").select("query_id", "entity", "rank", "chunk_id").distinct()
+
+
+def postings(mentions: DataFrame, most: int) -> DataFrame:
+    """entity, chunk_ids: the first ``most`` chunks of each entity in order, whatever the query.
+
+    A rank limit prunes each task's rows before they are shuffled, so that an entity with half of all mentions leaves ``most`` distinct
+    chunks a task.
+    """
+    order = Window.partitionBy("entity").orderBy("chunk_id")
+    first = mentions.select("entity", "chunk_id").withColumn("n", F.dense_rank().over(order)).filter(F.col("n") <= most)
+    return first.groupBy("entity").agg(F.sort_array(F.collect_set("chunk_id")).alias("chunk_ids"))
+
+
+def posted_chunks(expanded: DataFrame, posted: DataFrame, keep: Keep = written) -> DataFrame:
+    """query_id, entity, rank, chunk_id of the posted chunks of the expanded entities: at most a posting list for each."""
+    found = heavy_join(expanded.select("query_id", "entity", "rank"), posted.select("entity", "chunk_ids"), "entity", keep=keep)
+    return found.select("query_id", "entity", "rank", F.explode("chunk_ids").alias("chunk_id"))

@@ -1,4 +1,4 @@
-"""Exact nearest neighbours: every query against every vector, with k hits per query and partition before the shuffle."""
+"""Exact nearest neighbours: few queries against every vector, with k hits per query and partition before the shuffle; many by pivots."""
 
 from __future__ import annotations
 
@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.vectors import HITS, l2_normalize, most_shared, nearest
+from quire.operators.pivots import build_index
 
-#: Bytes of query vectors sent to the executors at once; more queries run in further blocks.
+#: Bytes of queries sent to the executors at once.
 QUERY_BYTES = 32 << 20
 
 
@@ -23,31 +24,28 @@ def _block(vectors: DataFrame, ids: list[str], rows: list, k: int) -> DataFrame:
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 5, normalize: bool = False) -> DataFrame:
     """query_id, chunk_id, rank, score (squared distance) of the k vectors nearest to each query; ties go by chunk_id.
 
-    queries: query_id, embedding. vectors: chunk_id, embedding. With fewer than k vectors there are fewer hits. Queries come
-    through the driver in blocks of at most QUERY_BYTES, each of which is one pass over the vectors.
+    queries: query_id, embedding. vectors: chunk_id, embedding. With fewer than k vectors there are fewer hits. Queries of at most
+    QUERY_BYTES, which are counted first, are sent to the vectors and searched in one pass; more stay a table (see pivots).
     """
     vector = l2_normalize(F.col("embedding")) if normalize else F.col("embedding").cast("array<double>")
-    rows = vectors.select(F.col("chunk_id").cast("string").alias("chunk_id"), "embedding")
-    found, ids, block = [], [], []
-    for r in queries.select(F.col("query_id").cast("string").alias("q"), vector.alias("v")).toLocalIterator():
-        ids.append(r["q"])
-        block.append(r["v"])
-        if 8 * len(block) * len(block[0]) >= QUERY_BYTES:
-            found.append(_block(rows, ids, block, k))
-            ids, block = [], []
-    if block:
-        found.append(_block(rows, ids, block, k))
-    if not found:
+    asked = queries.select(F.col("query_id").cast("string").alias("query_id"), vector.alias("embedding")).filter("embedding IS NOT NULL")
+    size = asked.agg(F.sum(8 * F.size("embedding") + F.length("query_id")).alias("bytes")).first()["bytes"]
+    if size is None:
         return vectors.sparkSession.createDataFrame([], "query_id string, chunk_id string, rank int, score double")
+    if size > QUERY_BYTES:
+        index = build_index(vectors)
+        return vectors.sparkSession.createDataFrame([], "query_id string, chunk_id string, rank int, score double") if index is None else index.search(asked, k)
+    rows = asked.collect()
+    hits = _block(vectors.select(F.col("chunk_id").cast("string").alias("chunk_id"), "embedding"), [r["query_id"] for r in rows], [r["embedding"] for r in rows], k)
     order = Window.partitionBy("query_id").orderBy("distance", "key")
-    ranked = reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(order))
+    ranked = hits.withColumn("rank", F.row_number().over(order))
     return ranked.filter(F.col("rank") <= k).select("query_id", F.col("key").alias("chunk_id"), "rank", F.col("distance").alias("score"))
 
 
 def lexical_topk(queries: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
     """query_id, key, score, rank: the k docs (key long, words) with the highest share of each query's words (query_id long, words); ties go by key.
 
-    As in vector_topk, queries go out in blocks of at most QUERY_BYTES, and a partition gives k rows for each query.
+    Queries go out in blocks of at most QUERY_BYTES, each of which is one pass over the docs; a partition gives k rows for each query.
     """
     found, ids, block, held = [], [], [], 0
     schema = pa.schema([("query_id", pa.int64()), ("key", pa.int64()), ("score", pa.float64())])

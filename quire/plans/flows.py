@@ -176,7 +176,10 @@ def retrieve_parts(queries: DataFrame, vectors: DataFrame, edges: DataFrame, ent
     hits = search.vector_topk(queries, vectors, get("retrieval.k", 5))
     seeds = traverse.seed_entities(hits, mentions)
     expanded = traverse.expand_entities(seeds, edges, entities, get("retrieval.hops", 2), get("retrieval.relation_types", []), get("retrieval.max_entities", 40))
-    chosen = select.quota_select(traverse.entity_chunks(expanded, mentions), get("retrieval.max_per_entity", 3), get("retrieval.max_chunks", 20))
+    quota, cap = get("retrieval.max_per_entity", 3), get("retrieval.max_chunks", 20)
+    expanded = traverse.written("expanded", expanded)
+    posted = traverse.written("postings", traverse.postings(mentions, select.needed(quota, cap)))
+    chosen = select.greedy(traverse.posted_chunks(expanded, posted), quota, cap)
     graph = chosen.join(expanded.select("query_id", "rank", "hop", "n_seeds", F.col("name").alias("entity")), ["query_id", "rank"]).drop("rank")
     return hits.select("query_id", "chunk_id", F.col("rank").alias("position"), "score"), graph
 

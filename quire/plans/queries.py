@@ -16,7 +16,7 @@ from quire.functions import models
 from quire.functions import text as t
 from quire.functions import vectors as v
 from quire.functions.chunking import chunk_files
-from quire.operators import graph, resolve, search, select, traverse
+from quire.operators import graph, pivots, resolve, search, select, traverse
 from quire.plans import flows
 from quire.settings import Settings
 from quire.sources import files
@@ -68,6 +68,14 @@ def knn_topk(spark: SparkSession, sf: str) -> DataFrame:
     return hits.select(F.col("query_id").cast("long").alias("query_id"), F.col("chunk_id").cast("long").alias("vec_id"), "rank", F.round("score", 6).alias("score"))
 
 
+@query("WITH " + _DISTANCES.format(x="embeddings") + "SELECT query_id, vec_id, rank, round(s, 6) AS score FROM k WHERE rank <= 5")
+def knn_pivots(spark: SparkSession, sf: str) -> DataFrame:
+    """The same search with the queries as a table, whatever their number."""
+    queries, vectors = _vectors(spark, sf)
+    hits = pivots.build_index(vectors).search(queries, K)
+    return hits.select(F.col("query_id").cast("long").alias("query_id"), F.col("chunk_id").cast("long").alias("vec_id"), "rank", F.round("score", 6).alias("score"))
+
+
 @query(
     "WITH j AS (SELECT e.* FROM embeddings e SEMI JOIN documents ON vec_id = doc_id), "
     + _DISTANCES.format(x="j")
@@ -347,8 +355,8 @@ def _star(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame
     entities = entities.unionByName(suppliers.select(_key("S", "s_suppkey").alias("entity"), F.col("s_name").alias("name"), F.lit("Dataset").alias("type")))
     entities = entities.unionByName(_t(spark, sf, "nation").select(_key("N", "n_nationkey").alias("entity"), F.col("n_name").alias("name"), F.lit("Task").alias("type")))
     named = F.explode(F.array(_key("P", "l_partkey"), _key("S", "l_suppkey")))
-    mentions = items.select(named.alias("entity"), _key("o", "l_orderkey").alias("chunk_id")).distinct()
-    return edges, entities, mentions
+    mentions = items.select(named.alias("entity"), _key("o", "l_orderkey").alias("chunk_id"))
+    return edges, entities, mentions  # mentions may repeat, as every reader makes its own rows distinct
 
 
 def _seeds(spark: SparkSession, sf: str) -> DataFrame:
@@ -392,6 +400,13 @@ def expand_1hop(spark: SparkSession, sf: str) -> DataFrame:
     return _expanded(spark, sf, 1)
 
 
+@query("WITH " + _STAR.replace("IN ('EVALUATED_ON', 'INVOLVES')", "IN ('EVALUATED_ON', 'HAS_RESULT', 'INVOLVES')") + _EXPANDED.format(reached="one") + "SELECT * FROM top")
+def expand_1hop_all(spark: SparkSession, sf: str) -> DataFrame:
+    """One hop over the edges of all line items, whatever their type."""
+    edges, entities, _ = _star(spark, sf)
+    return traverse.expand_entities(_seeds(spark, sf), edges, entities, 1, [*ALLOWED, "HAS_RESULT"], 40)
+
+
 @query("WITH " + _STAR + _EXPANDED.format(reached="(FROM one UNION ALL FROM two)") + "SELECT * FROM top")
 def expand_2hop(spark: SparkSession, sf: str) -> DataFrame:
     return _expanded(spark, sf, 2)
@@ -406,8 +421,15 @@ def entity_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return traverse.entity_chunks(_expanded(spark, sf, 1), _star(spark, sf)[2])
 
 
-def _chosen(spark: SparkSession, sf: str) -> DataFrame:
-    return select.quota_select(traverse.entity_chunks(_expanded(spark, sf, 1), _star(spark, sf)[2]), 3, 20)
+def _chosen(spark: SparkSession, sf: str, hops: int) -> DataFrame:
+    posted = materialise(traverse.postings(_star(spark, sf)[2], select.needed(3, 20)), "postings")
+    return select.greedy(traverse.posted_chunks(materialise(_expanded(spark, sf, hops), "expanded"), posted), 3, 20)
+
+
+@query("WITH " + _STAR.split("seed AS")[0].rstrip().rstrip(",") + " SELECT entity, row_number() OVER (PARTITION BY entity ORDER BY chunk_id) AS place, chunk_id FROM m QUALIFY place <= 22")
+def posting_lists(spark: SparkSession, sf: str) -> DataFrame:
+    posted = traverse.postings(_star(spark, sf)[2], select.needed(3, 20))
+    return posted.select("entity", F.posexplode("chunk_ids").alias("place", "chunk_id")).withColumn("place", (F.col("place") + 1).cast("long"))
 
 
 _WALK = """,
@@ -424,7 +446,13 @@ done AS (SELECT query_id, arg_max(taken, step) AS taken, arg_max(ranks, step) AS
 
 @query(_CANDIDATES + _WALK + "SELECT query_id, unnest(ranks) AS rank, unnest(taken) AS chunk_id, unnest(range(len(taken)))::INTEGER AS position FROM done")
 def quota_select(spark: SparkSession, sf: str) -> DataFrame:
-    return _chosen(spark, sf)
+    return _chosen(spark, sf, 1)
+
+
+@query(_CANDIDATES.replace(_EXPANDED.format(reached="one"), _EXPANDED.format(reached="(FROM one UNION ALL FROM two)")) + _WALK + "SELECT query_id, unnest(ranks) AS rank, unnest(taken) AS chunk_id, unnest(range(len(taken)))::INTEGER AS position FROM done")
+def quota_select_2hop(spark: SparkSession, sf: str) -> DataFrame:
+    """The choice over the default two hops."""
+    return _chosen(spark, sf, 2)
 
 
 @query(

@@ -121,7 +121,9 @@ def edit_audit(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     named = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(" "), text)
-    rows = docs.select(F.unhex(F.md5(named.cast("binary"))).alias("key"), "doc_id", text.alias("text"))
+    # Never null, so that no side of a join filters it and both can read one exchange.
+    key = F.coalesce(F.unhex(F.md5(named.cast("binary"))), F.lit(b""))
+    rows = docs.select(key.alias("key"), "doc_id", text.alias("text"))
     followers = _followers(rows.select("key", "doc_id", F.length("text").alias("n_chars")))
 
     # Of equal rows the first is followed by the next document, the others by their like. lag() rather than a rank, which Spark

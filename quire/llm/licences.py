@@ -1,6 +1,6 @@
 """Licence scans by canonical digest: texts are normalised, hashed and hash-joined to the digests of known licences.
 
-Normalising drops copyright lines, lower-cases, unifies equivalent spellings and keeps letters and digits only, with one blank
+Normalising drops copyright notices (but no line of a sentence that happens to begin with the word), lower-cases, unifies equivalent spellings and keeps letters and digits only, with one blank
 between words. A document is looked up as an entire text, and so is each of its blocks: its lines, and its paragraphs between lines
 without letters or digits. A block is hashed only if a known block is as long, which loses none. All lookups are one hash join with
 the registry, a constant of this module or of the caller.
@@ -57,19 +57,19 @@ TEXTS: dict[str, tuple[str, ...]] = {
 }
 #: Digests of the canonical form of published licences, entire and up to the end of their terms, by SPDX identifier.
 DIGESTS: dict[str, tuple[str, ...]] = {
-    "Apache-2.0": ("6ab5deeb4b2c14f4681b97d03ec0d6cf046968b552bd6e2efe1721910b2e5e9e", "cf7c26411074d941b42afe8baac32788531f003acea32d25ead49048c329c78d", "b7bb6b2416cb5fc4e3acd34d1283c66e6228adab995f1c959405a3978193462c",),
-    "Artistic-1.0-Perl": ("93aa47d57763801ed6e6a6591d4d4049a2c46794df90838023ceade56b569da0",),
-    "CC0-1.0": ("c9fc766f3657f72225d157a552169fb6bc0ba652f321dd55458ae0b62f996a32",),
-    "GFDL-1.2": ("19d29a7c800a0d85704b63b4c09d5cd01dd9a287c61e238f4717d8a9e75d214f",),
-    "GFDL-1.3": ("e70f40f3a50995855f972521fe4eaa4af360a4597e5914977b6093cce5243480",),
-    "GPL-1.0": ("9e12a40a9b22c45d116f19e1746b08ea0b853519de3e03ceb780f2a36d5f388c", "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc", "89f75ffda938e788be38679f9f83e317c2a03398fccf03ee60505d44d1bf9f70",),
-    "GPL-2.0": ("b866f5427b78991db8012466b32f51c907f5e974fde5129a47372d0d0552e3a1", "e4d14510e41435c3eb12c255b72546a3cb9943f06f209c72bc30a19095b08999", "a1e7ba14d8d85807f384435b77f91e925decc43da128311c991c4f2337e44017",),
-    "GPL-3.0": ("59a779feaae4de539260be3c8adb19c287a771586d211e12d93932777da37349", "f7bb29d9a31c3a1a68ccff0d8d9053350dc0b10b52b62d46d0f2e36a41e32975", "f37d587507fc579524cb06d1130d5899891a978ee008cfc033b3b4d95da28bee",),
-    "LGPL-2.0": ("b4114daa3dfa52e27e78b2c4e17acd58bf4381e812762f4ded0bcb8eabd1092c", "ff773d8d898dfc51ae2dbf3baa20700673e8ceb153b13d26c525af34a59adf0c", "e0de5033b5ad2a24c0a1a8b04f09e33038ffa62d2bef7178de2a3c6f5d56f499",),
-    "LGPL-2.1": ("294fb9ec58649c7eb0cf90fc2900ac1b28b82fb6da9d40d7599d6b7d399d4d2e", "963f79d48038eed98d8341c84d8d3b765e99508a738d00654c0112f70a7c370c", "9bf9c99aeafbdbccd7456a00d574699e3deb41868375496cacbf170be719bebd",),
+    "Apache-2.0": ("75acde0fb516a7ba4597dfc23680cf78281f7fae7f3b74a78e06ef83c1c375c6", "f9138026e58bdb767e6c6e974637ff9aacbaedf2695e30fef144e5d7d84448ff", "6fb8411669deea22294b6190fad00b8e39899d0b7b6c5cf97a3b15b47e129c38",),
+    "Artistic-1.0-Perl": ("e963bc30f4d3c45f45030c34409ee37315564625649c1394e32bb5ddd99e01b2",),
+    "CC0-1.0": ("cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e",),
+    "GFDL-1.2": ("15f6a8d360ffdecc988c29279c00f23e20de17f14f2a06572ab0d41de6e98b7b",),
+    "GFDL-1.3": ("2d36daeff2ad303badb6dee8149748be25e22974dd468e1e8a55cf40f16fc01d",),
+    "GPL-1.0": ("8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224", "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc", "89f75ffda938e788be38679f9f83e317c2a03398fccf03ee60505d44d1bf9f70",),
+    "GPL-2.0": ("efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821", "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34", "6d332dc4c3c5293a73c6c9da402f9bbc970b3bb1eb472f577e00580573469808",),
+    "GPL-3.0": ("eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a", "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636", "092a7f3b82e6c22949b46388bca99e725b6e756f1c2b1e3f575447fbd44b6191",),
+    "LGPL-2.0": ("61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908", "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260", "430627da7218a92ab4a6d75d5140cdb70ee750be7a53f913299b37e0d1b0eea2",),
+    "LGPL-2.1": ("4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891", "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4", "bf2f0c6bf1c47b3b1e3cbedeefecddd1e7db21d1919858d45c2f918efaf426df",),
     "LGPL-3.0": ("aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",),
-    "MPL-1.1": ("fcb579371133afd771fed87cd5d8c6dc5648746c9945d4adf08ec5c79aba5c61",),
-    "MPL-2.0": ("95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9",),
+    "MPL-1.1": ("cbbde7eeab9b4d180dc00b34252f800e97fb1cddbab38ed8c0c73b956dc2cbf6",),
+    "MPL-2.0": ("f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a",),
 }
 #: Words from which a paragraph of a known text is a block of its own.
 MIN_WORDS = 20
@@ -85,9 +85,9 @@ NOTICES: dict[str, tuple[str, ...]] = {
 #: Equivalent spellings, after lower-casing: the left is written as the right.
 SPELLINGS: tuple[tuple[str, str], ...] = (
     ("licenc", "licens"),
-    ("sub[- ]licens", "sublicens"),
-    ("non[- ]commercial", "noncommercial"),
-    ("non[- ]infringement", "noninfringement"),
+    ("sub[^\\p{L}\\p{N}]{1,12}licens", "sublicens"),
+    ("non[^\\p{L}\\p{N}]{1,12}commercial", "noncommercial"),
+    ("non[^\\p{L}\\p{N}]{1,12}infringement", "noninfringement"),
     ("merchantib", "merchantab"),
     ("acknowledgement", "acknowledgment"),
     ("favour", "favor"),
@@ -96,12 +96,20 @@ SPELLINGS: tuple[tuple[str, str], ...] = (
 )
 #: A registry, and its digests at most, as it is sent to every executor.
 KNOWN, MOST_KNOWN = "kind string, digest string, licence string, length int", 50_000
-COPYRIGHT_LINE = "(?m)^[^\\p{L}\\n(©]*(?:copyright|\\(c\\)|©|all rights reserved)[^\\n]*$"
+#: A line is a copyright notice if it begins with the sign, with (c) and a year, with the word and then a sign, a year or a place to
+#: fill in, or with the word and reserves all rights; and so is a paragraph of one line that begins with the word.
+NOTICE_LINE = (
+    "(?m)^[^\\p{L}\\n(©<\\[{]*(?:©[^\\n]*|\\(c\\)[ :,]*(?:copyright|[0-9<\\[{])[^\\n]*|copyright[ :,]*(?:©|\\(c\\)|[0-9<\\[{])[^\\n]*"
+    "|copyright[^\\n]*all rights reserved[^\\n]*|all rights reserved[^\\p{L}\\n]*)$"
+)
+NOTICE_PARAGRAPH = "(^[^\\p{L}\\p{N}]*|\\n[^\\p{L}\\p{N}\\n]*\\n)[^\\p{L}\\p{N}\\n]*copyright [^\\n]*(\\n[^\\p{L}\\p{N}\\n]*\\n|$)"
 
 
 def canonical_lines(text: Column) -> Column:
     """The normalised text with its line ends; what the others derive from."""
-    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, " ")
+    # (?d): only a line feed ends a line, as in the SQL form.
+    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "(?d)" + NOTICE_LINE, " ")
+    out = F.regexp_replace(out, "(?d)" + NOTICE_PARAGRAPH, "$1$2")
     for old, new in SPELLINGS:
         out = F.regexp_replace(out, old, new)
     return F.regexp_replace(out, "[^\\p{L}\\p{N}\n]+", " ")

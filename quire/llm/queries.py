@@ -150,7 +150,8 @@ def _quoted(text: str) -> str:
 
 def _licence_sql() -> str:
     def lines(x: str) -> str:
-        out = f"regexp_replace(lower(coalesce({x}, '')), {_quoted(licences.COPYRIGHT_LINE)}, ' ', 'g')"
+        out = f"regexp_replace(lower(coalesce({x}, '')), {_quoted(licences.NOTICE_LINE)}, ' ', 'g')"
+        out = f"regexp_replace({out}, {_quoted(licences.NOTICE_PARAGRAPH)}, '\\1\\2', 'g')"
         for old, new in licences.SPELLINGS:
             out = f"regexp_replace({out}, {_quoted(old)}, {_quoted(new)}, 'g')"
         return f"regexp_replace({out}, '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"

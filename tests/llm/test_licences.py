@@ -1,3 +1,4 @@
+import textwrap
 from pathlib import Path
 
 import pytest
@@ -81,3 +82,38 @@ def test_every_notice_of_the_table_is_found(spark):
     for r in docs.collect():
         assert got[r.doc_id] == {name for mark, name in marks.items() if mark in r.text}
     assert any(got.values())
+
+
+def wrapped(text, width, start=""):
+    """The text in lines of at most ``width``, each after ``start``; paragraphs stay apart."""
+    lines = []
+    for line in text.split("\n"):
+        lines += textwrap.wrap(line, width) or [""]
+    return "\n".join(start + x for x in lines)
+
+
+@pytest.mark.parametrize("form", ["plain", "crlf", "comment"])
+def test_whole_texts_at_every_width(spark, form):
+    given = [(name, wrapped("Copyright (c) 2020, A. Person\nCopyright 2021 B. Person\n\n" * (width % 2) + t, width, "# " if form == "comment" else "")) for name, own in licences.TEXTS.items() for t in own for width in range(60, 81)]
+    got = scan(spark, [t.replace("\n", "\r\n") if form == "crlf" else t for _, t in given])
+    assert [x[0] for x in got] == [name for name, _ in given]
+
+
+def test_what_is_a_notice(spark):
+    isc = licences.TEXTS["ISC"][1]
+    notices = ["Copyright 1999-2004 X", "copyright: (C) the authors", "(c) 2001 X", "© X", "Copyright <year> <owner>", "Copyright [yyyy] [name]", "Copyright The Regents. All rights reserved.", "All rights reserved.", "\nCopyright The Authors\n", "/* Copyright (c) 2020 X */"]
+    kept = ["Copyright holders are many, (c) or not, in this text", "(c) a third item of a list", "the copyright 1999"]
+    got = scan(spark, [f"{n}\n{isc}" for n in notices] + [f"{n}\n{isc}" for n in kept])
+    assert [x[0] for x in got] == ["ISC"] * len(notices) + [None] * len(kept)
+    pair = [licences.digest(licences.F.lit(x)) for x in ("a\nprovided that the above\ncopyright notice and this\n", "a provided that the above copyright notice and this")]
+    assert spark.range(1).select(*pair).first()[0] == spark.range(1).select(*pair).first()[1]
+
+
+def test_planted_texts_against_brute_force(spark, sf_dir):
+    """Whole licences among the documents of the table: all are found by their whole text, and nothing else is."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    names = [(name, t) for name, own in licences.TEXTS.items() for t in own]
+    planted = {10_000 + 100 * k + width: (name, wrapped(t.upper() if width % 3 else t, width)) for k, (name, t) in enumerate(names) for width in range(50, 100, 7)}
+    df = spark.createDataFrame(rows + [(k, t) for k, (_, t) in planted.items()], "doc_id long, text string")
+    got = {r.doc_id: r.licence for r in licences.scan(df).filter("whole").collect()}
+    assert got == {k: name for k, (name, _) in planted.items()}

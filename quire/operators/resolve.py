@@ -39,11 +39,52 @@ def canonical_by_count(counted: DataFrame) -> DataFrame:
     return counted.groupBy("norm_key", "type").agg(F.max_by("name", rank).alias("canonical"))
 
 
-def entity_index(mentioned: DataFrame, table: DataFrame) -> DataFrame:
-    """mentioned (filename, name, type), one row per paper and spelling, to the canonical name of each (norm_key, type)."""
+def name_counts(mentioned: DataFrame, table: DataFrame, sign: int = 1) -> DataFrame:
+    """norm_key, type, name, n: papers that list each spelling, after abbreviations. mentioned: filename, name, type, one row per paper and spelling."""
     names = keyed_names(mentioned, table)
     counted = mentioned.groupBy("name", "type").agg(F.count(F.lit(1)).alias("k")).join(names, "name").filter("full <> ''")
-    return canonical_by_count(counted.groupBy("norm_key", "type", F.col("full").alias("name")).agg(F.sum("k").alias("n")))
+    return counted.groupBy("norm_key", "type", F.col("full").alias("name")).agg((F.sum("k") * sign).alias("n"))
+
+
+def entity_index(mentioned: DataFrame, table: DataFrame) -> DataFrame:
+    """mentioned to the canonical name of each (norm_key, type)."""
+    return canonical_by_count(name_counts(mentioned, table))
+
+
+def count_changes(gone: DataFrame, come: DataFrame, table: DataFrame) -> DataFrame:
+    """norm_key, type, name, n: by how much each spelling's count rises or falls, where it does; gone and come are rows as in name_counts()."""
+    both = name_counts(come, table).unionByName(name_counts(gone, table, -1))
+    return both.groupBy("norm_key", "type", "name").agg(F.sum("n").alias("n")).filter("n <> 0")
+
+
+def touched_names(counts: DataFrame, index: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What changes in counts and index, resolved for the touched keys alone.
+
+    The counts of the touched keys (norm_key, type, name, n), 0 where a spelling is gone; their canonical names; and ``renamed``
+    (norm_key, type, old, canonical), old or canonical null where there was or is none.
+    """
+    key = ["norm_key", "type"]
+    touched = changes.select(*key).distinct()
+    own = counts.join(touched, key, "left_semi").select("norm_key", "type", "name", "n").unionByName(changes)
+    own = own.groupBy("norm_key", "type", "name").agg(F.sum("n").alias("n"))
+    now = canonical_by_count(own.filter("n > 0"))
+    before = index.join(touched, key, "left_semi").select(*key, F.col("canonical").alias("old"))
+    renamed = before.join(now, key, "full_outer").filter(~F.col("old").eqNullSafe(F.col("canonical")))
+    return own, now, renamed
+
+
+def moved(edges: DataFrame, renamed: DataFrame, entity_key) -> DataFrame:
+    """Edges with the ends of renamed entities under their new names; an entity whose last spelling is gone takes its edges with it.
+
+    Entities are few beside edges: the renamed ones are joined from each end, with a broadcast if they are measured to be small.
+    """
+    names = renamed.filter("old IS NOT NULL").select(entity_key(F.col("old"), F.col("type")).alias("was"), entity_key(F.col("canonical"), F.col("type")).alias("is"))
+    names = small(names)
+    for end in ("src", "dst"):
+        own = names.select(F.col("was").alias("was_key"), F.col("is").alias("is_key"), F.lit("Entity").alias("was_label"))
+        edges = edges.join(own, (F.col(f"{end}_key") == F.col("was_key")) & (F.col(f"{end}_label") == F.col("was_label")), "left")
+        edges = edges.filter("was_key IS NULL OR is_key IS NOT NULL").withColumn(f"{end}_key", F.coalesce("is_key", f"{end}_key")).drop("was_key", "is_key", "was_label")
+    return edges.distinct()
 
 
 def add_fallbacks(index: DataFrame, references: DataFrame) -> DataFrame:

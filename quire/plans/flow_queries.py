@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 
 from quire.functions import models
 from quire.functions import text as t
-from quire.operators import graph
+from quire.operators import graph, resolve
 from quire.plans import flows
 from quire.plans.queries import _build_inputs, _DISTANCES, FAILED, NOTHING, QUERIES, SQL, K, _key, _t, _vectors, query
 from quire.settings import DEFAULTS, Settings, merged
-from quire.sources.scratch import run_folder
+from quire.sources.scratch import materialise, run_folder
 from quire.sources.snapshots import SnapshotStore
 
 __all__ = ["QUERIES", "SQL"]
@@ -170,3 +170,52 @@ def compressed_points(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {_ASKED} SELECT q.conv_id::VARCHAR AS query_id, CASE WHEN number IS NULL THEN 'no source' ELSE '[1] source: c' || q.conv_id END AS answer FROM q LEFT JOIN n ON n.conv_id = q.conv_id AND number = 1")
 def cited_answers(spark: SparkSession, sf: str) -> DataFrame:
     return flows.answers(*_asked(spark, sf), lambda: models.ExtractiveGenerator(NOTHING), "{question}", "no source", FAILED)
+
+
+def _listed(spark: SparkSession, sf: str, newer: bool) -> DataFrame:
+    """Orders as papers that list their parts under spellings; later some papers are gone, some new, and some spell otherwise."""
+    k, part = F.col("l_orderkey"), F.concat(F.lit("part-"), (F.col("l_partkey") % 400).cast("string"))
+    turn = (k + F.col("l_linenumber") + (F.when(k % 4 == 1, 1).otherwise(0) if newer else F.lit(0))) % 3
+    name = F.when(turn == 0, F.upper(part)).when(turn == 1, part).otherwise(F.initcap(part))
+    items = _t(spark, sf, "lineitem").filter(k % 10 != (7 if newer else 2))
+    return items.select(_key("o", "l_orderkey").alias("filename"), name.alias("name"), F.when(F.col("l_partkey") % 7 == 0, "Task").otherwise("Method").alias("type")).distinct()
+
+
+_NAMED = """WITH l AS (SELECT DISTINCT l_orderkey, l_partkey % 400 AS part, CASE WHEN l_partkey % 7 = 0 THEN 'Task' ELSE 'Method' END AS type,
+       (l_orderkey + l_linenumber + (l_orderkey % 4 = 1)::INTEGER) % 3 AS turn FROM lineitem WHERE l_orderkey % 10 <> 7),
+c AS (SELECT 'part ' || part AS norm_key, type, CASE turn WHEN 0 THEN 'PART-' WHEN 1 THEN 'part-' ELSE 'Part-' END || part AS name, count(*) AS n, (turn = 2)::INTEGER AS proper FROM l GROUP BY ALL)
+"""
+
+
+@query(_NAMED + "SELECT norm_key, type, arg_max(name, row(n, proper, name)) AS canonical, sum(n)::BIGINT AS n_papers, count(*) AS n_spellings FROM c GROUP BY norm_key, type")
+def naming_increment(spark: SparkSession, sf: str) -> DataFrame:
+    """Canonical names after a first build and an incremental one; the SQL builds them from nothing."""
+    store, short = _store(spark, "names"), flows.abbreviation_table(spark, Settings({"abbreviations": {"zz": "zz"}}))
+    old, new = _listed(spark, sf, False), _listed(spark, sf, True)
+    flows.update_names(old.limit(0), old, short, store)
+    flows.update_names(old.exceptAll(new), new.exceptAll(old), short, store)
+    counts, index = (store.read(n, s) for n, s in flows.NAMES.items())
+    sums = counts.groupBy("norm_key", "type").agg(F.sum("n").alias("n_papers"), F.count(F.lit(1)).alias("n_spellings"))
+    return index.join(sums, ["norm_key", "type"])
+
+
+@query(_NAMED + """SELECT l_orderkey AS o, part AS p, i.canonical, type FROM (SELECT DISTINCT l_orderkey, part, type FROM l) JOIN
+       (SELECT norm_key, type, arg_max(name, row(n, proper, name)) AS canonical FROM c GROUP BY norm_key, type) i USING (type) WHERE i.norm_key = 'part ' || part""")
+def renamed_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges from papers to entities that were built under the old names and then moved; those of changed papers are made anew."""
+    store, short = _store(spark, "names"), flows.abbreviation_table(spark, Settings({"abbreviations": {"zz": "zz"}}))
+    old, new = _listed(spark, sf, False), _listed(spark, sf, True)
+    index, parts = flows.NAMES["index"], None
+    edges = {}
+    for step, (gone, come) in enumerate(((old.limit(0), old), (old.exceptAll(new), new.exceptAll(old)))):
+        renamed = flows.update_names(gone, come, short, store)
+        names = store.read("index", index)
+        rows = (old, new)[step].withColumn("norm_key", t.norm_key("name")).join(names, ["norm_key", "type"])
+        edges[step] = rows.select(F.lit("Paper").alias("src_label"), F.col("filename").alias("src_key"), F.lit("USES").alias("rel_type"), F.lit("Entity").alias("dst_label"), graph.entity_key(F.col("canonical"), F.col("type")).alias("dst_key")).distinct()
+        if not step:
+            parts = materialise(edges[0], "edges-before")
+    touched = old.exceptAll(new).unionByName(new.exceptAll(old)).select(F.col("filename").alias("src_key")).distinct()
+    kept = resolve.moved(parts.join(touched, "src_key", "left_anti").select(*graph.EDGE_KEY), renamed, graph.entity_key)
+    whole = kept.unionByName(edges[1].join(touched, "src_key", "left_semi").select(*graph.EDGE_KEY)).distinct()
+    pieces = F.split("dst_key", "\u001f")
+    return whole.select(F.expr("cast(substring(src_key, 2) as bigint)").alias("o"), F.regexp_extract(pieces[1], "[0-9]+", 0).cast("int").alias("p"), pieces[1].alias("canonical"), pieces[0].alias("type"))

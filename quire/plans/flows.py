@@ -11,11 +11,11 @@ from quire.functions import models
 from quire.functions.chunking import chunk_files
 from quire.functions.text import strip
 from quire.operators import graph as graphs
-from quire.operators import search, select, traverse
+from quire.operators import resolve, search, select, traverse
 from quire.schemas import CHUNKS, ENTITY_TYPES, EXTRACTION, EXTRACTIONS, MANIFEST, RELATION_ENDS, VECTORS
 from quire.settings import Settings
 from quire.sources import files as sources
-from quire.sources.snapshots import SnapshotStore, assert_unique
+from quire.sources.snapshots import SnapshotStore
 
 GRAPH_SCHEMAS = {
     "papers": "filename string, title string",
@@ -140,8 +140,12 @@ def update_extractions(files: DataFrame, store: SnapshotStore, extractor: Callab
     return last
 
 
-def update_graph(extractions: DataFrame, chunks: DataFrame, abbreviations: DataFrame, store: SnapshotStore, reset: bool = False) -> int:
-    """Build the graph and commit it over the old one, or in its place; keys are checked before the version can be seen."""
+def update_graph(extractions: DataFrame, chunks: DataFrame, abbreviations: DataFrame, store: SnapshotStore, reset: bool = False, prune: bool = False) -> int:
+    """Build the graph and commit it over the old one, or in its place; keys are checked before the version can be seen.
+
+    Nodes and edges lie in buckets by their keys, and only buckets with a change are written. ``prune`` takes out what the build no longer
+    makes, so that stale results and names go; without it nothing is deleted.
+    """
     change = store.begin()
 
     def keep(name: str, df: DataFrame) -> DataFrame:
@@ -149,12 +153,16 @@ def update_graph(extractions: DataFrame, chunks: DataFrame, abbreviations: DataF
         return change.read(name, df.schema)
 
     new = graphs.build(extractions, chunks, abbreviations, keep)
-    old = graphs.Graph(**{name: store.read(name, schema) for name, schema in GRAPH_SCHEMAS.items()})
-    whole = new if reset or not store.versions() else graphs.upsert_graph(old, new)
-    for name, df in whole.tables().items():
-        change.replace(name, df, ["rel_type"] if name == "edges" else ())
-    for name, key in graphs.NODE_KEYS.items():
-        assert_unique(change.read(name, GRAPH_SCHEMAS[name]), key)
+    for name, key in {**graphs.NODE_KEYS, "edges": graphs.EDGE_KEY}.items():
+        if reset:
+            change.tables.pop(name, None)
+        rows = getattr(new, name)
+        gone = None
+        if prune and not reset:
+            rows = keep(f"{name}.built", rows)
+            gone = store.read(name, GRAPH_SCHEMAS[name]).select(*key).join(rows.select(*key), key, "left_anti")
+        change.merge(name, rows, key, gone)
+        change.tables.pop(f"{name}.built", None)
     return change.commit()
 
 
@@ -225,3 +233,35 @@ def abbreviation_table(spark: SparkSession, settings: Settings | None = None) ->
     """The short names of the settings."""
     rows = [(k, *x) for k, x in enumerate((settings or Settings()).get("abbreviations", {}).items())]
     return sources.abbreviations(spark.createDataFrame(rows, "place int, short string, full_name string"))
+
+
+NAMES = {"counts": "norm_key string, type string, name string, n long", "index": "norm_key string, type string, canonical string"}
+
+
+def listed_names(extractions: DataFrame) -> DataFrame:
+    """filename, name, type of every entity that a paper lists, as resolve.name_counts() takes them."""
+    return extractions.select("filename", F.explode("entities").alias("e")).select("filename", strip(F.col("e.name")).alias("name"), F.col("e.type").alias("type")).distinct()
+
+
+def update_names(gone: DataFrame, come: DataFrame, abbreviations: DataFrame, store: SnapshotStore) -> DataFrame | None:
+    """Bring counts of spellings and canonical names up to papers that went or changed (their old names) and that came (their new ones).
+
+    gone, come: filename, name, type. Only keys whose counts change are resolved again, and only their buckets are written. Gives back
+    ``renamed`` (see resolve.touched_names), written; None if no count changes.
+    """
+    change = store.begin()
+    counts, index = (store.read(n, s) for n, s in NAMES.items())
+    changes = change.append("changes", resolve.count_changes(gone, come, abbreviations))
+    del change.tables["changes"]
+    if changes.isEmpty():
+        return None
+    own, now, renamed = resolve.touched_names(counts, index, changes)
+    change.replace("touched", own)
+    own = change.read("touched", NAMES["counts"])
+    change.replace("renamed", renamed)
+    change.merge("counts", own.filter("n > 0"), ["norm_key", "type", "name"], own.filter("n <= 0"))
+    emptied = change.read("renamed", renamed.schema).filter("canonical IS NULL")
+    change.merge("index", now, ["norm_key", "type"], emptied)
+    del change.tables["touched"]
+    change.commit()
+    return store.read("renamed", renamed.schema)

@@ -4,6 +4,9 @@ A table is a list of parts, each a Parquet folder that one version wrote, and of
 older parts. A version is a JSON marker that names the parts of every table; it is created last and makes the version visible, so
 an interrupted writer leaves the old one. Tables that a commit doesn't touch are carried forward by name. A table of more than
 ``PARTS`` parts is written anew as one. One writer at a time is assumed.
+
+A table that is merged by key lies in buckets by a hash of the key, a part for each. merge() rewrites the buckets in which a row
+is new, differs or goes, and carries the others forward by name; what it compares with is read from the buckets that it is given.
 """
 
 from __future__ import annotations
@@ -18,6 +21,8 @@ from pyspark.sql.types import StructType
 
 MARKER = "_COMMITTED"
 PARTS = 16
+#: Buckets of a table that is merged by key; a table keeps the number it began with.
+BUCKETS, _BUCKET = 32, "__bucket"
 _AT, _DELETED = "__version", "__deleted_at"
 
 
@@ -54,6 +59,9 @@ class SnapshotStore:
         return self._rows(self.content().get(table, []), schema)
 
     def _rows(self, entries: list[dict], schema: str | StructType) -> DataFrame:
+        buckets = [f"{self.root}/{e['rows']}" for e in entries if "bucket" in e]
+        if buckets:
+            return self.spark.read.schema(schema).parquet(*buckets)
         parts = [self.spark.read.schema(schema).parquet(f"{self.root}/{e['rows']}").withColumn(_AT, F.lit(e["at"])) for e in entries if "rows" in e]
         if not parts:
             return self.spark.createDataFrame([], schema)
@@ -86,8 +94,11 @@ class SnapshotStore:
             self._fs.delete(self._path(f"{_folder(version)}/{MARKER}"), False)
             for status in self._fs.listStatus(self._path(_folder(version))):
                 name = f"{_folder(version)}/{status.getPath().getName()}"
-                if name not in named:
-                    self._fs.delete(self._path(name), True)
+                if name in named:
+                    continue
+                buckets = {x.rsplit("/", 1)[1] for x in named if x.startswith(f"{name}/")}
+                for unused in [s.getPath() for s in self._fs.listStatus(self._path(name)) if s.getPath().getName() not in buckets] if buckets else [self._path(name)]:
+                    self._fs.delete(unused, True)
 
 
 def _folder(version: int) -> str:
@@ -101,6 +112,7 @@ class Transaction:
         self.store = store
         self.version = (store.versions() or [0])[-1] + 1
         self.tables = store.content()
+        self._spools: list[str] = []
         store._fs.delete(store._path(_folder(self.version)), True)
 
     def _write(self, name: str, df: DataFrame, partitions: Sequence[str] = ()) -> str:
@@ -124,6 +136,57 @@ class Transaction:
         if any("rows" in e and e["at"] < self.version for e in self.tables.get(name, [])):
             self.tables[name] = [*self.tables[name], {"at": self.version, "gone": self._write(f"{name}.gone", keys.distinct()), "key": key}]
 
+    def merge(self, name: str, rows: DataFrame, key: Sequence[str], gone: DataFrame | None = None, buckets: int = BUCKETS) -> DataFrame:
+        """Put rows in place of those with equal keys, and take out those of ``gone`` (the key's columns) that are not among them.
+
+        Gives back the rows that are new or differ, to be read before the commit. rows must have one row a key, which is checked, and
+        is written once. A table that lies in other parts yet is first dealt out by key.
+        """
+        schema, columns, root = rows.schema, rows.columns, self.store.root
+        old = self.tables.get(name, [])
+        of = next((e["of"] for e in old if "of" in e), buckets)
+        bucket = F.pmod(F.xxhash64(*key), F.lit(of)).cast("int")
+
+        def among(numbers: list[int]) -> DataFrame:
+            return self.store._rows([e for e in old if e.get("bucket", -1) in numbers], schema).withColumn(_BUCKET, bucket)
+
+        def numbers_of(df: DataFrame) -> list[int]:
+            return [r[0] for r in df.select(_BUCKET).distinct().collect()]  # at most as many as there are buckets
+
+        if old and not any("bucket" in e for e in old):
+            before = self.store._rows(old, schema).select(*columns)
+            before = before if gone is None else before.join(gone.select(*key), list(key), "left_anti")
+            rows, old = upsert(before, rows, list(key)), []
+        spool = self._write(f"{name}.rows", rows)
+        self._spools.append(spool)
+        given = self.store.spark.read.schema(schema).parquet(f"{root}/{spool}")
+        assert_unique(given, list(key))
+        given = given.withColumn(_BUCKET, bucket)
+        changed, touched = given, set(range(of))
+        if old:
+            # Rows that are there already change nothing, so that a bucket which only such rows fall into is left alone.
+            news = self._write(f"{name}.changed", given.exceptAll(among(numbers_of(given))).select(*columns))
+            self._spools.append(news)
+            changed = self.store.spark.read.schema(schema).parquet(f"{root}/{news}").withColumn(_BUCKET, bucket)
+            touched = set(numbers_of(changed))
+        if gone is not None and old:
+            gone = gone.select(*key).distinct().withColumn(_BUCKET, bucket)
+            touched |= set(numbers_of(among(numbers_of(gone)).join(gone, list(key), "left_semi")))
+        entries = [e for e in old if e["bucket"] not in touched]
+        if touched:
+            whole = changed
+            if old:
+                kept = among(sorted(touched))
+                kept = kept if gone is None else kept.join(gone.select(*key), list(key), "left_anti")
+                whole = upsert(kept.select(*columns), changed.select(*columns), list(key)).withColumn(_BUCKET, bucket)
+            place = self._write(name, whole.repartition(F.col(_BUCKET)), [_BUCKET])
+            for number in sorted(touched):
+                folder = f"{place}/{_BUCKET}={number}"
+                if self.store._fs.exists(self.store._path(folder)):
+                    entries.append({"at": self.version, "rows": folder, "bucket": number, "of": of})
+        self.tables[name] = entries
+        return changed.drop(_BUCKET)
+
     def read(self, name: str, schema: str | StructType) -> DataFrame:
         """The table as it will be."""
         return self.store._rows(self.tables.get(name, []), schema)
@@ -138,6 +201,8 @@ class Transaction:
         stream = self.store._fs.create(self.store._path(f"{_folder(self.version)}/{MARKER}"))
         stream.write(json.dumps(self.tables).encode())
         stream.close()
+        for spool in self._spools:
+            self.store._fs.delete(self.store._path(spool), True)
         return self.version
 
 

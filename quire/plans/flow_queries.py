@@ -104,6 +104,30 @@ def extraction_increment(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    """WITH f AS (SELECT o_orderkey AS k, 'o' || o_orderkey AS title, '# A' || chr(10) || 'Method: ' || o_orderpriority AS a, '# B' || chr(10) || 'Task: ' || o_orderstatus || (o_orderkey % 50) AS b,
+       CASE WHEN o_orderkey % 10 = 0 THEN '# B' || chr(10) || 'Task: changed ' || o_orderstatus ELSE '# B' || chr(10) || 'Task: ' || o_orderstatus || (o_orderkey % 50) END AS c FROM orders),
+    q AS (SELECT title, unnest([a, b]) AS x, 1 AS run FROM f WHERE k % 10 <> 3 UNION ALL SELECT title, unnest([a, c]), 2 FROM f WHERE k % 10 <> 5),
+    w AS (SELECT title, x, min(run) AS run FROM q GROUP BY ALL)
+    SELECT run, count(*) AS n_asked FROM w GROUP BY run"""
+)
+def answers_increment(spark: SparkSession, sf: str) -> DataFrame:
+    """How many questions two runs put to the model: the second, of changed, new and removed papers, asks for new chunks alone."""
+    k, priority = F.col("o_orderkey"), F.concat(F.lit("# A\nMethod: "), "o_orderpriority")
+    store, settings = _store(spark, "answers"), Settings(merged(DEFAULTS, {"extraction": {"commit_papers": 2_000, "task_chunks": 4096}}))
+    for newer in (False, True):
+        changed = F.when(k % 10 == 0, F.concat(F.lit("changed "), "o_orderstatus")) if newer else F.when(F.lit(False), "")
+        task = F.coalesce(changed, F.concat("o_orderstatus", (k % 50).cast("string")))
+        text = F.concat(priority, F.lit("\n\n# B\nTask: "), task)
+        rows = _t(spark, sf, "orders").filter(k % 10 != (5 if newer else 3)).select(F.concat(_key("o", "o_orderkey"), F.lit(".md")).alias("filename"), text.alias("text"))
+        flows.update_extractions(rows.select("filename", t.title_of(F.col("filename")).alias("title"), "text", t.content_hash(F.col("text")).alias("text_md5")), store, models.RuleExtractor, settings)
+        if not newer:
+            first = materialise(store.read("answers", models.ANSWERS).select("digest"), "first-answers")
+    every = store.read("answers", models.ANSWERS).select("digest").distinct()
+    runs = every.join(first.distinct().withColumn("run", F.lit(1)), "digest", "left").groupBy(F.coalesce("run", F.lit(2)).alias("run"))
+    return runs.agg(F.count(F.lit(1)).alias("n_asked"))
+
+
 @query(f"SELECT label AS name, count(*) AS n FROM ({SQL['graph_build_nodes']}) GROUP BY label UNION ALL SELECT rel_type, count(*) FROM ({SQL['graph_build']}) GROUP BY rel_type")
 def graph_update(spark: SparkSession, sf: str) -> DataFrame:
     """Counts of nodes and edges of a store to which one build was written twice: keys are unique, and nothing is doubled."""

@@ -95,13 +95,42 @@ def papers_of(parsed: DataFrame, files: DataFrame, schema_version: int) -> DataF
 FAILURES = "chunk_id string, filename string, error string"
 #: Commits of one run at most, however many papers it has.
 COMMITS = 64
+#: Folder beside the versions in which answers lie from the end of the task that got them until a version takes them in.
+SPOOL = "spool"
+
+
+def _spooled(store: SnapshotStore) -> DataFrame:
+    path = store._path(SPOOL)
+    if store._fs.exists(path) and any(s.getPath().getName().endswith(".parquet") for s in store._fs.listStatus(path)):
+        return store.spark.read.schema(models.ANSWERS).parquet(f"{store.root}/{SPOOL}")
+    return store.spark.createDataFrame([], models.ANSWERS)
+
+
+def answered(store: SnapshotStore) -> DataFrame:
+    """digest, raw, error: the answer to each question that was ever asked, from the versions and from runs that stopped; else its last error."""
+    every = store.read("answers", models.ANSWERS).unionByName(_spooled(store))
+    return every.groupBy("digest").agg(F.max("raw").alias("raw"), F.max_by("error", "at").alias("error"))
+
+
+def ask(chunks: DataFrame, store: SnapshotStore, extractor: Callable[[], models.Extractor], at: int, workers: int, task_chunks: int) -> None:
+    """Ask for what has no answer yet, once for each distinct question. A task that ends leaves its answers for good, whatever becomes of the job.
+
+    Tasks have about ``task_chunks`` questions, and their files are moved into the spool one by one as they end (the second algorithm
+    of Hadoop's committer). A task that runs twice may leave an answer twice, which answered() takes as one.
+    """
+    known = answered(store).filter("raw IS NOT NULL").select("digest")
+    open_ = chunks.select("digest", "title", "text").dropDuplicates(["digest"]).join(known, "digest", "left_anti")
+    tasks = max(1, -(-open_.count() // task_chunks))
+    made = models.answer(open_.repartition(min(tasks, 100_000)), extractor, at, workers)
+    made.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(f"{store.root}/{SPOOL}")
 
 
 def update_extractions(files: DataFrame, store: SnapshotStore, extractor: Callable[[], models.Extractor], settings: Settings | None = None, report: Callable[[int, int], None] | None = None) -> int | None:
     """Extract what the kept extractions lack, and commit about every ``extraction.commit_papers`` papers.
 
-    A run that stops keeps the papers of its commits, and the next one goes on with the rest. Failed chunks are kept by their error
-    and tried again next time. ``report`` is told how many papers of how many are done after each commit.
+    A run that stops keeps the papers of its commits and every answer of a task that ended; the next one asks for the rest alone, and
+    of a changed paper only for chunks that no paper had. Failed chunks are kept by their error and tried again next time. ``report``
+    is told how many papers of how many are done after each commit.
     """
     settings = settings or Settings()
     version, size = settings.get("extraction.schema_version", 1), settings.get("extraction.commit_papers", 1000)
@@ -120,21 +149,29 @@ def update_extractions(files: DataFrame, store: SnapshotStore, extractor: Callab
         change.commit()
         todo = store.read("todo", "filename string, title string, text string, text_md5 string, turn int")
     done = last = 0
-    for turn in [0] if rounds == 1 else [r["turn"] for r in todo.select("turn").distinct().orderBy("turn").collect()]:
+    turns = [0] if rounds == 1 else [r["turn"] for r in todo.select("turn").distinct().orderBy("turn").collect()]
+    for turn in turns:
         own = todo if rounds == 1 else todo.filter(F.col("turn") == turn)
-        chunks = chunk_files(own, settings).withColumn("text", strip(F.col("text"))).filter("text <> ''")
         change = store.begin()
-        # The replies are written before they are parsed: a lost task must not ask a model twice for the same table.
-        change.replace("replies", models.extract(chunks, extractor, settings.get("extraction.max_workers", 8)))
+        chunks = chunk_files(own, settings).withColumn("text", strip(F.col("text"))).filter("text <> ''")
+        change.replace("asked", models.asked(chunks.select("chunk_id", "filename", F.col("index").cast("int").alias("index"), "title", "text"), models.signature(extractor), version))
+        chunks = change.read("asked", "chunk_id string, filename string, index int, title string, text string, digest string")
+        ask(chunks, store, extractor, change.version, settings.get("extraction.max_workers", 8), settings.get("extraction.task_chunks", 32))
+        change.append("answers", _spooled(store))
+        change.replace("replies", chunks.join(answered(store), "digest").select("chunk_id", "filename", "index", "title", "text", "raw", F.when(F.col("raw").isNull(), F.col("error")).alias("error")))
+        del change.tables["asked"]
         parsed = parse_extractions(change.read("replies", models.REPLIES))
         for name in ("extractions", "failures"):
             change.delete(name, own.select("filename"))
         papers = change.append("extractions", papers_of(parsed, own, version))
         change.append("failures", parsed.filter(F.col("error").isNotNull()).select("chunk_id", "filename", "error"))
         done += papers.count()
-        change.compact("extractions", EXTRACTIONS)
-        change.compact("failures", FAILURES)
+        for name, schema in (("extractions", EXTRACTIONS), ("failures", FAILURES), ("answers", models.ANSWERS)):
+            change.compact(name, schema)
+        if turn == turns[-1]:
+            change.tables.pop("todo", None)
         last = change.commit()
+        store._fs.delete(store._path(SPOOL), True)  # a version has taken them in
         if report:
             report(done, count)
     return last

@@ -1,4 +1,4 @@
-"""Command line: index, extract, graph, retrieve, answer, ask and dump over one store.
+"""Command line: index, extract, import, graph, retrieve, answer, ask and dump over one store.
 
 ``--embedder``, ``--extractor``, ``--reranker`` and ``--generator`` take ``package.module:factory``, a callable without arguments
 that the workers can import. Without them the settings decide (``embedding.model`` and ``rerank.model`` name folders of local
@@ -12,8 +12,10 @@ import importlib
 import json
 import sys
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import partial
 from pathlib import Path
+from queue import Queue
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,6 +67,9 @@ def parser() -> argparse.ArgumentParser:
     graph = commands.add_parser("graph", help="build the graph over the old one")
     graph.add_argument("--abbreviations", help="JSON object of short and full names")
     graph.add_argument("--reset", action="store_true", help="in place of the old one")
+    graph.add_argument("--prune", action="store_true", help="take out what the build no longer makes")
+    load = commands.add_parser("import", help="take in extractions kept as one JSON object by file name")
+    load.add_argument("--cache", required=True, help="the JSON file")
     for name in ("retrieve", "answer", "ask"):
         one = commands.add_parser(name)
         one.add_argument("question")
@@ -86,6 +91,13 @@ class Library:
         chosen = {n: getattr(options, n, None) for n in ("k", "hops")}
         self.settings = Settings(merged(merged(DEFAULTS, given), {"retrieval": {n: x for n, x in chosen.items() if x is not None}}))
 
+    def done(self, store: SnapshotStore, version: int | None) -> str:
+        """What a command says of its commit; versions beyond ``store.versions`` go."""
+        if version is None:
+            return "nothing changed"
+        store.expire(self.settings.get("store.versions", 2))
+        return f"version {version}"
+
     def model(self, kind: str, stage: str = "") -> Callable[[], Any]:
         return factory(kind, getattr(self.options, kind), self.settings, stage)
 
@@ -115,18 +127,36 @@ def run(spark: SparkSession, arguments: list[str]) -> Iterator[str]:
     yield from COMMANDS[options.command](Library(spark, options))
 
 
+def as_told(work: Callable[[Callable[[str], None]], str]) -> Iterator[str]:
+    """The lines that work tells while it runs, as it tells them, and then its result."""
+    lines: Queue[str | None] = Queue()
+    with ThreadPoolExecutor(1) as pool:
+        running = pool.submit(work, lines.put)
+        running.add_done_callback(lambda _: lines.put(None))
+        yield from iter(lines.get, None)
+        yield running.result()
+
+
 def _index(library: Library) -> Iterator[str]:
-    files = sources.scan_markdown(library.spark, library.options.data)
-    version = flows.update_index(files, library.index, library.model("embedder"), library.settings)
-    yield "nothing changed" if version is None else f"version {version}"
+    version = flows.update_index_folder(library.spark, library.options.data, library.index, library.model("embedder"), library.settings)
+    yield library.done(library.index, version)
 
 
 def _extract(library: Library) -> Iterator[str]:
     files = sources.scan_markdown(library.spark, library.options.data, library.options.limit)
-    progress: list[str] = []
-    version = flows.update_extractions(files, library.extractions, library.model("extractor", "extraction"), library.settings, lambda done, of: progress.append(f"{done} of {of} papers"))
-    yield from progress
-    yield "nothing changed" if version is None else f"version {version}"
+    extractor = library.model("extractor", "extraction")
+
+    def work(tell: Callable[[str], None]) -> str:
+        version = flows.update_extractions(files, library.extractions, extractor, library.settings, lambda done, of: tell(f"{done} of {of} papers"))
+        return library.done(library.extractions, version)
+
+    yield from as_told(work)
+
+
+def _import(library: Library) -> Iterator[str]:
+    papers = sources.read_extraction_json(library.spark, library.options.cache)
+    version = flows.import_extractions(papers, library.extractions)
+    yield library.done(library.extractions, version)
 
 
 def _graph(library: Library) -> Iterator[str]:
@@ -137,9 +167,9 @@ def _graph(library: Library) -> Iterator[str]:
         return
     short = sources.read_abbreviations(spark, options.abbreviations) if options.abbreviations else flows.abbreviation_table(spark, library.settings)
     chunks = library.chunks()
-    version = flows.update_graph(papers, chunks, short, library.graph, options.reset)
+    version = flows.update_graph(papers, chunks, short, library.graph, options.reset, options.prune)
     whole = graphs.Graph(**{n: library.graph.read(n, s) for n, s in flows.GRAPH_SCHEMAS.items()})
-    yield f"version {version}"
+    yield library.done(library.graph, version)
     yield "taken in: " + ", ".join(f"{n} {name}" for name, n in graphs.build_totals(papers, chunks, whole).first().asDict().items())
     for r in (*graphs.node_counts(graphs.node_keys(whole)).collect(), *graphs.edge_counts(whole.edges).collect()):
         yield f"{r[0]}: {r[1]}"
@@ -179,7 +209,7 @@ def _answer(library: Library) -> Iterator[str]:
         yield f"[{p.number}] {p.filename}" + (f": {p.text}" if library.options.points else "")
 
 
-COMMANDS: dict[str, Callable[[Library], Iterator[str]]] = {"index": _index, "extract": _extract, "graph": _graph, "retrieve": _retrieve, "answer": _answer, "ask": _ask, "dump": _dump}
+COMMANDS: dict[str, Callable[[Library], Iterator[str]]] = {"import": _import, "index": _index, "extract": _extract, "graph": _graph, "retrieve": _retrieve, "answer": _answer, "ask": _ask, "dump": _dump}
 
 
 def main() -> None:

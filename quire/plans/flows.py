@@ -15,7 +15,7 @@ from quire.operators import resolve, search, select, traverse
 from quire.schemas import CHUNKS, ENTITY_TYPES, EXTRACTION, EXTRACTIONS, MANIFEST, RELATION_ENDS, VECTORS
 from quire.settings import Settings
 from quire.sources import files as sources
-from quire.sources.snapshots import SnapshotStore
+from quire.sources.snapshots import SnapshotStore, Transaction, assert_unique
 
 GRAPH_SCHEMAS = {
     "papers": "filename string, title string",
@@ -32,13 +32,46 @@ def update_index(files: DataFrame, store: SnapshotStore, embedder: Callable[[],
     Only new and modified files are split and embedded, once, and appended; the chunks of removed and modified ones are deleted by
     the ids that the old manifest counts. What is unchanged stays where it is.
     """
-    settings = settings or Settings()
     manifest = store.read("manifest", MANIFEST)
     diff = sources.manifest_diff(manifest, files)
-    changed = diff.filter("status <> 'unchanged'").select("filename")
-    if changed.isEmpty():
+    if diff.filter("status <> 'unchanged'").isEmpty():
         return None
+    times = files.select("filename", *(F.col(c) if c in files.columns else F.lit(None).cast(t).alias(c) for c, t in (("length", "long"), ("modified", "timestamp"))))
+    return _commit_index(manifest, diff, files, times, store, embedder, settings or Settings())
+
+
+def update_index_folder(spark: SparkSession, folder: str, store: SnapshotStore, embedder: Callable[[], models.Embedder], settings: Settings | None = None) -> int | None:
+    """update_index() of a folder, of whose files only those are read that are new, or whose size or time of change is another.
+
+    A file that was written again with the same bytes is read once more and then remembered by its new time. A change that keeps both
+    size and time isn't seen; a manifest without them sees every file.
+    """
+    manifest = store.read("manifest", MANIFEST)
+    listing = sources.list_markdown(spark, folder)
     change = store.begin()
+    change.replace("listing", listing)
+    listing = change.read("listing", "filename string, path string, length bigint, modified timestamp")
+    looked = sources.to_look_at(manifest, listing)
+    files = sources.read_files(spark, folder, looked)
+    same = manifest.select("filename", "md5").join(listing.select("filename"), "filename", "left_semi").join(looked.select("filename"), "filename", "left_anti")
+    change.replace("digests", files.select("filename", "md5").unionByName(same))
+    diff = sources.manifest_diff(manifest, change.read("digests", "filename string, md5 string"))
+    times = listing.select("filename", "length", "modified")
+    if diff.filter("status <> 'unchanged'").isEmpty():
+        if looked.isEmpty():
+            return None
+        change.tables = store.content()
+        change.replace("manifest", manifest.drop("length", "modified").join(times, "filename"))
+        change.commit()
+        return None
+    return _commit_index(manifest, diff, files, times, store, embedder, settings or Settings(), change)
+
+
+def _commit_index(manifest: DataFrame, diff: DataFrame, files: DataFrame, times: DataFrame, store: SnapshotStore, embedder: Callable[[], models.Embedder], settings: Settings, change: Transaction | None = None) -> int:
+    change = change or store.begin()
+    for name in ("listing", "digests"):
+        change.tables.pop(name, None)
+    changed = diff.filter("status <> 'unchanged'").select("filename")
     gone = sources.deleted_chunk_ids(diff).select("chunk_id")
     change.delete("chunks", gone)
     change.delete("vectors", gone)
@@ -46,12 +79,27 @@ def update_index(files: DataFrame, store: SnapshotStore, embedder: Callable[[],
     change.append("vectors", fresh.select("chunk_id", models.embed(F.col("text"), embedder, batch=settings.get("embedding.batch_size", 16)).alias("embedding")))
     counts = fresh.groupBy("filename").agg(F.count(F.lit(1)).cast("int").alias("chunk_count"))
     added = sources.to_add(diff).select("filename", "md5").join(counts, "filename", "left").select("filename", "md5", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"))
-    change.replace("manifest", manifest.join(changed, "filename", "left_anti").unionByName(added))
+    kept = manifest.join(changed, "filename", "left_anti").select("filename", "md5", "chunk_count")
+    change.replace("manifest", kept.unionByName(added).join(times, "filename", "left").select("filename", "md5", "chunk_count", "length", "modified"))
     change.compact("chunks", CHUNKS)
     change.compact("vectors", VECTORS)
     return change.commit()
 
 
+def import_extractions(papers: DataFrame, store: SnapshotStore) -> int:
+    """Take in extractions that were kept elsewhere (EXTRACTIONS rows, one a paper), in place of those of the same papers."""
+    change = store.begin()
+    change.replace("incoming", papers)
+    papers = change.read("incoming", EXTRACTIONS)
+    del change.tables["incoming"]
+    assert_unique(papers, ["filename"])
+    for name in ("extractions", "failures"):
+        change.delete(name, papers.select("filename"))
+    change.append("extractions", papers)
+    change.compact("extractions", EXTRACTIONS)
+    return change.commit()
+
+
 def parse_extractions(raw: DataFrame) -> DataFrame:
     """raw (chunk_id, filename, index, raw, error) with ``result``, null and an error where a reply is no valid extraction.
 

@@ -14,7 +14,8 @@ RELATION_ENDS: dict[str, tuple[str, str]] = {
 }
 
 FILES = "filename string, content binary, text string, md5 string, text_md5 string"
-MANIFEST = "filename string, md5 string, chunk_count int"
+#: Size and time of change are null where a listing doesn't tell them.
+MANIFEST = "filename string, md5 string, chunk_count int, length bigint, modified timestamp"
 CHUNKS = "chunk_id string, filename string, index int, title string, headers map<string,string>, text string"
 VECTORS = "chunk_id string, embedding array<float>"
 ABBREVIATIONS = "norm_key string, full_name string"

@@ -167,10 +167,12 @@ def _graph(library: Library) -> Iterator[str]:
         return
     short = sources.read_abbreviations(spark, options.abbreviations) if options.abbreviations else flows.abbreviation_table(spark, library.settings)
     chunks = library.chunks()
-    version = flows.update_graph(papers, chunks, short, library.graph, options.reset, options.prune)
-    whole = graphs.Graph(**{n: library.graph.read(n, s) for n, s in flows.GRAPH_SCHEMAS.items()})
+    totals: dict[str, int] = {}
+    version = flows.update_graph(papers, chunks, short, library.graph, options.reset, options.prune, totals, lambda name, n: print(f"built {name}: {n}", file=sys.stderr, flush=True))
     yield library.done(library.graph, version)
-    yield "taken in: " + ", ".join(f"{n} {name}" for name, n in graphs.build_totals(papers, chunks, whole).first().asDict().items())
+    taken = {"papers": totals["papers"], "entities": totals["entities_rows"], "chunks": totals["chunks_rows"]} | {n: totals[n] for n in ("mentions", "relations", "results")}
+    yield "taken in: " + ", ".join(f"{n} {name}" for name, n in taken.items())
+    whole = graphs.Graph(**{n: library.graph.read(n, s) for n, s in flows.GRAPH_SCHEMAS.items()})
     for r in (*graphs.node_counts(graphs.node_keys(whole)).collect(), *graphs.edge_counts(whole.edges).collect()):
         yield f"{r[0]}: {r[1]}"
 

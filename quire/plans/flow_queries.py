@@ -139,6 +139,17 @@ def graph_update(spark: SparkSession, sf: str) -> DataFrame:
     return nodes.withColumnRenamed("label", "name").unionByName(edges.withColumnRenamed("rel_type", "name"))
 
 
+@query(SQL["build_totals"])
+def build_observed(spark: SparkSession, sf: str) -> DataFrame:
+    """What a build took in, as observed by the jobs that write its tables."""
+    extractions, chunks, short = _build_inputs(spark, sf)
+    totals: dict[str, int] = {}
+    flows.update_graph(materialise(extractions, "extractions"), chunks, short, _store(spark, "observed"), totals=totals)
+    totals |= {n: totals[f"{n}_rows"] for n in ("entities", "chunks")}
+    names = ("papers", "entities", "chunks", "mentions", "relations", "results")
+    return spark.createDataFrame([tuple(totals[n] for n in names)], ", ".join(f"{n} long" for n in names))
+
+
 class SpelledVectors:
     """Reads a vector from its text."""
 
@@ -243,3 +254,34 @@ def renamed_edges(spark: SparkSession, sf: str) -> DataFrame:
     whole = kept.unionByName(edges[1].join(touched, "src_key", "left_semi").select(*graph.EDGE_KEY)).distinct()
     pieces = F.split("dst_key", "\u001f")
     return whole.select(F.expr("cast(substring(src_key, 2) as bigint)").alias("o"), F.regexp_extract(pieces[1], "[0-9]+", 0).cast("int").alias("p"), pieces[1].alias("canonical"), pieces[0].alias("type"))
+
+
+@query(
+    rf"""WITH f AS (SELECT query_id, chunk_id, merged_pos FROM ({SQL['retrieve_end_to_end']})),
+    t AS (SELECT lpad(doc_id::VARCHAR, 12, '0') AS chunk_id, 'd' || doc_id AS filename, text FROM documents),
+    q AS (SELECT query_id, {_FIRST_LINE.format(x="text")} AS question FROM (SELECT DISTINCT query_id FROM f) JOIN t ON chunk_id = query_id),
+    w AS (SELECT query_id, list_distinct(regexp_extract_all(lower(question), '[\p{{L}}\p{{N}}_]+')) AS wanted FROM q),
+    s AS (SELECT query_id, merged_pos, filename, text, len(list_filter(wanted, lambda x: list_contains(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')[1:512], x))) / greatest(1, len(wanted))::DOUBLE AS score
+          FROM f JOIN t USING (chunk_id) JOIN w USING (query_id)),
+    p AS (SELECT *, {_FIRST_LINE.format(x="text")} AS line FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, merged_pos) <= 10),
+    n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, merged_pos) AS number FROM p WHERE line <> '')
+    SELECT query_id, coalesce('[1] source: ' || arg_min(filename, number), 'no source') AS answer, coalesce(string_agg(filename, ',' ORDER BY number), '') AS sources, coalesce(md5(string_agg(line, chr(10) ORDER BY number)), md5('')) AS points_md5
+    FROM q LEFT JOIN n USING (query_id) GROUP BY query_id"""
+)
+def graph_answer(spark: SparkSession, sf: str) -> DataFrame:
+    """From question to cited answer over vectors and graph: search, expansion, choice, merge, reranking, compression, answer.
+
+    The question of a query vector is the first line of its document.
+    """
+    docs = _t(spark, sf, "documents").select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("chunk_id"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("filename"), "text")
+    found = materialise(QUERIES["retrieve_end_to_end"](spark, sf).select("query_id", "chunk_id", "merged_pos"), "found")
+    line = F.btrim(F.split_part(F.regexp_replace("text", r"^\s+", ""), F.lit("\n"), F.lit(1)), F.lit(" "))
+    questions = docs.join(found.select(F.col("query_id").alias("chunk_id")).distinct(), "chunk_id").select(F.col("chunk_id").alias("query_id"), line.alias("question"))
+    points = materialise(flows.answer_points(questions, found, docs, models.LexicalReranker, lambda: models.ExtractiveGenerator(NOTHING), "{question} [{number}] {source}", NOTHING, FAILED), "points")
+    made = flows.answers(questions, points, lambda: models.ExtractiveGenerator(NOTHING), "{question}", "no source", FAILED)
+    told = points.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("number", "filename", "text"))).alias("p"))  # at most ten a question
+
+    def joined(name: str, by: str) -> Column:
+        return F.array_join(F.transform(F.coalesce("p", F.array()), lambda x: x[name]), by)
+
+    return made.join(told, "query_id", "left").select("query_id", "answer", joined("filename", ",").alias("sources"), F.md5(joined("text", "\n").cast("binary")).alias("points_md5"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import models
@@ -225,9 +225,12 @@ def update_extractions(files: DataFrame, store: SnapshotStore, extractor: Callab
     return last
 
 
-def update_graph(extractions: DataFrame, chunks: DataFrame, abbreviations: DataFrame, store: SnapshotStore, reset: bool = False, prune: bool = False) -> int:
+def update_graph(extractions: DataFrame, chunks: DataFrame, abbreviations: DataFrame, store: SnapshotStore, reset: bool = False, prune: bool = False, totals: dict[str, int] | None = None, report: Callable[[str, int], None] | None = None) -> int:
     """Build the graph and commit it over the old one, or in its place; keys are checked before the version can be seen.
 
+    ``totals`` gets what the build took in, observed by Spark while the tables are written: papers, mentions, relations and results of the
+    extractions, and the rows of each table. ``report`` is told of each table and its rows as it is done.
+
     Nodes and edges lie in buckets by their keys, and only buckets with a change are written. ``prune`` takes out what the build no longer
     makes, so that stale results and names go; without it nothing is deleted.
     """
@@ -241,13 +244,23 @@ def update_graph(extractions: DataFrame, chunks: DataFrame, abbreviations: DataF
     for name, key in {**graphs.NODE_KEYS, "edges": graphs.EDGE_KEY}.items():
         if reset:
             change.tables.pop(name, None)
+        seen = Observation(name)
+        counts = [F.count(F.lit(1)).alias("rows")]
         rows = getattr(new, name)
+        if name == "papers" and totals is not None:
+            taken = Observation("extractions")
+            rows = graphs.papers_of(extractions.select("filename", "title", "mentions", "relations", "performances").observe(taken, *graphs.taken_in()))
+        rows = rows.observe(seen, *counts)
         gone = None
         if prune and not reset:
             rows = keep(f"{name}.built", rows)
             gone = store.read(name, GRAPH_SCHEMAS[name]).select(*key).join(rows.select(*key), key, "left_anti")
         change.merge(name, rows, key, gone)
         change.tables.pop(f"{name}.built", None)
+        if totals is not None:
+            totals.update((taken.get if name == "papers" else {}) | {f"{name}_rows": seen.get["rows"]})
+        if report:
+            report(name, seen.get["rows"])
     return change.commit()
 
 

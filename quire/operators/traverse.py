@@ -65,8 +65,10 @@ def reach(seeds: DataFrame, edges: DataFrame, hops: int, relations: list[str] |
     if clamp_hops(hops) == 2:
         first = keep("first-hop", merged(first))
         first = first.unionByName(one_hop(first, near, 2, keep))
-    marks = start.unionByName(first)
-    found = merged(marks).groupBy("query_id", "node").agg(F.min("hop").alias("hop"), F.sum(F.bit_count("mark")).alias("n_seeds"))
+    one = merged(start.unionByName(first))
+    if not start.agg(F.max("word")).first()[0]:  # no query has more seeds than a word has bits
+        return one.select("query_id", "node", "hop", F.bit_count("mark").cast("long").alias("n_seeds")).filter("hop > 0")
+    found = one.groupBy("query_id", "node").agg(F.min("hop").alias("hop"), F.sum(F.bit_count("mark")).alias("n_seeds"))
     return found.filter("hop > 0")
 
 

@@ -44,28 +44,33 @@ def seed_marks(seeds: DataFrame) -> DataFrame:
 
 
 def one_hop(marks: DataFrame, near: DataFrame, hop: int, keep: Keep = written) -> DataFrame:
-    """The marks of the neighbours of marked nodes, a row for each neighbour and edge."""
-    found = heavy_join(marks.select("query_id", "word", "node", "mark"), near.select(F.col("src").alias("node"), "dst"), "node", keep=keep)
-    return found.select("query_id", "word", F.col("dst").alias("node"), "mark", F.lit(hop).alias("hop"))
+    """The marks of the neighbours of marked nodes, a row for each neighbour and edge. near: src, dst, shown."""
+    found = heavy_join(marks.select("query_id", "word", "node", "mark"), near.select(F.col("src").alias("node"), "dst", "shown"), "node", keep=keep)
+    return found.select("query_id", "word", F.col("dst").alias("node"), "mark", F.lit(hop).alias("hop"), "shown")
 
 
 def merged(marks: DataFrame) -> DataFrame:
     """One row for each query, word and node: all marks, and the first hop that reached it."""
-    return marks.groupBy("query_id", "word", "node").agg(F.bit_or("mark").alias("mark"), F.min("hop").alias("hop"))
+    return marks.groupBy("query_id", "word", "node").agg(F.bit_or("mark").alias("mark"), F.min("hop").alias("hop"), F.max("shown").alias("shown"))
 
 
-def reach(seeds: DataFrame, edges: DataFrame, hops: int, relations: list[str] | None, keep: Keep = written) -> DataFrame:
+def reach(seeds: DataFrame, edges: DataFrame, hops: int, relations: list[str] | None, keep: Keep = written, results: DataFrame | None = None) -> DataFrame:
     """query_id, node, hop, n_seeds of the nodes within the clamped number of hops by paths that use no edge twice, seeds left out.
 
     Within two hops only the way back to the seed would use an edge twice. That puts a mark on a seed, and seeds are no result.
+    ``results`` (node) are the nodes that may be results, all if None: whether a neighbour is one is told by the edges, so that the
+    last hop makes no row of any other and those of the first go no further than to be passed through.
     """
-    near = keep("near", both_ways(edges, relations))
-    start = keep("seed-marks", seed_marks(seeds))
-    first = one_hop(start, near, 1, keep)
-    if clamp_hops(hops) == 2:
-        first = keep("first-hop", merged(first))
-        first = first.unionByName(one_hop(first, near, 2, keep))
-    one = merged(start.unionByName(first))
+    near = both_ways(edges, relations)
+    shown = near.withColumn("shown", F.lit(True)) if results is None else near.join(results.select(F.col("node").alias("dst"), F.lit(True).alias("shown")).distinct(), "dst", "left")
+    near = keep("near", shown.select("src", "dst", F.coalesce("shown", F.lit(False)).alias("shown")))
+    start = keep("seed-marks", seed_marks(seeds).withColumn("shown", F.lit(True)))
+    if clamp_hops(hops) == 1:
+        found = one_hop(start, near.filter("shown"), 1, keep)
+    else:
+        first = keep("first-hop", merged(one_hop(start, near, 1, keep)))
+        found = first.filter("shown").unionByName(one_hop(first, near.filter("shown"), 2, keep))
+    one = merged(start.unionByName(found))
     if not start.agg(F.max("word")).first()[0]:  # no query has more seeds than a word has bits
         return one.select("query_id", "node", "hop", F.bit_count("mark").cast("long").alias("n_seeds")).filter("hop > 0")
     found = one.groupBy("query_id", "node").agg(F.min("hop").alias("hop"), F.sum(F.bit_count("mark")).alias("n_seeds"))
@@ -78,7 +83,7 @@ def expand_entities(seeds: DataFrame, edges: DataFrame, entities: DataFrame, hop
     ``entities`` (entity, name, type) are the nodes that may be results; others are only passed through. Ranked by hop, then
     seeds reached from (most first), then name and type; ``most`` keeps the first of each query.
     """
-    counted = reach(seeds, edges, hops, relations, keep).withColumnRenamed("node", "entity")
+    counted = reach(seeds, edges, hops, relations, keep, entities.select(F.col("entity").alias("node"))).withColumnRenamed("node", "entity")
     order = Window.partitionBy("query_id").orderBy("hop", F.desc("n_seeds"), "name", "type", "entity")
     ranked = counted.join(entities.select("entity", "name", "type"), "entity").withColumn("rank", F.row_number().over(order))
     if most is not None:

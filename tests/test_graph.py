@@ -160,3 +160,24 @@ def test_merge_rank_and_filter(spark):
     kept = select.renumber(df.filter(select.is_relevant(F.col("text"), "NONE", "FAIL")))
     assert [(r.number, r.text) for r in kept.orderBy("number").collect()] == [(1, "NONE of it"), (2, " FAIL: x"), (3, "good")]
     assert select.cited_points(kept).first().points.startswith("[1] source: f\nNONE of it\n\n[2]")
+
+
+def test_a_build_shuffles_no_edge_to_look_for_its_ends(spark):
+    """Results with separators in their fields share an id, which stays one node; the others need no shuffle of their edges."""
+    results = [(0, "a|b", "c", "1", "", ""), (0, "a", "b|c", "1", "", ""), (0, "M", "Acc", "2", "", "D"), (0, "M", "Acc", "2", "", "D")]
+    g = build(spark, [("p.md", "t", [], [("M", "EVALUATED_ON", "D"), ("M", "EVALUATED_ON", "D")], results, [(0, "Method", "M"), (7, "Method", "M")])], ["p.md::0"])
+    edges = [tuple(r) for r in g.edges.collect()]
+    assert len(edges) == len(set(edges)) and set(edges) == {tuple(r) for r in graph.connected(g, g.edges).collect()}
+    assert g.results.count() == 2 and sum(e[2] == "REPORTED" for e in edges) == 3 and sum(e[2] == "HAS_RESULT" for e in edges) == 2
+    assert sum(e[2] == "MENTIONED_IN" for e in edges) == 1
+    plan = g.edges._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") == 3  # papers of chunks, twice, and chunks of mentions
+
+
+def test_the_first_place_is_that_of_whole_names(spark):
+    """File names that begin alike, or are null-like short, are told apart by the rest."""
+    rows = [(f, "t", [], [("x", "USES", name)], [], []) for f, name in (("a-long-name-2", "lora"), ("a-long-name-1", "LoRA"), ("b", "LORA"))]
+    assert [r.name for r in build(spark, rows, []).entities.collect()] == ["LoRA"]
+    order = ["", "a", "aé", "b", "é", "\U0001f600"]
+    df = spark.createDataFrame([(x,) for x in [None, *order]], "f string")
+    assert [r.f for r in df.orderBy(resolve.begin(F.col("f"))).collect()] == [None, *order]

@@ -4,7 +4,7 @@ import pytest
 
 from quire.plans import flows
 from quire.plans.flows import graphs
-from quire.sources.snapshots import SnapshotStore
+from quire.sources.snapshots import SnapshotStore, Transaction
 
 SCHEMA = "k string, part int, v string"
 
@@ -92,3 +92,22 @@ def test_a_graph_leaves_unchanged_files(spark, tmp_path, monkeypatch):
     assert found() == (set(many[:80]), 80)
     update(many[:5], reset=True)
     assert found() == (set(many[:5]), 5)
+
+
+def test_a_first_merge_writes_rows_once_and_a_second_only_digests(spark, tmp_path, monkeypatch):
+    store, written = SnapshotStore(spark, f"file://{tmp_path}/s"), []
+    write = Transaction._write
+    monkeypatch.setattr(Transaction, "_write", lambda self, name, df, partitions=(): (written.append((name, df.columns)), write(self, name, df, partitions))[1])
+    want = {("a", 1): "x", ("b", 2): None, ("c", 3): "y"}
+    put(store, spark, want)
+    assert [name for name, _ in written] == ["t"]  # no spool beside the buckets
+    written.clear()
+    assert put(store, spark, want) == {} and rows_of(store) == want
+    assert ("t.digests", ["__d1", "__d2"]) in written and "t" not in dict(written)
+    # Nulls that change places are a change.
+    table = "k string, a string, b string"
+    for row in (("k", None, "v"), ("k", "v", None)):
+        change = store.begin()
+        change.merge("u", spark.createDataFrame([row], table), ["k"], buckets=2)
+        change.commit()
+        assert tuple(store.read("u", table).first()) == row

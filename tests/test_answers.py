@@ -90,3 +90,18 @@ def test_names_of_models():
     one, two = (models.signature(partial(models.HashEmbedder, width=w)) for w in (8, 9))
     assert one != two and one.startswith("quire.functions.models:HashEmbedder(")
     assert models.signature(counting("x", "7")) == "counting:7"
+
+
+def test_a_round_reads_and_hides_what_is_its_own(spark, place, monkeypatch):
+    """Answers are looked up once a run, not once a round; a question shared by rounds is put once; nothing is hidden in a first run."""
+    for k in range(5):
+        (place / "data" / f"p{k}.md").write_text("# A\nMethod: same\n")
+    looked, gone = [], []
+    known, delete = flows.answered, flows.Transaction.delete
+    monkeypatch.setattr(flows, "answered", lambda store: (looked.append(1), known(store))[1])
+    monkeypatch.setattr(flows.Transaction, "delete", lambda self, name, keys: (gone.append(name), delete(self, name, keys))[1])
+    monkeypatch.setattr(flows.sources, "cache_miss", lambda files, *more: files.withColumn("title", flows.F.lit("one title")))
+    store = run(spark, place, commit_papers=1)
+    assert calls(place / "calls") == 1 and len(looked) == 1 and not gone  # no old answers: looked up once
+    found = store.read("extractions", flows.EXTRACTIONS).collect()
+    assert len(found) == 5 and all(e.name == "same" for r in found for e in r.entities) and all(len(r.entities) == 1 for r in found)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.operators.heavy import heavy_join, written
+from quire.operators.ranked import first_entities
 
 MAX_HOPS = 2
 #: Seeds whose marks share one long. Spark's own bitmap aggregates have 32,768 bits, 4 KB for each node.
@@ -29,10 +30,15 @@ def seed_entities(hits: DataFrame, mentions: DataFrame) -> DataFrame:
     return hits.select("query_id", "chunk_id").join(mentions.select("entity", "chunk_id"), "chunk_id").select("query_id", "entity").distinct()
 
 
+def turned(edges: DataFrame, relations: list[str] | None) -> DataFrame:
+    """src, dst in both directions of the edges (src, rel_type, dst) of the given types, with their repeats; no types, no edges."""
+    allowed = edges.filter(F.col("rel_type").isin(*relations) if relations else F.lit(False)).filter("src <> dst")
+    return allowed.select(F.inline(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))))
+
+
 def both_ways(edges: DataFrame, relations: list[str] | None) -> DataFrame:
-    """src, dst in both directions of the edges (src, rel_type, dst) of the given types; no types, no edges."""
-    allowed = edges.filter(F.col("rel_type").isin(*relations) if relations else F.lit(False)).select("src", "dst").filter("src <> dst")
-    return allowed.unionByName(allowed.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    """src, dst in both directions of the edges, each once."""
+    return turned(edges, relations).distinct()
 
 
 def seed_marks(seeds: DataFrame) -> DataFrame:
@@ -81,13 +87,14 @@ def expand_entities(seeds: DataFrame, edges: DataFrame, entities: DataFrame, hop
     """query_id, entity, hop, n_seeds, rank of the entities around the seeds, without the seeds.
 
     ``entities`` (entity, name, type) are the nodes that may be results; others are only passed through. Ranked by hop, then
-    seeds reached from (most first), then name and type; ``most`` keeps the first of each query.
+    seeds reached from (most first), then name and type; ``most`` keeps the first of each query, for which no row is made of the others
+    (see ranked).
     """
+    if most is not None:
+        return first_entities(seeds, turned(edges, relations), entities, clamp_hops(hops), most, keep)
     counted = reach(seeds, edges, hops, relations, keep, entities.select(F.col("entity").alias("node"))).withColumnRenamed("node", "entity")
     order = Window.partitionBy("query_id").orderBy("hop", F.desc("n_seeds"), "name", "type", "entity")
     ranked = counted.join(entities.select("entity", "name", "type"), "entity").withColumn("rank", F.row_number().over(order))
-    if most is not None:
-        ranked = ranked.filter(F.col("rank") <= most)
     return ranked.select("query_id", "entity", "name", "type", "hop", "n_seeds", "rank")
 
 

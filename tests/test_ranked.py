@@ -49,3 +49,15 @@ def test_no_seeds_and_no_cut(spark):
     for s, n in ((seeds.limit(0), 3), (seeds, 0)):
         assert traverse.expand_entities(s, edges, names, 2, ["USES"], n).collect() == []
     assert traverse.expand_entities(seeds, edges, names, 2, [], 3).collect() == []
+
+
+def test_nodes_on_the_way_are_no_rows_of_a_query(spark):
+    """400 queries from 3 entities over 2,000 documents: before, each query had a row for each document."""
+    n = F.col("id")
+    links = spark.range(2000).select(F.concat(F.lit("d"), n).alias("src"), F.lit("USES").alias("rel_type"), F.explode(F.array(F.concat(F.lit("a"), n % 3), F.concat(F.lit("b"), n % 5))).alias("dst"))
+    names = links.select(F.col("dst").alias("entity"), F.col("dst").alias("name"), F.lit("k").alias("type")).distinct()
+    seeds = spark.range(400).select(n.alias("query_id"), F.explode(F.array(F.lit("a0"), F.lit("a1"), F.lit("b1"))).alias("entity"))
+    before = shuffled(spark)
+    got = traverse.expand_entities(seeds, links, names, 2, ["USES"], 40).filter("query_id = 7")
+    assert {(r.entity, r.hop, r.n_seeds) for r in got.collect()} == {("a2", 2, 1), ("b0", 2, 2), ("b2", 2, 2), ("b3", 2, 2), ("b4", 2, 2)}
+    assert shuffled(spark) - before < 60_000

@@ -99,8 +99,8 @@ def expand_entities(seeds: DataFrame, edges: DataFrame, entities: DataFrame, hop
 
 
 def entity_chunks(expanded: DataFrame, mentions: DataFrame) -> DataFrame:
-    """Every chunk of every expanded entity, without text."""
-    return expanded.join(mentions.select("entity", "chunk_id"), "entity").select("query_id", "entity", "rank", "chunk_id").distinct()
+    """Every chunk of every expanded entity, without text. An entity is once in a query, so that mentions made distinct leave no row twice."""
+    return expanded.join(mentions.select("entity", "chunk_id").distinct(), "entity").select("query_id", "entity", "rank", "chunk_id")
 
 
 def postings(mentions: DataFrame, most: int) -> DataFrame:

@@ -61,3 +61,12 @@ def test_nodes_on_the_way_are_no_rows_of_a_query(spark):
     got = traverse.expand_entities(seeds, links, names, 2, ["USES"], 40).filter("query_id = 7")
     assert {(r.entity, r.hop, r.n_seeds) for r in got.collect()} == {("a2", 2, 1), ("b0", 2, 2), ("b2", 2, 2), ("b3", 2, 2), ("b4", 2, 2)}
     assert shuffled(spark) - before < 60_000
+
+
+def test_chunks_of_entities_are_not_compared_once_joined(spark):
+    """Mentions are made distinct before the join: before, all rows of the result were held against each other after it."""
+    x = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "a", 1)], "query_id long, entity string, rank int")
+    m = spark.createDataFrame([("a", "c1"), ("a", "c1"), ("a", "c2"), ("b", "c1")], "entity string, chunk_id string")
+    got = traverse.entity_chunks(x, m)
+    assert sorted(map(tuple, got.collect())) == [(1, "a", 1, "c1"), (1, "a", 1, "c2"), (1, "b", 2, "c1"), (2, "a", 1, "c1"), (2, "a", 1, "c2")]
+    assert got._jdf.queryExecution().optimizedPlan().toString().startswith("Project")

@@ -114,7 +114,30 @@ def postings(mentions: DataFrame, most: int) -> DataFrame:
     return first.groupBy("entity").agg(F.sort_array(F.collect_set("chunk_id")).alias("chunk_ids"))
 
 
-def posted_chunks(expanded: DataFrame, posted: DataFrame, keep: Keep = written) -> DataFrame:
-    """query_id, entity, rank, chunk_id of the posted chunks of the expanded entities: at most a posting list for each."""
-    found = heavy_join(expanded.select("query_id", "entity", "rank"), posted.select("entity", "chunk_ids"), "entity", keep=keep)
-    return found.select("query_id", "entity", "rank", F.explode("chunk_ids").alias("chunk_id"))
+def posted_chunks(expanded: DataFrame, posted: DataFrame, keep: Keep = written, limits: tuple[int, int] | None = None) -> DataFrame:
+    """query_id, entity, rank, chunk_id of the posted chunks of the expanded entities: at most a posting list for each.
+
+    With ``limits``, the quota and cap of the choice that follows, those are left out that it cannot take (see within_reach). Ranks are
+    unique in a query then, and the lists are those of select.needed().
+    """
+    asked = expanded.select("query_id", "entity", "rank")
+    if limits is None:
+        found = heavy_join(asked, posted.select("entity", "chunk_ids"), "entity", keep=keep)
+        return found.select("query_id", "entity", "rank", F.explode("chunk_ids").alias("chunk_id"))
+    sized = asked.join(posted.select("entity", F.size("chunk_ids").alias("n")), "entity")
+    found = heavy_join(keep("within-reach", within_reach(sized, *limits)), posted.select("entity", "chunk_ids"), "entity", keep=keep)
+    return found.select("query_id", "entity", "rank", F.explode(F.slice("chunk_ids", F.lit(1), F.col("most"))).alias("chunk_id"))
+
+
+def within_reach(sized: DataFrame, quota: int, cap: int) -> DataFrame:
+    """query_id, entity, rank, most: the entities that a greedy choice can come to, and how many chunks of each it can look at.
+
+    sized: query_id, entity, rank, n (its chunks). Before an entity at most ``before`` chunks are taken, fewer than ``cap`` of them if it
+    is come to at all. So its first quota + before are enough, and of n chunks min(quota, n - before) are taken for sure. Once such
+    sure ones make ``cap``, the choice has ended, and no later entity is looked at.
+    """
+    earlier = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.least(F.lit(max(0, cap - 1)), F.coalesce(F.sum(F.least("n", F.lit(quota))).over(earlier), F.lit(0)))
+    sure = F.coalesce(F.sum(F.greatest(F.lit(0), F.least(F.lit(quota), F.col("n") - F.col("before")))).over(earlier), F.lit(0))
+    kept = sized.withColumn("before", before).withColumn("sure", sure).filter(F.col("sure") < cap)
+    return kept.select("query_id", "entity", "rank", (F.col("before") + quota).cast("int").alias("most"))

@@ -322,7 +322,7 @@ def retrieve_parts(queries: DataFrame, vectors: DataFrame, edges: DataFrame, ent
     quota, cap = get("retrieval.max_per_entity", 3), get("retrieval.max_chunks", 20)
     expanded = traverse.written("expanded", expanded)
     posted = traverse.written("postings", traverse.postings(mentions, select.needed(quota, cap)))
-    chosen = select.greedy(traverse.posted_chunks(expanded, posted), quota, cap)
+    chosen = select.greedy(traverse.posted_chunks(expanded, posted, limits=(quota, cap)), quota, cap)
     graph = chosen.join(expanded.select("query_id", "rank", "hop", "n_seeds", F.col("name").alias("entity")), ["query_id", "rank"]).drop("rank")
     return hits.select("query_id", "chunk_id", F.col("rank").alias("position"), "score"), graph
 

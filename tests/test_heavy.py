@@ -81,3 +81,26 @@ def test_posting_lists_are_enough(spark):
         whole = select.quota_select(traverse.entity_chunks(x, m), quota, cap)
         assert sorted(map(tuple, select.greedy(traverse.posted_chunks(x, posted), quota, cap).collect())) == sorted(map(tuple, whole.collect()))
     assert "WindowGroupLimit" in traverse.postings(m, 5)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_choice_looks_at_no_more_chunks_than_it_can_take(spark):
+    """Forty entities with full lists: seven of them make the twenty, and each is looked at as far as others may have taken its chunks."""
+    mentions = [(f"e{k:02d}", f"c{(5 * k + j) % 90:03d}") for k in range(40) for j in range(30)]
+    posted = traverse.postings(spark.createDataFrame(mentions, "entity string, chunk_id string"), select.needed(3, 20))
+    x = spark.createDataFrame([(q, f"e{(7 * q + r) % 40:02d}", r) for q in range(5) for r in range(1, 41)], "query_id long, entity string, rank int")
+    cut, whole = traverse.posted_chunks(x, posted, limits=(3, 20)), traverse.posted_chunks(x, posted)
+    assert {r["count"] for r in cut.groupBy("query_id").count().collect()} == {3 + 6 + 9 + 12 + 15 + 18 + 21}
+    assert whole.count() == 5 * 40 * 22
+    assert sorted(map(tuple, select.greedy(cut, 3, 20).collect())) == sorted(map(tuple, select.greedy(whole, 3, 20).collect()))
+
+
+def test_the_cut_loses_nothing_where_lists_are_short(spark):
+    rng = random.Random(8)
+    mentions = [(f"e{rng.randrange(30)}", f"c{rng.randrange(25):02d}") for _ in range(140)] + [("hub", f"c{k:02d}") for k in range(25)]
+    m = spark.createDataFrame(mentions, "entity string, chunk_id string")
+    names = [*(f"e{k}" for k in range(30)), "hub", "unmentioned"]
+    x = spark.createDataFrame([(q, e, n) for q in range(60) for n, e in enumerate(rng.sample(names, rng.randrange(1, 32)), 1)], "query_id long, entity string, rank int")
+    for quota, cap in ((3, 20), (2, 7), (1, 2), (5, 3), (0, 4), (2, 0)):
+        posted = traverse.postings(m, select.needed(quota, cap))
+        cut, whole = (select.greedy(traverse.posted_chunks(x, posted, limits=limits), quota, cap) for limits in ((quota, cap), None))
+        assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, whole.collect()))

@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
+from codecs import charmap_decode
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -42,13 +43,18 @@ K1, B = 1.2, 0.75
 #: Documents and cells (documents times terms) of a shard up to which all scores may be one matrix product, of which a step costs
 #: about so many times less than one over postings.
 DENSE_ROWS, DENSE_CELLS, DENSE_GAIN = 2048, 1 << 23, 32.0
-#: Words kept between texts, and characters of a word that is kept.
-CACHE_WORDS, WORD_CHARS = 300_000, 64
+#: Runs and words kept between texts, and characters of one that is kept.
+CACHE_WORDS, WORD_CHARS = 500_000, 64
 #: Text outside these characters is left to the tokenizer as a whole; they compose to nothing and lower-case one by one.
 _RARE = re.compile(r"[^\x00-įı-ſ‐-‧€]")
 _LETTERS, _NUMBERS = "a-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼½¾"
 _ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 _WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\t-\r \x85\xa0{_LETTERS}{_NUMBERS}]+")
+#: Characters at which str.split() parts a text although they are parts of words here.
+_NO_BLANKS = "\x1c\x1d\x1e\x1f"
+#: A comma or full stop that ends a run and is one word with the marks before it.
+_ASCII_MARKS = re.compile(r"[^\t-\r a-z0-9][,.][ \n]")
+_MARKS = re.compile(rf"[^\t-\r \x85\xa0{_LETTERS}{_NUMBERS}][,.][ \n]")
 
 
 @lru_cache(maxsize=2)
@@ -67,11 +73,16 @@ def _byte_letters() -> dict[int, str]:
     return out
 
 
-_BYTES = _byte_letters()
+#: That character of each byte, by its place.
+_BYTES = "".join(c for _, c in sorted(_byte_letters().items()))
 
 
 class WordIds(dict):
-    """Ids of words as little-endian unsigned 16-bit integers; a missing word is encoded by the vocabulary's merges."""
+    """Ids of words, and of runs of them between blanks, as little-endian unsigned 16-bit integers; a missing word is encoded by the vocabulary's merges.
+
+    No word has a blank in it, so a text is parted at blanks and its runs are looked up whole; only those that are missing are parted
+    further. Commas and full stops at the end of a run are made runs of their own, so that a word is kept once, with them or without.
+    """
 
     def __init__(self, tokenizer: Tokenizer) -> None:
         if tokenizer.get_vocab_size() > 1 << 16:
@@ -79,26 +90,34 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer, self._merge = tokenizer, tokenizer.model.tokenize
 
-    def __missing__(self, word: str) -> bytes:
-        if not word.isascii():
-            spelled = word.encode().decode("latin-1").translate(_BYTES)
+    def __missing__(self, run: str) -> bytes:
+        if not run.isalpha() and len(words := _WORDS.findall(run)) > 1:
+            ids = b"".join(map(self.__getitem__, words))
         else:
-            spelled = word if word.isalnum() else word.translate(_BYTES)
-        ids = array("H", [t.id for t in self._merge(spelled)]).tobytes()
-        if len(word) <= WORD_CHARS:
-            self[word] = ids
+            spelled = run if run.isascii() and run.isalnum() else charmap_decode(run.encode(), "strict", _BYTES)[0]
+            ids = array("H", [t.id for t in self._merge(spelled)]).tobytes()
+        if len(run) <= WORD_CHARS:
+            self[run] = ids
         return ids
 
+    def runs(self, text: str, marks: re.Pattern) -> list[str]:
+        """What stands between the blanks of a lower-case text."""
+        if not marks.search(text):
+            text = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " . ")
+        return text.split()
+
     def encode(self, text: str) -> bytes:
-        if text.isascii():
-            words = _ASCII_WORDS.findall(text.lower())
-        elif _RARE.search(text):
+        plain = text.isascii()
+        if not plain and _RARE.search(text):
             return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        text = text.lower()
+        if any(c in text for c in _NO_BLANKS):
+            runs = (_ASCII_WORDS if plain else _WORDS).findall(text)
         else:
-            words = _WORDS.findall(text.lower())
+            runs = self.runs(text, _ASCII_MARKS if plain else _MARKS)
         if len(self) > CACHE_WORDS:
             self.clear()
-        return b"".join(map(self.__getitem__, words))
+        return b"".join(map(self.__getitem__, runs))
 
 
 @lru_cache(maxsize=2)
@@ -125,7 +144,7 @@ def _race() -> np.ndarray:
     """Places of all token ids in a race that later ids, the rarer merges, are likelier to win: a weighted minhash takes the first."""
     ids = np.arange(1 << 16)
     luck = (_mixed(ids).astype(np.float64) + 1) / 2.0**63
-    places = np.empty(1 << 16, dtype=np.int64)
+    places = np.empty(1 << 16, dtype=np.int32)
     places[np.argsort(-np.log(luck) / np.log(ids + 2.0), kind="stable")] = ids
     return places
 

@@ -116,3 +116,29 @@ def test_near_copies_are_neighbours_in_the_order():
     order = sorted(range(len(texts)), key=lambda k: packing.order_key(texts[k]))
     assert sum(a // 4 == b // 4 for a, b in zip(order, order[1:])) > 0.7 * 180
     assert packing.order_key(np.array([7, 7])) != packing.order_key(np.array([8])) and packing.order_key(np.empty(0, np.int64))[0] == 1 << 16
+
+
+def test_known_runs_are_not_searched_for_words(library, monkeypatch):
+    """A text is parted at blanks, and what stands between is looked up whole, a comma or full stop after it by itself."""
+    own, text = packing.WordIds(library), "The winnow, the sieve. Été à la plage.\nIt's 3.5 metres (or so), \"ok\", yes!"
+    want = np.array(library.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+    assert own.encode(text) == want
+    plain = packing.WordIds(library)
+    plain.encode("The winnow, the sieve. Été.\nIt's")
+    assert {"winnow", "sieve", "été", ",", "."} <= plain.keys() and not {"winnow,", "sieve.", "été."} & plain.keys()
+
+    class Unused:
+        def findall(self, text):
+            raise AssertionError(text)
+
+    monkeypatch.setattr(packing, "_WORDS", Unused())
+    monkeypatch.setattr(packing, "_ASCII_WORDS", Unused())
+    assert own.encode(text) == want
+
+
+def test_runs_match_the_library_at_odd_blanks_and_marks(library):
+    own, alphabet = packing.WordIds(library), list("ab1'st.,, .  \n\t\x0b\x1c\x1f\x85\xa0éßØÅ½²-–€?!_ LL\r're")
+    rng = np.random.default_rng(4)
+    for _ in range(3000):
+        text = "".join(rng.choice(alphabet, rng.integers(14)))
+        assert np.frombuffer(own.encode(text), "<u2").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)

@@ -25,6 +25,8 @@ from quire.operators.heavy import written
 PIVOTS, RINGS, PART = 256, 8, 512
 #: Vectors of a block and queries of a group: what one task holds of a part at a time.
 BLOCK, GROUP = 8192, 4096
+#: Copies of queries that a task makes at a time.
+ROUTED = 8192
 #: Share of the compared distances by which a bound may be off in doubles.
 SLACK = 1e-9
 
@@ -80,7 +82,9 @@ def _route(batches: Iterable[pa.RecordBatch], parts: Parts, k: int) -> Iterator[
                 reach = np.sqrt(rows.column(2).to_numpy(zero_copy_only=False))[:, None]
                 wanted = ~wanted & (bound <= reach * (1 + SLACK) + room)
             query, part = np.nonzero(wanted)
-            yield pa.RecordBatch.from_arrays([*(rows.column(c).take(pa.array(query)) for c in (0, 1)), pa.array(part.astype(np.int32))], names=["query_id", "embedding", "part"])
+            for lo in range(0, len(query), ROUTED):  # a query that skips nothing is copied to every part
+                own = pa.array(query[lo : lo + ROUTED])
+                yield pa.RecordBatch.from_arrays([*(rows.column(c).take(own) for c in (0, 1)), pa.array(part[lo : lo + ROUTED].astype(np.int32))], names=["query_id", "embedding", "part"])
 
 
 def _meet(vectors: pa.Table, queries: pa.Table, k: int) -> pa.Table:

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quire.operators import pivots, search
@@ -71,3 +72,14 @@ def test_many_queries_take_the_table(spark, small, monkeypatch):
     assert found(search.vector_topk(frame(spark, "query_id", queries), frame(spark, "chunk_id", vectors), 4)) == want
     monkeypatch.setattr(search, "QUERY_BYTES", 100)
     assert found(search.vector_topk(frame(spark, "query_id", queries), frame(spark, "chunk_id", vectors), 4)) == want
+
+
+def test_queries_that_skip_nothing_are_routed_in_bounded_batches():
+    """Two thousand parts that no query can skip: a task makes its copies of the queries ROUTED at a time, each once."""
+    rng = np.random.default_rng(2)
+    parts = pivots.Parts(rng.normal(size=(256, 4)), np.repeat(np.arange(256), 8), np.zeros(2048), np.full(2048, 99.0), np.full(2048, 500))
+    rows = pa.RecordBatch.from_arrays([pa.array([f"q{k}" for k in range(40)]), pa.array(list(rng.normal(size=(40, 4)))), pa.array(np.full(40, 1e9))], names=["query_id", "embedding", "reach"])
+    made = list(pivots._route(iter([rows]), parts, 5))
+    assert max(b.num_rows for b in made) <= pivots.ROUTED < sum(b.num_rows for b in made)
+    visits = [(q, p) for b in made for q, p in zip(b["query_id"].to_pylist(), b["part"].to_pylist(), strict=True)]
+    assert len(visits) == len(set(visits)) == 40 * 2047  # all but each one's home, which has been searched

@@ -15,6 +15,7 @@ from quire.operators import resolve, search, select, traverse
 from quire.schemas import CHUNKS, ENTITY_TYPES, EXTRACTION, EXTRACTIONS, MANIFEST, RELATION_ENDS, VECTORS
 from quire.settings import Settings
 from quire.sources import files as sources
+from quire.sources.scratch import materialise
 from quire.sources.snapshots import SnapshotStore, Transaction, assert_unique
 
 GRAPH_SCHEMAS = {
@@ -331,7 +332,8 @@ def answer_points(questions: DataFrame, found: DataFrame, chunks: DataFrame, rer
     """query_id, number, chunk_id, filename, text: the compressed, relevant points of each question, cited 1..n.
 
     questions: query_id, question; found: the output of retrieve; chunks: chunk_id, filename, text.
-    ``prompt`` names {question}, {number}, {source} and ends with the text after a line of dashes.
+    ``prompt`` names {question}, {number}, {source} and ends with the text after a line of dashes. The points are written once, as that
+    hands whole texts to the models in small batches (see materialise).
     """
     get = (settings or Settings()).get
     rows = found.join(chunks.select("chunk_id", "filename", "text"), "chunk_id").join(questions, "query_id")
@@ -342,7 +344,7 @@ def answer_points(questions: DataFrame, found: DataFrame, chunks: DataFrame, rer
         asked = F.replace(asked, F.lit("{" + name + "}"), value)
     pointed = top.withColumn("text", models.generate(F.concat(asked, F.lit("\n---\n"), F.col("text")), compressor, failure, get("compression.max_workers", 4)))
     kept = select.renumber(pointed.filter(select.is_relevant(F.col("text"), marker, failure)))
-    return kept.select("query_id", "number", "chunk_id", "filename", "text")
+    return materialise(kept.select("query_id", "number", "chunk_id", "filename", "text"), "points")
 
 
 def answers(questions: DataFrame, points: DataFrame, generator: Callable[[], models.Generator], prompt: str, nothing: str, failure: str) -> DataFrame:
@@ -355,13 +357,13 @@ def answers(questions: DataFrame, points: DataFrame, generator: Callable[[], mod
 
 
 def flat_answers(questions: DataFrame, vectors: DataFrame, chunks: DataFrame, embedder: Callable[[], models.Embedder], generator: Callable[[], models.Generator], prompt: str, failure: str, k: int = 5) -> DataFrame:
-    """The smallest flow: nearest chunks, their texts in rank order, one prompt for each question."""
+    """The smallest flow: nearest chunks, their texts in rank order, one prompt for each question. The answers are written once, as points are."""
     queries = questions.select("query_id", models.embed(F.col("question"), embedder, is_query=True).alias("embedding"))
     hits = search.vector_topk(queries, vectors, k)
     context = search.concat_context(hits.join(chunks.select("chunk_id", "text"), "chunk_id"))
     rows = questions.join(context, "query_id", "left")
     asked = F.concat(F.replace(F.lit(prompt), F.lit("{question}"), F.col("question")), F.lit("\n---\n"), F.coalesce("context", F.lit("")))
-    return rows.select("query_id", models.generate(asked, generator, failure).alias("answer"))
+    return materialise(rows.select("query_id", models.generate(asked, generator, failure).alias("answer")), "answers")
 
 
 def abbreviation_table(spark: SparkSession, settings: Settings | None = None) -> DataFrame:

@@ -105,3 +105,16 @@ def test_a_round_reads_and_hides_what_is_its_own(spark, place, monkeypatch):
     assert calls(place / "calls") == 1 and len(looked) == 1 and not gone  # no old answers: looked up once
     found = store.read("extractions", flows.EXTRACTIONS).collect()
     assert len(found) == 5 and all(e.name == "same" for r in found for e in r.entities) and all(len(r.entities) == 1 for r in found)
+
+
+def test_whole_texts_meet_models_in_small_batches(spark, sf_dir, monkeypatch):
+    """Points and answers come from written tables, and the tasks that write them get at most BATCH_ROWS texts at a time."""
+    from quire.plans import flow_queries
+    from quire.sources import scratch
+
+    seen, kept = [], scratch.materialise
+    monkeypatch.setattr(flows, "materialise", lambda df, label: seen.append(label) or kept(df, label))
+    for name in ("compressed_points", "flat_answer"):
+        made = flow_queries.QUERIES[name](spark, sf_dir)
+        assert "ArrowEvalPython" not in made._jdf.queryExecution().executedPlan().toString(), name
+    assert seen == ["points", "answers"] and scratch.BATCH_ROWS <= 1024

@@ -35,7 +35,9 @@ def matrix(column: pa.ListArray | pa.ChunkedArray, width: int) -> np.ndarray:
 
 
 #: Distances that a task holds at a time, whatever the numbers of queries and rows.
-DISTANCES = 1 << 22
+DISTANCES = 1 << 18
+#: Candidates of a query among a block of rows, as a multiple of k, beyond which the k-th of the block is looked for.
+CANDIDATES = 4
 
 
 def nearest(batches: Iterator[pa.RecordBatch], ids: list[str], queries: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
@@ -43,8 +45,10 @@ def nearest(batches: Iterator[pa.RecordBatch], ids: list[str], queries: np.ndarr
 
     A matrix product finds candidates; those that may be among the k are measured again by plain differences,
     so that equal vectors have equal distances. Ties go by key. Memory: one batch, DISTANCES distances, and k hits for each query.
+    Once k hits are known they alone tell which rows may be among the k; the k-th of a block is looked for only while they tell too little.
     """
     width, own = queries.shape[1], (queries**2).sum(axis=1)
+    turned = -2 * queries
     best: list[list[tuple[float, str]]] = [[] for _ in ids]
     worst = np.full(len(ids), np.inf)  # distance of the k-th hit so far
     for batch in batches:
@@ -52,19 +56,29 @@ def nearest(batches: Iterator[pa.RecordBatch], ids: list[str], queries: np.ndarr
         if not held.num_rows:
             continue
         keys, rows = held.column(0).to_pylist(), matrix(held.column(1), width)
-        sizes = (rows**2).sum(axis=1)
+        sizes, place = (rows**2).sum(axis=1), np.empty(len(rows), np.int64)
+        place[sorted(range(len(rows)), key=lambda i: (keys[i] is not None, keys[i] or ""))] = np.arange(len(rows))
         for lo in range(0, len(rows), 4096):
             part, size = rows[lo : lo + 4096], sizes[lo : lo + 4096]
             step = max(1, DISTANCES // len(part))
             for first in range(0, len(ids), step):
                 block = slice(first, first + step)
-                near = own[block, None] - 2 * queries[block] @ part.T + size[None]
+                near = turned[block] @ part.T  # less the query's own square, which is on the side of the bound
+                near += size
                 slack = 1e-9 * (own[block] + size.max())
-                bound = np.partition(near, k - 1, axis=1)[:, k - 1] if len(part) > k else np.full(len(near), np.inf)
-                rows_at, at = np.nonzero(near <= (np.minimum(bound, worst[block]) + slack)[:, None])
+                close = near <= (worst[block] - own[block] + slack)[:, None]
+                if len(part) > k and np.count_nonzero(close) > CANDIDATES * k * len(near):
+                    bound = np.partition(near, k - 1, axis=1)[:, k - 1] + own[block]
+                    close = near <= (np.minimum(bound, worst[block]) - own[block] + slack)[:, None]
+                rows_at, at = np.nonzero(close)
                 if not len(at):
                     continue
                 exact = ((part[at] - queries[block][rows_at]) ** 2).sum(axis=1)
+                if len(at) > k:  # of the many that may be equally near, the first k of each query
+                    order = np.lexsort((place[lo + at], exact, rows_at))
+                    rows_at, exact, at = rows_at[order], exact[order], at[order]
+                    own_k = np.arange(len(at)) - np.searchsorted(rows_at, rows_at) < k
+                    rows_at, exact, at = rows_at[own_k], exact[own_k], at[own_k]
                 for q, hits in itertools.groupby(zip(rows_at.tolist(), exact.tolist(), at.tolist(), strict=True), key=lambda x: x[0]):
                     q += first
                     best[q] = sorted(best[q] + [(d, keys[lo + j]) for _, d, j in hits])[:k]

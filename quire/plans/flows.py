@@ -317,7 +317,7 @@ def retrieve(queries: DataFrame, vectors: DataFrame, edges: DataFrame, entities:
 def retrieve_parts(queries: DataFrame, vectors: DataFrame, edges: DataFrame, entities: DataFrame, mentions: DataFrame, settings: Settings | None = None) -> tuple[DataFrame, DataFrame]:
     """What retrieve() merges: the rows of the vector search and those of the graph, which may share chunks."""
     get = (settings or Settings()).get
-    hits = search.vector_topk(queries, vectors, get("retrieval.k", 5))
+    hits = traverse.written("hits", search.vector_topk(queries, vectors, get("retrieval.k", 5)))  # read by the seeds and by the merge
     seeds = traverse.seed_entities(hits, mentions)
     expanded = traverse.expand_entities(seeds, edges, entities, get("retrieval.hops", 2), get("retrieval.relation_types", []), get("retrieval.max_entities", 40))
     quota, cap = get("retrieval.max_per_entity", 3), get("retrieval.max_chunks", 20)

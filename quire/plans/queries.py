@@ -706,7 +706,7 @@ def retrieve_end_to_end(spark: SparkSession, sf: str) -> DataFrame:
     docs = _t(spark, sf, "documents").join(_t(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "label"), "doc_id")
     chunk = F.lpad(F.col("doc_id").cast("string"), 12, "0")
     rows = docs.select(chunk.alias("chunk_id"), F.explode(F.array(*[F.struct(F.lit(r).alias("rel_type"), F.lit(k).alias("type"), F.col(c).cast("string").alias("name")) for r, k, c in (("USES", "Method", "source"), ("TARGETS", "Task", "lang"), ("ADDRESSES", "ProblemScenario", "label"))])).alias("e"))
-    linked = rows.select("chunk_id", "e.*").withColumn("entity", graph.entity_key(F.col("name"), F.col("type")))
+    linked = traverse.written("linked", rows.select("chunk_id", "e.*")).withColumn("entity", graph.entity_key(F.col("name"), F.col("type")))
     edges = linked.select(F.col("chunk_id").alias("src"), "rel_type", F.col("entity").alias("dst"))
     kept = vectors.join(docs.select(chunk.alias("chunk_id")), "chunk_id", "left_semi")
     found = flows.retrieve(queries, kept, edges, linked.select("entity", "name", "type").distinct(), linked.select("entity", "chunk_id"))

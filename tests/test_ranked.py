@@ -1,10 +1,13 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from quire.functions.vectors import nearest
 from quire.operators import ranked, traverse
-from quire.plans import flow_queries
+from quire.plans import flow_queries, flows
 
 
 def shuffled(spark):
@@ -78,3 +81,35 @@ def test_listings_tell_what_went_and_came(spark, sf_dir):
     rows = [set(map(tuple, x.collect())) for x in (old, new, gone, come)]
     assert [x.count() for x in (old, new, gone, come)] == [len(x) for x in rows]
     assert rows[2] == rows[0] - rows[1] and rows[3] == rows[1] - rows[0] and all(rows)
+
+
+def test_vectors_are_searched_once(spark, sf_dir, monkeypatch):
+    """The hits of a retrieval are read by its seeds and by its merge; before, each read searched all vectors."""
+    searched, search = spark.sparkContext.accumulator(0), flows.search.vector_topk
+
+    def counted(queries, vectors, k):
+        hits = search(queries, vectors, k)
+
+        def passed(batches):
+            for batch in batches:
+                searched.add(batch.num_rows)
+                yield batch
+
+        return hits.mapInArrow(passed, hits.schema)
+
+    monkeypatch.setattr(flows.search, "vector_topk", counted)
+    found = flow_queries.QUERIES["retrieve_end_to_end"](spark, sf_dir)
+    assert found.filter("source = 'vector'").count() == searched.value
+
+
+def test_copies_are_no_candidates_each():
+    """2,000 copies of a vector and 100 queries that are such copies: k rows of each query leave numpy, and ties go by key over all blocks."""
+    rng = np.random.default_rng(3)
+    rows = rng.normal(size=(6000, 8)).astype(np.float32)
+    rows[::3] = rows[0]
+    keys = [f"{k:05d}" for k in rng.permutation(6000)]
+    queries = np.concatenate((rows[:300:3], rows[1:300:3])).astype(np.float64)
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[k : k + 2500]), pa.array(list(rows[k : k + 2500]))], names=["key", "embedding"]) for k in range(0, 6000, 2500)]
+    got = pa.Table.from_batches(list(nearest(iter(batches), [str(q) for q in range(200)], queries, 7)))
+    want = [(str(q), key) for q, x in enumerate(queries) for _, key in sorted(zip(((rows.astype(np.float64) - x) ** 2).sum(axis=1), keys))[:7]]
+    assert list(zip(got["query_id"].to_pylist(), got["key"].to_pylist())) == want

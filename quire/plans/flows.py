@@ -34,11 +34,13 @@ def update_index(files: DataFrame, store: SnapshotStore, embedder: Callable[[],
     the ids that the old manifest counts. What is unchanged stays where it is.
     """
     manifest = store.read("manifest", MANIFEST)
-    diff = sources.manifest_diff(manifest, files)
-    if diff.filter("status <> 'unchanged'").isEmpty():
+    change = store.begin()
+    diff = change.spool("diff", sources.manifest_diff(manifest, files).filter("status <> 'unchanged'"))
+    if diff.isEmpty():
+        change.drop_spools()
         return None
     times = files.select("filename", *(F.col(c) if c in files.columns else F.lit(None).cast(t).alias(c) for c, t in (("length", "long"), ("modified", "timestamp"))))
-    return _commit_index(manifest, diff, files, times, store, embedder, settings or Settings())
+    return _commit_index(manifest, diff, files, times, store, embedder, settings or Settings(), change)
 
 
 def update_index_folder(spark: SparkSession, folder: str, store: SnapshotStore, embedder: Callable[[], models.Embedder], settings: Settings | None = None) -> int | None:
@@ -56,10 +58,11 @@ def update_index_folder(spark: SparkSession, folder: str, store: SnapshotStore,
     files = sources.read_files(spark, folder, looked)
     same = manifest.select("filename", "md5").join(listing.select("filename"), "filename", "left_semi").join(looked.select("filename"), "filename", "left_anti")
     change.replace("digests", files.select("filename", "md5").unionByName(same))
-    diff = sources.manifest_diff(manifest, change.read("digests", "filename string, md5 string"))
+    diff = change.spool("diff", sources.manifest_diff(manifest, change.read("digests", "filename string, md5 string")).filter("status <> 'unchanged'"))
     times = listing.select("filename", "length", "modified")
-    if diff.filter("status <> 'unchanged'").isEmpty():
+    if diff.isEmpty():
         if looked.isEmpty():
+            change.drop_spools()
             return None
         change.tables = store.content()
         change.replace("manifest", manifest.drop("length", "modified").join(times, "filename"))
@@ -68,11 +71,11 @@ def update_index_folder(spark: SparkSession, folder: str, store: SnapshotStore,
     return _commit_index(manifest, diff, files, times, store, embedder, settings or Settings(), change)
 
 
-def _commit_index(manifest: DataFrame, diff: DataFrame, files: DataFrame, times: DataFrame, store: SnapshotStore, embedder: Callable[[], models.Embedder], settings: Settings, change: Transaction | None = None) -> int:
-    change = change or store.begin()
+def _commit_index(manifest: DataFrame, diff: DataFrame, files: DataFrame, times: DataFrame, store: SnapshotStore, embedder: Callable[[], models.Embedder], settings: Settings, change: Transaction) -> int:
+    """diff: the changed files alone, written, as every step reads it."""
     for name in ("listing", "digests"):
         change.tables.pop(name, None)
-    changed = diff.filter("status <> 'unchanged'").select("filename")
+    changed = diff.select("filename")
     gone = sources.deleted_chunk_ids(diff).select("chunk_id")
     change.delete("chunks", gone)
     change.delete("vectors", gone)

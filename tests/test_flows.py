@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quire.functions import models
 from quire.operators import search
@@ -336,3 +337,27 @@ def test_transformers_in_onnx_form(tmp_path):
     reranker = reranker_of(settings)()
     assert reranker.score([("a", "b"), ("b", "c")]) == [table[3][0], table[4][0]]
     assert embedder_of(Settings()) is None and reranker_of(Settings()) is None
+
+
+def test_listings_are_compared_once(spark, tmp_path, monkeypatch):
+    """An index run reads its difference as written; before, each of its steps compared all files again."""
+    compared, diff = spark.sparkContext.accumulator(0), flows.sources.manifest_diff
+
+    def counted(manifest, listing):
+        found = diff(manifest, listing)
+
+        def passed(batches):
+            for batch in batches:
+                compared.add(batch.num_rows)
+                yield batch
+
+        return found.mapInArrow(passed, found.schema)
+
+    monkeypatch.setattr(flows.sources, "manifest_diff", counted)
+    name = F.concat(F.lit("f"), "id", F.lit(".md"))
+    files = spark.range(30).select(name.alias("filename"), F.lit("t").alias("title"), F.concat(F.lit("text "), "id").alias("text"), F.md5(name.cast("binary")).alias("md5"))
+    store = SnapshotStore(spark, f"file://{tmp_path}/index")
+    flows.update_index(files, store, models.HashEmbedder)
+    assert compared.value == 30
+    assert flows.update_index(files, store, models.HashEmbedder) is None
+    assert store.read("chunks", flows.CHUNKS).count() == 30

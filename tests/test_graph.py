@@ -4,6 +4,7 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from quire.operators import graph, resolve, select, traverse
+from quire.plans import flows
 from quire.schemas import CHUNKS, EXTRACTIONS
 from quire.sources.files import abbreviations
 
@@ -181,3 +182,11 @@ def test_the_first_place_is_that_of_whole_names(spark):
     order = ["", "a", "aé", "b", "é", "\U0001f600"]
     df = spark.createDataFrame([(x,) for x in [None, *order]], "f string")
     assert [r.f for r in df.orderBy(resolve.begin(F.col("f"))).collect()] == [None, *order]
+
+
+def test_merge_shuffles_rows_once(spark):
+    """Both windows of a merge are of a query; before, rows were shuffled by query and chunk, and then by query."""
+    rows = spark.createDataFrame([("q", None, 2), ("q", "a", 1), ("q", "a", 3), ("q", None, 4), (None, "a", 1)], "query_id string, chunk_id string, position int")
+    merged = select.merge_dedup(rows, rows.withColumn("position", F.col("position") + 10))
+    assert merged._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(map(str, merged.select("query_id", "chunk_id", "source", "merged_pos").collect())) == sorted(map(str, spark.createDataFrame([("q", "a", "vector", 0), ("q", None, "vector", 1), (None, "a", "vector", 0)], "query_id string, chunk_id string, source string, merged_pos int").collect()))

@@ -190,3 +190,17 @@ def test_merge_shuffles_rows_once(spark):
     merged = select.merge_dedup(rows, rows.withColumn("position", F.col("position") + 10))
     assert merged._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert sorted(map(str, merged.select("query_id", "chunk_id", "source", "merged_pos").collect())) == sorted(map(str, spark.createDataFrame([("q", "a", "vector", 0), ("q", None, "vector", 1), (None, "a", "vector", 0)], "query_id string, chunk_id string, source string, merged_pos int").collect()))
+
+
+def test_upsert_leaves_out_what_dangles_in_its_own_graph(spark):
+    """The ends of an edge must be in the graph that names it, and edges are made distinct once, after that; before, each graph's were, and then both."""
+
+    def made(entities, edges):
+        nodes = {"papers": [("p", "t")], "entities": [(n, "Method") for n in entities], "chunks": [], "results": []}
+        whole = {n: spark.createDataFrame(rows, flows.GRAPH_SCHEMAS[n]) for n, rows in nodes.items()}
+        return graph.Graph(**whole, edges=spark.createDataFrame([("Paper", p, "USES", "Entity", f"Method\u001f{n}") for p, n in edges], flows.GRAPH_SCHEMAS["edges"]))
+
+    old, new = made("ab", [("p", "a"), ("p", "a"), ("p", "c"), ("x", "a")]), made("bc", [("p", "a"), ("p", "b"), ("p", "b")])
+    got = graph.upsert_graph(old, new, dangling=True).edges
+    assert got._jdf.queryExecution().executedPlan().toString().count("HashAggregate") == 2
+    assert sorted(r["dst_key"][-1] for r in got.collect()) == ["a", "b"]

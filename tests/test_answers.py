@@ -118,3 +118,42 @@ def test_whole_texts_meet_models_in_small_batches(spark, sf_dir, monkeypatch):
         made = flow_queries.QUERIES[name](spark, sf_dir)
         assert "ArrowEvalPython" not in made._jdf.queryExecution().executedPlan().toString(), name
     assert seen == ["points", "answers"] and scratch.BATCH_ROWS <= 1024
+
+
+def test_a_round_writes_its_papers_and_nothing_else(spark, place, monkeypatch):
+    """Before, each round wrote answers and failures too, and a run wrote all papers anew at every sixteenth."""
+    for k in range(5, 24):
+        (place / "data" / f"p{k}.md").write_text(f"# A {k}\nMethod: m{k}\n")
+    written, write = [], flows.Transaction._write
+    monkeypatch.setattr(flows.Transaction, "_write", lambda self, name, *more: written.append(name) or write(self, name, *more))
+    told = []
+    store = run(spark, place, report=lambda *x: told.append(x), commit_papers=1)
+    rounds = len(told)
+    assert rounds > 12 and told[-1] == (24, 24)
+    assert {n: written.count(n) for n in ("extractions", "answers", "failures", "extractions.whole")} == {"extractions": rounds, "answers": 1, "failures": 0, "extractions.whole": 0}
+    assert store.read("extractions", flows.EXTRACTIONS).count() == 24 and store.read("answers", models.ANSWERS).count() == 34 == calls(place / "calls")
+
+
+def test_fast_calls_are_taken_in_runs_and_keep_their_places():
+    def call(x):
+        if x == 7:
+            raise ValueError(x)
+        return x
+
+    made = models.each(call, iter(range(5000)), 8)
+    assert [r for r, _ in made] == [None if x == 7 else x for x in range(5000)]
+    assert [k for k, (_, e) in enumerate(made) if e is not None] == [7] and models.each(call, [], 8) == []
+
+
+def test_many_parts_and_deletions_are_one_scan_each(spark, tmp_path):
+    store = SnapshotStore(spark, f"file://{tmp_path}/s")
+    for k in range(6):
+        change = store.begin()
+        if k:
+            change.delete("t", spark.createDataFrame([(k - 1,)], "key int"))
+        change.append("t", spark.createDataFrame([(k, k), (k - 1 if k % 2 else k + 100, -k)], "key int, v int"))
+        change.commit()
+    rows = store.read("t", "key int, v int")
+    # What a version deletes is what older ones wrote, not what it writes itself.
+    assert sorted(map(tuple, rows.collect())) == [(0, -1), (2, -3), (4, -5), (5, 5), (100, 0), (102, -2), (104, -4)]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 3

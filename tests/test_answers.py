@@ -157,3 +157,13 @@ def test_many_parts_and_deletions_are_one_scan_each(spark, tmp_path):
     # What a version deletes is what older ones wrote, not what it writes itself.
     assert sorted(map(tuple, rows.collect())) == [(0, -1), (2, -3), (4, -5), (5, 5), (100, 0), (102, -2), (104, -4)]
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 3
+
+
+def test_papers_are_put_together_once_for_both_runs(spark, sf_dir, monkeypatch):
+    """Both runs read the papers as written; before, each put them together from all line items, twice."""
+    from quire.plans import flow_queries
+
+    plans = []
+    monkeypatch.setattr(flows, "update_extractions", lambda files, *_: plans.append(files._jdf.queryExecution().optimizedPlan().toString()))
+    flow_queries.extraction_increment(spark, sf_dir)
+    assert len(plans) == 2 and not any("Aggregate" in p or "Join" in p for p in plans)
